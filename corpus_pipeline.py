@@ -1,26 +1,45 @@
-"""Documents to training sequences: the operators of lodestone.llm as one chain of written stages."""
+"""Documents to training sequences: the operators of lodestone.llm as one chain of written stages.
+
+Each stage takes all that the one before kept. Toxic documents go, repeated lines are cut, one document of each group of near
+duplicates stays, documents that hold a benchmark item go, and what is left is packed into sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import line_dedup, packing
+from lodestone.llm import decontam, line_dedup, near_dedup, packing, toxicity
 from lodestone.llm.scratch import Scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(*COLUMNS)
+
+
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeated_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.drop_near_duplicates(docs).select(*COLUMNS)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, capacity=4096, end_id=1)
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
     ("line dedup", drop_lines),
+    ("minhash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_leaks),
     ("best-fit packing", pack_sequences),
 ]
 

@@ -58,7 +58,7 @@ def chunk(pages: DataFrame, size: int = 512, overlap: int = 64, check: bool = Tr
 def heading(text: Column | str) -> Column:
     """(number, title) of a text's heading; null fields where there is none."""
     text = tx.text_or_empty(text)
-    found = [F.when(text.rlike(p), F.struct(F.regexp_extract(text, p, 1).alias("number"), F.regexp_replace(tx.strip(F.left(tx.strip(F.regexp_extract(text, p, 2)), F.lit(200))), r"\.+\z", "").alias("title"))) for p in HEADINGS]
+    found = [F.when(text.rlike(p), F.struct(F.regexp_extract(text, p, 1).alias("number"), F.left(F.regexp_replace(tx.collapse(F.regexp_extract(text, p, 2)), r"\.+\z", ""), F.lit(200)).alias("title"))) for p in HEADINGS]
     return F.coalesce(*found, F.struct(F.lit(None).cast("string").alias("number"), F.lit(None).cast("string").alias("title")))
 
 

@@ -300,7 +300,7 @@ _LINES = r"""
 ln AS (SELECT 'kb-' || doc_id || '.md' AS source, 'kb ' || doc_id AS fallback, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10)))))::INT AS chunk_idx FROM documents),
 ch AS (SELECT source, fallback, chunk_idx, (chunk_idx // 2)::INT AS page_number, CASE WHEN regexp_matches(line, '^[A-Za-z] ') THEN (chunk_idx + 1) || '.1 ' || line ELSE line END AS text FROM ln),
 hd AS (SELECT *, nullif(regexp_extract(text, '(?m)^\s*(\d+(?:\.\d+){0,4})\.?\s+([A-ZА-ЯЁ][^\n]{0,200})', 1), '') AS number,
-  regexp_replace(trim(substr(trim(regexp_extract(text, '(?m)^\s*(\d+(?:\.\d+){0,4})\.?\s+([A-ZА-ЯЁ][^\n]{0,200})', 2)), 1, 200)), '\.+$', '') AS title FROM ch),
+  substr(regexp_replace(trim(regexp_replace(regexp_extract(text, '(?m)^\s*(\d+(?:\.\d+){0,4})\.?\s+([A-ZА-ЯЁ][^\n]{0,200})', 2), '\s+', ' ', 'g')), '\.+$', ''), 1, 200) AS title FROM ch),
 pr AS (SELECT *, last_value(CASE WHEN number IS NOT NULL THEN {'n': number, 't': title, 'p': page_number} END IGNORE NULLS) OVER (PARTITION BY source ORDER BY chunk_idx ROWS UNBOUNDED PRECEDING) AS l FROM hd),
 st AS (SELECT *, CASE WHEN number IS NOT NULL THEN 'heading' WHEN l IS NULL THEN 'unassigned' WHEN page_number - l.p <= 6 THEN 'inherited' ELSE 'stale' END AS state FROM pr)
 """
