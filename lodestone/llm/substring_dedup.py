@@ -1,14 +1,14 @@
 """Substring de-duplication by content-defined chunks.
 
-A gear rolling hash over the UTF-8 bytes cuts a text where the hash's low bits are zero, after at least ``LEAST_BYTES`` and
+A gear rolling hash over the UTF-8 bytes cuts a text where some of the hash's bits are zero, after at least ``LEAST_BYTES`` and
 at most ``MOST_BYTES`` of a chunk. The hash sees the last ``WINDOW`` bytes only, so after an insertion the cuts fall into step
-again, and a passage has the same chunks wherever it stands. Chunks are compared by 128-bit digest; the first one in order of
-(doc_id, position) stays. Chance repeats of a few common words are no passages: later copies are removed only in runs of
-repeated chunks that are at least ``RUN_BYTES`` long together.
+again, and a passage has the same chunks wherever it stands. Chunks are compared by 96 bits of a digest; each stays where it
+is first: in the smallest doc_id that holds it, at its first place there. Chance repeats of a few common words are no
+passages: other copies are removed only in runs of repeated chunks that are at least ``RUN_BYTES`` long together.
 
 Defined results: a null or empty text has no chunks and comes back empty; rows with a null doc_id are never matched and
-stay whole; equal rows (doc_id and text) count as one document, each cut alike; rows that share a doc_id but not the text are
-ordered by a hash of the text; an empty table gives an empty table; extra columns are carried by ``drop_repeated_passages``.
+stay whole; rows that share a doc_id are one holder of their chunks, and each is cut by itself, so equal rows are cut alike;
+an empty table gives an empty table; extra columns are carried by ``drop_repeated_passages``.
 """
 
 from __future__ import annotations
@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.scratch import Scratch
 
-LEAST_BYTES, MOST_BYTES, RUN_BYTES = 24, 512, 128
+LEAST_BYTES, MOST_BYTES, RUN_BYTES = 16, 512, 128
 #: A cut is possible after one byte in 2**CUT_BITS.
-CUT_BITS, WINDOW = 5, 16
+CUT_BITS, WINDOW = 4, 16
 _GEAR = np.random.default_rng(77).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -67,42 +67,46 @@ def cuts(raw: np.ndarray) -> np.ndarray:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """doc, text_hash, pos (number of the chunk), size (bytes), and the digest's halves d1 and d2."""
+    """doc, text_hash, pos (number of the chunk) and digest (d1, d2) of documents(doc, text_hash, text); of a text's equal chunks the first."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hashes, texts = batch.column("doc").to_numpy(), batch.column("text_hash").to_numpy(), batch.column("text").cast(pa.binary())
             a = 0
             while a < len(ids):
-                rows, sizes, digests, n, b = [], [], [], 0, a
-                while b < len(ids) and n < 8_000_000:
+                counts, places, digests, n, b = [], [], [], 0, a
+                while b < len(ids) and n < 4_000_000:
                     raw = texts[b].as_py()
                     n += len(raw)
-                    if raw:
-                        ends = cuts(np.frombuffer(raw, np.uint8)).tolist()
-                        begin = 0
-                        for e in ends:
-                            digests.append(xxhash.xxh3_128_digest(raw[begin:e]))
-                            sizes.append(e - begin)
-                            begin = e
-                        rows.append((b, len(ends)))
+                    own: dict[bytes, int] = {}
+                    begin = 0
+                    for k, end in enumerate(cuts(np.frombuffer(raw, np.uint8)).tolist()):
+                        own.setdefault(xxhash.xxh3_128_digest(raw[begin:end]), k)
+                        begin = end
+                    counts.append(len(own))
+                    places += own.values()
+                    digests += own
                     b += 1
+                at = np.repeat(np.arange(a, b), counts)
                 a = b
-                count = np.array([c for _, c in rows], np.int64)
-                at = np.repeat(np.array([r for r, _ in rows], np.int64), count)
-                pos = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count) if len(at) else np.zeros(0, np.int64)
                 half = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at], pa.int64()), pa.array(hashes[at], pa.int64()), pa.array(pos, pa.int32()), pa.array(sizes, pa.int32()), pa.array(half[:, 0]), pa.array(half[:, 1])], ["doc", "text_hash", "pos", "size", "d1", "d2"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at], pa.int64()), pa.array(hashes[at], pa.int32()), pa.array(places, pa.int32()), pa.array(half[:, 0]), pa.array((half[:, 1] & 0x7FFFFFFF).astype(np.int32))], ["doc", "text_hash", "pos", "d1", "d2"])
 
-    return docs.mapInArrow(cut, "doc long, text_hash long, pos int, size int, d1 long, d2 long")
+    return docs.mapInArrow(cut, "doc long, text_hash int, pos int, d1 long, d2 int")
 
 
 def _keep(text: bytes, places: list[int]) -> tuple[str, list[tuple[int, int]], int]:
     """Text without the runs of repeated chunks that are long enough, the runs (start, end in bytes), and the number of chunks."""
     ends = cuts(np.frombuffer(text, np.uint8)).tolist()
     starts = [0, *ends[:-1]]
+    elsewhere = {text[starts[p] : ends[p]] for p in places}
+    seen: set[bytes] = set()
     runs: list[tuple[int, int]] = []
-    for p in sorted(set(places)):
+    for p in range(len(ends)):
+        chunk = text[starts[p] : ends[p]]
+        if chunk not in elsewhere and chunk not in seen:
+            seen.add(chunk)
+            continue
         if runs and runs[-1][1] == starts[p]:
             runs[-1] = (runs[-1][0], ends[p])
         else:
@@ -117,20 +121,19 @@ def _keep(text: bytes, places: list[int]) -> tuple[str, list[tuple[int, int]], i
 
 
 def drop_repeated_passages(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` cut, plus n_chunks, n_dropped_bytes, dropped (start, end in bytes of the old text) and copy_of, the smallest doc_ids that keep what was dropped, up to one for each dropped chunk."""
+    """``docs`` with ``text`` cut, plus n_chunks, n_dropped_bytes, dropped (start, end in bytes of the old text) and copy_of, the doc_ids that keep what other documents hold too."""
     scratch = Scratch(docs.sparkSession, "substring-dedup")
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.hash("text"))
     parts = chunks(rows)
-    place = F.struct("doc", "text_hash", "pos")
-    first = parts.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("d1", "d2", "first")
-    # Equal rows are one document: their chunks are the same places.
-    again = parts.join(first, ["d1", "d2"]).where(place != F.col("first"))
-    marked = again.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("pos", F.col("first.doc").alias("of"))).alias("places"))
+    first = parts.groupBy("d1", "d2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("d1", "d2", "first")
+    first = scratch.table(first, "first")
+    again = parts.join(first, ["d1", "d2"]).where("doc <> first")
+    marked = again.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("pos", F.col("first").alias("of"))).alias("places"))
     marked = scratch.table(marked, "repeated")
     own = [c for c in docs.columns if c not in ("text", "n_chunks", "n_dropped_bytes", "dropped", "copy_of")]
     joined = (
         docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-        .withColumn("text_hash", F.xxhash64("text")).join(marked, ["doc", "text_hash"], "left")
+        .withColumn("text_hash", F.hash("text")).join(marked, ["doc", "text_hash"], "left")
         .select("row", "text", "places")
     )
     schema = "row " + joined.schema["row"].dataType.simpleString() + ", text string, n_chunks long, n_dropped_bytes long, dropped array<struct<start:int,end:int>>, copy_of array<long>"
