@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from lodestone.functions import masking, vectors
 from lodestone.functions import text as tx
 from lodestone.operators import atoms, cache, chat, classify, dependencies, export, quality, ranking, sections
+from lodestone.plans import flows
+from lodestone.plans.tables import new_path
 from lodestone.sources import office
+from lodestone.streaming import requirements as arriving
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -801,3 +804,68 @@ def paragraph_requirements(spark, sf_dir):
         *[F.lit(None).cast("long").alias(c) for c in ("row", "col")], F.lit(0).cast("long").alias("paragraph"), F.lit(False).alias("list_style"), F.regexp_replace("text", "[\r\x0b\x0c\x85\u2028\u2029]", " ").alias("text"), F.lit(None).cast("string").alias("error"),
     )
     return office.requirements_of_paragraphs(rows).select("path", "id", tx.sha256("text").alias("text_sha256"))
+
+
+# --- flows and streams ---------------------------------------------------------------------------------------------
+
+
+def _stream(spark, sf_dir, name):
+    """A table's files as a stream."""
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")  # a pattern may match one file or a folder of files
+
+
+_MASKED_TEXT = _mask_sql("text")
+
+
+@query(f"WITH {_TF}, {_bm25_sql(f'SELECT item_id AS query_id, {_MASKED_TEXT} AS text FROM benchmark')} SELECT query_id, doc_id, score, rank FROM bm25")
+def stream_match(spark, sf_dir):
+    out = new_path(spark, "stream-match")
+    asked = _stream(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    arriving.match(asked, _t(spark, sf_dir, "documents"), f"{out}/hits", f"{out}/progress").awaitTermination()
+    return spark.read.parquet(f"{out}/hits").select("query_id", "doc_id", "score", F.col("rank"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS value FROM events GROUP BY ALL")
+def stream_event_rates(spark, sf_dir):
+    out = new_path(spark, "stream-rates")
+    rates = arriving.event_rates(_stream(spark, sf_dir, "events"))
+
+    def keep(batch, number):
+        batch.write.mode("overwrite").parquet(f"{out}/rates")
+
+    rates.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rates").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+def _index(spark, sf_dir):
+    return flows.build_index(_page_text(spark, sf_dir), _products(spark))
+
+
+@query(rf"""
+WITH {_PAGES}, w AS (SELECT source, section_pos, list_filter(regexp_split_to_array(section, '\s+'), lambda x: x <> '') AS w FROM kept),
+s AS (SELECT source, section_pos, w, unnest(range(0, greatest(len(w) - 64, 1), 448)) AS s FROM w WHERE len(w) > 0)
+SELECT source, (row_number() OVER (PARTITION BY source ORDER BY section_pos, s) - 1)::INT AS chunk_idx, sha256(array_to_string(list_slice(w, s + 1, s + 512), ' ')) AS chunk_sha256,
+  source || '::document::' || replace(regexp_replace(source, '\.md$', ''), '-', ' ') AS parent_id FROM s
+""".replace("\\\\", "\\"))
+def index_chunks(spark, sf_dir):
+    return _index(spark, sf_dir).select("source", "chunk_idx", tx.sha256("text").alias("chunk_sha256"), "parent_id")
+
+
+@query("SELECT item_id AS id, 'НД' AS status, 0.0::DOUBLE AS confidence FROM benchmark")
+def analyse_requirements(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "source", F.col("lang").alias("page"), "text")
+    _, rows, _ = flows.analyse(_t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text", F.lit(None).cast("string").alias("error_note")), docs, run_id=RUN_ID)
+    return rows.select("id", "status", "confidence")
+
+
+@query(f"""
+WITH {_TF}, asked AS (SELECT conv_id AS query_id, arg_max(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY 1), {_bm25_sql('SELECT * FROM asked')},
+f AS (SELECT query_id, d.source || '.pdf' AS source, arg_min(d.doc_id % 4, rank) AS page FROM bm25 b JOIN documents d USING (doc_id) GROUP BY ALL)
+SELECT query_id, coalesce((SELECT '[src0.pdf' || CASE WHEN page > 0 THEN ', стр. ' || page ELSE '' END || '](http://kb/src0.pdf' || CASE WHEN page > 0 THEN '#page=' || page ELSE '' END || ')' FROM f WHERE f.query_id = asked.query_id AND source = 'src0.pdf'), '[src0.pdf]') AS answer FROM asked
+""")
+def consultation(spark, sf_dir):
+    messages = _t(spark, sf_dir, "conversations")
+    asked = messages.where("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text")).select(F.col("conv_id").alias("query_id"), "conv_id", "text")
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit(".pdf")).alias("source"), (F.col("doc_id") % 4).cast("string").alias("page"), "text")
+    return flows.consult(messages, asked, docs, lambda system, user: "[src0.pdf]", "http://kb").select("query_id", "answer")
