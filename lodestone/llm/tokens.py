@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 from lodestone.llm.scratch import Scratch
 
 VOCABULARY = "word_bpe_49k.json"
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_200_000
 #: A piece of at least this many characters is encoded alone and not kept.
 LONG_PIECE = 64
 _SPECIAL = re.compile(r"<\|")
+#: Beyond these characters lower-casing may depend on neighbours or meet the normaliser's composition.
+_NOT_PLAIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
 _open: dict[str, PieceIds] = {}
 
 
@@ -59,7 +61,7 @@ class PieceIds(dict):
         """Encodes many new pieces of letters alone in one call: each is one word, which ends with a word-end token."""
         if len(self) + len(pieces) > CACHE_PIECES:
             self.clear()
-        words = {p[:-1] if p[-1] in ".," else p for p in pieces if p not in self}
+        words = {p[:-1] if p[-1] in ".," else p for p in pieces.difference(self)}
         new = [p for p in words if p not in self and len(p) < LONG_PIECE and p.isalpha()][:CACHE_PIECES]
         for k in range(0, len(new), 4096):
             part = new[k : k + 4096]
@@ -69,13 +71,17 @@ class PieceIds(dict):
                 raw, cut = ids.tobytes(), (ends * 4).tolist()
                 self.update(zip(part, (raw[a:b] for a, b in zip([0, *cut], cut)), strict=False))
 
+    def pieces(self, text: str) -> list[str]:
+        """Pieces of a text whose special tokens, if any, are none; in lower case where that changes no id."""
+        return (text if _NOT_PLAIN.search(text) else text.lower()).split()
+
     def ids(self, text: str | None) -> bytes:
         """The ids of a whole text, as packed bytes."""
         if not text:
             return b""
         if _SPECIAL.search(text):  # special tokens may stand inside a piece
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(map(self.__getitem__, self.pieces(text)))
 
 
 def piece_ids(vocabulary: str) -> PieceIds:
@@ -92,13 +98,10 @@ def encoded(batch: pa.RecordBatch, vocabulary: str) -> Iterator[tuple[int | None
     texts = batch.column("text")
     for k in range(0, len(ids), 500):
         part = texts.slice(k, 500).to_pylist()
-        new: set[str] = set()
-        for t in part:
-            if t:
-                new.update(t.split())
-        known.learn(new)
-        for i, t in zip(ids[k : k + 500], part, strict=True):
-            yield i, known.ids(t)
+        split = [known.pieces(t) if t and not _SPECIAL.search(t) else None for t in part]
+        known.learn({p for own in split if own for p in own})
+        for i, t, own in zip(ids[k : k + 500], part, split, strict=True):
+            yield i, known.ids(t) if own is None else b"".join(map(known.__getitem__, own))
 
 
 # --- token files ---------------------------------------------------------------------------------------------------
