@@ -62,7 +62,7 @@ def checked_spans(blocks: DataFrame, proposed: DataFrame) -> DataFrame:
     """proposed(block_id, start, end, marker, parent_marker, type, confidence) where a block's spans are in bounds, not blank and apart; else our own spans. ``source`` tells which."""
     w = Window.partitionBy("block_id").orderBy("start", "end")
     rows = proposed.join(blocks, "block_id").withColumn("_before", F.lag("end").over(w)).withColumn("_span", F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")))
-    wrong = (F.col("start") < 0) | (F.col("end") <= F.col("start")) | (F.col("end") > F.length("text")) | (F.col("_before") > F.col("start")) | tx.blank("_span")
+    wrong = (F.col("start") < 0) | (F.col("end") <= F.col("start")) | (F.col("end") > F.length("text")) | F.coalesce(F.col("_before") > F.col("start"), F.lit(False)) | tx.blank("_span")
     bad = rows.groupBy("block_id").agg(F.max(F.coalesce(wrong, F.lit(True)).cast("int")).alias("_bad"))
     good = rows.join(bad.where("_bad = 0").select("block_id"), "block_id", "left_semi")
     clamp = F.round(F.least(F.greatest(F.coalesce("confidence", F.lit(0.0)), F.lit(0.0)), F.lit(1.0)), 4)
