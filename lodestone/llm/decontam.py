@@ -1,7 +1,7 @@
 """Passages of a benchmark inside documents, with DataFrame functions only.
 
 A document's windows are as many words long as the item that they are held against. Both get a weighted 128-bit SimHash of
-their five-word shingles (a shingle weighs as many as its letters). The fingerprint is cut into 32 blocks of 4 bits, and
+their five-word shingles (a shingle weighs as much as it has letters, 1023 at most). The fingerprint is cut into 32 blocks of 4 bits, and
 a window meets the items of its size that agree in a block: two fingerprints that differ in at most 31 bits agree in one,
 so no fingerprint within that radius is missed. Candidates are then verified by exact weighted Jaccard similarity.
 
@@ -18,12 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.scratch import Scratch
+
 WIDTH, SIMILARITY = 5, 0.8
 BITS, RADIUS, BLOCK_BITS = 128, 31, 4
 #: Characters of all items up to which their side of a join is broadcast; beyond it the joins shuffle by key.
 BROADCAST_CHARS = 4_000_000
 _LANES = 0x0000000100000001
 _NIBBLES = 0x1111111111111111
+_WEIGHT = 1023
 
 
 def words(text: Column) -> Column:
@@ -38,43 +41,40 @@ def _hashes(w: Column, width: int | Column) -> Column:
     return F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(F.slice(w, i + 1, k)))).otherwise(none)
 
 
-def _weighted(w: Column) -> Column:
-    """Distinct shingles of some words as (h, g, w): two hashes, and the number of letters."""
+def _codes(w: Column) -> Column:
+    """Distinct shingles of some words, each as one number: 54 bits of a hash, and in the low 10 bits its letters (1023 at most)."""
     k = F.least(F.lit(WIDTH), F.size(w))
     made = F.transform(
         F.sequence(F.lit(0), F.size(w) - k),
-        lambda i: F.struct(
-            F.xxhash64(F.slice(w, i + 1, k)).alias("h"),
-            F.xxhash64(F.lit(1), F.slice(w, i + 1, k)).alias("g"),
-            F.length(F.array_join(F.slice(w, i + 1, k), "")).cast("long").alias("w"),
-        ),
+        lambda i: F.xxhash64(F.slice(w, i + 1, k)).bitwiseAND(F.lit(~_WEIGHT)).bitwiseOR(F.least(F.length(F.array_join(F.slice(w, i + 1, k), "")), F.lit(_WEIGHT)).cast("long")),
     )
     return F.array_distinct(made)
 
 
-def _total(s: Column) -> Column:
-    return F.aggregate(s, F.lit(0).cast("long"), lambda acc, x: acc + x["w"])
-
+def _total(codes: Column) -> Column:
+    return F.aggregate(codes, F.lit(0).cast("long"), lambda acc, x: acc + x.bitwiseAND(F.lit(_WEIGHT)))
 
-def _half(s: Column, total: Column, field: str) -> Column:
-    """64 bits of a SimHash: bit b is set where the shingles with bit b weigh more than half. Two bits are summed at once, in 32-bit lanes."""
 
-    def lanes_of(b: int) -> Column:
-        return F.aggregate(s, F.lit(0).cast("long"), lambda acc, x: acc + x["w"] * F.shiftright(x[field], b).bitwiseAND(F.lit(_LANES)))
+def _fingerprints(df: DataFrame, *keys: str) -> DataFrame:
+    """keys, total and the fingerprint's halves f1 and f2 of rows(keys, codes).
 
-    out = F.lit(0).cast("long")
-    for b in range(32):
-        lanes = lanes_of(b)
-        low, high = lanes.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(lanes, 32)
-        for at, part in ((b, low), (b + 32, high)):
-            out = out.bitwiseOR(F.when(part * 2 > total, F.shiftleft(F.lit(1).cast("long"), at)).otherwise(F.lit(0).cast("long")))
-    return out
+    Bit b of a half is set where the shingles with that bit weigh more than half. The shingles become rows, and the weights of two bits
+    are summed at once, in the lanes of a number, so the sums are made by plain partial aggregation.
+    """
+    rows = df.select(*keys, F.explode("codes").alias("_c"))
+    rows = rows.select(*keys, F.col("_c").bitwiseAND(F.lit(_WEIGHT)).alias("_w"), F.xxhash64("_c").alias("_h1"), F.xxhash64(F.lit(1), "_c").alias("_h2"))
+    lanes = [F.sum(F.col("_w") * F.shiftright(f"_h{half}", b).bitwiseAND(F.lit(_LANES))).alias(f"_s{half}_{b}") for half in (1, 2) for b in range(32)]
+    sums = rows.groupBy(*keys).agg(F.sum("_w").alias("total"), *lanes)
 
+    def half(number: int) -> Column:
+        out = F.lit(0).cast("long")
+        for b in range(32):
+            lane = F.col(f"_s{number}_{b}")
+            for at, part in ((b, lane.bitwiseAND(F.lit(0xFFFFFFFF))), (b + 32, F.shiftrightunsigned(lane, 32))):
+                out = out.bitwiseOR(F.shiftleft((part * 2 > F.col("total")).cast("long"), at))
+        return out
 
-def _fingerprinted(df: DataFrame) -> DataFrame:
-    """``df`` with words ``w`` -> shingles, total, and the fingerprint's halves f1 and f2."""
-    df = df.withColumn("shingles", _weighted(F.col("w"))).withColumn("total", _total(F.col("shingles")))
-    return df.withColumns({"f1": _half(F.col("shingles"), F.col("total"), "h"), "f2": _half(F.col("shingles"), F.col("total"), "g")})
+    return sums.select(*keys, "total", half(1).alias("f1"), half(2).alias("f2"))
 
 
 def _blocks(f1: Column, f2: Column) -> Column:
@@ -98,6 +98,7 @@ def _first_equal(a1: Column, b1: Column, a2: Column, b2: Column, block: Column)
 
 def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, item_id, similarity and the window (start, n_words, in words) of the best match of each such pair."""
+    scratch = Scratch(docs.sparkSession, "decontam")
     item = (
         items.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("w"))
         .where(F.col("item_id").isNotNull() & (F.size("w") > 0)).distinct()
@@ -114,27 +115,34 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) ->
         hit = split.select("doc_id", "text_hash", F.posexplode(_hashes(F.col("w"), k)).alias("at", "h")).join(small(own), "h").select("doc_id", "text_hash", "at", "n")
         begins = hit if begins is None else begins.unionByName(hit)
     begins = begins.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("at", "n")).alias("windows"))
-    start = F.greatest(F.lit(0), F.least(F.col("window.at"), F.size("w") - F.col("window.n")))
-    windows = (
-        doc.join(begins, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
-        .select("doc_id", "text_hash", words(F.col("text")).alias("w"), "windows")
-        .select("doc_id", "w", F.explode("windows").alias("window"))
-        .select("doc_id", "w", F.col("window.n").alias("n"), start.alias("start"))
-        .select("doc_id", "n", "start", F.slice("w", F.col("start") + 1, F.col("n")).alias("w"))
-    )
-    blocks = F.posexplode(_blocks(F.col("f1"), F.col("f2"))).alias("block", "value")
-    made = _fingerprinted(windows).select("doc_id", "n", "start", "shingles", "total", "f1", "f2")
-    made = made.select("*", blocks)
-    held = _fingerprinted(item).select("item_id", "n", F.col("shingles").alias("shingles2"), F.col("total").alias("total2"), F.col("f1").alias("g1"), F.col("f2").alias("g2"))
+    # Documents that share a shingle with an item, with their words; all that follows reads this table.
+    hit = doc.join(begins, ["doc_id", "text_hash"]).select("doc_id", "text_hash", words(F.col("text")).alias("w"), "windows").dropDuplicates(["doc_id", "text_hash"])
+    clipped = F.array_distinct(F.transform("windows", lambda x: F.struct(F.greatest(F.lit(0), F.least(x["at"], F.size("w") - x["n"])).alias("start"), x["n"].alias("n"))))
+    hit = scratch.table(hit.select("doc_id", "text_hash", "w", clipped.alias("windows")), "hit-documents")
+    key = ["doc_id", "text_hash", "start", "n"]
+    windows = hit.select("doc_id", "text_hash", "w", F.explode("windows").alias("x")).select("doc_id", "text_hash", "x.start", "x.n", "w")
+    coded = windows.select(*key, _codes(F.slice("w", F.col("start") + 1, F.col("n"))).alias("codes"))
+    made = _fingerprints(coded, *key)
+    made = made.select(*key, "f1", "f2", F.posexplode(_blocks(F.col("f1"), F.col("f2"))).alias("block", "value"))
+    items_coded = item.select("item_id", "n", _codes(F.col("w")).alias("codes"))
+    held = _fingerprints(items_coded, "item_id", "n").select("item_id", "n", F.col("f1").alias("g1"), F.col("f2").alias("g2"))
     held = held.select("*", F.posexplode(_blocks(F.col("g1"), F.col("g2"))).alias("block", "value"))
     apart = F.bit_count(F.col("f1").bitwiseXOR(F.col("g1"))) + F.bit_count(F.col("f2").bitwiseXOR(F.col("g2")))
-    both = _total(F.array_intersect("shingles", "shingles2"))
-    return (
+    near = (
         made.join(small(held), ["n", "block", "value"])
         .where((apart <= RADIUS) & _first_equal(F.col("f1"), F.col("g1"), F.col("f2"), F.col("g2"), F.col("block")))
-        .withColumn("both", both)
-        .withColumn("similarity", F.col("both") / (F.col("total") + F.col("total2") - F.col("both")))
-        .where(F.col("similarity") >= similarity)
+        .select(*key, "item_id")
+    )
+    near = scratch.table(near, "candidates")
+    two = items_coded.select("item_id", F.col("codes").alias("codes2"))
+    found = (
+        near.join(hit.select("doc_id", "text_hash", "w"), ["doc_id", "text_hash"]).join(small(two), "item_id")
+        .select("doc_id", "item_id", "start", "n", _codes(F.slice("w", F.col("start") + 1, F.col("n"))).alias("codes"), "codes2")
+        .withColumn("both", _total(F.array_intersect("codes", "codes2")))
+        .withColumn("similarity", F.col("both") / (_total(F.col("codes")) + _total(F.col("codes2")) - F.col("both")))
+    )
+    return (
+        found.where(F.col("similarity") >= similarity)
         .groupBy("doc_id", "item_id")
         .agg(F.max(F.struct("similarity", (-F.col("start")).alias("start"), "n")).alias("best"))
         .select("doc_id", "item_id", "best.similarity", (-F.col("best.start")).alias("start"), F.col("best.n").alias("n_words"))
