@@ -7,7 +7,8 @@ sequence and offset. Occurrences are numbered in Spark, with a salt, so that one
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.scratch import Scratch
 from lodestone.llm.tokens import VOCABULARY, crc32, encoded
 
+#: Branches of the search that wait at a time.
+OPEN = 256
 #: A plan's row: so many sequences of the same make-up.
 Plan = list[tuple[tuple[int, ...], int]]
 
@@ -59,47 +62,42 @@ def _best_fit(counts: dict[int, int], capacity: int) -> Plan:
 
 
 def _completions(sizes: list[int], counts: dict[int, int], room: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, fullest first: none can take one more piece, and of two that differ by swapping a piece for a larger one that still fits only the fuller is listed."""
-    found: list[tuple[int, tuple[int, ...]]] = []
+    """Fillings of ``room`` by pieces of ``sizes`` (negative, ascending), fullest first; at most ``most`` steps are made.
+
+    None can take one more piece, and where only one more piece fits it is the largest: a smaller one would be dominated.
+    """
+    found: dict[tuple[int, ...], int] = {}
+    least = -sizes[-1]
     steps = 0
 
     def walk(at: int, left: int, taken: tuple[int, ...]) -> bool:
         nonlocal steps
-        at = bisect_right(sizes, -left - 1, lo=at) if at < len(sizes) and sizes[at] < -left else at
-        if at >= len(sizes) or left < -sizes[-1]:
-            found.append((left, taken))
-            return left == 0
         steps += 1
-        for k in range(at, len(sizes)):
+        whole = True
+        for k in range(max(at, bisect_left(sizes, -left)), len(sizes)):
             size = -sizes[k]
-            if size > left:
-                continue
-            if counts[size] > sum(1 for t in reversed(taken) if t == size):
+            if counts[size] > taken.count(size):
+                whole = False
                 if walk(k, left - size, (*taken, size)):
                     return True
-                if steps > most:
-                    return False
-        else:
-            if not found or left < found[0][0]:
-                found.append((left, taken))
-        return False
+                if steps > most or left - size < least:
+                    break
+        if whole:
+            found.setdefault(taken, left)
+        return whole and left == 0
 
     walk(0, room, ())
-    found.sort(key=lambda x: x[0])
-    kept: list[tuple[int, ...]] = []
-    for left, taken in found:
-        if taken not in kept:
-            kept.append(taken)
-    return kept[:8]
+    return sorted(found, key=found.__getitem__)[:8]
 
 
-def plan_sequences(counts: dict[int, int], capacity: int, nodes: int = 20_000) -> Plan:
+def plan_sequences(counts: dict[int, int], capacity: int, nodes: int = 6_000) -> Plan:
     """Make-ups and how often each is used, for pieces of ``counts[length]``.
 
     The incumbent is best-fit decreasing. Where it needs more sequences than ceil(total / capacity), bin completion
-    looks for better: the largest piece left is completed by undominated fillings, fullest first, a filling is used for as
-    many sequences at once as the counters allow, and a branch ends when the waste so far leaves no room to beat
-    the incumbent. ``nodes`` bounds the search; the best packing found by then is returned, and it is complete.
+    looks for better, depth first: the largest piece left is completed by undominated fillings, fullest first, a filling is
+    used for as many sequences at once as the counters allow, and a branch ends when its waste leaves no room to beat the
+    incumbent. ``nodes`` bounds the search, and of the branches not yet taken the deepest ``OPEN`` are kept; the best packing
+    found by then is returned, and it is complete.
     """
     counts = {s: n for s, n in counts.items() if n > 0}
     if not counts:
@@ -108,48 +106,40 @@ def plan_sequences(counts: dict[int, int], capacity: int, nodes: int = 20_000) -
     total = sum(s * n for s, n in counts.items())
     lower = max(-(-total // capacity), sum(n for s, n in counts.items() if 2 * s > capacity))
     used = sum(n for _, n in best)
-    budget = nodes
-
-    def search(left: dict[int, int], plan: Plan, n_used: int, waste: int) -> None:
-        nonlocal best, used, budget
+    # (counters, plan as a chain, sequences, waste, filling to take)
+    branches: deque = deque([(counts, None, 0, 0, None)], maxlen=OPEN)
+    while branches and nodes > 0 and used > lower:
+        held, plan, n_used, waste, makeup = branches.pop()
+        left = dict(held)
+        sizes = sorted(-s for s in left)
         while True:
-            if not left:
-                if n_used < used:
-                    best, used = list(plan), n_used
-                return
-            if budget <= 0 or used <= lower or waste > (used - 1) * capacity - total:
-                return
-            budget -= 1
-            top = max(left)
-            sizes = [-s for s in sorted(left, reverse=True)]
+            if makeup is not None:
+                need = Counter(makeup)
+                n = min(left[s] // k for s, k in need.items())
+                for s, k in need.items():
+                    left[s] -= n * k
+                    if not left[s]:
+                        del left[s], sizes[bisect_left(sizes, -s)]
+                plan, n_used, waste = (makeup, n, plan), n_used + n, waste + n * (capacity - sum(makeup))
+            if not left and n_used < used:
+                best, used = [], n_used
+                while plan is not None:
+                    best.append(plan[:2])
+                    plan = plan[2]
+            if not left or nodes <= 0 or waste > (used - 1) * capacity - total:
+                break
+            nodes -= 1
+            top = -sizes[0]
             left[top] -= 1
             options = _completions(sizes, left, capacity - top, 200)
             left[top] += 1
-            for filling in options[1:4] if budget > nodes // 2 else []:
-                makeup = (top, *filling)
-                rest, n = _take(left, makeup)
-                search(rest, [*plan, (makeup, n)], n_used + n, waste + n * (capacity - sum(makeup)))
+            if len(options) > 1:
+                snapshot = dict(left)
+                branches.extend((snapshot, plan, n_used, waste, (top, *o)) for o in reversed(options[1:]))
             makeup = (top, *options[0])
-            left, n = _take(left, makeup)
-            plan, n_used, waste = [*plan, (makeup, n)], n_used + n, waste + n * (capacity - sum(makeup))
-
-    if used > lower:
-        import sys
-
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
-        search(dict(counts), [], 0, 0)
     return best
 
 
-def _take(left: dict[int, int], makeup: tuple[int, ...]) -> tuple[dict[int, int], int]:
-    need: dict[int, int] = {}
-    for s in makeup:
-        need[s] = need.get(s, 0) + 1
-    n = min(left[s] // k for s, k in need.items())
-    rest = {s: c - n * need.get(s, 0) for s, c in left.items()}
-    return {s: c for s, c in rest.items() if c}, n
-
-
 def _slots(plan: Plan) -> dict[int, np.ndarray]:
     """By length: rows (first occurrence, first sequence, offset), where occurrence r goes to sequence first + (r - first occurrence)."""
     out: dict[int, list[tuple[int, int, int]]] = {}
@@ -183,7 +173,7 @@ def pieces_of(docs: DataFrame, capacity: int, end_id: int, vocabulary: str = VOC
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 1, vocabulary: str = VOCABULARY, nodes: int = 20_000, rows_per_salt: int = 50_000) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 1, vocabulary: str = VOCABULARY, nodes: int = 6_000, rows_per_salt: int = 50_000) -> DataFrame:
     """Where each piece of each document goes: the rows of ``pieces_of`` plus sequence_id and offset.
 
     Null or empty text: one piece with the end id alone. Null doc_id: packed like any other. Repeated doc_ids: each
