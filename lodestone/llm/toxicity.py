@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_TOKENS = 1000, 2000, 1_500_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_TOKENS = 700, 1300, 800_000
 DIMENSIONS = 1 << 16
 PREFIXES, SUFFIX = (3, 4, 5, 6), 3
 #: A word or prefix can mark toxic tokens if it is in so many toxic documents, and so many times likelier there.
