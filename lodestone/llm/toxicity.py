@@ -12,6 +12,7 @@ is known and every score is 0; extra columns are ignored, and carried by ``drop_
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -225,8 +226,8 @@ def train(docs: list[tuple[str, int]], epochs: int = 15, rate: float = 0.5, deca
     return field
 
 
-def training_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """(text, class) of a bounded sample, those of the least hashes of their ids; never of held-out documents."""
+def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, toxic and text of a bounded sample, those of the least hashes of their ids; never of held-out documents."""
     known = (
         labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
@@ -234,8 +235,19 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]
     order = F.xxhash64("doc_id")
     chosen = known.where("toxic = 1").orderBy(order, "doc_id").limit(SAMPLE_TOXIC).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(SAMPLE_CLEAN))
     # The sample's size is bounded, so the side is broadcast.
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
-    return [(r.text, r.toxic) for r in sorted(rows, key=lambda r: (zlib.crc32(b"%d" % r.doc_id), r.doc_id))]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+
+
+def fitted(docs: DataFrame, labels: DataFrame) -> Field | None:
+    """The field of the training sample, fitted in one task: the driver gets the weights alone."""
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "toxic", "text")), strict=True)]
+        rows.sort(key=lambda r: (zlib.crc32(b"%d" % r[0]), r[0]))
+        yield pa.RecordBatch.from_pydict({"field": [pickle.dumps(train([(text, toxic) for _, toxic, text in rows]))]})
+
+    row = training_sample(docs, labels).repartition(1).mapInArrow(fit, "field binary").first()
+    return pickle.loads(bytes(row.field)) if row else None
 
 
 def score(docs: DataFrame, field: Field | None) -> DataFrame:
@@ -246,7 +258,6 @@ def score(docs: DataFrame, field: Field | None) -> DataFrame:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = shared.value
-        known: dict[str, float] = {}
 
         class Evidence(dict):
             def __missing__(self, token: str) -> float:
@@ -280,7 +291,7 @@ def score(docs: DataFrame, field: Field | None) -> DataFrame:
                     scores.append(f.chance(q) if f is not None else 0.0)
                     hot = np.flatnonzero(q >= 0.5)
                     if len(hot):
-                        places = [m.span() for m in _tokens_of(text)]
+                        places = [m.span() for m in _SPACED.finditer(text)]
                         spans.append([{"start": places[x][0], "end": places[x][1], "marginal": float(q[x])} for x in hot])
                     else:
                         spans.append([])
@@ -289,13 +300,9 @@ def score(docs: DataFrame, field: Field | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(judge, schema)
 
 
-def _tokens_of(text: str):
-    return _SPACED.finditer(text)
-
-
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted and spans of every row of ``docs``."""
-    found = score(docs, train(training_sample(docs, labels)))
+    found = score(docs, fitted(docs, labels))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
 
 
