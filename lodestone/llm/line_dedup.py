@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.scratch import Scratch
+
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -50,6 +52,8 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2)
             keyed.groupBy("_h1", "_h2", "_doc").agg(F.lit(1).alias("_one"))
             .groupBy("_h1", "_h2").agg(F.min("_doc").alias("_first"), F.sum("_one").alias("_docs")).where(F.col("_docs") >= min_docs)
         )
+    # Read from a table, both sides of the join are plain exchanges, and a key with a large share of the lines can be split.
+    repeated = Scratch(docs.sparkSession, "line-dedup").table(repeated, "repeated")
     dropped = (
         keyed.join(repeated.select("_h1", "_h2", "_first"), ["_h1", "_h2"])
         .where("_doc <> _first")
