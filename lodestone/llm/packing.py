@@ -7,9 +7,10 @@ sequence and offset. Occurrences are numbered in Spark, with a salt, so that one
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
-from collections import Counter, deque
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +20,21 @@ from pyspark.sql import functions as F
 from lodestone.llm.scratch import Scratch
 from lodestone.llm.tokens import VOCABULARY, crc32, encoded
 
-#: Branches of the search that wait at a time.
-OPEN = 256
 #: A plan's row: so many sequences of the same make-up.
 Plan = list[tuple[tuple[int, ...], int]]
 
 
+@dataclass
+class _Level:
+    """A step of the search: the fillings still to try, those tried here or above, and the one in use with its sequences."""
+
+    options: Iterator[tuple[int, ...] | None]
+    tried: set[tuple[int, ...]]
+    makeup: tuple[int, ...] = ()
+    n: int = 0
+    own: list[tuple[int, ...]] = field(default_factory=list)
+
+
 def _best_fit(counts: dict[int, int], capacity: int) -> Plan:
     """Best-fit decreasing over the histogram; sequences of one make-up are filled together."""
     groups: dict[int, dict[tuple[int, ...], int]] = {}  # room left -> make-up -> sequences
@@ -61,43 +71,71 @@ def _best_fit(counts: dict[int, int], capacity: int) -> Plan:
     return [(m, n) for g in groups.values() for m, n in g.items()]
 
 
-def _completions(sizes: list[int], counts: dict[int, int], room: int, most: int) -> list[tuple[int, ...]]:
-    """Fillings of ``room`` by pieces of ``sizes`` (negative, ascending), fullest first; at most ``most`` steps are made.
+def _completions(sizes: list[int], counts: dict[int, int], capacity: int, steps: int) -> Iterator[tuple[int, ...] | None]:
+    """Every undominated filling of a sequence that holds the largest piece of ``sizes`` (negative, ascending).
 
     None can take one more piece, and where only one more piece fits it is the largest: a smaller one would be dominated.
+    Fillings come by parts of ``steps`` steps, or up to one without waste, fullest first; None stands for a part that has none.
+    ``sizes`` and ``counts`` may change while a filling is held, and are as before when the next is asked for.
     """
-    found: dict[tuple[int, ...], int] = {}
-    least = -sizes[-1]
-    steps = 0
-
-    def walk(at: int, left: int, taken: tuple[int, ...]) -> bool:
-        nonlocal steps
-        steps += 1
-        whole = True
-        for k in range(max(at, bisect_left(sizes, -left)), len(sizes)):
-            size = -sizes[k]
-            if counts[size] > taken.count(size):
-                whole = False
-                if walk(k, left - size, (*taken, size)):
-                    return True
-                if steps > most or left - size < least:
-                    break
-        if whole:
-            found.setdefault(taken, left)
-        return whole and left == 0
+    top = -sizes[0]
+    used = Counter([top])
+    left = capacity - top
+    taken: list[int] = [top]
+    frames: list[list[int]] = [[0, 0]]  # the next place in ``sizes``, and whether a piece was taken here
+    found: list[tuple[int, tuple[int, ...]]] = []
+    n = 0
+
+    def free(k: int) -> bool:
+        return counts[-sizes[k]] > used[-sizes[k]]
 
-    walk(0, room, ())
-    return sorted(found, key=found.__getitem__)[:8]
+    def two_fit() -> bool:
+        pair: list[int] = []
+        for k in range(len(sizes) - 1, -1, -1):
+            pair += [-sizes[k]] * min(2, counts[-sizes[k]] - used[-sizes[k]])
+            if len(pair) > 1:
+                return pair[0] + pair[1] <= left
+        return False
+
+    while frames:
+        at, had = frames[-1]
+        fits = bisect_left(sizes, -left)
+        k = max(at, fits)
+        while k < len(sizes) and not free(k):
+            k += 1
+        if k < len(sizes) and (not had or two_fit()):
+            size = -sizes[k]
+            frames[-1] = [k + 1, 1]
+            frames.append([k, 0])
+            taken.append(size)
+            used[size] += 1
+            left -= size
+            n += 1
+            continue
+        perfect = False
+        if not had and not any(free(k) for k in range(fits, min(at, len(sizes)))):
+            found.append((left, tuple(taken)))
+            perfect = left == 0
+        frames.pop()
+        if frames:
+            size = taken.pop()
+            used[size] -= 1
+            left += size
+        if perfect or n >= steps or not frames:
+            found.sort(key=lambda x: x[0])
+            yield from (makeup for _, makeup in found) if found else (None,)
+            found, n = [], 0
 
 
 def plan_sequences(counts: dict[int, int], capacity: int, nodes: int = 6_000) -> Plan:
     """Make-ups and how often each is used, for pieces of ``counts[length]``.
 
     The incumbent is best-fit decreasing. Where it needs more sequences than ceil(total / capacity), bin completion
-    looks for better, depth first: the largest piece left is completed by undominated fillings, fullest first, a filling is
-    used for as many sequences at once as the counters allow, and a branch ends when its waste leaves no room to beat the
-    incumbent. ``nodes`` bounds the search, and of the branches not yet taken the deepest ``OPEN`` are kept; the best packing
-    found by then is returned, and it is complete.
+    looks for better, depth first: the largest piece left is completed by undominated fillings, a filling is used for as many
+    sequences at once as the counters allow, then for one less and so on, and a branch ends when its waste leaves no room to
+    beat the incumbent. A filling that a branch has tried is not tried again for the same largest piece further down. No
+    branch is dropped: the plan is optimal unless the search ends by ``nodes``, its only bound; the best packing found by then
+    is returned, and it is complete.
     """
     counts = {s: n for s, n in counts.items() if n > 0}
     if not counts:
@@ -106,37 +144,53 @@ def plan_sequences(counts: dict[int, int], capacity: int, nodes: int = 6_000) ->
     total = sum(s * n for s, n in counts.items())
     lower = max(-(-total // capacity), sum(n for s, n in counts.items() if 2 * s > capacity))
     used = sum(n for _, n in best)
-    # (counters, plan as a chain, sequences, waste, filling to take)
-    branches: deque = deque([(counts, None, 0, 0, None)], maxlen=OPEN)
-    while branches and nodes > 0 and used > lower:
-        held, plan, n_used, waste, makeup = branches.pop()
-        left = dict(held)
-        sizes = sorted(-s for s in left)
-        while True:
-            if makeup is not None:
-                need = Counter(makeup)
-                n = min(left[s] // k for s, k in need.items())
-                for s, k in need.items():
-                    left[s] -= n * k
-                    if not left[s]:
-                        del left[s], sizes[bisect_left(sizes, -s)]
-                plan, n_used, waste = (makeup, n, plan), n_used + n, waste + n * (capacity - sum(makeup))
+    left, sizes = dict(counts), sorted(-s for s in counts)
+    n_used = waste = 0
+    levels: list[_Level] = []
+
+    def use(makeup: tuple[int, ...], n: int) -> None:
+        """Takes the pieces of ``n`` sequences, or puts them back for a negative ``n``."""
+        nonlocal n_used, waste
+        for s, k in Counter(makeup).items():
+            if s not in left:
+                left[s] = 0
+                insort(sizes, -s)
+            left[s] -= n * k
+            if not left[s]:
+                del left[s], sizes[bisect_left(sizes, -s)]
+        n_used, waste = n_used + n, waste + n * (capacity - sum(makeup))
+
+    down = True
+    while nodes > 0 and used > lower:
+        if down:
             if not left and n_used < used:
-                best, used = [], n_used
-                while plan is not None:
-                    best.append(plan[:2])
-                    plan = plan[2]
-            if not left or nodes <= 0 or waste > (used - 1) * capacity - total:
-                break
-            nodes -= 1
-            top = -sizes[0]
-            left[top] -= 1
-            options = _completions(sizes, left, capacity - top, 200)
-            left[top] += 1
-            if len(options) > 1:
-                snapshot = dict(left)
-                branches.extend((snapshot, plan, n_used, waste, (top, *o)) for o in reversed(options[1:]))
-            makeup = (top, *options[0])
+                best, used = [(level.makeup, level.n) for level in levels], n_used
+            if left and waste <= (used - 1) * capacity - total:
+                tried = levels[-1].tried if levels and levels[-1].makeup[0] == -sizes[0] else set()
+                levels.append(_Level(_completions(sizes, left, capacity, 200), tried))
+        if not levels:
+            break
+        level = levels[-1]
+        nodes -= 1
+        if level.n:
+            use(level.makeup, -1)
+            level.n -= 1
+            down = level.n > 0
+            if down:
+                continue
+        makeup = next(level.options, ())
+        if makeup == ():
+            level.tried.difference_update(level.own)
+            levels.pop()
+            down = False
+        elif makeup is not None and makeup not in level.tried:
+            level.tried.add(makeup)
+            level.own.append(makeup)
+            level.makeup, level.n = makeup, min(left[s] // k for s, k in Counter(makeup).items())
+            use(makeup, level.n)
+            down = True
+        else:
+            down = False
     return best
 
 

@@ -94,3 +94,13 @@ def test_plan_is_optimal_on_small_cases(seed):
     assert sorted((s for m, n in plan for s in m for _ in range(n)), reverse=True) == sizes
     assert all(sum(m) <= 20 for m, _ in plan)
     assert sum(n for _, n in plan) == brute_force_bins(sizes, 20)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_plan_is_optimal_where_no_short_piece_is_left(seed):
+    rng = np.random.default_rng(seed)
+    sizes = [55, 44, 30, 26, 23, 22] if not seed else sorted(rng.integers(*[(20, 60), (15, 34), (20, 40)][seed % 3], 10).tolist(), reverse=True)
+    plan = packing.plan_sequences({s: sizes.count(s) for s in sizes}, 100)
+    assert sorted((s for m, n in plan for s in m for _ in range(n)), reverse=True) == sizes
+    assert all(sum(m) <= 100 for m, _ in plan)
+    assert sum(n for _, n in plan) == brute_force_bins(sizes, 100)
