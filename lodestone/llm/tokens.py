@@ -25,8 +25,11 @@ CACHE_PIECES = 1_200_000
 #: A piece of at least this many characters is encoded alone and not kept.
 LONG_PIECE = 64
 _SPECIAL = re.compile(r"<\|")
-#: Beyond these characters lower-casing may depend on neighbours or meet the normaliser's composition.
-_NOT_PLAIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
+#: Beyond these characters lower-casing may depend on neighbours or meet the normaliser's composition, or cutting at white
+#: space needs care: U+001C to U+001F are white space to Python and none to the normaliser.
+_NOT_PLAIN = re.compile("[^\x00-\x1b\x20-\u012f\u0131-\u024f]")
+_CONTROL = re.compile("[\x1c-\x1f]")
+_WHITE = re.compile("[^\\S\x1c-\x1f]+")
 _open: dict[str, PieceIds] = {}
 
 
@@ -73,7 +76,9 @@ class PieceIds(dict):
 
     def pieces(self, text: str) -> list[str]:
         """Pieces of a text whose special tokens, if any, are none; in lower case where that changes no id."""
-        return (text if _NOT_PLAIN.search(text) else text.lower()).split()
+        if not _NOT_PLAIN.search(text):
+            return text.lower().split()
+        return [p for p in _WHITE.split(text) if p] if _CONTROL.search(text) else text.split()
 
     def ids(self, text: str | None) -> bytes:
         """The ids of a whole text, as packed bytes."""

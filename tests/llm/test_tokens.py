@@ -104,3 +104,18 @@ def test_plan_is_optimal_where_no_short_piece_is_left(seed):
     assert sorted((s for m, n in plan for s in m for _ in range(n)), reverse=True) == sizes
     assert all(sum(m) <= 100 for m, _ in plan)
     assert sum(n for _, n in plan) == brute_force_bins(sizes, 100)
+
+
+def test_control_characters_that_only_python_takes_for_white_space(library):
+    known = tokens.PieceIds(tokens.VOCABULARY)
+    odd = "\x1c\x1d\x1e\x1f"
+    texts = [f"One{c}Two {c} three.{c}{c} É{c}É́{c},x {c}" for c in odd] + [odd, f"a{odd}b\u0085c d e f g h i j　k\x0bl\x0cm", "tail\x1f", "\x1chead"]
+    for _ in range(2):
+        known.learn({p for t in texts for p in known.pieces(t)})
+        assert [known.ids(t) for t in texts] == [packed(library, t, 0)[:-4] for t in texts]
+
+
+def test_every_character_cuts_where_the_tokenizer_cuts(library):
+    known = tokens.PieceIds(tokens.VOCABULARY)
+    for c in map(chr, [*range(0x250), *range(0x1680, 0x1690), *range(0x1800, 0x1810), *range(0x2000, 0x2070), 0x3000, 0xFEFF]):
+        assert known.ids(f"ab{c}cd , {c}") == packed(library, f"ab{c}cd , {c}", 0)[:-4], hex(ord(c))
