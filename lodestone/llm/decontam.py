@@ -5,8 +5,10 @@ their five-word shingles (a shingle weighs as much as it has letters, 1023 at mo
 a window meets the items of its size that agree in a block: two fingerprints that differ in at most 31 bits agree in one,
 so no fingerprint within that radius is missed. Candidates are then verified by exact weighted Jaccard similarity.
 
-A window that shares no shingle with an item of its size has similarity 0, and a window can be moved to its first shared
-shingle without losing one; so only windows that begin at a shared shingle are fingerprinted, and none is left out.
+A window at ``similarity`` or more shares shingles of at least that part of its own weight and of the item's. So the weights
+of the shingles that a document shares with items of a size are summed over every place where a window of that size can
+begin, and only windows whose sum reaches that part of the lightest such item, and of the window itself, are fingerprinted. The
+sum is no less than what is shared with any one item, so none is left out.
 
 Defined results: null and empty texts and items have no words and match nothing; an item with fewer than five words is one
 shingle; a document shorter than an item is one window; rows with a null doc_id or item_id match nothing and are
@@ -15,7 +17,7 @@ kept; equal rows give equal matches once; extra columns are carried by ``drop_le
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.scratch import Scratch
@@ -41,6 +43,12 @@ def _hashes(w: Column, width: int | Column) -> Column:
     return F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(F.slice(w, i + 1, k)))).otherwise(none)
 
 
+def _weights(w: Column, width: int) -> Column:
+    """The letters of each run of ``width`` words, 1023 at most; none for fewer words."""
+    letters = lambda i: F.least(F.length(F.array_join(F.slice(w, i + 1, width), "")), F.lit(_WEIGHT)).cast("long")
+    return F.when(F.size(w) >= width, F.transform(F.sequence(F.lit(0), F.size(w) - width), letters)).otherwise(F.array().cast("array<bigint>"))
+
+
 def _codes(w: Column) -> Column:
     """Distinct shingles of some words, each as one number: 54 bits of a hash, and in the low 10 bits its letters (1023 at most)."""
     k = F.least(F.lit(WIDTH), F.size(w))
@@ -109,19 +117,33 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) ->
     doc = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text"))
     split = doc.select("doc_id", "text_hash", words(F.col("text")).alias("w"))
     widths = sorted(r[0] for r in item.select(F.least(F.lit(WIDTH), F.col("n"))).distinct().collect())  # at most five numbers
-    begins = None
+    item = item.withColumn("weight", _total(_codes(F.col("w"))))
+    lightest = item.groupBy("n").agg(F.min("weight").alias("lightest"))
+    key = ["doc_id", "text_hash", "n"]
+    shared = None
     for k in widths or [WIDTH]:
-        own = item.where(F.least(F.lit(WIDTH), F.col("n")) == k).select(F.explode(_hashes(F.col("w"), k)).alias("h"), "n").distinct()
-        hit = split.select("doc_id", "text_hash", F.posexplode(_hashes(F.col("w"), k)).alias("at", "h")).join(small(own), "h").select("doc_id", "text_hash", "at", "n")
-        begins = hit if begins is None else begins.unionByName(hit)
-    begins = begins.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("at", "n")).alias("windows"))
-    # Documents that share a shingle with an item, with their words; all that follows reads this table.
-    hit = doc.join(begins, ["doc_id", "text_hash"]).select("doc_id", "text_hash", words(F.col("text")).alias("w"), "windows").dropDuplicates(["doc_id", "text_hash"])
-    clipped = F.array_distinct(F.transform("windows", lambda x: F.struct(F.greatest(F.lit(0), F.least(x["at"], F.size("w") - x["n"])).alias("start"), x["n"].alias("n"))))
-    hit = scratch.table(hit.select("doc_id", "text_hash", "w", clipped.alias("windows")), "hit-documents")
+        some = item.where(F.least(F.lit(WIDTH), F.col("n")) == k)
+        own = some.select("n", F.explode(F.arrays_zip(_hashes(F.col("w"), k).alias("h"), _weights(F.col("w"), k).alias("x"))).alias("s")).select("s.h", "n", "s.x").distinct()
+        at = split.select("doc_id", "text_hash", F.size("w").alias("size"), F.posexplode(_hashes(F.col("w"), k)).alias("at", "h"))
+        # The first and last window that hold the shingle.
+        first = F.greatest(F.lit(0), F.col("at") - F.col("n") + k)
+        last = F.greatest(F.lit(0), F.least(F.col("at"), F.col("size") - F.col("n")))
+        held = at.join(small(own), "h").select(*key, "x", first.alias("first"), last.alias("last"))
+        shared = held if shared is None else shared.unionByName(held)
+    # Going over a document, each shared shingle is added where its first window begins and taken off behind its last.
+    steps = shared.select(*key, F.explode(F.array(F.struct(F.col("first").alias("start"), F.col("x")), F.struct((F.col("last") + 1).alias("start"), (-F.col("x")).alias("x")))).alias("s"))
+    over = Window.partitionBy(*key).orderBy("s.start")
+    sums = steps.select(*key, F.col("s.start").alias("start"), F.sum("s.x").over(over).alias("shared"), F.lead("s.start").over(over).alias("next"))
+    runs = sums.where((F.col("next") > F.col("start")) & (F.col("shared") > 0)).join(small(lightest), "n").where(F.col("shared") >= F.col("lightest") * similarity - 1e-6)
+    begins = runs.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "next", "n", "shared")).alias("runs"))
+    # Documents with such windows, with their words; all that follows reads this table.
+    hit = doc.join(begins, ["doc_id", "text_hash"]).select("doc_id", "text_hash", words(F.col("text")).alias("w"), "runs").dropDuplicates(["doc_id", "text_hash"])
+    hit = scratch.table(hit, "hit-documents")
     key = ["doc_id", "text_hash", "start", "n"]
-    windows = hit.select("doc_id", "text_hash", "w", F.explode("windows").alias("x")).select("doc_id", "text_hash", "x.start", "x.n", "w")
-    coded = windows.select(*key, _codes(F.slice("w", F.col("start") + 1, F.col("n"))).alias("codes"))
+    windows = hit.select("doc_id", "text_hash", "w", F.explode("runs").alias("r"))
+    windows = windows.select("doc_id", "text_hash", "w", F.explode(F.sequence(F.col("r.start"), F.col("r.next") - 1)).alias("start"), "r.n", "r.shared")
+    coded = windows.select(*key, "shared", _codes(F.slice("w", F.col("start") + 1, F.col("n"))).alias("codes"))
+    coded = coded.where(F.col("shared") >= _total(F.col("codes")) * similarity - 1e-6).select(*key, "codes")
     made = _fingerprints(coded, *key)
     made = made.select(*key, "f1", "f2", F.posexplode(_blocks(F.col("f1"), F.col("f2"))).alias("block", "value"))
     items_coded = item.select("item_id", "n", _codes(F.col("w")).alias("codes"))

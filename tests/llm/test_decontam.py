@@ -88,3 +88,20 @@ def test_native_plan(spark):
     docs, items = spark.createDataFrame([(1, "a b c d e")], "doc_id long, text string"), spark.createDataFrame([(1, "a b c d e")], "item_id long, text string")
     plan = decontam.leaks(docs, items)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("PythonUDF", "ArrowEval", "MapInArrow", "MapInPandas"))
+
+
+def test_leaks_with_other_words_at_either_end_and_long_or_short_words_around(spark):
+    rng = random.Random(6)
+    word = lambda a, b: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(a, b)))
+    items, docs = [], []
+    for k in range(14):
+        said = [word(4, 6) for _ in range(14 + 2 * k)]
+        items.append((k, " ".join(said)))
+        for j, (head, tail) in enumerate([(1, 0), (0, 1), (2, 0), (1, 1), (3, 0)]):
+            leak = [word(1, 3) for _ in range(head)] + said[head : len(said) - tail] + [word(1, 3) for _ in range(tail)]
+            around = (15, 25) if (k + j) % 3 else (1, 2)
+            docs.append((10 * k + j, " ".join([*(word(*around) for _ in range(rng.choice([0, 8]))), *leak, *(word(*around) for _ in range(rng.choice([0, 8])))])))
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute(docs, items)
+    assert len(want) > 30
+    assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()}
