@@ -8,7 +8,7 @@ exactly. Queries are taken in blocks of bounded size, each broadcast in turn.
 In a shard the postings of a query's rarer terms are added up document by document. Terms that are in more than a share
 ``COMMON`` of the documents have a dense table instead, and for every block of ``BLOCK`` documents their greatest
 impact. The k best by rarer terms, scored in full, give the threshold; a block whose best partial sum plus greatest
-impacts stays below it is skipped, and the threshold grows with what the others hold. Skipped blocks can hold no result.
+impacts stays below it is skipped. Skipped blocks can hold no result. Thresholds and cuts count doc_ids, not rows.
 
 Ties: the smaller doc_id first, at scores rounded to 6 digits. Defined results: documents without words match nothing and queries
 without words find nothing; rows with a null id are not indexed; rows that share a doc_id are indexed one by one and the best
@@ -105,6 +105,8 @@ class _Shard:
         norm = K1 * (1 - B + B * lengths / mean)
         self.impacts = (tf * (K1 + 1) / (tf + norm[self.docs])).astype(np.float32)
         n = len(self.ids)
+        distinct, doc = np.unique(self.ids, return_inverse=True)
+        self.doc = doc if len(distinct) < n else None
         self.common = np.flatnonzero(np.diff(self.begins) > max(16, COMMON * n))
         self.column = np.full(len(self.terms), -1, np.int32)
         self.column[self.common] = np.arange(len(self.common))
@@ -115,8 +117,15 @@ class _Shard:
             self.dense[self.docs[a:b], c] = self.impacts[a:b]
         self.most = self.dense.reshape(self.blocks, BLOCK, -1).max(axis=1)
 
+    def best_rows(self, scores: np.ndarray) -> np.ndarray:
+        """The row of the greatest score of each doc_id."""
+        if self.doc is None:
+            return np.arange(len(self.ids))
+        order = np.lexsort((-scores[: len(self.ids)], self.doc))
+        return order[np.r_[True, np.diff(self.doc[order]) > 0]]
+
     def search(self, queries: list[tuple[int, np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query, doc_ids, scores) of the shard's k best, with all that tie with the last."""
+        """(query, rows, scores) of the shard's k best doc_ids, with all that tie with the last."""
         size, n = self.blocks * BLOCK, len(self.ids)
         weights = np.zeros((len(queries), len(self.common)))
         partial = np.zeros((len(queries), size), np.float32)
@@ -134,7 +143,10 @@ class _Shard:
         bound = partial.reshape(len(queries), self.blocks, BLOCK).max(axis=2) + weights.astype(np.float32) @ self.most.T
         slack = 1e-4
         rough = weights.astype(np.float32)
-        first = np.argpartition(partial, -k, axis=1)[:, -k:] if size > k else np.tile(np.arange(size), (len(queries), 1))
+        if self.doc is not None:  # k rows of one doc_id are no threshold for others
+            first = [rows[np.argsort(-own[rows], kind="stable")[:k]] for own in partial for rows in [self.best_rows(own)]]
+        else:
+            first = np.argpartition(partial, -k, axis=1)[:, -k:] if size > k else np.tile(np.arange(size), (len(queries), 1))
         least = np.array([np.sort(partial[q, f] + self.dense[f] @ rough[q])[-k] if len(f) >= k else 0.0 for q, f in enumerate(first)])
         alive = bound >= (least - slack * (1 + least))[:, None]
         # Blocks are scored a group at a time, for the queries that need one of the group's.
@@ -149,7 +161,8 @@ class _Shard:
                 partial[rest, a:b] = -1.0
         for q, (qid, _, _) in enumerate(queries):
             own = partial[q, :n]
-            cut = np.partition(own, -k)[-k] if n > k else 0.0
+            each = own if self.doc is None else own[self.best_rows(own)]
+            cut = np.partition(each, -k)[-k] if len(each) > k else 0.0
             best = np.flatnonzero((own >= cut - slack * (1 + cut)) & (own > 0))
             yield qid, best, own[best]
 
@@ -210,7 +223,10 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                     for a in range(0, len(own), TOGETHER):
                         for qid, best, _ in shard.search(own[a : a + TOGETHER], k):
                             score = np.round(_exact(shard, best, *by_id[qid]), 6)
-                            keep = np.lexsort((shard.ids[best], -score))[: 2 * k]
+                            keep = np.lexsort((shard.ids[best], -score))
+                            if shard.doc is not None:
+                                keep = keep[np.sort(np.unique(shard.ids[best][keep], return_index=True)[1])]
+                            keep = keep[: 2 * k]
                             qs.append(np.full(len(keep), qid, np.int64))
                             ds.append(shard.ids[best][keep])
                             ss.append(score[keep])

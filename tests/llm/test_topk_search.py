@@ -57,3 +57,17 @@ def test_against_brute_force(spark, monkeypatch, shard):
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert ts.top_k(none, none.withColumnRenamed("doc_id", "query_id")).count() == 0
+
+
+@pytest.mark.parametrize("shard", [64, 1000])
+def test_a_repeated_doc_id_leaves_room_for_others(spark, monkeypatch, shard):
+    monkeypatch.setattr(ts, "SHARD_DOCS", shard)
+    rng = random.Random(shard)
+    docs = [(7, "red fox " * 3 + f"n{k}") for k in range(30)] + [(8, f"red fox red fox n{k % 3}") for k in range(25)]
+    docs += [(100 + d, " ".join(rng.choice(["red", "fox", "the", *(f"w{x}" for x in range(30))]) for _ in range(rng.randint(3, 40)))) for d in range(200)]
+    queries = [(1, "red fox"), (2, "fox w3 w4 n1"), (3, "n2 n5")]
+    got = ts.top_k(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(queries, "query_id long, text string"), 5).collect()
+    for q, want in brute(docs, queries, 5).items():
+        own = sorted((r.rank, r.doc_id, r.score) for r in got if r.query_id == q)
+        assert [d for _, d, _ in own] == [d for _, d in want]
+        assert all(abs(s + w) < 1e-3 for (_, _, s), (w, _) in zip(own, want, strict=True))
