@@ -2,7 +2,8 @@
 
 The field has two states, clean and toxic. It is trained on labelled tokens: in a toxic document those tokens are labelled
 toxic whose word, or a prefix of it, marks toxic documents in the training sample (``marks_of``); all others are clean. Features of a token are its word, prefixes and suffix, hashed. The sample is bounded by
-``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` documents and ``SAMPLE_TOKENS`` tokens; scoring reads every whole text.
+``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` documents, taken from the labelled documents with a text, and ends with the document that
+reaches ``SAMPLE_TOKENS`` tokens; scoring reads every whole text.
 
 Defined results: a null or empty text has no tokens and scores what no toxic token scores; documents without labels are only scored; labels with
 a null id or class are ignored; of several labels of a document the largest counts; without labels of both classes nothing
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_TOKENS = 700, 1300, 800_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_TOKENS = 1000, 2000, 1_500_000
 DIMENSIONS = 1 << 16
 PREFIXES, SUFFIX = (3, 4, 5, 6), 3
 #: A word or prefix can mark toxic tokens if it is in so many toxic documents, and so many times likelier there.
@@ -169,9 +170,10 @@ def _labelled(docs: list[tuple[str, int]]) -> tuple[list[str], np.ndarray, np.nd
     kept, n = [], 0
     for text, toxic in docs:
         own = [w for w in map(word_of, text.split()) if w]
-        if n + len(own) <= SAMPLE_TOKENS:
-            kept.append((own, toxic))
-            n += len(own)
+        kept.append((own, toxic))
+        n += len(own)
+        if n >= SAMPLE_TOKENS:  # the document that fills the sample is whole: a long one is as likely in it as a short one
+            break
     stems = {w: _stems(w) for own, _ in kept for w in own}
     marks = marks_of([({s for w in set(own) for s in stems[w]}, toxic) for own, toxic in kept])
     marked = {w for w, found in stems.items() if any(s in marks for s in found)}
@@ -232,10 +234,12 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
         labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     )
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    known = known.join(texts.select("doc_id"), "doc_id", "left_semi")
     order = F.xxhash64("doc_id")
     chosen = known.where("toxic = 1").orderBy(order, "doc_id").limit(SAMPLE_TOXIC).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(SAMPLE_CLEAN))
     # The sample's size is bounded, so the side is broadcast.
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Field | None:

@@ -71,3 +71,18 @@ def test_nulls_empty_texts_and_no_labels(spark):
     assert {r.score for r in none.collect()} == {0.0}
     assert tox.drop_toxic(docs, known).columns == docs.columns
     assert tox.scored(docs.limit(0), known).count() == 0
+
+
+def test_labels_without_a_text_take_no_place_in_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(tox, "SAMPLE_TOXIC", 5)
+    monkeypatch.setattr(tox, "SAMPLE_CLEAN", 5)
+    docs = spark.createDataFrame([(k, None if k % 4 else f"text {k}") for k in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k // 4 % 2) for k in range(400)], "doc_id long, toxic int")
+    got = tox.training_sample(docs, labels).collect()
+    assert [sum(r.toxic == c for r in got) for c in (0, 1)] == [5, 5]
+
+
+def test_a_long_document_is_not_passed_over_for_shorter_ones(monkeypatch):
+    monkeypatch.setattr(tox, "SAMPLE_TOKENS", 10)
+    words, _, first, toxic = tox._labelled([("a b c", 0), ("d " * 20, 1), ("e", 0)])
+    assert (len(words), first.sum(), toxic.tolist()) == (23, 2, [0, 1])
