@@ -17,6 +17,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def open_files(path: str):
+    """(file system, path) of a folder as tasks open it: local or mounted, or any store that pyarrow opens by its address."""
+    import pyarrow.fs as pafs
+
+    return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+
+
 class Scratch:
     """Writes tables to cut lineage, so that a lost executor costs one stage and not the whole job.
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.scratch import Scratch
+from lodestone.llm.scratch import Scratch, open_files
 
 VOCABULARY = "word_bpe_49k.json"
 CACHE_PIECES = 1_200_000
@@ -112,13 +112,6 @@ def encoded(batch: pa.RecordBatch, vocabulary: str) -> Iterator[tuple[int | None
 # --- token files ---------------------------------------------------------------------------------------------------
 
 
-def _files(root: str):
-    """(file system, path) of a folder: local, or any store that pyarrow opens by its address."""
-    import pyarrow.fs as pafs
-
-    return pafs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
-
-
 def write_token_files(docs: DataFrame, root: str, end_id: int, vocabulary: str = VOCABULARY, files: int | None = None) -> DataFrame:
     """Encodes every whole text and writes flat files below ``root``, in ascending doc_id order over all files.
 
@@ -139,7 +132,7 @@ def write_token_files(docs: DataFrame, root: str, end_id: int, vocabulary: str =
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        fs, base = _files(root)
+        fs, base = open_files(root)
         name = f"part-{TaskContext.get().partitionId():06d}"
         attempt = f"{base}/.{name}-{uuid.uuid4().hex}"
         sink, index, first, n_docs, n_tokens = None, [], None, 0, 0
@@ -184,7 +177,7 @@ def read_token_files(spark: SparkSession, root: str, manifest: DataFrame) -> Dat
     n = max(manifest.count(), 1)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = _files(root)
+        fs, base = open_files(root)
         for batch in batches:
             for m in batch.to_pylist():
                 with fs.open_input_file(f"{base}/{m['file']}.idx") as f:

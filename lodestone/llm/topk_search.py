@@ -1,18 +1,23 @@
-"""Exact BM25 top-k by an inverted index with block maxima, shard by shard.
+"""Exact BM25 top-k by an inverted index in shards, with block-max WAND pruning.
 
 Every document is indexed. A shard is at most ``SHARD_DOCS`` documents and about ``SHARD_POSTINGS`` postings, kept as a
 written row of arrays: terms, where their postings begin, documents and counts. Statistics (number of documents, mean length,
 document frequencies) are summed over all shards, so a score does not depend on the shard, and the shards' best are merged
-exactly. Queries are taken in blocks of bounded size, each broadcast in turn.
+exactly. Queries are written in blocks of about ``BLOCK_TERMS`` terms by executors, and a task streams them past its shards:
+neither queries nor documents pass through the driver.
 
-In a shard the postings of a query's rarer terms are added up document by document. Terms that are in more than a share
-``COMMON`` of the documents have a dense table instead, and for every block of ``BLOCK`` documents their greatest
-impact. The k best by rarer terms, scored in full, give the threshold; a block whose best partial sum plus greatest
-impacts stays below it is skipped. Skipped blocks can hold no result. Thresholds and cuts count doc_ids, not rows.
+In a shard documents of like words stand together, so that blocks of ``BLOCK`` documents differ. A list in over ``COMMON`` of the
+documents has a value for each of them, and one matrix product gives every document's sum over these lists, for many queries at
+once. Every other list knows where each of its blocks begins and the block's greatest impact. A query's bound for a block is the
+greatest such sum in it plus these maxima. The pivot is the block of the greatest bound that is left: the lists' cursors jump to
+it, its documents are scored in full, in double precision, and the threshold, the k-th best score over all shards that the task
+has gone through, grows. When the pivot's bound is below the threshold so are all others, and their postings are never read.
+Pivots are whole blocks, and several are taken in one step, because here a step costs as much as hundreds of postings.
 
 Ties: the smaller doc_id first, at scores rounded to 6 digits. Defined results: documents without words match nothing and queries
 without words find nothing; rows with a null id are not indexed; rows that share a doc_id are indexed one by one and the best
-of them counts; an empty table gives an empty table; extra columns are ignored.
+of them counts, in thresholds and cuts too; of queries that share an id each word counts as often as in the query that has
+it most; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,14 +30,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import shingles as sh
-from lodestone.llm.scratch import Scratch
+from lodestone.llm.scratch import Scratch, open_files
 
 K1, B = 1.5, 0.75
 SHARD_DOCS, SHARD_POSTINGS = 1 << 14, 1 << 22
-BLOCK, COMMON = 64, 0.1
-#: Query terms in a block of queries, and queries that advance together in a shard.
-QUERY_TERMS, TOGETHER = 2_000_000, 128
+#: Documents in a block, and blocks that a query scores first in a shard; then four times as many, and so on.
+BLOCK, FIRST = 64, 8
+#: A list in over this share of a shard's documents is dense.
+COMMON = 0.1
+#: Terms and queries in a written block of queries, and shards that a task holds at once.
+BLOCK_TERMS, BLOCK_QUERIES, TOGETHER = 1 << 16, 128, 4
 _INDEX = "doc_ids binary, lengths binary, terms binary, begins binary, docs binary, counts binary, n_docs long, n_words long"
+_BLOCKS = "queries binary, begins binary, terms binary, weights binary"
 
 
 def build_index(docs: DataFrame) -> DataFrame:
@@ -46,12 +55,17 @@ def build_index(docs: DataFrame) -> DataFrame:
         n = 0
 
         def shard() -> pa.RecordBatch:
+            # Documents of one language or subject have the same most frequent word.
+            top = np.array([t[np.argmax(c)] if len(t) else 0 for t, c in zip(terms, counts, strict=True)], np.uint64)
+            place = np.empty(len(ids), np.int32)
+            place[np.lexsort((lengths, top))] = np.arange(len(ids), dtype=np.int32)
             flat, tf = np.concatenate(terms), np.concatenate(counts)
-            own = np.repeat(np.arange(len(ids), dtype=np.int32), [len(t) for t in terms])
-            order = np.argsort(flat, kind="stable")
+            own = np.repeat(place, [len(t) for t in terms])
+            order = np.lexsort((own, flat))
             flat, tf, own = flat[order], tf[order], own[order]
-            begins = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-            raw = [np.array(ids, np.int64), np.array(lengths, np.int32), flat[begins], np.r_[begins, len(flat)].astype(np.int64), own, tf.astype(np.int32)]
+            begins = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
+            by_place = np.argsort(place)
+            raw = [np.array(ids, np.int64)[by_place], np.array(lengths, np.int32)[by_place], flat[begins], np.r_[begins, len(flat)].astype(np.int64), own, tf.astype(np.int32)]
             return pa.RecordBatch.from_arrays([*(pa.array([x.tobytes()], pa.binary()) for x in raw), pa.array([len(ids)], pa.int64()), pa.array([sum(lengths)], pa.int64())], ["doc_ids", "lengths", "terms", "begins", "docs", "counts", "n_docs", "n_words"])
 
         for batch in batches:
@@ -97,95 +111,136 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.where("query_id is not null").select(F.col("query_id").cast("long").alias("query_id"), "text").mapInArrow(split, "query_id long, term long, n long")
 
 
-class _Shard:
+def query_blocks(weighted: DataFrame) -> DataFrame:
+    """Blocks of whole queries, as rows of arrays, of weighted(query_id, term, w)."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        n = 0
+
+        def block(q: np.ndarray, t: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+            order = np.lexsort((t.view(np.uint64), q))
+            begins = np.flatnonzero(np.r_[True, np.diff(q[order]) != 0])
+            raw = [q[order][begins], np.r_[begins, len(q)].astype(np.int64), t[order], w[order]]
+            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in raw], ["queries", "begins", "terms", "weights"])
+
+        for batch in batches:
+            held.append(tuple(batch.column(c).to_numpy() for c in ("query_id", "term", "w")))
+            n += batch.num_rows
+            if n >= BLOCK_TERMS:  # the last query may go on in the next batch
+                q, t, w = (np.concatenate(x) for x in zip(*held, strict=True))
+                whole = np.searchsorted(q, q[-1]) if q[0] != q[-1] else 0
+                cuts = np.flatnonzero(np.r_[True, np.diff(q[:whole]) != 0]) if whole else np.zeros(0, np.int64)
+                a = 0
+                for k in range(1, len(cuts) + 1):
+                    b = cuts[k] if k < len(cuts) else whole
+                    if k == len(cuts) or b - cuts[a] >= BLOCK_TERMS or k - a == BLOCK_QUERIES:
+                        yield block(q[cuts[a] : b], t[cuts[a] : b], w[cuts[a] : b])
+                        a = k
+                held, n = [(q[whole:], t[whole:], w[whole:])], len(q) - whole
+        if n:
+            yield block(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return weighted.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(pack, _BLOCKS)
+
+
+class Best:
+    """The k best doc_ids of a query so far, by rounded score and then by id; ``least`` is the k-th score, 0 before there are k."""
+
+    __slots__ = ("ids", "k", "least", "scores")
+
+    def __init__(self, k: int):
+        self.k, self.least = k, 0.0
+        self.ids, self.scores = np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        ids, scores = np.concatenate([self.ids, ids]), np.concatenate([self.scores, np.round(scores, 6)])
+        order = np.lexsort((ids, -scores))
+        ids, scores = ids[order], scores[order]
+        first = np.sort(np.unique(ids, return_index=True)[1])[: self.k]
+        self.ids, self.scores = ids[first], scores[first]
+        if len(first) == self.k:
+            self.least = float(self.scores[-1])
+
+
+class Shard:
+    """A shard's posting lists. A list in over ``COMMON`` of the documents is a column of ``dense``; the others are cut at the blocks, and ``cell`` c is one list's postings in one block."""
+
     def __init__(self, row: dict, mean: float):
         self.ids, lengths = np.frombuffer(row["doc_ids"], np.int64), np.frombuffer(row["lengths"], np.int32)
         self.terms, self.begins = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["begins"], np.int64)
         self.docs, tf = np.frombuffer(row["docs"], np.int32), np.frombuffer(row["counts"], np.int32).astype(np.float64)
         norm = K1 * (1 - B + B * lengths / mean)
-        self.impacts = (tf * (K1 + 1) / (tf + norm[self.docs])).astype(np.float32)
+        self.impacts = tf * (K1 + 1) / (tf + norm[self.docs])
         n = len(self.ids)
-        distinct, doc = np.unique(self.ids, return_inverse=True)
-        self.doc = doc if len(distinct) < n else None
-        self.common = np.flatnonzero(np.diff(self.begins) > max(16, COMMON * n))
-        self.column = np.full(len(self.terms), -1, np.int32)
-        self.column[self.common] = np.arange(len(self.common))
         self.blocks = -(-n // BLOCK)
-        self.dense = np.zeros((self.blocks * BLOCK, len(self.common)), np.float32)
-        for c, t in enumerate(self.common):
+        common = np.flatnonzero(np.diff(self.begins) > max(BLOCK, COMMON * n))
+        self.column = np.full(len(self.terms), -1, np.int32)
+        self.column[common] = np.arange(len(common), dtype=np.int32)
+        self.dense = np.zeros((self.blocks * BLOCK, len(common)))
+        for c, t in enumerate(common):
             a, b = self.begins[t], self.begins[t + 1]
             self.dense[self.docs[a:b], c] = self.impacts[a:b]
-        self.most = self.dense.reshape(self.blocks, BLOCK, -1).max(axis=1)
-
-    def best_rows(self, scores: np.ndarray) -> np.ndarray:
-        """The row of the greatest score of each doc_id."""
-        if self.doc is None:
-            return np.arange(len(self.ids))
-        order = np.lexsort((-scores[: len(self.ids)], self.doc))
-        return order[np.r_[True, np.diff(self.doc[order]) > 0]]
-
-    def search(self, queries: list[tuple[int, np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query, rows, scores) of the shard's k best doc_ids, with all that tie with the last."""
-        size, n = self.blocks * BLOCK, len(self.ids)
-        weights = np.zeros((len(queries), len(self.common)))
-        partial = np.zeros((len(queries), size), np.float32)
-        for q, (_, terms, w) in enumerate(queries):
+        block = self.docs // np.int32(BLOCK)
+        new = np.r_[True, block[1:] != block[:-1]][: len(block)]
+        new[self.begins[:-1]] = True
+        starts = np.flatnonzero(new)
+        self.cell_begins, self.cell_block = np.r_[starts, len(block)], block[starts]
+        self.cell_most = np.maximum.reduceat(self.impacts, starts) if len(starts) else np.zeros(0)
+        self.cells = np.searchsorted(starts, self.begins)
+        self.read = self.held = 0  # postings read, and postings of all the cut lists that were asked for
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], found: list[Best]) -> None:
+        """Adds this shard's documents to the best of each query; a query is its terms (ascending) and their weights."""
+        if not len(self.terms):
+            return
+        rare, common = [], np.zeros((len(queries), self.dense.shape[1]))
+        for q, (terms, weights) in enumerate(queries):
             at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-            found = self.terms[at] == terms
-            at, w = at[found], w[found]
-            col = self.column[at]
-            weights[q, col[col >= 0]] = w[col >= 0]
-            at, w = at[col < 0], w[col < 0]
-            begin, count = self.begins[at], self.begins[at + 1] - self.begins[at]
-            if count.sum():
-                where = np.repeat(begin - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-                partial[q] = np.bincount(self.docs[where], self.impacts[where] * np.repeat(w, count), size)
-        bound = partial.reshape(len(queries), self.blocks, BLOCK).max(axis=2) + weights.astype(np.float32) @ self.most.T
-        slack = 1e-4
-        rough = weights.astype(np.float32)
-        if self.doc is not None:  # k rows of one doc_id are no threshold for others
-            first = [rows[np.argsort(-own[rows], kind="stable")[:k]] for own in partial for rows in [self.best_rows(own)]]
-        else:
-            first = np.argpartition(partial, -k, axis=1)[:, -k:] if size > k else np.tile(np.arange(size), (len(queries), 1))
-        least = np.array([np.sort(partial[q, f] + self.dense[f] @ rough[q])[-k] if len(f) >= k else 0.0 for q, f in enumerate(first)])
-        alive = bound >= (least - slack * (1 + least))[:, None]
-        # Blocks are scored a group at a time, for the queries that need one of the group's.
-        group = 16
-        for g in range(0, self.blocks, group):
-            need = np.flatnonzero(alive[:, g : g + group].any(axis=1))
-            a, b = g * BLOCK, min((g + group) * BLOCK, size)
-            rest = np.setdiff1d(np.arange(len(queries)), need, assume_unique=True)
-            if len(need):
-                partial[need, a:b] += rough[need] @ self.dense[a:b].T
-            if len(rest):
-                partial[rest, a:b] = -1.0
-        for q, (qid, _, _) in enumerate(queries):
-            own = partial[q, :n]
-            each = own if self.doc is None else own[self.best_rows(own)]
-            cut = np.partition(each, -k)[-k] if len(each) > k else 0.0
-            best = np.flatnonzero((own >= cut - slack * (1 + cut)) & (own > 0))
-            yield qid, best, own[best]
-
-
-def _exact(shard: _Shard, best: np.ndarray, terms: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Scores of a few documents in double precision, term by term in order of the terms."""
-    at = np.minimum(np.searchsorted(shard.terms, terms), len(shard.terms) - 1)
-    found = shard.terms[at] == terms
-    out = np.zeros(len(best))
-    order = np.argsort(best)
-    ranked = best[order]
-    for t, x in zip(at[found].tolist(), w[found].tolist(), strict=True):
-        c = shard.column[t]
-        if c >= 0:
-            out += x * shard.dense[best, c].astype(np.float64)
-            continue
-        a, b = shard.begins[t], shard.begins[t + 1]
-        docs = shard.docs[a:b]
-        p = np.minimum(np.searchsorted(docs, ranked), len(docs) - 1)
-        hit = docs[p] == ranked
-        if hit.any():
-            out[order[hit]] += x * shard.impacts[a:b][p[hit]].astype(np.float64)
-    return out
+            there = self.terms[at] == terms
+            at, weights = at[there], weights[there]
+            column = self.column[at]
+            common[q, column[column >= 0]] = weights[column >= 0]
+            rare.append((at[column < 0], weights[column < 0]))
+        sums = common @ self.dense.T
+        for q, (at, weights) in enumerate(rare):
+            self._walk(at, weights, sums[q], found[q])
+
+    def _walk(self, at: np.ndarray, weights: np.ndarray, sums: np.ndarray, best: Best) -> None:
+        """The pivots of one query, given its cut lists and every document's sum over the dense ones."""
+        cell, n = _ranges(self.cells[at], self.cells[at + 1])
+        weight, block = np.repeat(weights, n), self.cell_block[cell]
+        more = np.bincount(block, self.cell_most[cell] * weight, self.blocks)
+        bound = sums.reshape(self.blocks, BLOCK).max(axis=1) + more
+        self.held += int((self.begins[at + 1] - self.begins[at]).sum())
+        order = np.argsort(-bound, kind="stable")
+        done, step = 0, FIRST
+        while done < len(order):
+            # A document's rounded score is less than the threshold if its bound is, by more than rounding.
+            floor = max(best.least - 1e-6, 0.0)
+            pivots = order[done : done + step]
+            pivots = pivots[bound[pivots] > floor]
+            if not len(pivots):
+                return
+            chosen = np.zeros(self.blocks, bool)
+            chosen[pivots] = True
+            jump = np.flatnonzero(chosen[block])
+            where, m = _ranges(self.cell_begins[cell[jump]], self.cell_begins[cell[jump] + 1])
+            scores = np.bincount(self.docs[where], self.impacts[where] * np.repeat(weight[jump], m), len(sums))
+            self.read += len(where)
+            rows = (pivots[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            scores = scores[rows] + sums[rows]
+            able = scores > floor
+            if able.any():
+                best.add(self.ids[rows[able]], scores[able])
+            done, step = done + step, 4 * step
+
+
+def _ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of some ranges, one range after another, and how many each has."""
+    n = end - begin
+    total = np.cumsum(n)
+    return np.repeat(begin - total + n, n) + np.arange(total[-1] if len(n) else 0), n
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -193,48 +248,34 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "top-k")
     index = scratch.table(build_index(docs), "index")
-    n, words = index.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
+    shards, n, words = index.agg(F.count("*"), F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
     mean = max(words / n, 1e-9) if n else 1.0
     df = frequencies(index)
     idf = F.log1p((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # The largest form of a query counts where rows share an id.
-    terms = query_terms(queries).groupBy("query_id", "term").agg(F.max("n").alias("n")).join(df, "term").select("query_id", "term", (F.col("n") * idf).alias("w"))
-    terms = scratch.table(terms, "query-terms")
-    blocks = max(1, -(-terms.count() // QUERY_TERMS))
-    found = None
-    for block in range(blocks):
-        rows = terms.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toPandas()
-        held = []
-        for qid, own in rows.groupby("query_id", sort=True):
-            t = own.term.to_numpy().view(np.uint64)
-            order = np.argsort(t)
-            held.append((int(qid), t[order], own.w.to_numpy()[order]))
-        shared = spark.sparkContext.broadcast(held)
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = shared.value
-            by_id = {q: (t, w) for q, t, w in own}
-            for batch in batches:
-                for r in range(batch.num_rows):
-                    shard = _Shard(batch.slice(r, 1).to_pylist()[0], mean)
-                    if not len(shard.terms):
-                        continue
-                    qs, ds, ss = [], [], []
-                    for a in range(0, len(own), TOGETHER):
-                        for qid, best, _ in shard.search(own[a : a + TOGETHER], k):
-                            score = np.round(_exact(shard, best, *by_id[qid]), 6)
-                            keep = np.lexsort((shard.ids[best], -score))
-                            if shard.doc is not None:
-                                keep = keep[np.sort(np.unique(shard.ids[best][keep], return_index=True)[1])]
-                            keep = keep[: 2 * k]
-                            qs.append(np.full(len(keep), qid, np.int64))
-                            ds.append(shard.ids[best][keep])
-                            ss.append(score[keep])
-                    if qs:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (qs, ds, ss)], ["query_id", "doc_id", "score"])
-
-        part = scratch.table(index.repartition(max(1, min(n // 4096, 4 * spark.sparkContext.defaultParallelism))).mapInArrow(search, "query_id long, doc_id long, score double"), "block")
-        found = part if found is None else found.unionByName(part)
+    weighted = query_terms(queries).groupBy("query_id", "term").agg(F.max("n").alias("n")).join(df, "term").select("query_id", "term", (F.col("n") * idf).alias("w"))
+    asked = scratch.path("query-blocks")
+    query_blocks(weighted).write.parquet(asked)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.dataset as ds
+
+        fs, path = open_files(asked)
+        for batch in batches:
+            for a in range(0, batch.num_rows, TOGETHER):
+                held = [Shard(batch.slice(r, 1).to_pylist()[0], mean) for r in range(a, min(a + TOGETHER, batch.num_rows))]
+                for rows in ds.dataset(path, filesystem=fs, format="parquet", schema=None).to_batches(batch_size=4):
+                    for row in rows.to_pylist():
+                        qs, begins = np.frombuffer(row["queries"], np.int64), np.frombuffer(row["begins"], np.int64)
+                        terms, weights = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["weights"], np.float64)
+                        found = [Best(k) for _ in qs]
+                        each = [(terms[a:b], weights[a:b]) for a, b in zip(begins[:-1], begins[1:], strict=True)]
+                        for shard in held:
+                            shard.search(each, found)
+                        n = [len(best.ids) for best in found]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qs, n)), pa.array(np.concatenate([b.ids for b in found])), pa.array(np.concatenate([b.scores for b in found]))], ["query_id", "doc_id", "score"])
+
+    tasks = max(1, -(-shards // TOGETHER), min(shards, 2 * spark.sparkContext.defaultParallelism))
+    found = scratch.table(index.repartition(tasks).mapInArrow(search, "query_id long, doc_id long, score double"), "found")
     best = found.where("score > 0").groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
