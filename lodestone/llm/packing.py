@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.scratch import Scratch
 from lodestone.llm.tokens import VOCABULARY, crc32, encoded
 
+#: Groups into which the rows of one length are dealt, at most.
+MOST_SALTS = 10_000
 #: A plan's row: so many sequences of the same make-up.
 Plan = list[tuple[tuple[int, ...], int]]
 
@@ -127,10 +129,26 @@ def _completions(sizes: list[int], counts: dict[int, int], capacity: int, steps:
             found, n = [], 0
 
 
-def plan_sequences(counts: dict[int, int], capacity: int, nodes: int = 6_000) -> Plan:
+def least_sequences(counts: dict[int, int], capacity: int) -> int:
+    """No packing has fewer sequences: by the room that lengths of a common divisor can use, and, for every limit, by the long pieces that share no sequence and what the short ones need beside them."""
+    sizes = np.array(sorted(counts), np.int64)
+    n = np.array([counts[int(s)] for s in sizes], np.int64)
+    shared = int(np.gcd.reduce(sizes))
+    best = -(-int((sizes * n).sum()) // (capacity // shared * shared))
+    many, total = np.r_[0, np.cumsum(n)], np.r_[0, np.cumsum(n * sizes)]
+    half = int(np.searchsorted(sizes, capacity // 2, "right"))
+    for limit in [0, *sizes[:half].tolist()]:
+        low, high = int(np.searchsorted(sizes, limit)), int(np.searchsorted(sizes, capacity - limit, "right"))
+        alone, pairs = int(many[-1] - many[high]), int(many[high] - many[half])
+        short = int(total[half] - total[low]) - (pairs * capacity - int(total[high] - total[half]))
+        best = max(best, alone + pairs + max(0, -(-short // capacity)))
+    return best
+
+
+def plan_sequences(counts: dict[int, int], capacity: int, nodes: int = 30_000) -> Plan:
     """Make-ups and how often each is used, for pieces of ``counts[length]``.
 
-    The incumbent is best-fit decreasing. Where it needs more sequences than ceil(total / capacity), bin completion
+    The incumbent is best-fit decreasing. Where it needs more sequences than ``least_sequences`` says, bin completion
     looks for better, depth first: the largest piece left is completed by undominated fillings, a filling is used for as many
     sequences at once as the counters allow, then for one less and so on, and a branch ends when its waste leaves no room to
     beat the incumbent. A filling that a branch has tried is not tried again for the same largest piece further down. No
@@ -142,7 +160,7 @@ def plan_sequences(counts: dict[int, int], capacity: int, nodes: int = 6_000) ->
         return []
     best = _best_fit(counts, capacity)
     total = sum(s * n for s, n in counts.items())
-    lower = max(-(-total // capacity), sum(n for s, n in counts.items() if 2 * s > capacity))
+    lower = least_sequences(counts, capacity)
     used = sum(n for _, n in best)
     left, sizes = dict(counts), sorted(-s for s in counts)
     n_used = waste = 0
@@ -227,7 +245,7 @@ def pieces_of(docs: DataFrame, capacity: int, end_id: int, vocabulary: str = VOC
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 1, vocabulary: str = VOCABULARY, nodes: int = 6_000, rows_per_salt: int = 50_000) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 1, vocabulary: str = VOCABULARY, nodes: int = 30_000, rows_per_salt: int = 1_000) -> DataFrame:
     """Where each piece of each document goes: the rows of ``pieces_of`` plus sequence_id and offset.
 
     Null or empty text: one piece with the end id alone. Null doc_id: packed like any other. Repeated doc_ids: each
@@ -236,14 +254,13 @@ def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 1, vocabulary: str
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     pieces = scratch.table(pieces_of(docs, capacity, end_id, vocabulary), "pieces")
-    n = pieces.count()
-    salts = max(1, -(-n // rows_per_salt)) * 4
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
+    # A length's rows are dealt by a salt, as many as its own count asks for.
+    salts = spark.createDataFrame([(s, min(-(-n // rows_per_salt), MOST_SALTS)) for s, n in counts.items()], "length long, salts int")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts")).cast("int"))
     by_salt = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    # A length has at most ``salts`` rows here, whatever its share of the pieces.
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     bases = by_salt.select("length", "salt", F.coalesce(before, F.lit(0)).alias("base"))
-    counts = {r.length: r.n for r in by_salt.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     slots = spark.sparkContext.broadcast(_slots(plan_sequences(counts, capacity, nodes)))
     within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
     numbered = salted.withColumn("within", within.cast("long")).join(bases, ["length", "salt"]).withColumn("rank", F.col("within") + F.col("base"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -22,17 +23,36 @@ from lodestone.llm.scratch import Scratch, open_files
 
 VOCABULARY = "word_bpe_49k.json"
 CACHE_PIECES = 1_200_000
+#: Bytes of text that one task turns into one file, at most about; and at least, where there are more cores than files.
+FILE_BYTES, LEAST_BYTES = 1 << 28, 1 << 23
 #: A piece of at least this many characters is encoded alone and not kept.
 LONG_PIECE = 64
-_SPECIAL = re.compile(r"<\|")
 #: Beyond these characters lower-casing may depend on neighbours or meet the normaliser's composition, or cutting at white
 #: space needs care: U+001C to U+001F are white space to Python and none to the normaliser.
 _NOT_PLAIN = re.compile("[^\x00-\x1b\x20-\u012f\u0131-\u024f]")
-_CONTROL = re.compile("[\x1c-\x1f]")
+_CONTROL = "\x1c\x1d\x1e\x1f"
+_SPECIAL = "<|"
 _WHITE = re.compile("[^\\S\x1c-\x1f]+")
 _open: dict[str, PieceIds] = {}
 
 
+def _letters(piece: str) -> bool:
+    """Whether the normaliser leaves letters alone: then they are one word, which no punctuation joins. Some letters, as U+0130, become a letter and a mark."""
+    return piece.isalpha() and (piece.isascii() or unicodedata.normalize("NFC", piece).lower().isalpha())
+
+
+def _plain(text: str) -> bool:
+    if any(c in text for c in _CONTROL):
+        return False
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not _NOT_PLAIN.search(text)
+    return True
+
+
 class PieceIds(dict):
     """Ids of white-space separated pieces, as little-endian unsigned 32-bit integers."""
 
@@ -50,7 +70,7 @@ class PieceIds(dict):
             self._ends[i] = token.endswith("</w>")
 
     def __missing__(self, piece: str) -> bytes:
-        if piece[-1] in ".," and piece[:-1].isalpha():  # letters and punctuation are always separate words
+        if piece[-1] in ".," and _letters(piece[:-1]):
             ids = self[piece[:-1]] + self[piece[-1]]
             if len(piece) < LONG_PIECE:
                 self[piece] = ids
@@ -65,7 +85,7 @@ class PieceIds(dict):
         if len(self) + len(pieces) > CACHE_PIECES:
             self.clear()
         words = {p[:-1] if p[-1] in ".," else p for p in pieces.difference(self)}
-        new = [p for p in words if p not in self and len(p) < LONG_PIECE and p.isalpha()][:CACHE_PIECES]
+        new = [p for p in words if p not in self and len(p) < LONG_PIECE and _letters(p)][:CACHE_PIECES]
         for k in range(0, len(new), 4096):
             part = new[k : k + 4096]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
@@ -76,15 +96,15 @@ class PieceIds(dict):
 
     def pieces(self, text: str) -> list[str]:
         """Pieces of a text whose special tokens, if any, are none; in lower case where that changes no id."""
-        if not _NOT_PLAIN.search(text):
+        if _plain(text):
             return text.lower().split()
-        return [p for p in _WHITE.split(text) if p] if _CONTROL.search(text) else text.split()
+        return [p for p in _WHITE.split(text) if p] if any(c in text for c in _CONTROL) else text.split()
 
     def ids(self, text: str | None) -> bytes:
         """The ids of a whole text, as packed bytes."""
         if not text:
             return b""
-        if _SPECIAL.search(text):  # special tokens may stand inside a piece
+        if _SPECIAL in text:  # special tokens may stand inside a piece
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.__getitem__, self.pieces(text)))
 
@@ -103,7 +123,7 @@ def encoded(batch: pa.RecordBatch, vocabulary: str) -> Iterator[tuple[int | None
     texts = batch.column("text")
     for k in range(0, len(ids), 500):
         part = texts.slice(k, 500).to_pylist()
-        split = [known.pieces(t) if t and not _SPECIAL.search(t) else None for t in part]
+        split = [known.pieces(t) if t and _SPECIAL not in t else None for t in part]
         known.learn({p for own in split if own for p in own})
         for i, t, own in zip(ids[k : k + 500], part, split, strict=True):
             yield i, known.ids(t) if own is None else b"".join(map(known.__getitem__, own))
@@ -126,7 +146,9 @@ def write_token_files(docs: DataFrame, root: str, end_id: int, vocabulary: str =
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    n = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    if not files:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        files = max(-(-size // FILE_BYTES), min(-(-size // LEAST_BYTES), 4 * spark.sparkContext.defaultParallelism), 1)
     end = np.array([end_id], "<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +180,7 @@ def write_token_files(docs: DataFrame, root: str, end_id: int, vocabulary: str =
             yield pa.RecordBatch.from_pydict({"file": [final], "width": [int(wide[-1])], "part": [int(name[5:])], "first_id": pa.array([first], pa.int64()), "n_docs": [n_docs], "n_tokens": [n_tokens]})
 
     scratch = Scratch(spark, "token-files")
-    dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    dealt = rows.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     written = scratch.table(dealt.mapInArrow(write, "file string, width long, part long, first_id long, n_docs long, n_tokens long"), "files")
     # One row a file: the prefix sums over them are the files' bases.
     parts = sorted(written.collect(), key=lambda r: r.part)

@@ -1,8 +1,12 @@
+import functools
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from lodestone.llm import packing, tokens
@@ -14,9 +18,14 @@ ODD = [
 ]
 
 
+@functools.cache
+def _library():
+    return Tokenizer.from_file(public_tokenizers.path(tokens.VOCABULARY))
+
+
 @pytest.fixture(scope="module")
 def library():
-    return Tokenizer.from_file(public_tokenizers.path(tokens.VOCABULARY))
+    return _library()
 
 
 def packed(library, text, end):
@@ -119,3 +128,47 @@ def test_every_character_cuts_where_the_tokenizer_cuts(library):
     known = tokens.PieceIds(tokens.VOCABULARY)
     for c in map(chr, [*range(0x250), *range(0x1680, 0x1690), *range(0x1800, 0x1810), *range(0x2000, 0x2070), 0x3000, 0xFEFF]):
         assert known.ids(f"ab{c}cd , {c}") == packed(library, f"ab{c}cd , {c}", 0)[:-4], hex(ord(c))
+
+
+@pytest.mark.parametrize("text", ["EKONOMİSİ, ve İ. İstanbul'da İ", "one\x1ctwo", "क़. क़, ड़ x", "ǰ. ΐ, ẖ.", "שׁ. ﬁ, ﬀ.", "가, 각. ㄱㅏ,"])
+def test_letters_that_become_marks(library, text):
+    known = tokens.PieceIds(tokens.VOCABULARY)
+    for _ in range(2):
+        known.learn(set(known.pieces(text)))
+        assert known.ids(text) == packed(library, text, 0)[:-4]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=6), st.sampled_from(["the", "Über", "İ", "ok.", "A,", "é́", "<|", "\x1d", "。", "ß.", "\u0958,"])), max_size=12), st.sampled_from([" ", "", "\n", "\u00a0"]))
+def test_any_text_has_the_library_s_ids(parts, between):
+    text = between.join(parts).encode("utf-8", "ignore").decode()
+    known = tokens.piece_ids(tokens.VOCABULARY)
+    assert known.ids(text) == packed(_library(), text, 0)[:-4]
+    assert next(tokens.encoded(pa.RecordBatch.from_pydict({"doc_id": [1], "text": [text]}), tokens.VOCABULARY))[1] == packed(_library(), text, 0)[:-4]
+
+
+def test_bounds_and_plans_of_large_and_tight_histograms():
+    assert sum(n for _, n in packing.plan_sequences({3: 6_000_000}, 4096)) == packing.least_sequences({3: 6_000_000}, 4096) == -(-6_000_000 // 1365)
+    assert packing.least_sequences({60: 5, 45: 4, 10: 1}, 100) == 9 - 2
+    rng = np.random.default_rng(5)
+    for _ in range(6):
+        sizes = []
+        for _ in range(20):
+            a = int(rng.integers(20, 50))
+            b = int(rng.integers(20, 81 - a))
+            sizes += [a, b, 100 - a - b]
+        plan = packing.plan_sequences({s: sizes.count(s) for s in sizes}, 100)
+        assert sum(n for _, n in plan) == 20
+        assert sorted(s for m, n in plan for s in m for _ in range(n)) == sorted(sizes)
+
+
+def test_pieces_of_a_very_long_text_and_many_tiny_ones_fill_sequences_without_gaps(spark, library):
+    """A text of far more than 4096 tokens, 3,000 equal tiny ones, repeated rows and null ids; the columns clash with the operator's own."""
+    rows = [(1, "word " * 30_000, 5)] + [(10 + k, "a b", 1) for k in range(3_000)] + [(2, "one two", 1)] * 3 + [(None, None, 0)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, length long").repartition(5), rows_per_salt=100).toPandas()
+    own = [len(packed(library, t, 1)) // 4 for _, t, _ in rows]
+    assert got.length.sum() == sum(own) and len(got) == len(rows) - 1 + -(-own[0] // 4096)
+    for _, seq in got.groupby("sequence_id"):
+        seq = seq.sort_values("offset")
+        assert seq.offset.tolist() == [0, *np.cumsum(seq.length.to_numpy())[:-1].tolist()] and seq.length.sum() <= 4096
+    assert got.sequence_id.nunique() == -(-sum(own) // 4096)
