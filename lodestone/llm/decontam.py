@@ -1,14 +1,15 @@
 """Passages of a benchmark inside documents, with DataFrame functions only.
 
 A document's windows are as many words long as the item that they are held against. Both get a weighted 128-bit SimHash of
-their five-word shingles (a shingle weighs as much as it has letters, 1023 at most). The fingerprint is cut into 32 blocks of 4 bits, and
-a window meets the items of its size that agree in a block: two fingerprints that differ in at most 31 bits agree in one,
-so no fingerprint within that radius is missed. Candidates are then verified by exact weighted Jaccard similarity.
+their five-word shingles (a shingle weighs as much as it has letters, 1023 at most). The fingerprint is cut into 16 blocks of 8 bits,
+and a window meets the items of its size that differ in at most one bit of a block: fingerprints that differ in at most 31
+bits do so in one, so no fingerprint within that radius is missed. Candidates are then verified by exact weighted Jaccard similarity.
 
 A window at ``similarity`` or more shares shingles of at least that part of its own weight and of the item's. So the weights
 of the shingles that a document shares with items of a size are summed over every place where a window of that size can
 begin, and only windows whose sum reaches that part of the lightest such item, and of the window itself, are fingerprinted. The
-sum is no less than what is shared with any one item, so none is left out.
+sum is no less than what is shared with any one item, so none is left out. The shingles of a document with such windows are
+hashed once; its windows are slices of their codes.
 
 Defined results: null and empty texts and items have no words and match nothing; an item with fewer than five words is one
 shingle; a document shorter than an item is one window; rows with a null doc_id or item_id match nothing and are
@@ -23,11 +24,10 @@ from pyspark.sql import functions as F
 from lodestone.llm.scratch import Scratch
 
 WIDTH, SIMILARITY = 5, 0.8
-BITS, RADIUS, BLOCK_BITS = 128, 31, 4
+BITS, RADIUS, BLOCK_BITS = 128, 31, 8
 #: Characters of all items up to which their side of a join is broadcast; beyond it the joins shuffle by key.
 BROADCAST_CHARS = 4_000_000
 _LANES = 0x0000000100000001
-_NIBBLES = 0x1111111111111111
 _WEIGHT = 1023
 
 
@@ -49,14 +49,10 @@ def _weights(w: Column, width: int) -> Column:
     return F.when(F.size(w) >= width, F.transform(F.sequence(F.lit(0), F.size(w) - width), letters)).otherwise(F.array().cast("array<bigint>"))
 
 
-def _codes(w: Column) -> Column:
-    """Distinct shingles of some words, each as one number: 54 bits of a hash, and in the low 10 bits its letters (1023 at most)."""
-    k = F.least(F.lit(WIDTH), F.size(w))
-    made = F.transform(
-        F.sequence(F.lit(0), F.size(w) - k),
-        lambda i: F.xxhash64(F.slice(w, i + 1, k)).bitwiseAND(F.lit(~_WEIGHT)).bitwiseOR(F.least(F.length(F.array_join(F.slice(w, i + 1, k), "")), F.lit(_WEIGHT)).cast("long")),
-    )
-    return F.array_distinct(made)
+def _codes(w: Column, width: Column) -> Column:
+    """The runs of ``width`` words in order, each as one number: 54 bits of a hash, and in the low 10 bits its letters (1023 at most)."""
+    letters = lambda i: F.least(F.length(F.array_join(F.slice(w, i + 1, width), "")), F.lit(_WEIGHT)).cast("long")
+    return F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: F.xxhash64(F.slice(w, i + 1, width)).bitwiseAND(F.lit(~_WEIGHT)).bitwiseOR(letters(i)))
 
 
 def _total(codes: Column) -> Column:
@@ -86,22 +82,13 @@ def _fingerprints(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def _blocks(f1: Column, f2: Column) -> Column:
-    return F.array(*[F.shiftrightunsigned(f, b).bitwiseAND(F.lit(15)).cast("int") for f in (f1, f2) for b in range(0, 64, BLOCK_BITS)])
-
+    return F.array(*[F.shiftrightunsigned(f, b).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int") for f in (f1, f2) for b in range(0, 64, BLOCK_BITS)])
 
-def _first_equal(a1: Column, b1: Column, a2: Column, b2: Column, block: Column) -> Column:
-    """Whether ``block`` is the first in which two fingerprints agree, so that a pair is made once."""
 
-    def equal(a: Column, b: Column) -> Column:
-        x = a.bitwiseXOR(b)
-        any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
-        return F.bitwise_not(any_bit).bitwiseAND(F.lit(_NIBBLES))
-
-    def lowest(z: Column) -> Column:
-        return F.bit_count(z.bitwiseAND(-z) - 1) / BLOCK_BITS
-
-    z1, z2 = equal(a1, b1), equal(a2, b2)
-    return F.when(z1 != 0, block == lowest(z1)).otherwise(block == 16 + F.when(z2 != 0, lowest(z2)).otherwise(-17))
+def _first_near(x1: Column, x2: Column) -> Column:
+    """The first block with at most one bit set in the difference of two fingerprints, so that a pair is made once."""
+    parts = [F.shiftrightunsigned(x, b).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) for x in (x1, x2) for b in range(0, 64, BLOCK_BITS)]
+    return F.coalesce(*[F.when(F.bit_count(p) <= 1, F.lit(k)) for k, p in enumerate(parts)])
 
 
 def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -117,7 +104,7 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) ->
     doc = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text"))
     split = doc.select("doc_id", "text_hash", words(F.col("text")).alias("w"))
     widths = sorted(r[0] for r in item.select(F.least(F.lit(WIDTH), F.col("n"))).distinct().collect())  # at most five numbers
-    item = item.withColumn("weight", _total(_codes(F.col("w"))))
+    item = item.withColumn("codes", F.array_distinct(_codes(F.col("w"), F.least(F.lit(WIDTH), F.col("n"))))).withColumn("weight", _total(F.col("codes")))
     lightest = item.groupBy("n").agg(F.min("weight").alias("lightest"))
     key = ["doc_id", "text_hash", "n"]
     shared = None
@@ -135,33 +122,40 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) ->
     over = Window.partitionBy(*key).orderBy("s.start")
     sums = steps.select(*key, F.col("s.start").alias("start"), F.sum("s.x").over(over).alias("shared"), F.lead("s.start").over(over).alias("next"))
     runs = sums.where((F.col("next") > F.col("start")) & (F.col("shared") > 0)).join(small(lightest), "n").where(F.col("shared") >= F.col("lightest") * similarity - 1e-6)
-    begins = runs.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "next", "n", "shared")).alias("runs"))
-    # Documents with such windows, with their words; all that follows reads this table.
-    hit = doc.join(begins, ["doc_id", "text_hash"]).select("doc_id", "text_hash", words(F.col("text")).alias("w"), "runs").dropDuplicates(["doc_id", "text_hash"])
-    hit = scratch.table(hit, "hit-documents")
+    begins = runs.groupBy("doc_id", "text_hash", F.least(F.lit(WIDTH), F.col("n")).alias("width")).agg(F.collect_list(F.struct("start", "next", "n", "shared")).alias("runs"))
+    # Documents with such windows, with the code of each of their shingles in order; all that follows reads this table.
+    hit = doc.join(begins, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash", "width"])
+    hit = hit.select("doc_id", "text_hash", words(F.col("text")).alias("w"), "width", "runs")
+    hit = scratch.table(hit.select("doc_id", "text_hash", "width", "runs", _codes(F.col("w"), F.col("width")).alias("codes")), "hit-documents")
+    # A run has its own piece of the codes, and a window its own piece of the run's.
+    piece = F.slice("codes", F.col("r.start") + 1, F.col("r.next") - F.col("r.start") + F.col("r.n") - F.col("width"))
+    runs = hit.select("doc_id", "text_hash", "width", "codes", F.explode("runs").alias("r")).select("doc_id", "text_hash", "r.*", "width", piece.alias("codes"))
+    window = F.array_distinct(F.slice("codes", F.col("start") - F.col("first") + 1, F.col("n") - F.col("width") + 1))
     key = ["doc_id", "text_hash", "start", "n"]
-    windows = hit.select("doc_id", "text_hash", "w", F.explode("runs").alias("r"))
-    windows = windows.select("doc_id", "text_hash", "w", F.explode(F.sequence(F.col("r.start"), F.col("r.next") - 1)).alias("start"), "r.n", "r.shared")
-    coded = windows.select(*key, "shared", _codes(F.slice("w", F.col("start") + 1, F.col("n"))).alias("codes"))
-    coded = coded.where(F.col("shared") >= _total(F.col("codes")) * similarity - 1e-6).select(*key, "codes")
+    coded = (
+        runs.repartition("doc_id", "start", "n").withColumnRenamed("start", "first")
+        .select("doc_id", "text_hash", "first", "n", "width", "shared", "codes", F.explode(F.sequence(F.col("first"), F.col("next") - 1)).alias("start"))
+        .select(*key, "shared", window.alias("codes"))
+        .where(F.col("shared") >= _total(F.col("codes")) * similarity - 1e-6).select(*key, "codes")
+    )
+    coded = scratch.table(coded, "windows")
     made = _fingerprints(coded, *key)
     made = made.select(*key, "f1", "f2", F.posexplode(_blocks(F.col("f1"), F.col("f2"))).alias("block", "value"))
-    items_coded = item.select("item_id", "n", _codes(F.col("w")).alias("codes"))
+    items_coded = item.select("item_id", "n", "codes", "weight")
     held = _fingerprints(items_coded, "item_id", "n").select("item_id", "n", F.col("f1").alias("g1"), F.col("f2").alias("g2"))
     held = held.select("*", F.posexplode(_blocks(F.col("g1"), F.col("g2"))).alias("block", "value"))
-    apart = F.bit_count(F.col("f1").bitwiseXOR(F.col("g1"))) + F.bit_count(F.col("f2").bitwiseXOR(F.col("g2")))
+    held = held.withColumn("value", F.explode(F.concat(F.array("value"), *[F.array(F.col("value").bitwiseXOR(F.lit(1 << b))) for b in range(BLOCK_BITS)])))
+    x1, x2 = F.col("f1").bitwiseXOR(F.col("g1")), F.col("f2").bitwiseXOR(F.col("g2"))
     near = (
         made.join(small(held), ["n", "block", "value"])
-        .where((apart <= RADIUS) & _first_equal(F.col("f1"), F.col("g1"), F.col("f2"), F.col("g2"), F.col("block")))
+        .where((F.bit_count(x1) + F.bit_count(x2) <= RADIUS) & (F.col("block") == _first_near(x1, x2)))
         .select(*key, "item_id")
     )
-    near = scratch.table(near, "candidates")
-    two = items_coded.select("item_id", F.col("codes").alias("codes2"))
+    two = items_coded.select("item_id", F.col("codes").alias("codes2"), F.col("weight").alias("weight2"))
     found = (
-        near.join(hit.select("doc_id", "text_hash", "w"), ["doc_id", "text_hash"]).join(small(two), "item_id")
-        .select("doc_id", "item_id", "start", "n", _codes(F.slice("w", F.col("start") + 1, F.col("n"))).alias("codes"), "codes2")
-        .withColumn("both", _total(F.array_intersect("codes", "codes2")))
-        .withColumn("similarity", F.col("both") / (_total(F.col("codes")) + _total(F.col("codes2")) - F.col("both")))
+        near.join(coded, key).join(small(two), "item_id")
+        .select("doc_id", "item_id", "start", "n", _total(F.col("codes")).alias("weight"), "weight2", _total(F.array_intersect("codes", "codes2")).alias("both"))
+        .withColumn("similarity", F.col("both") / (F.col("weight") + F.col("weight2") - F.col("both")))
     )
     return (
         found.where(F.col("similarity") >= similarity)

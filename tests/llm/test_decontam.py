@@ -67,9 +67,10 @@ def test_blocks_find_every_fingerprint_within_the_radius(spark):
         rows.append((*(signed(x & (2**64 - 1)) for x in (a, a >> 64, b, b >> 64)),))
     df = spark.createDataFrame(rows, "f1 long, f2 long, g1 long, g2 long")
     one = df.select("*", F.posexplode(decontam._blocks(F.col("f1"), F.col("f2"))).alias("block", "v"), F.monotonically_increasing_id().alias("i"))
-    two = df.select("g1", "g2", F.posexplode(decontam._blocks(F.col("g1"), F.col("g2"))).alias("block2", "v2"), F.monotonically_increasing_id().alias("j"))
-    met = one.join(two.drop("g1", "g2"), (F.col("i") == F.col("j")) & (F.col("block") == F.col("block2")) & (F.col("v") == F.col("v2")))
-    first = met.where(decontam._first_equal(F.col("f1"), F.col("g1"), F.col("f2"), F.col("g2"), F.col("block")))
+    two = df.select(F.posexplode(decontam._blocks(F.col("g1"), F.col("g2"))).alias("block2", "v2"), F.monotonically_increasing_id().alias("j"))
+    near = F.bit_count(F.col("v").bitwiseXOR(F.col("v2"))) <= 1
+    met = one.join(two, (F.col("i") == F.col("j")) & (F.col("block") == F.col("block2")) & near)
+    first = met.where(F.col("block") == decontam._first_near(F.col("f1").bitwiseXOR(F.col("g1")), F.col("f2").bitwiseXOR(F.col("g2"))))
     assert first.count() == len(rows)
     assert first.select("i").distinct().count() == len(rows)
 
@@ -105,3 +106,17 @@ def test_leaks_with_other_words_at_either_end_and_long_or_short_words_around(spa
     want = brute(docs, items)
     assert len(want) > 30
     assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()}
+
+
+def test_a_long_token_behind_a_leak_and_very_long_texts(spark):
+    """An item whose first word was replaced, before a token of 200 letters; and one in the middle of 30,000 words."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    said = [word(4) for _ in range(30)]
+    long = [word(6) for _ in range(30_000)]
+    items = [(7, " ".join(said)), (8, " ".join(said[:29])), (9, " ".join(long[15_000:15_040]))]
+    docs = [(1, " ".join([*(word(6) for _ in range(40)), "other", *said[1:], word(200), word(5)])), (2, " ".join(long)), (2, " ".join(long[:20_000])), (3, " ".join(long[:10_000]))]
+    got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {k: round(v, 9) for k, v in brute(docs[:1], items).items()}
+    assert (1, 7) in want
+    assert got == {**want, (2, 9): 1.0}
