@@ -1,7 +1,9 @@
 """Near-duplicate documents: consistent weighted sampling over TF-IDF shingles, bands, weighted Jaccard similarity.
 
 1. A pass over all texts counts in how many documents each shingle is found, in ``CELLS`` hashed cells: a table of fixed
-   size (4 MB) whatever the corpus.
+   size (4 MB) whatever the corpus. A shingle in less than ``RARE`` of the documents weighs as if it were in that share, and so does
+   one in less than twice the mean of the cells. So what a cell's other shingles add to a rare one's count changes nothing, at any size
+   of the corpus, and a frequent one's count is much larger than that.
 2. A second pass draws, for every text, improved consistent weighted samples of its distinct shingles, weighted by
    count times inverse document frequency, and packs them into bands. Texts of the same words become one.
 3. Texts that agree in a band share a bucket. Each bucket has a hub, the member with the most company over all
@@ -10,9 +12,11 @@
    they are not yet connected to, block by block inside tasks, so that no link in a bucket is lost.
 4. Links are merged to classes; a class is named by its smallest doc_id.
 
+Texts, not documents, are compared: a text goes by 64 bits of its 128-bit key, and doc_ids come in again at the end.
+
 Defined results: a null or empty text, and one without letters and digits, is a class of its own; a text shorter than
 five words is one shingle of all its words; rows with a null doc_id have a null class; rows that share a doc_id share a
-class; an empty table gives an empty table; extra columns are carried by ``drop_near_duplicates`` and ignored by ``near_classes``.
+class, and so do the copies of any of their texts; an empty table gives an empty table; extra columns are carried by ``drop_near_duplicates`` and ignored by ``near_classes``.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
 #: Cells of the table of document frequencies, and rows of it that travel together.
 CELLS, CELL_ROWS = 1 << 20, 1 << 14
+#: Share of the documents below which all shingles weigh alike.
+RARE = 1 / 500
 #: Rows of each table of random draws; a shingle picks a row of three tables independently.
 DRAWS = 1 << 13
 #: Members of a bucket that meet in one task when those without a hub are compared.
@@ -44,9 +50,9 @@ def _cells(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(40)).astype(np.int64) & (CELLS - 1)
 
 
-def _texts(batch: pa.RecordBatch, words: int = 1 << 20) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """(doc_ids, word hashes) of a batch, in parts of about a million words."""
-    ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+def _texts(batch: pa.RecordBatch, *columns: str, words: int = 1 << 20) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """(values of the columns, word hashes) of a batch, in parts of about a million words."""
+    ids, texts = list(zip(*(batch.column(c).to_pylist() for c in columns), strict=True)) if columns else [None] * batch.num_rows, batch.column("text")
     who: list = []
     own: list[np.ndarray] = []
     n = 0
@@ -62,7 +68,7 @@ def _texts(batch: pa.RecordBatch, words: int = 1 << 20) -> Iterator[tuple[list,
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """Weight of each cell: ln((N + 1) / (n + 1)) + 1 for n of N documents with a shingle there."""
+    """Weight of each cell: ln((N + 1) / (n + 1)) + 1 for n of N documents with a shingle there, n being no less than rare shingles'."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(CELLS, np.int32), 0
@@ -93,7 +99,8 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     total, seen = sum(r.n for r in found), np.zeros(CELLS, np.int64)
     for r in found:
         seen[r.part * CELL_ROWS : (r.part + 1) * CELL_ROWS] += np.frombuffer(r.counts, np.int64)
-    return (np.log((total + 1) / (np.minimum(seen, total) + 1)) + 1).astype(np.float32)
+    least = min(max(RARE * total, 2 * seen.sum() / CELLS), total)
+    return (np.log((total + 1) / (np.clip(seen, least, total) + 1)) + 1).astype(np.float32)
 
 
 def _draws(k: int) -> tuple[np.ndarray, ...]:
@@ -145,21 +152,26 @@ def _weighted(own: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def signatures(docs: DataFrame, idf) -> DataFrame:
-    """doc_id, text_key (128 bits) and the bands' keys; texts without words have none."""
+    """doc_id, text_hash, text_key (128 bits), rep (64 of them) and the bands' keys of docs(doc_id, text_hash, text); texts without words have none."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for who, own in _texts(batch):
+            for who, own in _texts(batch, "doc_id", "text_hash"):
                 who, own = [w for w, h in zip(who, own, strict=True) if len(h)], [h for h in own if len(h)]
+                texts = [sh.text_key(h) for h in own]
                 least = samples(*_weighted(own, idf.value), len(own), BANDS * ROWS)
                 rows = least.view(np.uint32).astype(np.uint64).reshape(len(own), BANDS, ROWS)
                 keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(own), BANDS))
                 for k in range(ROWS):
                     keys = sh.mixed(keys * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, k])
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(own) + 1, BANDS, dtype=np.int32)), pa.array(keys.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array([sh.text_key(h) for h in own], pa.binary()), bands], ["doc_id", "text_key", "bands"])
+                yield pa.RecordBatch.from_arrays([*(pa.array([w[k] for w in who], pa.int64()) for k in (0, 1)), pa.array(texts, pa.binary()), pa.array(_reps(texts)), bands], ["doc_id", "text_hash", "text_key", "rep", "bands"])
+
+    return docs.mapInArrow(sign, "doc_id long, text_hash long, text_key binary, rep long, bands array<long>")
 
-    return docs.mapInArrow(sign, "doc_id long, text_key binary, bands array<long>")
+
+def _reps(texts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(t[:8] for t in texts), np.int64)
 
 
 def _sets(docs: DataFrame, idf) -> DataFrame:
@@ -167,11 +179,11 @@ def _sets(docs: DataFrame, idf) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for who, own in _texts(batch):
+            for _, own in _texts(batch):
                 h, w, doc = _weighted(own, idf.value)
                 cuts = np.searchsorted(doc, np.arange(len(own) + 1))
                 spans = list(zip(cuts[:-1], cuts[1:], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array([h[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([w[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([float(w[a:b].sum(dtype=np.float64)) for a, b in spans])], ["rep", "h", "w", "total"])
+                yield pa.RecordBatch.from_arrays([pa.array(_reps([sh.text_key(x) for x in own])), pa.array([h[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([w[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([float(w[a:b].sum(dtype=np.float64)) for a, b in spans])], ["rep", "h", "w", "total"])
 
     return docs.mapInArrow(make, "rep long, h binary, w binary, total double")
 
@@ -221,28 +233,31 @@ def near_classes(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` with an id: doc_id, class_id, same_text_as (the smallest doc_id with the same words), hubs_linked."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    idf = spark.sparkContext.broadcast(inverse_frequencies(texts))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    idf = spark.sparkContext.broadcast(inverse_frequencies(texts.select("text")))
     signed = scratch.table(signatures(texts.where("doc_id is not null"), idf), "signatures")
-    same = signed.groupBy("text_key").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("text_key", F.col("r.doc_id").alias("rep"), F.col("r.bands").alias("bands"))
-    same = scratch.table(same, "same-text")
+    same = signed.groupBy("text_key").agg(F.min(F.struct("doc_id", "text_hash", "rep", "bands")).alias("r"))
+    same = scratch.table(same.select("text_key", "r.*"), "same-text")
     banded = same.select("rep", F.explode("bands").alias("key")).distinct()
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     banded = scratch.table(banded.join(shared, "key"), "buckets")
     company = banded.groupBy("rep").agg(F.sum("n").alias("company"))
-    hubs = banded.join(company, "rep").groupBy("key").agg(F.max(F.struct("company", (-F.col("rep")).alias("rep"))).alias("hub")).select("key", (-F.col("hub.rep")).alias("hub"))
+    hubs = banded.join(company, "rep").groupBy("key").agg(F.max(F.struct("company", "rep")).alias("hub")).select("key", F.col("hub.rep").alias("hub"))
     hubs = scratch.table(hubs, "hubs")
     members = banded.join(hubs, "key").select("key", "n", "rep", "hub")
-    wanted = company.select(F.col("rep").alias("doc_id"))
-    # Of rows that share a doc_id, the smallest text stands for it.
-    first = texts.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    sets = scratch.table(_sets(first, idf), "sets")
+    # Each text that is in a bucket is read once, from the row that it was first found in.
+    carriers = same.join(company, "rep", "left_semi").select("doc_id", "text_hash")
+    first = texts.join(carriers, ["doc_id", "text_hash"], "left_semi").groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"))
+    sets = scratch.table(_sets(first.select("text"), idf), "sets")
     pairs = members.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     with_a = pairs.join(sets.select(F.col("rep").alias("a"), "h", "w", "total"), "a")
     second = sets.select(F.col("rep").alias("b"), F.col("h").alias("h2"), F.col("w").alias("w2"), F.col("total").alias("total2"))
     compared = scratch.table(_similar(with_a.join(second, "b")), "compared")
     links = compared.where(F.col("similarity") >= SIMILARITY).select("a", "b")
-    comp = scratch.table(components(links, scratch), "components")
+    # Texts of one doc_id go together, as those that are alike do.
+    ids = signed.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("_most")).where("b < _most")
+    together = scratch.table(signed.join(ids, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct(), "same-id")
+    comp = scratch.table(components(links.unionByName(together), scratch), "components")
     named = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     hub_comp = comp.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
     apart = named.join(hub_comp, "hub", "left").withColumn("alone", F.col("comp") != F.coalesce("hub_comp", "hub"))
@@ -257,15 +272,18 @@ def near_classes(docs: DataFrame) -> DataFrame:
     met = one.unionByName(two).join(sets, "rep")
     more = scratch.table(met.groupBy("key", "x", "y").applyInPandas(_compare_block, "a long, b long").distinct(), "more-links")
     if not more.isEmpty():
-        comp = scratch.table(components(links.unionByName(more), scratch), "all-components")
+        comp = scratch.table(components(links.unionByName(together).unionByName(more), scratch), "all-components")
     degree = links.groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("hubs_linked"))
+    of = comp.withColumnRenamed("node", "rep").join(same.select("rep", "doc_id"), "rep")
+    classes = of.groupBy("comp").agg(F.min("doc_id").alias("class_id"))
+    of = of.join(classes, "comp").select("rep", "class_id")
     named = (
-        same.select("text_key", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-        .select("text_key", "rep", F.coalesce("comp", "rep").alias("class_id"), F.coalesce("hubs_linked", F.lit(0)).alias("hubs_linked"))
+        same.select("text_key", "rep", F.col("doc_id").alias("same_text_as")).join(of, "rep", "left").join(degree, "rep", "left")
+        .select("text_key", "same_text_as", F.coalesce("class_id", "same_text_as").alias("class_id"), F.coalesce("hubs_linked", F.lit(0)).alias("hubs_linked"))
     )
-    named = signed.select("doc_id", "text_key").join(named, "text_key").select("doc_id", "class_id", F.col("rep").alias("same_text_as"), "hubs_linked")
+    named = signed.select("doc_id", "text_key").join(named, "text_key")
     found = scratch.table(named.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("same_text_as").alias("same_text_as"), F.max("hubs_linked").alias("hubs_linked")), "classes")
-    scratch.drop(signed, same, banded, hubs, sets, compared, comp, apart, more)
+    scratch.drop(signed, same, banded, hubs, sets, compared, together, comp, apart, more)
     return (
         texts.select("doc_id").join(found, "doc_id", "left")
         .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("same_text_as", "doc_id").alias("same_text_as"), F.coalesce("hubs_linked", F.lit(0)).cast("long").alias("hubs_linked"))

@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -7,12 +9,12 @@ from lodestone.llm import near_dedup as nd
 from lodestone.llm import shingles as sh
 
 
-def classes_of(docs, idf):
-    """Brute force: all pairs, then transitive closure."""
-    sets = []
-    for _, text in docs:
-        h, c = sh.counted(sh.shingles(sh.words(text)))
-        sets.append(dict(zip(h.tolist(), (c.astype(np.float32) * idf[nd._cells(h)]).tolist(), strict=True)))
+def classes_of(docs):
+    """Brute force: exact document frequencies, all pairs, then transitive closure."""
+    counted = [dict(zip(*(x.tolist() for x in sh.counted(sh.shingles(sh.words(text)))), strict=True)) for _, text in docs]
+    n = sum(bool(c) for c in counted)
+    df = Counter(h for c in counted for h in c)
+    sets = [{h: k * (math.log((n + 1) / (max(df[h], nd.RARE * n) + 1)) + 1) for h, k in c.items()} for c in counted]
     parent = list(range(len(docs)))
 
     def root(x):
@@ -58,7 +60,7 @@ def corpus(seed=3):
 def test_classes_match_all_pairs(spark, seed):
     docs = corpus(seed)
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    want = classes_of(docs, nd.inverse_frequencies(df))
+    want = classes_of(docs)
     got = {r.doc_id: r.class_id for r in nd.near_classes(df).collect()}
     assert got == want
 
@@ -88,3 +90,22 @@ def test_edge_cases(spark):
 
 def test_empty(spark):
     assert nd.near_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rows_that_share_an_id_bring_all_their_texts(spark):
+    rng = random.Random(2)
+    a, b, c = ([rng.choice("abcdefghij") + str(rng.randint(0, 999)) for _ in range(80)] for _ in range(3))
+    near = [*b[:40], "other", *b[41:]]
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (5, " ".join(near)), (6, " ".join(c)), (7, " ".join(a)), (4, " ".join(c[:79])), (9, " ".join(b) + "!"), (9, "alone"), (8, "Alone.")]
+    got = {(r.doc_id, r.class_id) for r in nd.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (5, 1), (7, 1), (9, 1), (8, 1), (6, 4), (4, 4)}
+
+
+def test_rare_shingles_weigh_alike_whatever_shares_their_cell(spark):
+    """Weights don't depend on how many shingles meet in a cell, as long as a cell's mean stays below the floor."""
+    docs = spark.range(3000).selectExpr("concat_ws(' ', transform(sequence(1, 60), k -> concat('w', cast(hash(id, k) as string))), 'this is said in every one of them') as text")
+    idf = nd.inverse_frequencies(docs)
+    rare = math.log(3001 / (nd.RARE * 3000 + 1)) + 1
+    common = {int(nd._cells(x[None])[0]) for x in sh.shingles(sh.words("this is said in every one of them"))}
+    assert (abs(np.delete(idf, sorted(common)) - rare) < 1e-5).all()
+    assert all(abs(idf[c] - 1) < 1e-5 for c in common)
