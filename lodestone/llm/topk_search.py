@@ -33,7 +33,7 @@ from lodestone.llm import shingles as sh
 from lodestone.llm.scratch import Scratch, open_files
 
 K1, B = 1.5, 0.75
-SHARD_DOCS, SHARD_POSTINGS = 1 << 14, 1 << 22
+SHARD_DOCS, SHARD_POSTINGS = 1 << 14, 1 << 20
 #: Documents in a block, and blocks that a query scores first in a shard; then four times as many, and so on.
 BLOCK, FIRST = 64, 8
 #: A list in over this share of a shard's documents is dense.
@@ -57,15 +57,13 @@ def build_index(docs: DataFrame) -> DataFrame:
         def shard() -> pa.RecordBatch:
             # Documents of one language or subject have the same most frequent word.
             top = np.array([t[np.argmax(c)] if len(t) else 0 for t, c in zip(terms, counts, strict=True)], np.uint64)
-            place = np.empty(len(ids), np.int32)
-            place[np.lexsort((lengths, top))] = np.arange(len(ids), dtype=np.int32)
-            flat, tf = np.concatenate(terms), np.concatenate(counts)
-            own = np.repeat(place, [len(t) for t in terms])
-            order = np.lexsort((own, flat))
+            place = np.lexsort((lengths, top))
+            flat, tf = np.concatenate([terms[k] for k in place]), np.concatenate([counts[k] for k in place])
+            own = np.repeat(np.arange(len(ids), dtype=np.uint16), [len(terms[k]) for k in place])  # a shard has at most 2**16 documents
+            order = np.argsort(flat, kind="stable")
             flat, tf, own = flat[order], tf[order], own[order]
             begins = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
-            by_place = np.argsort(place)
-            raw = [np.array(ids, np.int64)[by_place], np.array(lengths, np.int32)[by_place], flat[begins], np.r_[begins, len(flat)].astype(np.int64), own, tf.astype(np.int32)]
+            raw = [np.array(ids, np.int64)[place], np.array(lengths, np.int32)[place], flat[begins], np.r_[begins, len(flat)].astype(np.int32), own, tf.astype(np.uint16 if not len(tf) or tf.max() < 1 << 16 else np.uint32)]
             return pa.RecordBatch.from_arrays([*(pa.array([x.tobytes()], pa.binary()) for x in raw), pa.array([len(ids)], pa.int64()), pa.array([sum(lengths)], pa.int64())], ["doc_ids", "lengths", "terms", "begins", "docs", "counts", "n_docs", "n_words"])
 
         for batch in batches:
@@ -93,7 +91,7 @@ def frequencies(index: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for terms, begins in zip(batch.column("terms").to_pylist(), batch.column("begins").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(terms, np.int64)), pa.array(np.diff(np.frombuffer(begins, np.int64)))], ["term", "df"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(terms, np.int64)), pa.array(np.diff(np.frombuffer(begins, np.int32)).astype(np.int64))], ["term", "df"])
 
     return index.select("terms", "begins").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
@@ -168,10 +166,12 @@ class Shard:
 
     def __init__(self, row: dict, mean: float):
         self.ids, lengths = np.frombuffer(row["doc_ids"], np.int64), np.frombuffer(row["lengths"], np.int32)
-        self.terms, self.begins = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["begins"], np.int64)
-        self.docs, tf = np.frombuffer(row["docs"], np.int32), np.frombuffer(row["counts"], np.int32).astype(np.float64)
-        norm = K1 * (1 - B + B * lengths / mean)
-        self.impacts = tf * (K1 + 1) / (tf + norm[self.docs])
+        self.terms, self.begins = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["begins"], np.int32)
+        self.docs = np.frombuffer(row["docs"], np.uint16).astype(np.int32)
+        tf = np.frombuffer(row["counts"], np.uint16 if len(row["counts"]) == len(row["docs"]) else np.uint32)
+        self.impacts = (K1 * (1 - B + B * lengths / mean))[self.docs]
+        self.impacts += tf
+        np.divide(tf * (K1 + 1), self.impacts, out=self.impacts)
         n = len(self.ids)
         self.blocks = -(-n // BLOCK)
         common = np.flatnonzero(np.diff(self.begins) > max(BLOCK, COMMON * n))
@@ -185,7 +185,7 @@ class Shard:
         new = np.r_[True, block[1:] != block[:-1]][: len(block)]
         new[self.begins[:-1]] = True
         starts = np.flatnonzero(new)
-        self.cell_begins, self.cell_block = np.r_[starts, len(block)], block[starts]
+        self.cell_begins, self.cell_block = np.r_[starts, len(block)].astype(np.int32), block[starts]
         self.cell_most = np.maximum.reduceat(self.impacts, starts) if len(starts) else np.zeros(0)
         self.cells = np.searchsorted(starts, self.begins)
         self.read = self.held = 0  # postings read, and postings of all the cut lists that were asked for

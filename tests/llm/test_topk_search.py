@@ -91,8 +91,8 @@ def test_blocks_that_can_not_reach_the_threshold_are_not_read():
     n, terms = 4096, 40
     docs = [np.flatnonzero(rng.random(n) < np.where(np.arange(n) // 64 == 7, 0.5, 0.05)) for _ in range(terms)]
     tf = [np.where(d // 64 == 7, 5, 1) for d in docs]
-    begins = np.r_[0, np.cumsum([len(d) for d in docs])].astype(np.int64)
-    shard = ts.Shard({"doc_ids": np.arange(n).tobytes(), "lengths": np.full(n, 50, np.int32).tobytes(), "terms": np.arange(terms, dtype=np.uint64).tobytes(), "begins": begins.tobytes(), "docs": np.concatenate(docs).astype(np.int32).tobytes(), "counts": np.concatenate(tf).astype(np.int32).tobytes()}, 50.0)
+    begins = np.r_[0, np.cumsum([len(d) for d in docs])].astype(np.int32)
+    shard = ts.Shard({"doc_ids": np.arange(n).tobytes(), "lengths": np.full(n, 50, np.int32).tobytes(), "terms": np.arange(terms, dtype=np.uint64).tobytes(), "begins": begins.tobytes(), "docs": np.concatenate(docs).astype(np.uint16).tobytes(), "counts": np.concatenate(tf).astype(np.uint16).tobytes()}, 50.0)
     best = ts.Best(5)
     asked = np.arange(3, dtype=np.uint64)
     shard.search([(asked, np.ones(3))], [best])
