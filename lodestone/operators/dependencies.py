@@ -40,21 +40,21 @@ def prerequisites(text: Column | str) -> Column:
 
 
 def extract(chunks: DataFrame, more: DataFrame | None = None) -> DataFrame:
-    """chunks(source, chunk_idx, text) plus has_marker, related (``source::number``), see_also, prerequisites and method.
+    """chunks(source, chunk_idx, text) plus has_marker, related (``source::number``), see_also, prerequisites and method:
+    ``regex`` where there is a marker, whatever is found near it.
 
     ``more``(source, chunk_idx, related, prerequisites) are another extractor's findings; they follow ours, each value once.
     """
     qualified = F.transform(reference_numbers("text"), lambda n: F.concat(F.col("source"), F.lit("::"), n))
     out = chunks.withColumn("has_marker", has_marker("text"))
     out = out.withColumns({"related": F.when(F.col("has_marker"), qualified).otherwise(F.array().cast("array<string>")), "prerequisites": F.when(F.col("has_marker"), prerequisites("text")).otherwise(F.array().cast("array<string>"))})
-    own = F.size("related") + F.size("prerequisites") > 0
-    method = F.when(own, F.lit("regex")).otherwise(F.lit("none"))
+    method = F.when(F.col("has_marker"), F.lit("regex")).otherwise(F.lit("none"))
     if more is not None:
         extra = more.select("source", "chunk_idx", F.col("related").alias("_related"), F.col("prerequisites").alias("_prerequisites"))
         none = F.array().cast("array<string>")
         out = out.join(extra, ["source", "chunk_idx"], "left")
-        found = F.coalesce(F.size("_related") + F.size("_prerequisites"), F.lit(0)) > 0
-        method = F.when(own & found, F.lit("regex+model")).when(found, F.lit("model")).otherwise(method)
+        asked = F.col("_related").isNotNull() | F.col("_prerequisites").isNotNull()
+        method = F.when(F.col("has_marker") & asked, F.lit("regex+model")).when(asked, F.lit("model")).otherwise(method)
         out = out.withColumn("method", method).withColumns({c: F.array_distinct(F.concat(F.col(c), F.coalesce(F.col(f"_{c}"), none))) for c in ("related", "prerequisites")}).drop("_related", "_prerequisites")
     else:
         out = out.withColumn("method", method)

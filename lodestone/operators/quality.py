@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,10 +22,18 @@ def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
 
 
-def matched(gold: DataFrame, predicted: DataFrame, classes: Sequence[str] = STATUSES) -> DataFrame:
-    """gold(id, status) and predicted(id, status) side by side: id, actual, predicted, side (both, missing, extra), valid."""
-    g = gold.select(normal_id("id").alias("id"), F.col("status").alias("actual"))
-    p = predicted.select(normal_id("id").alias("id"), F.col("status").alias("predicted"))
+def matched(gold: DataFrame, predicted: DataFrame, classes: Sequence[str] = STATUSES, order: str = "ord") -> DataFrame:
+    """gold(id, status) and predicted(id, status) side by side: id, actual, predicted, side (both, missing, extra), valid.
+
+    Of rows with one id the last counts: by the column ``order`` where there is one, else as the rows are read. Blank ids are left out.
+    """
+
+    def one_each(rows: DataFrame, name: str) -> DataFrame:
+        at = F.col(order) if order in rows.columns else F.monotonically_increasing_id()
+        rows = rows.select(normal_id("id").alias("id"), F.struct(tx.strip("status").alias(name)).alias("_s"), at.alias("_at")).where(~tx.blank("id"))
+        return rows.groupBy("id").agg(F.max_by("_s", "_at").alias("_s")).select("id", f"_s.{name}")
+
+    g, p = one_each(gold, "actual"), one_each(predicted, "predicted")
     side = F.when(F.col("p.id").isNull(), "missing").when(F.col("g.id").isNull(), "extra").otherwise("both")
     valid = F.coalesce(F.col("actual").isin(*classes) & F.col("predicted").isin(*classes), F.lit(False))
     return g.alias("g").join(p.alias("p"), F.col("g.id") == F.col("p.id"), "full_outer").select(F.coalesce("g.id", "p.id").alias("id"), "actual", "predicted", side.alias("side"), valid.alias("valid"))
@@ -60,6 +68,25 @@ def quality(pairs: DataFrame, classes: Sequence[str] = STATUSES, strict: bool =
     return totals.crossJoin(F.broadcast(per))  # one row each
 
 
+def summary(pairs: DataFrame, classes: Sequence[str] = STATUSES, shown: int = 10) -> str:
+    """The evaluation as text. What is read by the driver is a row a class, one of totals and ``shown`` ids of each side."""
+    q = quality(pairs, classes).first()
+    lines = [f"Matched records: {q.matched} / {q.gold_total}", f"Macro-F1: {q.macro_f1:.3f}", f"Accuracy: {q.accuracy:.3f}", "Per-class F1:"]
+    per = {r["class"]: r for r in class_metrics(pairs, classes).collect()}
+    lines += [f"  {c}: F1={per[c].f1:.2f} (P={per[c].precision:.2f}, R={per[c].recall:.2f}, support={per[c].support})" for c in classes]
+    for side, title, n in (("missing", "Missing in predictions", q.missing), ("extra", "Unknown in predictions", q.extra)):
+        if n:
+            ids = [r.id for r in pairs.where(F.col("side") == side).orderBy("id").limit(shown).collect()]
+            lines.append(f"{title}: {', '.join(ids)}" + (f", … (+{n - shown})" if n > shown else ""))
+    return "\n".join([*lines, f"Unknown statuses: {q.invalid}"] if q.invalid else lines)
+
+
+def missed_gates(report: DataFrame, least: Mapping[str, float]) -> DataFrame:
+    """gate, value, least, passed of a one-row report's columns."""
+    rows = F.array(*[F.struct(F.lit(c).alias("gate"), F.col(c).cast("double").alias("value"), F.lit(float(v)).alias("least"), (F.col(c) >= v).alias("passed")) for c, v in least.items()])
+    return report.select(F.inline(rows))
+
+
 def confusion(pairs: DataFrame, classes: Sequence[str] = STATUSES) -> DataFrame:
     """actual, predicted, n for every pair of classes."""
     seen = pairs.where("side = 'both' and valid").groupBy("actual", "predicted").agg(F.count("*").alias("n"))

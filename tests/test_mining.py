@@ -40,6 +40,13 @@ def test_atoms(spark):
     assert [r.block_id for r in got if r.block_id in (2, 3)] == [2]
 
 
+def test_a_marker_is_enough_for_the_method(spark):
+    rows = spark.createDataFrame([("a", 1, "Зависит от модуля."), ("a", 2, "ничего"), ("a", 3, "см. раздел 1.2"), ("a", 4, "ничего")], "source string, chunk_idx int, text string")
+    assert [r.method for r in dependencies.extract(rows).orderBy("chunk_idx").collect()] == ["regex", "none", "regex", "none"]
+    more = spark.createDataFrame([("a", 1, [], []), ("a", 4, ["a::9"], [])], "source string, chunk_idx int, related array<string>, prerequisites array<string>")
+    assert [r.method for r in dependencies.extract(rows, more).orderBy("chunk_idx").collect()] == ["regex+model", "none", "regex", "model"]
+
+
 def test_parents(spark):
     rows = spark.createDataFrame([(1, 1, "1", None, 0.78), (1, 2, "1.a", None, 0.9), (1, 3, "2", "1", 0.9), (1, 4, "x", None, 0.9), (2, 1, "1.a.i", None, 0.9), (2, 2, None, None, 0.9)], "block_id long, span_no int, marker string, parent_marker string, confidence double")
     got = {(r.block_id, r.span_no): r for r in atoms.with_parents(rows).collect()}

@@ -25,6 +25,23 @@ def test_unknown_status_and_empty(spark):
     assert (e.gold_total, e.accuracy, e.macro_f1) == (0, 0.0, 0.0)
 
 
+def test_of_repeated_ids_the_last_counts(spark):
+    gold = spark.createDataFrame([("1", "Нет", 1), ("1", " Да ", 2), ("2", "Нет", 1), (" ", "Да", 1), (None, "Да", 1)], "id string, status string, ord int")
+    said = spark.createDataFrame([("2", "Да", 1), ("2.0", "Нет", 2), ("1", "Да", 1)], "id string, status string, ord int")
+    q = quality.quality(quality.matched(gold, said)).first()
+    assert (q.gold_total, q.matched, q.missing, q.extra, q.accuracy) == (2, 2, 0, 0, 1.0)
+    as_read = quality.matched(gold.drop("ord").coalesce(1), said.drop("ord").coalesce(1))
+    assert quality.quality(as_read).first().accuracy == 1.0
+
+
+def test_summary_and_gates(spark):
+    p = pairs(spark, [("1", "Да"), ("2", "Нет"), ("3", "?"), *((str(k), "Да") for k in range(10, 22))], [("1.0", "Да"), ("2", "Да"), ("3", "Да"), ("99", "НД")])
+    text = quality.summary(p)
+    assert "Matched records: 2 / 15" in text and "  Да: F1=0.67 (P=0.50, R=1.00, support=1)" in text and "… (+2)" in text and "Unknown in predictions: 99" in text and text.endswith("Unknown statuses: 1")
+    gates = {r.gate: (r.value, r.passed) for r in quality.missed_gates(quality.quality(p), {"accuracy": 0.5, "macro_f1": 0.9}).collect()}
+    assert gates["accuracy"] == (0.5, True) and not gates["macro_f1"][1]
+
+
 def test_last_wins(spark):
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "k string, n int, v string")
     assert sorted(r.v for r in quality.last_wins(rows, "k", "n").collect()) == ["y", "z"]
