@@ -14,13 +14,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
-from lodestone.plans.sizing import broadcast_if_small
+from lodestone.plans.sizing import broadcast_if_small, is_small
+from lodestone.plans.tables import new_path, read_part, written
 
 K1, B = 1.5, 0.75
 RRF_K = 60
 PARENT_CHARS = 6000
-#: Query vectors that are held by every task at once.
-QUERY_BLOCK = 4096
+#: Query vectors that are held by every task at once, and vectors that they meet at once.
+QUERY_BLOCK, DENSE_ROWS = 4096, 1024
 
 
 def ranked(hits: DataFrame, k: int | None, *ties: str) -> DataFrame:
@@ -39,67 +40,122 @@ def term_statistics(docs: DataFrame) -> DataFrame:
     return per_doc.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).withColumn("idf", F.round(idf, 6))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 5, k1: float = K1, b: float = B) -> DataFrame:
-    """The best of documents(doc_id, text) for each of queries(query_id, text).
+def postings_of(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """A kept index of documents(doc_id, text): term, doc_id, tf, dl, of all terms or of those in ``terms``(term), read from a written table.
 
-    A query word that is repeated counts again. Only postings of query words are shuffled: documents' words meet the query words
-    before they are counted, by a broadcast while the vocabulary is small.
+    Each document has one more row, of the term ``''``, which no text has, so that documents and their lengths are counted out of the same
+    pass over the texts. Only these rows are shuffled: documents' words meet the terms before they are counted.
+    """
+    rows = docs.select("doc_id", tx.tokens("text").alias("_w")).select("doc_id", F.size("_w").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "_w")).alias("term"))
+    if terms is not None:
+        every = terms.select("term").distinct()
+        marked = every.unionByName(docs.sparkSession.createDataFrame([("",)], "term string"))
+        rows = rows.join(broadcast_if_small(marked), "term")
+    return written(rows.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")), "postings")
+
+
+def with_documents(index: DataFrame, docs: DataFrame) -> DataFrame:
+    """A kept index with more documents, which replace those of the same doc_id; texts without words are left out."""
+    new = postings_of(docs.where(F.size(tx.tokens("text")) > 0))
+    return written(index.join(new.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(new), "postings")
+
+
+def bm25(docs: DataFrame | None, queries: DataFrame, k: int | None = 5, k1: float = K1, b: float = B, index: DataFrame | None = None) -> DataFrame:
+    """The best of documents(doc_id, text), or of a kept ``index`` of them, for each of queries(query_id, text).
+
+    A query word that is repeated counts again. Texts are cut into words once; everything else reads the written postings of query words.
     """
     wanted = queries.select("query_id", F.explode(tx.tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    n, words = docs.select(F.size(tx.tokens("text")).alias("dl")).agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    index = postings_of(docs, wanted) if index is None else index
+    n, words = index.where("term = ''").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
     mean = words / max(1, n)
-    vocabulary = broadcast_if_small(wanted.select("term").distinct())
-    split = docs.select("doc_id", tx.tokens("text").alias("_w")).select("doc_id", F.size("_w").alias("dl"), F.explode("_w").alias("term"))
-    postings = split.join(vocabulary, "term").groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = wanted.join(df, "term").withColumn("w", F.col("qtf") * F.log1p((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    df = index.groupBy("term").agg(F.count("*").alias("df"))
+    weighted = wanted.join(df, "term").select("query_id", "term", (F.col("qtf") * F.log1p((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w"))
+    # As many rows as query words at most, and only these are counted.
+    weighted = F.broadcast(weighted) if is_small(wanted) else weighted
     part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / mean if mean else F.lit(1.0)))
-    scored = postings.join(broadcast_if_small(weighted.select("query_id", "term", "w")), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    scored = index.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     return ranked(scored.where("score > 0"), k, "doc_id")
 
 
+def _unit_rows(vectors: pa.ListArray, width: int | None = None) -> np.ndarray:
+    """Rows of unit length, or of zeros; with ``width``, cut or filled up to it after scaling."""
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    sizes = vectors.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = np.nan_to_num(vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
+    wide = int(sizes.max()) if len(sizes) else 0
+    out = np.zeros((len(sizes), wide))
+    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    norms = np.linalg.norm(out, axis=1)
+    out /= np.where(norms > 0, norms, 1.0)[:, None]
+    if width is None or width == wide:
+        return out
+    return out[:, :width] if width < wide else np.pad(out, ((0, 0), (0, width - wide)))
+
+
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """The nearest of vectors(doc_id, embedding) for each of queries(query_id, embedding) by cosine similarity.
 
-    Queries are taken in blocks of ``QUERY_BLOCK``; every task keeps the k best of its own rows, so a query costs k rows of
-    shuffle per task. Zero vectors have similarity 0; vectors of another length than the query's are compared over the shorter one.
+    Queries are written in blocks of about ``QUERY_BLOCK``, which tasks read; every task keeps the k best of its own rows, so a query
+    costs k rows of shuffle per task. Zero vectors have similarity 0; vectors of another length than the query's are compared over the shorter one.
     """
     spark = vectors.sparkSession
     base = queries.where("embedding is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     blocks = max(1, -(-base.count() // QUERY_BLOCK))
+    path = new_path(spark, "query-vectors")
+    base.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).repartition("block").write.partitionBy("block").parquet(path)
+    rows = vectors.where("embedding is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     found = None
     for block in range(blocks):
-        rows = base.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
-        width = max((len(r.embedding) for r in rows), default=0)
-        q = np.zeros((len(rows), width))
-        for i, r in enumerate(rows):
-            v = np.nan_to_num(np.array(r.embedding, float))
-            q[i, : len(v)] = v / (np.linalg.norm(v) or 1.0)
-        shared = spark.sparkContext.broadcast((np.array([r.query_id for r in rows], np.int64), q))
-
-        def nearest(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, unit = shared.value
-            best: list[list[tuple[float, int]]] = [[] for _ in ids]
+
+        def nearest(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            asked = read_part(path, f"block={block}", ["query_id", "embedding"])
+            if asked is None:
+                return
+            ids, unit = asked["query_id"].to_numpy(), _unit_rows(asked["embedding"])
+            q, d, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
             for batch in batches:
-                rows = batch.column("embedding").to_pylist()
-                who = batch.column("doc_id").to_numpy()
-                m = np.zeros((len(rows), unit.shape[1]))
-                for i, v in enumerate(rows):
-                    v = np.nan_to_num(np.array(v, float))
-                    m[i, : min(len(v), m.shape[1])] = v[: m.shape[1]] / (np.linalg.norm(v) or 1.0)
-                sims = np.round(m @ unit.T, 6)
-                for j in range(len(ids)):
-                    order = np.lexsort((who, -sims[:, j]))[:k]
-                    best[j] = sorted([*best[j], *((-sims[i, j], int(who[i])) for i in order)])[:k]
-            flat = [(int(ids[j]), d, -s) for j, rows in enumerate(best) for s, d in rows]
-            if flat:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*flat, strict=True)], ["query_id", "doc_id", "score"])
-
-        part = vectors.where("embedding is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "embedding").mapInArrow(nearest, "query_id long, doc_id long, score double")
+                for a in range(0, batch.num_rows, DENSE_ROWS):
+                    part = batch.slice(a, DENSE_ROWS)
+                    who, sims = part.column("doc_id").to_numpy(), np.round(_unit_rows(part.column("embedding"), unit.shape[1]) @ unit.T, 6)
+                    least = np.partition(sims, -k, axis=0)[-k] if len(sims) > k else np.full(len(ids), -np.inf)
+                    i, j = np.nonzero(sims >= least)
+                    q, d, s = np.concatenate([q, j]), np.concatenate([d, who[i]]), np.concatenate([s, sims[i, j]])
+                    order = np.lexsort((d, -s, q))
+                    q, d, s = q[order], d[order], s[order]
+                    first = np.searchsorted(q, q)
+                    keep = np.arange(len(q)) - first < k
+                    q, d, s = q[keep], d[keep], s[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(d), pa.array(s)], ["query_id", "doc_id", "score"])
+
+        part = rows.mapInArrow(nearest, "query_id long, doc_id long, score double")
         found = part if found is None else found.unionByName(part)
     return ranked(found, k, "doc_id")
 
 
+def nearest_of_few(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, doc_id, score: the nearest of a few vectors(doc_id, embedding), at most ``QUERY_BLOCK``, for each of any number of queries(query_id, embedding)."""
+    path = new_path(vectors.sparkSession, "few-vectors")
+    few = vectors.where("embedding is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    few.coalesce(1).write.parquet(f"{path}/all")
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = read_part(path, "all", ["doc_id", "embedding"])
+        if held is None or not held.num_rows:
+            return
+        held = held.sort_by("doc_id")
+        ids, unit = held["doc_id"].to_numpy(), _unit_rows(held["embedding"])
+        for batch in batches:
+            for a in range(0, batch.num_rows, DENSE_ROWS):
+                part = batch.slice(a, DENSE_ROWS)
+                sims = np.round(_unit_rows(part.column("embedding"), unit.shape[1]) @ unit.T, 6)
+                at = sims.argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([part.column("query_id"), pa.array(ids[at]), pa.array(sims[np.arange(len(at)), at])], ["query_id", "doc_id", "score"])
+
+    rows = queries.where("embedding is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return rows.mapInArrow(nearest, "query_id long, doc_id long, score double")
+
+
 def result_key(chunk_id: Column, source: Column, page: Column, text: Column) -> Column:
     """``id::`` key where there is an id, else one of source, page and text."""
     return F.when(~tx.blank(chunk_id), F.concat(F.lit("id::"), chunk_id)).otherwise(F.concat_ws("::", F.lit("sp"), F.coalesce(source, F.lit("")), F.coalesce(page, F.lit("")), F.coalesce(text, F.lit(""))))
@@ -121,10 +177,14 @@ def fuse(lists: Sequence[DataFrame], key: str = "doc_id", k: int = RRF_K, top: i
     return ranked(fused, top, "first_list", "first_rank", key)
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, k: int = 5, rrf_k: int = RRF_K) -> DataFrame:
-    """BM25 and dense hits, each cut to 2k, fused and cut to k; the dense similarity is attached where there is one."""
-    lexical = bm25(docs, queries, 2 * k)
-    near = dense(vectors, query_vectors, 2 * k)
+def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, k: int = 5, rrf_k: int = RRF_K, index: DataFrame | None = None, candidates: int | None = -1) -> DataFrame:
+    """BM25 and dense hits fused and cut to k; the dense similarity is attached where there is one.
+
+    Each list is cut to ``candidates`` first, 2k by default; None takes all that BM25 finds, and as many dense ones as there are vectors.
+    """
+    cut = 2 * k if candidates == -1 else candidates
+    lexical = bm25(docs, queries, cut, index=index)
+    near = dense(vectors, query_vectors, cut if cut is not None else max(1, vectors.count()))
     fused = fuse([lexical, near], "doc_id", rrf_k, k)
     return fused.join(near.select("query_id", "doc_id", F.col("score").alias("similarity")), ["query_id", "doc_id"], "left")
 
@@ -148,6 +208,16 @@ def collapse_parents(hits: DataFrame, limit: int = PARENT_CHARS) -> DataFrame:
     return grouped.withColumn("rank", order).drop("_at")
 
 
+def parent_search(search: Callable[[DataFrame], DataFrame], passages: DataFrame, k: int, limit: int = PARENT_CHARS) -> Callable[[DataFrame], DataFrame]:
+    """A search for passages(doc_id, parent_id, text, parent_text) that returns their parents, once each, at most ``k`` of a query."""
+
+    def found(queries: DataFrame) -> DataFrame:
+        hits = search(queries).select("query_id", "doc_id", "score", "rank")
+        return collapse_parents(hits.join(passages.select("doc_id", "parent_id", "text", "parent_text"), "doc_id"), limit).where(F.col("rank") <= max(0, k))
+
+    return found
+
+
 def append_new(known: DataFrame, more: DataFrame, key: Sequence[str] = ("query_id", "doc_id")) -> DataFrame:
     """``known`` followed by the rows of ``more`` whose key is neither there nor earlier in ``more``. ``known`` is taken as it is."""
     key = list(key)
@@ -206,6 +276,52 @@ def expanded(search: Callable[[DataFrame], DataFrame], queries: DataFrame, rewri
     return ranked(fused.select("query_id", "doc_id", "score", "_first"), top, "_first", "doc_id").select("query_id", "doc_id", "score", "rank").unionByName(alone)
 
 
+def composed(search: Callable[[DataFrame], DataFrame], k: int, reflect: Reflect | None = None, rewrite: Callable[[DataFrame], DataFrame] | None = None, passages: DataFrame | None = None) -> Callable[[DataFrame], DataFrame]:
+    """parents(rewrites(hops(search))), each only where it is given: a judge, a source of rewrites, passages with parents.
+
+    What the hops and the parents find is numbered anew from 1, as ``rank``.
+    """
+    inner = search
+    if reflect is not None:
+        hops = search
+
+        def inner(queries: DataFrame) -> DataFrame:
+            return multi_hop(hops, queries, reflect).select("query_id", "doc_id", "score", F.col("position").alias("rank"))
+
+    outer = inner
+    if rewrite is not None:
+
+        def outer(queries: DataFrame) -> DataFrame:
+            return expanded(inner, queries, rewrite(queries), k)
+
+    return outer if passages is None else parent_search(outer, passages, k)
+
+
+def reflection_prompt(question: Column, current: Column, chunks: Column) -> Column:
+    """A judge's message: the question, the present query where it differs, and numbered chunks(source, chunk_idx, page, text)."""
+
+    def block(c: Column, i: Column) -> Column:
+        ident = F.when(c["chunk_idx"].isNotNull(), F.concat(F.lit(" chunk_idx="), c["chunk_idx"].cast("string"))).otherwise("")
+        page = F.when(~tx.blank(c["page"]), F.concat(F.lit(" page="), c["page"])).otherwise("")
+        source = F.coalesce(F.nullif(c["source"], F.lit("")), F.lit("unknown"))
+        return F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] source="), source, ident, page, F.lit("\n"), tx.strip(tx.text_or_empty(c["text"])))
+
+    context = F.when(F.coalesce(F.size(chunks), F.lit(0)) <= 0, "(no context)").otherwise(F.array_join(F.transform(chunks, block), "\n\n"))
+    now, asked = tx.strip(tx.text_or_empty(current)), tx.strip(tx.text_or_empty(question))
+    query = F.when((now != asked) & (tx.text_or_empty(current) != ""), F.concat(F.lit("\n<current_query>"), now, F.lit("</current_query>"))).otherwise("")
+    return F.concat(F.lit("<question>"), asked, F.lit("</question>"), query, F.lit("\n\n<context>\n"), context, F.lit("\n</context>"))
+
+
+def rewrite_prompt(text: Column | str, most: int) -> Column:
+    """The message that asks for rewrites of a query."""
+    return F.concat(F.lit("<query>"), tx.strip(tx.text_or_empty(text)), F.lit(f"</query>\nReturn exactly {most} query rewrites as a JSON array of strings."))
+
+
+def page_label(page: Column, section: Column, chapter: Column) -> Column:
+    """The first of page, section and chapter that isn't blank; ``''`` where none is."""
+    return F.coalesce(*[F.nullif(F.coalesce(c.cast("string"), F.lit("")), F.lit("")) for c in (page, section, chapter)], F.lit(""))
+
+
 def overlap_search(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Documents by the number of distinct white-space tokens that they share with the query."""
     wanted = queries.select("query_id", F.explode(F.array_distinct(tx.whitespace_tokens(F.lower("text")))).alias("token"))

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows; else as it is, for a join that shuffles by key.
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` has at most ``rows`` rows. Counting stops once the bound is passed."""
+    return df.select(F.lit(1)).limit(rows + 1).count() <= rows
+
 
-    The rows are narrow (keys and numbers). Counting stops once the bound is passed.
-    """
-    return F.broadcast(df) if df.select(F.lit(1)).limit(rows + 1).count() <= rows else df
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows (narrow ones: keys and numbers); else as it is, for a join that shuffles by key."""
+    return F.broadcast(df) if is_small(df, rows) else df

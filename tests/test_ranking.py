@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,6 +34,42 @@ def test_dense(spark):
     assert ranking.dense(v, q.limit(0), 3).count() == 0
 
 
+def test_dense_against_numpy(spark):
+    """Many vectors of unlike lengths, with nulls inside, ties, and more queries than a block."""
+    rng = np.random.default_rng(4)
+    rows = [(k, [None if rng.random() < 0.05 else float(x) for x in rng.integers(-2, 3, 6 if k % 7 else 4)]) for k in range(300)]
+    v = spark.createDataFrame(rows, "doc_id long, embedding array<double>").repartition(5)
+    asked = v.where("doc_id % 10 = 0").withColumnRenamed("doc_id", "query_id")
+    unit = lambda e: np.nan_to_num(np.array(e, float)) / (np.linalg.norm(np.nan_to_num(np.array(e, float))) or 1.0)
+    was, ranking.QUERY_BLOCK = ranking.QUERY_BLOCK, 7
+    try:
+        got = sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in ranking.dense(v, asked, 4).collect())
+    finally:
+        ranking.QUERY_BLOCK = was
+    want = []
+    for q, e in rows[::10]:
+        scored = sorted((-round(float(sum(a * b for a, b in zip(unit(e), unit(w), strict=False))), 6), d) for d, w in rows)[:4]
+        want += [(q, k + 1, d, s) for k, (s, d) in enumerate(scored)]
+    assert [x[:3] for x in got] == [x[:3] for x in want] and all(abs(a[3] + b[3]) < 2e-6 for a, b in zip(got, want, strict=True))
+    few = sorted((r.query_id, r.doc_id) for r in ranking.nearest_of_few(v.where("doc_id < 50"), asked).collect())
+    best = {q: min((-round(float(sum(a * b for a, b in zip(unit(e), unit(w), strict=False))), 6), d) for d, w in rows[:50])[1] for q, e in rows[::10]}
+    assert dict(few) == best
+
+
+def test_kept_index(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "beta"), (3, "")], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "alpha beta")], "query_id long, text string")
+    index = ranking.with_documents(ranking.postings_of(docs), spark.createDataFrame([(2, "alpha"), (4, "beta"), (5, " ")], "doc_id long, text string"))
+    now = spark.createDataFrame([(1, "alpha beta"), (2, "alpha"), (3, ""), (4, "beta")], "doc_id long, text string")
+    rows = lambda df: sorted((r.doc_id, r.score) for r in df.collect())
+    assert rows(ranking.bm25(None, q, 5, index=index)) == rows(ranking.bm25(now, q, 5))
+
+
+def test_page_labels(spark):
+    df = spark.sql("SELECT '' p, 's' s, 'c' c UNION ALL SELECT null, null, 'c' UNION ALL SELECT '3', 's', '' UNION ALL SELECT null, '', null")
+    assert sorted(r.x for r in df.select(ranking.page_label(F.col("p"), F.col("s"), F.col("c")).alias("x")).collect()) == ["", "3", "c", "s"]
+
+
 def test_fusion(spark):
     a, b = hits(spark, [(1, 10, 1), (1, 11, 2)]), hits(spark, [(1, 11, 1), (1, 12, 2)])
     got = ranking.fuse([a, b]).orderBy("rank").collect()
