@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
@@ -95,11 +96,11 @@ def validate_reflection(raw: Column | str) -> Column:
     return F.when(fine, F.struct((flag == "true").alias("sufficient"), F.when(~tx.blank(follow), tx.strip(follow)).alias("follow_up"), sure.alias("confidence")))
 
 
-def classify(requests: DataFrame, providers: Mapping[str, Provider], order: Sequence[str], system: str = "", retries: int = 1, retriable: tuple = (ConnectionError, TimeoutError)) -> DataFrame:
+def classify(requests: DataFrame, providers: Mapping[str, Provider], order: Sequence[str], system: str = "", retries: int = 1, retriable: tuple = (ConnectionError, TimeoutError), wait: Callable[[float], None] = time.sleep) -> DataFrame:
     """requests(query_id, text, chunks, gate) -> query_id, gate, status, confidence, reasoning, citations, requires_ba_review, provider, error.
 
     Gated and blank rows never reach a provider. Prompts are masked. Providers are tried in order, each ``retries`` times for the errors
-    that are worth it; an answer that doesn't validate moves on to the next; unknown names are skipped. One row's failure is its own.
+    that are worth it, after waits that grow; an answer that doesn't validate moves on to the next; unknown names are skipped. One row's failure is its own.
     The result calls providers each time it is computed: write it before it is used twice.
     """
     prompt = masking.mask(user_message(tx.text_or_empty("text"), context_text("chunks"), F.col("query_id").cast("string")))
@@ -107,20 +108,16 @@ def classify(requests: DataFrame, providers: Mapping[str, Provider], order: Sequ
     chain = [(n, providers[n]) for n in order if n in providers]
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from lodestone.operators import providers as providers_
+
         for frame in frames:
             rows = []
             for qid, text in zip(frame.query_id, frame.prompt, strict=True):
                 tries, failures = [], []
                 for name, call in chain:
-                    for _ in range(max(1, retries)):
-                        try:
-                            tries.append((name, call(system, text)))
-                            break
-                        except retriable as e:
-                            failures.append(f"{name}: {e}")
-                        except Exception as e:  # noqa: BLE001  the row carries it
-                            failures.append(f"{name}: {e}")
-                            break
+                    said = providers_.tried(name, call, system, text, retries, retriable, wait, failures)
+                    if said is not None:
+                        tries.append((name, said))
                 rows += [(qid, k, n, r, "; ".join(failures)) for k, (n, r) in enumerate(tries)] or [(qid, 0, None, None, "; ".join(failures) or "no provider")]
             yield pd.DataFrame(rows, columns=["query_id", "_try", "provider", "raw", "_failure"])
 
