@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.operators import ranking
+from lodestone.plans.numbering import numbered
+from lodestone.plans.sizing import is_small
+from lodestone.plans.tables import written
 
+# Fixed values.
 THRESHOLDS = (0.90, 0.95, 0.97)
 FULL_MS, HIT_MS, OVERHEAD_TOKENS = 1200.0, 35.0, 1200
 # Phrases that say nothing about the question.
@@ -29,61 +33,101 @@ def normal_query(text: Column | str) -> Column:
     return F.array_join(F.regexp_extract_all(c, F.lit("[0-9a-zа-яё]+"), F.lit(0)), " ")
 
 
-def static_replay(entries: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
-    """queries(query_id, embedding, intent) against fixed entries(entry_id, embedding, intent): entry_id, similarity, hit, accurate.
-
-    The best entry is the most similar one, the smallest entry_id among equals.
-    """
+def _best_entries(entries: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, entry_id, similarity: the most similar of entries(entry_id, embedding) for each of queries(query_id, embedding), the smallest entry_id among equals."""
+    if is_small(entries, ranking.QUERY_BLOCK):
+        return ranking.nearest_of_few(entries.select(F.col("entry_id").alias("doc_id"), "embedding"), queries.select("query_id", "embedding")).select("query_id", F.col("doc_id").alias("entry_id"), F.col("score").alias("similarity"))
     best = ranking.dense(entries.select(F.col("entry_id").alias("doc_id"), "embedding"), queries.select("query_id", "embedding"), 1)
-    out = best.select("query_id", F.col("doc_id").alias("entry_id"), F.col("score").alias("similarity"))
-    out = queries.select("query_id", "intent").join(out, "query_id", "left").join(entries.select("entry_id", F.col("intent").alias("_intent")), "entry_id", "left")
+    return best.select("query_id", F.col("doc_id").alias("entry_id"), F.col("score").alias("similarity"))
+
+
+def static_replay(entries: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
+    """queries(query_id, embedding, intent) against fixed entries(entry_id, embedding, intent): entry_id, similarity, hit, accurate."""
+    out = queries.select("query_id", "intent").join(_best_entries(entries, queries), "query_id", "left").join(entries.select("entry_id", F.col("intent").alias("_intent")), "entry_id", "left")
     hit = F.coalesce(F.col("similarity") >= threshold, F.lit(False))
     return out.select("query_id", "entry_id", "similarity", hit.alias("hit"), (hit & F.coalesce(F.col("intent") == F.col("_intent"), F.lit(False))).alias("accurate"))
 
 
-def online_replay(records: DataFrame, seeds: int, thresholds: Sequence[float] = THRESHOLDS, online_fill: bool = True, segments: int = 1) -> DataFrame:
-    """records(seq, embedding, intent, segment) in order of seq through a cache that misses fill: threshold, segment, seq, entry_seq, similarity, hit, accurate, cluster_size.
-
-    A cache's state depends on all its earlier records, so a replay is sequential within a segment (a cache of its own: a tenant, a
-    product); thresholds and segments run side by side. A segment's records pass through one task in batches, and the task keeps the cache
-    alone. The first ``seeds`` records of a segment fill it. Of equal entries the earliest counts.
-    """
+def seeded_replay(records: DataFrame, seeds: int, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
+    """records(seq, embedding, intent) in order of seq against a cache of the first ``seeds``, which misses don't fill: the columns of ``online_replay``."""
     spark = records.sparkSession
-    runs = records.where("embedding is not null").crossJoin(F.broadcast(spark.createDataFrame([(float(t),) for t in thresholds], "threshold double")))  # a few thresholds
-    schema = "threshold double, segment long, seq long, entry_seq long, similarity double, hit boolean, accurate boolean, cluster_size long"
-
-    def play(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, vectors, held, sizes, n = None, np.zeros((0, 0)), [], [], 0
-        for frame in frames:
-            out = []
-            for r in frame.itertuples():
-                if key != (r.threshold, r.segment):
-                    key, held, sizes, n = (r.threshold, r.segment), [], [], 0
-                    vectors = np.zeros((64, len(r.embedding)))
-                v = np.array(r.embedding, float)
-                v = v / (np.linalg.norm(v) or 1.0)
-                seed = n < seeds
-                n += 1
-                entry, similarity = None, -1.0
-                if not seed and held:
-                    sims = np.round(vectors[: len(held)] @ v, 9)
-                    entry = int(np.argmax(sims))
-                    similarity = float(sims[entry])
-                hit = entry is not None and similarity >= r.threshold
-                if hit:
-                    sizes[entry] += 1
-                elif seed or online_fill:
-                    if len(held) == len(vectors):
-                        vectors = np.vstack([vectors, np.zeros_like(vectors)])
-                    vectors[len(held)] = v
-                    held.append((r.seq, r.intent))
-                    sizes.append(1)
-                if not seed:
-                    out.append((r.threshold, r.segment, r.seq, held[entry][0] if entry is not None else None, similarity, hit, hit and held[entry][1] == r.intent, sizes[entry] if entry is not None else 0))
-            yield pd.DataFrame(out, columns=["threshold", "segment", "seq", "entry_seq", "similarity", "hit", "accurate", "cluster_size"]).astype({"entry_seq": "Int64"})
-
-    dealt = runs.repartition(max(1, segments) * len(thresholds), "threshold", "segment").sortWithinPartitions("threshold", "segment", "seq")
-    return dealt.select("threshold", "segment", "seq", "embedding", "intent").mapInPandas(play, schema)
+    rows = written(numbered(records.where("embedding is not null").select("seq", "embedding", "intent"), ["seq"]), "replay")
+    entries = rows.where(F.col("n") <= seeds).select(F.col("seq").alias("entry_id"), "embedding", "intent")
+    best = _best_entries(entries, rows.where(F.col("n") > seeds).select(F.col("seq").alias("query_id"), "embedding"))
+    best = best.join(rows.select(F.col("seq").alias("query_id"), "intent"), "query_id").join(F.broadcast(entries.select("entry_id", F.col("intent").alias("_intent"))) if seeds <= ranking.QUERY_BLOCK else entries.select("entry_id", F.col("intent").alias("_intent")), "entry_id")
+    each = best.crossJoin(F.broadcast(spark.createDataFrame([(float(t),) for t in thresholds], "threshold double")))  # a few thresholds
+    hit = F.col("similarity") >= F.col("threshold")
+    each = each.select("threshold", F.col("query_id").alias("seq"), F.col("entry_id").alias("entry_seq"), "similarity", hit.alias("hit"), (hit & F.coalesce(F.col("intent") == F.col("_intent"), F.lit(False))).alias("accurate"))
+    return numbered(each, ["seq"], by=["threshold", "entry_seq"], name="cluster_size", of=F.col("hit").cast("long")).withColumn("cluster_size", F.col("cluster_size") + 1)
+
+
+_PLAYED = "threshold double, seq long, entry_seq long, similarity double, hit boolean, accurate boolean, cluster_size long, filled boolean"
+
+
+def _play(threshold: float):
+    """Settles one block of records: each against the best entry from before the block, and against those that the block's misses added."""
+
+    def play(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("seq")
+        vectors = np.zeros((len(frame), max((len(v) for v in frame.embedding), default=0)))
+        for i, v in enumerate(frame.embedding):
+            own = np.nan_to_num(np.asarray(v, float))
+            vectors[i, : len(own)] = own / (np.linalg.norm(own) or 1.0)
+        held, added, sizes, out = np.zeros_like(vectors), [], {}, []
+        for i, r in enumerate(frame.itertuples()):
+            entry, similarity, intent = (None, -1.0, None) if pd.isna(r.entry_id) else (int(r.entry_id), r.similarity, r.entry_intent)
+            if entry is not None:
+                sizes.setdefault(entry, int(r.entry_size))
+            if added:
+                near = np.round(held[: len(added)] @ vectors[i], 6)
+                at = int(np.argmax(near))
+                if near[at] > similarity:
+                    (entry, intent), similarity = added[at], float(near[at])
+            hit = entry is not None and similarity >= threshold
+            if hit:
+                sizes[entry] += 1
+            else:
+                held[len(added)] = vectors[i]
+                added.append((r.seq, r.intent))
+                sizes[r.seq] = 1
+            out.append((threshold, r.seq, entry, similarity, hit, bool(hit and intent == r.intent), sizes[entry] if entry is not None else 0, not hit))
+        return pd.DataFrame(out, columns=["threshold", "seq", "entry_seq", "similarity", "hit", "accurate", "cluster_size", "filled"]).astype({"entry_seq": "Int64"})
+
+    return play
+
+
+def online_replay(records: DataFrame, seeds: int, thresholds: Sequence[float] = THRESHOLDS, block: int = ranking.QUERY_BLOCK) -> DataFrame:
+    """records(seq, embedding, intent) in order of seq through one cache that misses fill: threshold, seq, entry_seq, similarity, hit, accurate, cluster_size.
+
+    The first ``seeds`` records fill the cache and are not replayed. What a record meets depends on all records before it, so the records go
+    by blocks: a block's best entries among all from before it are found by one search that is spread over the entries, and what its
+    own misses add is settled inside the block, in one task of ``block`` rows. A block's outcome is written before the next one is begun.
+    Similarities have 6 digits; of equal entries the earliest counts.
+    """
+    rows = written(numbered(records.where("embedding is not null").select(F.col("seq").cast("long").alias("seq"), "embedding", "intent"), ["seq"]), "replay")
+    total = rows.count()
+    kept = ["threshold", "seq", "entry_seq", "similarity", "hit", "accurate", "cluster_size"]
+    every = rows.sparkSession.createDataFrame([], _PLAYED).select(*kept)
+    for threshold in map(float, thresholds):
+        seed = rows.where(F.col("n") <= seeds).select("seq", "embedding", "intent")
+        entries, played = seed, None
+        for start in range(seeds, total, block):
+            part = rows.where((F.col("n") > start) & (F.col("n") <= start + block))
+            best = ranking.dense(entries.select(F.col("seq").alias("doc_id"), "embedding"), part.select(F.col("seq").alias("query_id"), "embedding"), 1)
+            best = best.select(F.col("query_id").alias("seq"), F.col("doc_id").alias("entry_id"), F.col("score").alias("similarity"))
+            best = best.join(entries.select(F.col("seq").alias("entry_id"), F.col("intent").alias("entry_intent")), "entry_id")
+            hits = F.lit(1) if played is None else F.coalesce(F.col("_hits"), F.lit(0)) + 1
+            if played is not None:
+                taken = played.where("hit").groupBy(F.col("entry_seq").alias("entry_id")).agg(F.count("*").alias("_hits"))
+                best = best.join(taken, "entry_id", "left")
+            best = best.select("seq", "entry_id", "similarity", "entry_intent", hits.alias("entry_size"))
+            asked = part.select("seq", "embedding", "intent").join(best, "seq", "left")
+            done = written(asked.groupBy().applyInPandas(_play(threshold), _PLAYED), "replayed")
+            played = done if played is None else played.unionByName(done)
+            entries = entries.unionByName(part.join(done.where("filled").select("seq"), "seq", "left_semi").select("seq", "embedding", "intent"))
+        if played is not None:
+            every = every.unionByName(played.select(*kept))
+    return every
 
 
 def metrics(replayed: DataFrame, by: Sequence[str] = ("threshold",)) -> DataFrame:
@@ -113,13 +157,25 @@ def recommended(results: DataFrame, precision: float = 0.95, impact: float = 0.0
     return results.agg(F.max_by(F.struct("*"), order).alias("r")).select("r.*")
 
 
+def decision(results: DataFrame, hit_rate: float = 0.30, precision: float = 0.95, impact: float = 0.05) -> DataFrame:
+    """The recommended threshold and ``decision_gate``: reject if it misses any of the three targets, else candidate."""
+    best = recommended(results, precision, impact)
+    missed = (F.col("effective_hit_rate") < hit_rate) | (F.col("accuracy_impact") > impact) | (F.col("hit_precision") < precision)
+    return best.withColumn("decision_gate", F.when(missed, "reject").otherwise("candidate"))
+
+
+def stub_answer(sources: Column, substrings: Column) -> Column:
+    """The answer that a replay stores: its sources and up to three markers."""
+    joined = lambda c, none: F.when(F.coalesce(F.size(c), F.lit(0)) > 0, F.array_join(c, ", ")).otherwise(none)
+    return F.concat(F.lit("Stub answer grounded in "), joined(sources, "unknown source"), F.lit("; expected markers: "), joined(F.slice(substrings, 1, 3), "no markers"), F.lit("."))
+
+
 def replay_records(items: DataFrame, minimum: int, augment: int = 2) -> DataFrame:
     """items(item_id, question, intent) as records: the questions first, then rounds of variants up to max(minimum, n * (1 + augment)): seq, item_id, query, intent, variant."""
     n = items.count()
     target = max(minimum, n * (1 + augment))
     rounds = -(-target // n) if n else 0
-    numbered = items.withColumn("_n", F.row_number().over(Window.orderBy("item_id")))  # a question set, not a corpus
-    every = numbered.withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(max(0, rounds - 1)))))
+    every = numbered(items, ["item_id"], name="_n").withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(max(0, rounds - 1)))))
     prefix = F.element_at(F.array(*[F.lit(p) for p in ("", "Подскажите, ", "Пожалуйста, ", "Скажите, ")]), F.when(F.col("variant") > 0, (F.col("variant") - 1) % 3 + 2).otherwise(1))
     seq = F.col("variant") * n + F.col("_n") - 1
     return every.select(seq.cast("long").alias("seq"), "item_id", F.concat(prefix, F.col("question")).alias("query"), "intent", "variant").where(F.col("seq") < target)

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from lodestone.operators import cache, chat
 
@@ -29,7 +30,7 @@ def replay(rows, seeds, threshold, fill=True):
         best, score = None, -1.0
         if n >= seeds:
             for e in held:
-                s = round(float(e[1] @ v), 9)
+                s = round(float(e[1] @ v), 6)
                 if s > score:
                     best, score = e, s
         hit = best is not None and score >= threshold
@@ -41,21 +42,42 @@ def replay(rows, seeds, threshold, fill=True):
 
 
 def test_replay_against_a_loop(spark):
+    """One cache over blocks of any size, and a cache that only its seeds fill; equal vectors, zero vectors and a record without one."""
     rng = np.random.default_rng(3)
-    rows = [(k, rng.normal(size=4).tolist(), int(rng.integers(3)), k % 2) for k in range(60)] + [(60, [0.0] * 4, 1, 0), (61, rng.normal(size=4).tolist(), 1, 0)]
-    df = spark.createDataFrame(rows, "seq long, embedding array<double>, intent int, segment long").repartition(5)
-    for fill in (True, False):
-        got = cache.online_replay(df, 3, (0.5, 0.9), fill, 2).collect()
-        for t in (0.5, 0.9):
-            for s in (0, 1):
-                want = replay([r[:3] for r in rows if r[3] == s], 3, t, fill)
-                assert sorted((r.seq, r.entry_seq, r.hit, r.accurate) for r in got if r.threshold == t and r.segment == s) == want
+    rows = [(3 * k, rng.normal(size=4).tolist(), int(rng.integers(3))) for k in range(60)]
+    rows += [(200, [0.0] * 4, 1), (201, rows[50][1], 1), (202, rows[50][1], 2), (203, None, 1), (204, rows[1][1], 0)]
+    df = spark.createDataFrame(rows, "seq long, embedding array<double>, intent int").repartition(5)
+    asked = [r for r in rows if r[1] is not None]
+    for t in (0.5, 0.9):
+        want = replay(asked, 3, t, True)
+        for block in (7, 100):
+            got = cache.online_replay(df, 3, (t,), block).collect()
+            assert sorted((r.seq, r.entry_seq, r.hit, r.accurate) for r in got) == want
+            sizes = {}
+            for r in sorted(got, key=lambda r: r.seq):
+                sizes[r.entry_seq] = sizes.get(r.entry_seq, 1) + r.hit
+                assert r.cluster_size == sizes[r.entry_seq]
+        fixed = cache.seeded_replay(df, 3, (t,)).collect()
+        assert sorted((r.seq, r.entry_seq, r.hit, r.accurate) for r in fixed) == replay(asked, 3, t, False)
+        sizes = {}
+        for r in sorted(fixed, key=lambda r: r.seq):
+            sizes[r.entry_seq] = sizes.get(r.entry_seq, 1) + r.hit
+            assert r.cluster_size == sizes[r.entry_seq]
 
 
 def test_wrong_intent_is_a_false_hit(spark):
-    rows = spark.createDataFrame([(0, [1.0, 0.0], 1, 0), (1, [1.0, 0.0], 2, 0)], "seq long, embedding array<double>, intent int, segment long")
+    rows = spark.createDataFrame([(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 2)], "seq long, embedding array<double>, intent int")
     m = cache.metrics(cache.online_replay(rows, 1, (0.99,))).first()
     assert (m.hits, m.false_positive_hits, m.hit_precision, m.accuracy_impact, m.latency_savings_rate) == (1, 1, 0.0, 1.0, round(1165 / 1200, 6))
+    assert cache.online_replay(rows.limit(0), 1, (0.99,)).count() == 0
+
+
+def test_decision_and_stub_answers(spark):
+    cols = "threshold double, hit_precision double, accuracy_impact double, effective_hit_rate double"
+    gate = lambda *r: cache.decision(spark.createDataFrame([r], cols)).first().decision_gate
+    assert gate(0.95, 1.0, 0.0, 0.5) == "candidate" and gate(0.95, 1.0, 0.0, 0.2) == "reject" and gate(0.95, 0.9, 0.0, 0.5) == "reject" and gate(0.95, 1.0, 0.1, 0.5) == "reject"
+    df = spark.createDataFrame([(["a.md", "b.md"], ["1", "2", "3", "4"]), ([], None)], "s array<string>, m array<string>")
+    assert [r.x for r in df.select(cache.stub_answer(F.col("s"), F.col("m")).alias("x")).collect()] == ["Stub answer grounded in a.md, b.md; expected markers: 1, 2, 3.", "Stub answer grounded in unknown source; expected markers: no markers."]
 
 
 def test_thresholds(spark):
