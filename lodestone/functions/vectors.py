@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,3 +53,33 @@ def to_vector(sparse: DataFrame, row_id: str, buckets: int = 256) -> DataFrame:
     """row id, embedding (dense array) of ``hashed_counts``."""
     held = F.map_from_entries(F.collect_list(F.struct("bucket", "weight")))
     return sparse.groupBy(row_id).agg(held.alias("_held")).select(row_id, F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda k: F.coalesce(F.col("_held")[k], F.lit(0.0))).alias("embedding"))
+
+
+# The weight of a word and of three characters in a row.
+TOKEN_WEIGHT, TRIGRAM_WEIGHT = 1.0, 0.35
+
+
+def feature_hashed(query: Column | str, dimensions: int = 256) -> Column:
+    """A unit vector of a normal query's words and character trigrams, each with a sign and a bucket by its blake2b digest; zeros for none.
+
+    Spark has no blake2b, so this is a Pandas UDF.
+    """
+    if dimensions <= 0:
+        raise ValueError("dimensions must be positive")
+
+    @F.pandas_udf("array<double>")
+    def embed(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> list[float]:
+            words = (text or "").split()
+            line = " ".join(words)
+            found = [(f"tok:{w}", TOKEN_WEIGHT) for w in words]
+            found += [(f"tri:{line[k : k + 3]}", TRIGRAM_WEIGHT) for k in range(max(0, len(line) - 2)) if line[k : k + 3].strip()]
+            out = np.zeros(dimensions)
+            for name, weight in found:
+                d = hashlib.blake2b(name.encode("utf-8"), digest_size=8).digest()
+                out[int.from_bytes(d[:4], "little") % dimensions] += weight if d[4] % 2 else -weight
+            return (out / (np.linalg.norm(out) or 1.0)).tolist()
+
+        return texts.map(one)
+
+    return embed(F.col(query) if isinstance(query, str) else query)

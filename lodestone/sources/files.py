@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import json
+from collections.abc import Sequence
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
@@ -12,11 +16,34 @@ REGISTRY = "filename string, version string, sha256_hash string, indexed_date st
 
 
 def read_folder(spark: SparkSession, path: str, extensions=("txt", "md", "json")) -> DataFrame:
-    """source, page_number, text, sha256_hash of the text files below a folder; each is one page. Dotfiles are skipped."""
+    """source, page_number, text, sha256_hash, valid of the text files below a folder; each is one page. Dotfiles, blank files and broken JSON are skipped.
+
+    Bytes that are no UTF-8 are left out of the text, and ``valid`` is false; JSON is written anew, indented by two.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.regexp_extract("path", r"([^/]*)\z", 1)
     taken = files.withColumn("source", F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))).where(~F.col("source").startswith(".") & tx.extension("source").isin(*extensions))
-    return taken.select("source", F.lit(1).alias("page_number"), F.decode("content", "utf-8").alias("text"), F.sha2("content", 256).alias("sha256_hash"))
+    raw = F.col("content").cast("string")
+    readable = F.when(F.is_valid_utf8(raw), raw).otherwise(F.replace(F.make_valid_utf8(raw), F.lit("\ufffd"), F.lit("")))
+    text = F.when(tx.extension("source") == "json", indented("_t")).otherwise(F.col("_t"))
+    out = taken.select("source", F.lit(1).alias("page_number"), readable.alias("_t"), F.sha2("content", 256).alias("sha256_hash"), F.is_valid_utf8(raw).alias("valid"))
+    return out.withColumn("text", text).where(~tx.blank("text")).select("source", "page_number", "text", "sha256_hash", "valid")
+
+
+def indented(texts: Column | str) -> Column:
+    """JSON texts with an indent of two, keys as they are; null where a text is no JSON."""
+
+    def one(text: str | None) -> str | None:
+        try:
+            return json.dumps(json.loads(text), ensure_ascii=False, indent=2)
+        except (TypeError, ValueError):
+            return None
+
+    @F.pandas_udf("string")
+    def all_of(values: pd.Series) -> pd.Series:
+        return values.map(one)
+
+    return all_of(texts)
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
@@ -62,16 +89,36 @@ def subset(golden: DataFrame, name: str | None) -> DataFrame:
     return golden if not name else golden.where(F.col("subset") == name)
 
 
+def demanded(rows: DataFrame, what: str) -> DataFrame:
+    """``rows``, unless there are none: that is an error."""
+    if rows.isEmpty():
+        raise ValueError(f"no {what}")
+    return rows
+
+
+def read_index(spark: SparkSession, path: str, sources: Sequence[str] | None = None) -> DataFrame:
+    """Chunks of an index that ``write_index`` wrote, of all sources or of some; only these sources' files are read. Blank texts are left out."""
+    rows = spark.read.parquet(path)
+    rows = rows.where(F.col("source").isin(*sources)) if sources is not None else rows
+    return rows.where(~tx.blank("text"))
+
+
+def synthetic_requirements(spark: SparkSession, n: int) -> DataFrame:
+    """id, text of ``n`` numbered requirements, to measure a pipeline with."""
+    number = F.col("id").cast("string")
+    return spark.range(1, n + 1).select("id", F.concat(F.lit("Требование #"), number, F.lit(": проверить поддержку функции "), number, F.lit(" (синтетическое).")).alias("text"))
+
+
 def read_gold_standard(spark: SparkSession, path: str) -> DataFrame:
-    """id, requirement, status of a classification set."""
-    return _items(spark, path, "items").select(_field("id", "ID").alias("id"), _field("requirement").alias("requirement"), _field("expected_status", "status").alias("status"))
+    """id, requirement, status, ord of a classification set."""
+    return _items(spark, path, "items").select(F.col("_n").alias("ord"), _field("id", "ID").alias("id"), _field("requirement").alias("requirement"), _field("expected_status", "status").alias("status"))
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """id, status of predictions, by any of their names; rows without an id get their number only if none has one."""
+    """id, status, ord of predictions, by any of their names; rows without an id get their number only if none has one."""
     rows = _items(spark, path, "predictions", "items", "results").select("_n", _field("id", "ID").alias("id"), _field("[Статус]", "Статус", "status", "classification", "expected_status").alias("status"))
-    some = F.count("id").over(Window.partitionBy(F.lit(1)))  # an evaluation set: its rows are what people wrote
-    return rows.withColumn("_some", some).select(F.when(F.col("_some") > 0, F.col("id")).otherwise(F.col("_n").cast("string")).alias("id"), "status").where("id is not null")
+    some = F.broadcast(rows.agg(F.count("id").alias("_some")))  # one row
+    return rows.crossJoin(some).select(F.when(F.col("_some") > 0, F.col("id")).otherwise(F.col("_n").cast("string")).alias("id"), "status", F.col("_n").alias("ord")).where("id is not null")
 
 
 def pick_column(columns: list[str], candidates: list[str]) -> str | None:

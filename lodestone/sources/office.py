@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
+from lodestone.plans.numbering import numbered
+from lodestone.sources.files import demanded
 
 MIN_LENGTH = 5
 UPLOAD_BYTES = 10 * 1024 * 1024
@@ -104,9 +106,9 @@ def requirements_of_cells(cells: DataFrame, names=COLUMN_NAMES) -> DataFrame:
     column = detect_columns(cells, names)
     text = tx.strip("value")
     kept = cells.where("row > 1").join(column.select("path", "sheet_no", "col", "header"), ["path", "sheet_no", "col"]).withColumn("text", text).where((F.length("text") >= MIN_LENGTH) & (F.lower("text") != "nan"))
-    ident = F.row_number().over(Window.partitionBy("path").orderBy("sheet_no", "row"))
     locator = F.struct(F.lit("cell").alias("type"), F.col("sheet").alias("sheet_name"), F.col("row").cast("int").alias("row"), F.col("header").alias("column"))
-    return kept.select("path", ident.alias("id"), "text", locator.alias("locator"))
+    # A workbook may hold any share of the rows.
+    return numbered(kept.select("path", "sheet_no", "row", "text", locator.alias("locator")), ["sheet_no", "row"], by=["path"], name="id").select("path", "id", "text", "locator")
 
 
 def _paragraphs(raw: bytes) -> list[tuple]:
@@ -186,3 +188,15 @@ def requirements_of_paragraphs(rows: DataFrame) -> DataFrame:
     )
     ident = F.row_number().over(Window.partitionBy("path").orderBy("ord", "_line"))
     return lines.select("path", ident.alias("id"), F.col("_clean").alias("text"), locator.alias("locator"))
+
+
+def read_requirements(spark: SparkSession, path: str) -> DataFrame:
+    """path, id, text and locator of a workbook's or a document's requirements, by its extension; other files, and files without any, are an error."""
+    kind = path.rpartition(".")[2].lower() if "." in path else ""
+    if kind == "xlsx":
+        found = requirements_of_cells(read_cells(spark, path).where("error is null"))
+    elif kind == "docx":
+        found = requirements_of_paragraphs(read_paragraphs(spark, path))
+    else:
+        raise NotImplementedError(f"no reader for {kind or 'files without an extension'!r}")
+    return demanded(found, f"requirements in {path}")

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from lodestone.operators import classify, export
@@ -90,6 +92,47 @@ def test_locators(spark):
     cases = ['{"type": "cell", "sheet_name": "Л\\"1", "row": 3, "column": "A"}', '{"type": "paragraph", "index": 4, "fragment": 2, "list_path": ["paragraph:4", "item:a"]}', '{"type": "paragraph"}', '{"type": "table", "table": 0, "row": 1, "col": 2}', None]
     df = spark.createDataFrame([(k, c) for k, c in enumerate(cases)], "k int, j string").select("k", export.ref_text(F.from_json("j", export.LOCATOR)).alias("x"))
     assert [r.x for r in df.orderBy("k").collect()] == ['sheet="Л\\"1", row=3, col="A"', 'paragraph=4, fragment=2, list_path="paragraph:4/item:a"', "paragraph", "table=0, row=1, col=2", ""]
+    other = spark.sql("SELECT from_json('{\"type\": \"page\", \"row\": 3, \"column\": \"x\"}', '" + export.LOCATOR + "') AS l").select(export.ref_text(F.col("l")).alias("x"))
+    assert other.first().x == 'column="x", row=3, type="page"'
+
+
+def test_rows_that_are_export_rows_already(spark):
+    rows = spark.createDataFrame([(1, "Да", "c", "0.555", ""), (2, "?", None, None, "r2")], ["id", *export.RESULT_COLUMNS])
+    got = [tuple(r) for r in export.passed_through(rows, "run").orderBy("id").collect()]
+    assert got == [(1, "", "", "Да", "c", 0.56, "run"), (2, "", "", "?", "", 0.0, "r2")]
+    with pytest.raises(ValueError):
+        export.passed_through(rows.drop("[RunID]"), "run")
+
+
+def test_rows_without_a_sheet_go_by_id_where_there_is_one_sheet(spark):
+    source = spark.createDataFrame([("L", 0), ("L", 1)], "sheet string, row_idx int")
+    rows = spark.createDataFrame([(None, None, 1, 2, "Да", "a", 0.5), ("L", 3, 2, 1, "Нет", "b", 0.1), ("", None, 3, 2, "НД", "c", 0.2)], "sheet string, row int, ord int, id int, status string, comment string, confidence double")
+    assert [(r.row_idx, r.status) for r in export.merge_into_source(source, rows, "r").orderBy("row_idx").collect()] == [(0, ""), (1, "НД")]
+    two = source.unionByName(spark.createDataFrame([("M", 0)], "sheet string, row_idx int"))
+    assert [(r.sheet, r.row_idx, r.status) for r in export.merge_into_source(two, rows, "r").orderBy("sheet", "row_idx").collect()] == [("L", 0, ""), ("L", 1, "Нет"), ("M", 0, "")]
+
+
+def test_reports(spark, tmp_path):
+    run = "6f1c2b1e-3a4d-4c55-9a77-0b5c9f1e2d3a"
+    rows = export.rows(spark.createDataFrame([(k, f"t{k}", "Да", "c", 0.5, None) for k in range(20, 0, -1)], "id long, text string, status string, comment string, confidence double, error string").repartition(4), run)
+    path = export.write_report(rows, run, "2026-01-02", output_dir=str(tmp_path), source_file="in/tz.xlsx")
+    assert path == f"{tmp_path}/tz_report_6f1c2b1e.md"
+    lines = [line for f in sorted(__import__("pathlib").Path(path).glob("part-*")) for line in f.read_text().splitlines()]
+    assert lines[0] == "---" and "# Результат анализа ТЗ — tz.xlsx" in lines and [line.split(" | ")[0] for line in lines[11:]] == [f"| {k}" for k in range(1, 21)]
+    for kind in ("csv", "json"):
+        out = export.write_report(rows, run, output_file=str(tmp_path / f"r.{kind}"))
+        got = (spark.read.option("header", "true").csv if kind == "csv" else spark.read.json)(out)
+        assert got.count() == 20 and set(got.columns) == set(export.REPORT_COLUMNS)
+    assert export.report_format(None, "x.CSV") == "csv" and export.report_format(".MD") == "md" and export.report_format() == "md"
+    for wrong in ({"output_format": "xlsx"}, {"output_mode": "append_to_original"}):
+        with pytest.raises(ValueError):
+            export.write_report(rows, run, **wrong)
+
+
+def test_error_reports(spark):
+    rows = spark.createDataFrame([("r", "ask a@b.ru", "p", "HTTPError", "401 for a@b.ru"), ("r", "ask a@b.ru", "q", "Timeout", "timeout")], "run_id string, query string, provider string, error_type string, message string")
+    row = export.error_report(rows, 3, "now").first()
+    assert row.reason.endswith("(2 из 3)") and row.recommendation == "auth" and "a@b.ru" not in row.text and "- provider=p type=HTTPError message=401 for [EMAIL]" in row.text
 
 
 def test_references(spark):

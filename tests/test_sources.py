@@ -1,6 +1,8 @@
 import json
 import zipfile
 
+import pytest
+
 from lodestone.sources import files, office
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -60,6 +62,37 @@ def test_folder_and_registry(spark, tmp_path):
     assert got == {"a b.md": ("# T\nтекст", "2"), "c.txt": ("x", None)}
 
 
+def test_folder_with_broken_files(spark, tmp_path):
+    (tmp_path / "bad.txt").write_bytes(b"ab\xff\xfe\xd1cd")
+    (tmp_path / "mark.txt").write_bytes("a\ufffdb".encode())
+    (tmp_path / "empty.md").write_text(" \n")
+    (tmp_path / "d.json").write_text('{"б": [1,{"a":null}]}', "utf-8")
+    (tmp_path / "e.json").write_text("{no")
+    got = {r.source: (r.text, r.valid) for r in files.read_folder(spark, str(tmp_path)).collect()}
+    assert got == {"bad.txt": ("abcd", False), "mark.txt": ("a\ufffdb", True), "d.json": ('{\n  "б": [\n    1,\n    {\n      "a": null\n    }\n  ]\n}', True)}
+
+
+def test_readers_by_extension(spark, tmp_path):
+    workbook(tmp_path / "a.xlsx", [("Л", {1: {"A": "Требование"}, 2: {"A": "первое требование"}})])
+    assert [r.text for r in office.read_requirements(spark, str(tmp_path / "a.xlsx")).collect()] == ["первое требование"]
+    workbook(tmp_path / "none.xlsx", [("Л", {1: {"A": "Требование"}})])
+    with pytest.raises(ValueError):
+        office.read_requirements(spark, str(tmp_path / "none.xlsx"))
+    with pytest.raises(NotImplementedError):
+        office.read_requirements(spark, "a.pdf")
+
+
+def test_index_is_read_by_source(spark, tmp_path):
+    from lodestone.plans import flows
+
+    rows = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y"), ("b", 2, " ")], "source string, chunk_idx int, text string")
+    flows.write_index(rows, str(tmp_path / "i"))
+    flows.write_index(rows.where("source = 'a'").withColumn("text", rows.source), str(tmp_path / "i"))
+    assert sorted((r.source, r.text) for r in files.read_index(spark, str(tmp_path / "i")).collect()) == [("a", "a"), ("b", "y")]
+    assert [r.source for r in files.read_index(spark, str(tmp_path / "i"), ["b"]).collect()] == ["b"]
+    assert [r.id for r in files.synthetic_requirements(spark, 3).collect()] == [1, 2, 3]
+
+
 def test_golden_sets(spark, tmp_path):
     (tmp_path / "g.json").write_text(json.dumps({"items": [{"id": "X", "question": "q", "expected_sources": ["s"], "expected_substrings": ["n"], "subset": "smoke"}, {"query": "second"}, {"question": " "}]}))
     (tmp_path / "g.jsonl").write_text('{"query": "a", "expected_pages": [3]}\n\n{"query": "b"}\n')
@@ -75,3 +108,11 @@ def test_predictions(spark, tmp_path):
     assert sorted((r.id, r.status) for r in files.read_predictions(spark, str(tmp_path / "p.json")).collect()) == [("1", "Да")]
     assert sorted((r.id, r.status) for r in files.read_predictions(spark, str(tmp_path / "q.json")).collect()) == [("1", "a"), ("2", "b")]
     assert files.pick_column(["ID", "Статус"], ["id", "ID"]) == "ID" and files.pick_column(["iD"], ["x", "ID"]) == "iD" and files.pick_column([], ["x"]) is None
+
+
+def test_gold_set(spark, tmp_path):
+    (tmp_path / "g.json").write_text(json.dumps([{"id": 1, "requirement": "r", "expected_status": "Да"}, {"ID": "2", "status": "Нет"}], ensure_ascii=False), "utf-8")
+    got = files.read_gold_standard(spark, str(tmp_path / "g.json"))
+    assert [(r.ord, r.id, r.requirement, r.status) for r in got.orderBy("ord").collect()] == [(1, "1", "r", "Да"), (2, "2", None, "Нет")]
+    with pytest.raises(ValueError):
+        files.demanded(got.limit(0), "items")

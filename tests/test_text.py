@@ -1,9 +1,12 @@
+import hashlib
+import math
 import uuid
 
 from pyspark.sql import functions as F
 
 from lodestone.functions import masking, vectors
 from lodestone.functions import text as tx
+from lodestone.operators import chat
 
 
 def one(spark, value, expr):
@@ -68,3 +71,35 @@ def test_hashed_vectors_have_length_one(spark):
     rows = spark.createDataFrame([(1, ["a", "b", "a"]), (2, [])], "id long, w array<string>")
     v = vectors.to_vector(vectors.hashed_counts(rows, "id", "w"), "id").collect()
     assert len(v) == 1 and abs(sum(x * x for x in v[0].embedding) - 1) < 1e-9
+
+
+def test_feature_vectors(spark):
+    texts = ["как настроить елку", "", None, "a"]
+    got = [r.x for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").coalesce(1).select("k", vectors.feature_hashed("t", 16).alias("x")).orderBy("k").collect()]
+
+    def one(text):
+        out = [0.0] * 16
+        words = (text or "").split()
+        line = " ".join(words)
+        for name, w in [*((f"tok:{x}", 1.0) for x in words), *((f"tri:{line[k : k + 3]}", 0.35) for k in range(len(line) - 2) if line[k : k + 3].strip())]:
+            d = hashlib.blake2b(name.encode(), digest_size=8).digest()
+            out[int.from_bytes(d[:4], "little") % 16] += w if d[4] & 1 else -w
+        size = math.sqrt(sum(x * x for x in out)) or 1.0
+        return [x / size for x in out]
+
+    assert all(abs(a - b) < 1e-12 for g, t in zip(got, texts, strict=True) for a, b in zip(g, one(t), strict=True))
+
+
+def test_audit_lines(spark):
+    df = spark.createDataFrame([("mail a@b.ru", "gpt", {"seed": "1"}, 3, "k", None)], "user_prompt string, provider string, decoding_params map<string,string>, attempt int, api_key string, zebra string").select(F.struct("*").alias("r"))
+    line = df.select(masking.audit_line(F.lit("LLM_REQUEST"), F.col("r"), df.schema["r"].dataType).alias("x")).first().x
+    assert line == 'LLM_REQUEST provider="gpt" attempt=3 decoding_params={"seed":"1"} user_prompt="mail [EMAIL]" api_key="***REDACTED***"'
+
+
+def test_masked_chunks_and_signatures(spark):
+    df = spark.createDataFrame([([("s", "call 10.0.0.1"), ("t", None)],)], "c array<struct<source:string,text:string>>")
+    assert [tuple(x) for x in df.select(masking.mask_chunks(F.col("c")).alias("c")).first().c] == [("s", "call [IP]"), ("t", None)]
+    rows = spark.createDataFrame([("1", "T", False), ("1", "", False), ("", "T", False), ("1", "T", True)], "n string, t string, f boolean")
+    assert [r.x for r in rows.select(chat.section_signature(F.col("n"), F.col("t"), F.col("f")).alias("x")).collect()] == ["§1 T", "§1", "T", "раздел: T"]
+    lists = spark.createDataFrame([(["a", "a"], [], ["c"])], "p array<string>, r array<string>, s array<string>")
+    assert lists.select(chat.dependency_context(F.col("p"), F.col("r"), F.col("s")).alias("x")).first().x == "Предварительные условия: a\nСм. также: c"
