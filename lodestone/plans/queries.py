@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import masking, vectors
 from lodestone.functions import text as tx
-from lodestone.operators import atoms, cache, chat, classify, dependencies, export, quality, ranking, sections
+from lodestone.operators import atoms, cache, chat, classify, dependencies, export, providers, quality, ranking, sections
 from lodestone.plans import flows
-from lodestone.plans.tables import new_path
-from lodestone.sources import office
+from lodestone.plans.sizing import broadcast_if_small
+from lodestone.plans.tables import new_path, written
+from lodestone.sources import files, office
 from lodestone.streaming import requirements as arriving
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,7 +126,7 @@ fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDE
 def _hybrid(spark, sf_dir):
     e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     items = _items(spark, sf_dir)
-    near = e.withColumnRenamed("doc_id", "query_id").join(F.broadcast(items.select("query_id")), "query_id")
+    near = e.withColumnRenamed("doc_id", "query_id").join(broadcast_if_small(items.select("query_id")), "query_id")
     return ranking.hybrid(_t(spark, sf_dir, "documents"), e, items, near, 5)
 
 
@@ -229,17 +230,30 @@ def mask_conversations(spark, sf_dir):
     return _t(spark, sf_dir, "conversations").select("conv_id", "turn", masking.mask("text").alias("text"))
 
 
-_EMAIL_SQL = masking.RULES[0][1].replace("'", "''")
+def _pii_sql() -> str:
+    """Matches of each rule on what the rules before it leave, as the number of replacements that are new."""
+    email, _, ip, domain = (r[1].replace("'", "''") for r in masking.RULES)
+    phone = lambda c: f"regexp_replace({c}, '(^|[^0-9]){_PHONE}([^0-9]|$)', '\\1[PHONE]\\3', 'g')"
+    times = lambda c, mark: f"(length({c}) - length(replace({c}, '{mark}', ''))) // {len(mark)}"
+    return f"""
+WITH a AS (SELECT source, coalesce(text, '') AS t0 FROM documents), b AS (SELECT *, regexp_replace(t0, '{email}', '[EMAIL]', 'g') AS t1 FROM a),
+c AS (SELECT *, {phone(phone('t1'))} AS t2 FROM b), d AS (SELECT *, regexp_replace(t2, '{ip}', '[IP]', 'g') AS t3 FROM c), e AS (SELECT *, regexp_replace(t3, '{domain}', '[DOMAIN]', 'g') AS t4 FROM d)
+SELECT source, sum({times('t1', '[EMAIL]')} - {times('t0', '[EMAIL]')})::BIGINT AS email, sum({times('t2', '[PHONE]')} - {times('t1', '[PHONE]')})::BIGINT AS phone_ru,
+  sum({times('t3', '[IP]')} - {times('t2', '[IP]')})::BIGINT AS ip_address, sum({times('t4', '[DOMAIN]')} - {times('t3', '[DOMAIN]')})::BIGINT AS internal_domain FROM e GROUP BY source
+"""
 
 
-@query(f"""
-SELECT source, sum(len(regexp_extract_all(text, '{_EMAIL_SQL}')))::BIGINT AS email,
-  sum(len(regexp_extract_all(regexp_replace(text, '{_EMAIL_SQL}', '[EMAIL]', 'g'), '{masking.RULES[2][1]}')))::BIGINT AS ip_address FROM documents GROUP BY source
-""")
+@query(_pii_sql())
 def pii_counts(spark, sf_dir):
-    rules = [r for r in masking.RULES if r[0] in ("email", "ip_address")]
-    n = masking.counts("text", rules)
-    return _t(spark, sf_dir, "documents").groupBy("source").agg(*[F.sum(c).alias(name) for name, c in n.items()])
+    return _t(spark, sf_dir, "documents").groupBy("source").agg(*[F.sum(c).alias(name) for name, c in masking.counts("text").items()])
+
+
+@query("""
+SELECT event_id, 'EVENT ' || array_to_string(list_filter(['status="' || event_type || '"', 'page=' || to_json(json_extract_string(props, '$.page')), 'ref=' || to_json(json_extract_string(props, '$.ref')), 'value=' || value], lambda x: x IS NOT NULL), ' ') AS line FROM (SELECT event_id, event_type, props, CAST(user_id AS VARCHAR) AS value FROM events)
+""")
+def audit_lines(spark, sf_dir):
+    record = _t(spark, sf_dir, "events").select("event_id", F.struct(F.col("user_id").alias("value"), F.get_json_object("props", "$.ref").alias("ref"), F.get_json_object("props", "$.page").alias("page"), F.col("event_type").alias("status")).alias("r"))
+    return record.select("event_id", masking.audit_line(F.lit("EVENT"), F.col("r"), record.schema["r"].dataType).alias("line"))
 
 
 @query("""
@@ -275,10 +289,6 @@ def section_split(spark, sf_dir):
     return _page_text(spark, sf_dir).select("source", F.posexplode(sections.split_sections("text")).alias("section_pos", "s")).select("source", "section_pos", tx.sha256("s").alias("section_sha256"))
 
 
-def _doc_pages(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select(F.concat_ws("_", F.col("source"), F.col("doc_id").cast("string")).alias("source"), F.lit(1).alias("page_number"), "text")
-
-
 @query(r"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 64, 1), 448)) AS s FROM w WHERE len(w) > 0)
@@ -286,11 +296,11 @@ SELECT doc_id, (s // 448)::INT AS window_pos, len(list_slice(w, s + 1, s + 512))
 """)
 def chunk_windows(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(sections.windows(tx.whitespace_tokens("text"), 512, 64)).alias("window_pos", "t"))
-    return docs.select("doc_id", "window_pos", F.size(F.split("t", " ")).alias("n_words"), tx.sha256("t").alias("chunk_sha256"))
+    return docs.select("doc_id", "window_pos", (F.length("t") - F.length(F.replace("t", F.lit(" "), F.lit(""))) + 1).alias("n_words"), tx.sha256("t").alias("chunk_sha256"))
 
 
 def _line_chunks(spark, sf_dir):
-    """Each line of a document as a chunk, ten to a page; a line that begins with a one-letter word is taken as a numbered heading."""
+    """Each line of a document as a chunk, two to a page; a line that begins with a one-letter word is taken as a numbered heading."""
     lines = _t(spark, sf_dir, "documents").select(F.concat(F.lit("kb-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("source"), F.posexplode(F.split("text", "\n", -1)).alias("chunk_idx", "line"))
     head = F.col("line").rlike("^[A-Za-z] ")
     raw = F.when(head, F.concat((F.col("chunk_idx") + 1).cast("string"), F.lit(".1 "), F.col("line"))).otherwise(F.col("line"))
@@ -375,20 +385,28 @@ def _reference_chunks(spark, sf_dir):
     return lines.select(F.concat(F.lit("kb-"), F.col("doc_id").cast("string")).alias("source"), "chunk_idx", F.when(F.col("chunk_idx") % 3 == 0, F.concat(head, "line")).otherwise(F.col("line")).alias("text"))
 
 
-@query("""
-WITH c AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10)))))::INT AS i FROM documents)
-SELECT 'kb-' || doc_id AS source, i AS chunk_idx, i % 3 = 0 AS has_marker,
-  CASE WHEN i % 3 = 0 THEN 'kb-' || doc_id || '::' || (doc_id % 9 + 1) || '.' || (i % 7 + 1) ELSE '' END AS related,
-  CASE WHEN i % 3 = 0 THEN 'настройка модуля ' || (i % 7 + 1) ELSE '' END AS prerequisites, CASE WHEN i % 3 = 0 THEN 'regex' ELSE 'none' END AS method FROM c
+_REFERENCES = r"""
+c AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10)))))::INT AS i FROM documents),
+t AS (SELECT 'kb-' || doc_id AS source, i AS chunk_idx, CASE WHEN i % 3 = 0 THEN 'См. раздел ' || (doc_id % 9 + 1) || '.' || (i % 7 + 1) || '. Требуется настройка модуля ' || (i % 7 + 1) || '; ' || line ELSE line END AS text FROM c),
+m AS (SELECT *, regexp_matches(text, '(?i)(^|[^\p{L}\p{N}\p{M}_])(см|смотрите|предварительн[\p{L}\p{N}\p{M}_]*|требуется|необходимо|нужно|зависит|зависим[\p{L}\p{N}\p{M}_]*)($|[^\p{L}\p{N}\p{M}_])') AS has_marker,
+  CASE WHEN starts_with(text, 'См. раздел') THEN regexp_extract_all(substr(text, 11, 220), '\b[0-9]+(?:\.[0-9]+)+\b') ELSE [] END AS numbers FROM t),
+d AS (SELECT source, chunk_idx, has_marker, list_transform(list_filter(numbers, lambda x, k: list_position(numbers, x) = k), lambda x: source || '::' || x) AS related,
+  list_filter([regexp_extract(text, 'Требуется (настройка модуля \d+);', 1)], lambda x: x <> '') AS prerequisites FROM m)
+"""
+
+
+@query(f"""
+WITH {_REFERENCES} SELECT source, chunk_idx, has_marker, array_to_string(related, ';') AS related, array_to_string(prerequisites, ';') AS prerequisites, CASE WHEN has_marker THEN 'regex' ELSE 'none' END AS method FROM d
 """)
 def dependency_mining(spark, sf_dir):
     d = dependencies.extract(_reference_chunks(spark, sf_dir))
-    # Numbers with dots that the text itself has near the marker (addresses, versions) are not references to sections with one dot.
-    own = F.filter("related", lambda r: r.rlike(r"::\d\.\d\z") & (r == F.col("related")[0]))
-    return d.select("source", "chunk_idx", "has_marker", dependencies.encode(own).alias("related"), dependencies.encode(F.slice("prerequisites", 1, 1)).alias("prerequisites"), "method")
+    return d.select("source", "chunk_idx", "has_marker", dependencies.encode(F.col("related")).alias("related"), dependencies.encode(F.col("prerequisites")).alias("prerequisites"), "method")
 
 
-@query("WITH c AS (SELECT unnest(range(len(string_split(text, chr(10))))) AS i FROM documents) SELECT count(*) AS chunks, count_if(i % 3 = 0)::BIGINT AS markers, count_if(i % 3 = 0)::BIGINT AS with_related, 1.0::DOUBLE AS coverage FROM c")
+@query(f"""
+WITH {_REFERENCES} SELECT count(*) AS chunks, count_if(has_marker)::BIGINT AS markers, count_if(has_marker AND len(related) > 0)::BIGINT AS with_related,
+  round(CASE WHEN count_if(has_marker) = 0 THEN 1 ELSE count_if(has_marker AND len(related) > 0) / count_if(has_marker) END, 6)::DOUBLE AS coverage FROM d
+""")
 def dependency_stats(spark, sf_dir):
     return dependencies.stats(dependencies.extract(_reference_chunks(spark, sf_dir)))
 
@@ -396,14 +414,14 @@ def dependency_stats(spark, sf_dir):
 def _blocks(spark, sf_dir):
     """Each document's lines as a numbered list: ``1.a``, ``1.b`` and so on under ``1)``."""
     lines = F.split("text", "\n", -1)
-    listed = F.transform(lines, lambda line, i: F.concat(F.when(i == 0, F.lit("1) ")).otherwise(F.concat(F.lit("1.x"), i.cast("string"), F.lit(" "))), F.lit("w"), F.regexp_replace(line, r"[^a-zA-Z ]", "")))
+    listed = F.transform(lines, lambda line, i: F.concat(F.when(i == 0, F.lit("1) ")).otherwise(F.concat(F.lit("1.x"), i.cast("string"), F.lit(" "))), F.lit("w"), line))
     return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("block_id"), F.array_join(listed, "\n").alias("text"))
 
 
 @query(r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
-p AS (SELECT doc_id, i, CASE WHEN i = 0 THEN '1) ' ELSE '1.x' || i || ' ' END || 'w' || regexp_replace(line, '[^a-zA-Z ]', '', 'g') AS part FROM l),
-s AS (SELECT doc_id, i, rtrim(part) AS text, coalesce(sum(length(part) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start, CASE WHEN i = 0 THEN '1' ELSE '1.x' || i END AS marker FROM p)
+p AS (SELECT doc_id, i, CASE WHEN i = 0 THEN '1) ' ELSE '1.x' || i || ' ' END || 'w' || line AS part FROM l),
+s AS (SELECT doc_id, i, regexp_replace(part, '[\s\x0b\x85\p{Z}]+$', '') AS text, coalesce(sum(length(part) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start, CASE WHEN i = 0 THEN '1' ELSE '1.x' || i END AS marker FROM p)
 SELECT doc_id AS block_id, (i + 1)::INT AS span_no, start, start + length(text)::INT AS "end", marker, text FROM s
 """)
 def atom_spans(spark, sf_dir):
@@ -528,17 +546,22 @@ def classify_requests(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
+    """Labels as a gold set, and predictions of which some ids are said twice: the first time otherwise, and once without an id."""
     l = _t(spark, sf_dir, "labels")
     name = lambda c: F.element_at(F.array(*[F.lit(s) for s in (*quality.STATUSES, "?")]), (c % 5 + 1).cast("int"))
-    gold = l.where("doc_id % 10 <> 3").select(F.col("doc_id").alias("id"), name(F.col("quality") * 2 + F.col("toxic")).alias("status"))
-    said = l.where("doc_id % 10 <> 4").select(F.col("doc_id").cast("double").cast("string").alias("id"), name(F.col("doc_id") % 5).alias("status"))
-    return quality.matched(gold, said)
+    gold = l.where("doc_id % 10 <> 3").select(F.col("doc_id").cast("string").alias("id"), name(F.col("quality") * 2 + F.col("toxic")).alias("status"), F.lit(2).alias("ord"))
+    gold = gold.unionByName(l.where("doc_id % 10 = 6").select(F.col("doc_id").cast("string").alias("id"), F.lit("Да").alias("status"), F.lit(1).alias("ord")))
+    said = l.where("doc_id % 10 <> 4").select(F.col("doc_id").cast("double").cast("string").alias("id"), name(F.col("doc_id") % 5).alias("status"), F.lit(2).alias("ord"))
+    before = l.where("doc_id % 10 in (1, 2)").select(F.when(F.col("doc_id") % 10 == 1, F.col("doc_id").cast("string")).otherwise(" ").alias("id"), F.lit("НД").alias("status"), F.lit(1).alias("ord"))
+    return quality.matched(gold, said.unionByName(before))
 
 
 _PAIRS = """
-g AS (SELECT doc_id AS id, ['Да', 'Нет', 'Частично', 'НД', '?'][((quality * 2 + toxic) % 5 + 1)::INT] AS actual FROM labels WHERE doc_id % 10 <> 3),
-p AS (SELECT doc_id AS id, ['Да', 'Нет', 'Частично', 'НД', '?'][(doc_id % 5 + 1)::INT] AS predicted FROM labels WHERE doc_id % 10 <> 4),
-j AS (SELECT coalesce(g.id, p.id)::VARCHAR AS id, actual, predicted, g.id IS NOT NULL AS has_g, p.id IS NOT NULL AS has_p FROM g FULL JOIN p ON g.id = p.id),
+g1 AS (SELECT doc_id::VARCHAR AS id, ['Да', 'Нет', 'Частично', 'НД', '?'][((quality * 2 + toxic) % 5 + 1)::INT] AS actual, 2 AS ord FROM labels WHERE doc_id % 10 <> 3 UNION ALL SELECT doc_id::VARCHAR, 'Да', 1 FROM labels WHERE doc_id % 10 = 6),
+p1 AS (SELECT doc_id::VARCHAR AS id, ['Да', 'Нет', 'Частично', 'НД', '?'][(doc_id % 5 + 1)::INT] AS predicted, 2 AS ord FROM labels WHERE doc_id % 10 <> 4
+  UNION ALL SELECT CASE WHEN doc_id % 10 = 1 THEN doc_id::VARCHAR ELSE ' ' END, 'НД', 1 FROM labels WHERE doc_id % 10 IN (1, 2)),
+g AS (SELECT id, arg_max(actual, ord) AS actual FROM g1 WHERE trim(id) <> '' GROUP BY id), p AS (SELECT id, arg_max(predicted, ord) AS predicted FROM p1 WHERE trim(id) <> '' GROUP BY id),
+j AS (SELECT coalesce(g.id, p.id) AS id, actual, predicted, g.id IS NOT NULL AS has_g, p.id IS NOT NULL AS has_p FROM g FULL JOIN p ON g.id = p.id),
 v AS (SELECT * FROM j WHERE has_g AND has_p AND actual <> '?' AND predicted <> '?'),
 c(class) AS (VALUES ('Да'), ('Нет'), ('Частично'), ('НД'))
 """
@@ -686,19 +709,48 @@ def cache_static(spark, sf_dir):
     return cache.static_replay(e.where("vec_id % 100 <> 0").withColumnRenamed("vec_id", "entry_id"), e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), 0.3)
 
 
-def _replayed(spark, sf_dir):
-    e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("seq"), "embedding", F.col("label").alias("intent"), (F.col("vec_id") % 64).alias("segment"))
-    return cache.online_replay(e, seeds=4, thresholds=(0.2, 0.3, 0.4), segments=64)
+def _records(spark, sf_dir):
+    return _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("seq"), "embedding", F.col("label").alias("intent"))
+
+
+_SEEDS, _LEVELS = 32, (0.2, 0.3, 0.4)
+_SEEDED = f"""
+e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings),
+s AS (SELECT q.vec_id AS seq, e.vec_id AS entry_seq, round(list_inner_product(q.v, e.v) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(e.v, e.v))), 6) AS similarity, q.label = e.label AS same
+  FROM e q, e WHERE q.n > {_SEEDS} AND e.n <= {_SEEDS}),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY seq ORDER BY similarity DESC, entry_seq) = 1),
+r AS (SELECT threshold, seq, entry_seq, similarity, similarity >= threshold AS hit, similarity >= threshold AND same AS accurate FROM b, (SELECT unnest([{', '.join(map(str, _LEVELS))}])::DOUBLE AS threshold))
+"""
+_CACHE_METRICS = f"""
+m AS (SELECT threshold, count(*) AS evaluated, count_if(hit)::BIGINT AS hits, count_if(NOT hit)::BIGINT AS misses, count_if(accurate)::BIGINT AS accurate_hits, count_if(hit AND NOT accurate)::BIGINT AS false_positive_hits,
+  round(count_if(hit) / count(*), 6) AS hit_rate, round(count_if(accurate) / count(*), 6) AS effective_hit_rate, round(CASE WHEN count_if(hit) = 0 THEN 1 ELSE count_if(accurate) / count_if(hit) END, 6) AS hit_precision,
+  round(count_if(hit AND NOT accurate) / count(*), 6) AS accuracy_impact, round(count_if(hit) * {cache.FULL_MS - cache.HIT_MS}::DOUBLE, 6) AS latency_savings_ms,
+  round(count_if(hit) * {cache.FULL_MS - cache.HIT_MS}::DOUBLE / (count(*) * {cache.FULL_MS}::DOUBLE), 6) AS latency_savings_rate, round(avg(similarity), 6) AS mean_best_similarity FROM r GROUP BY threshold)
+"""
+
+
+@query(f"WITH {_SEEDED} SELECT threshold, seq, entry_seq, similarity, hit, accurate, (1 + count_if(hit) OVER (PARTITION BY threshold, entry_seq ORDER BY seq))::BIGINT AS cluster_size FROM r")
+def cache_seeded(spark, sf_dir):
+    return cache.seeded_replay(_records(spark, sf_dir), _SEEDS, _LEVELS).select("threshold", "seq", "entry_seq", "similarity", "hit", "accurate", "cluster_size")
 
 
 @query()
 def cache_replay(spark, sf_dir):
-    return _replayed(spark, sf_dir)
+    return cache.online_replay(_records(spark, sf_dir), _SEEDS, _LEVELS)
 
 
-@query()
+@query(f"WITH {_SEEDED}, {_CACHE_METRICS} SELECT * FROM m")
 def cache_metrics(spark, sf_dir):
-    return cache.metrics(_replayed(spark, sf_dir))
+    return cache.metrics(cache.seeded_replay(_records(spark, sf_dir), _SEEDS, _LEVELS))
+
+
+@query(f"""
+WITH {_SEEDED}, {_CACHE_METRICS}, o AS (SELECT *, hit_precision >= 0.95 AND accuracy_impact <= 0.05 AS safe FROM m)
+SELECT threshold, hit_precision, CASE WHEN effective_hit_rate < 0.3 OR accuracy_impact > 0.05 OR hit_precision < 0.95 THEN 'reject' ELSE 'candidate' END AS decision_gate FROM o
+ORDER BY CASE WHEN safe THEN 1 ELSE 0 END DESC, CASE WHEN safe THEN effective_hit_rate ELSE hit_precision END DESC, CASE WHEN safe THEN threshold ELSE -accuracy_impact END DESC LIMIT 1
+""")
+def cache_decision(spark, sf_dir):
+    return cache.decision(cache.metrics(cache.seeded_replay(_records(spark, sf_dir), _SEEDS, _LEVELS))).select("threshold", "hit_precision", "decision_gate")
 
 
 @query("SELECT conv_id, turn, greatest(1, ceil(length(text) / 4))::BIGINT + greatest(1, ceil(length(role) / 4))::BIGINT + 1200 AS tokens FROM conversations")
@@ -721,12 +773,12 @@ def replay_variants(spark, sf_dir):
 def _export(spark, sf_dir):
     d = F.col("doc_id")
     locator = F.from_json(F.to_json(F.struct(F.lit("cell").alias("type"), F.lit('A"b').alias("sheet_name"), d.alias("row"), F.lit("Требование").alias("column"))), export.LOCATOR)
-    rows = _t(spark, sf_dir, "documents").select((d + 1).alias("id"), F.left("text", F.lit(80)).alias("text"), F.when(d % 3 == 0, "Да").when(d % 3 == 1, "").alias("status"), F.lit("a|b*c").alias("comment"), ((d % 8) / 4).alias("confidence"), F.when(d % 4 == 0, "boom").alias("error"), locator.alias("locator"))
+    rows = _t(spark, sf_dir, "documents").select((d + 1).alias("id"), "text", F.when(d % 3 == 0, "Да").when(d % 3 == 1, "").alias("status"), F.lit("a|b*c").alias("comment"), ((d % 8) / 4).alias("confidence"), F.when(d % 4 == 0, "boom").alias("error"), locator.alias("locator"))
     return export.rows(rows, RUN_ID)
 
 
 _EXPORT = rf"""
-x AS (SELECT doc_id + 1 AS id, 'sheet="A\"b", row=' || doc_id || ', col="Требование"' AS ref, substr(text, 1, 80) AS source_text,
+x AS (SELECT doc_id + 1 AS id, 'sheet="A\"b", row=' || doc_id || ', col="Требование"' AS ref, coalesce(text, '') AS source_text,
   CASE WHEN doc_id % 3 = 0 THEN 'Да' WHEN doc_id % 4 = 0 THEN 'Ошибка' ELSE 'НД' END AS status, CASE WHEN doc_id % 3 <> 0 AND doc_id % 4 = 0 THEN 'Ошибка обработки: boom' ELSE 'a|b*c' END AS comment,
   (doc_id % 8) / 4 AS confidence, '{RUN_ID}' AS run_id FROM documents)
 """
@@ -737,19 +789,55 @@ def export_rows(spark, sf_dir):
     return _export(spark, sf_dir)
 
 
-@query(f"WITH {_EXPORT} SELECT id, CASE WHEN confidence > 1 THEN 'confidence' ELSE '' END AS violations FROM x")
+@query(f"WITH {_EXPORT} SELECT id, array_to_string(list_filter([CASE WHEN confidence > 1 THEN 'confidence' END, CASE WHEN NOT regexp_matches(source_text, '[^\\s\\x0b\\x85\\p{{Z}}]') THEN 'text' END], lambda v: v IS NOT NULL), ',') AS violations FROM x")
 def export_violations(spark, sf_dir):
     return export.violations(_export(spark, sf_dir)).select("id", F.array_join("violations", ",").alias("violations"))
 
 
-@query(rf"""
-WITH {_EXPORT}, e AS (SELECT id, confidence, run_id, status, replace(replace(replace(ref, '\', '\\'), '|', '\|'), '*', '\*') AS ref, replace(replace(replace(replace(source_text, '\', '\\'), '|', '\|'), '*', '\*'), chr(10), '<br>') AS source_text, replace(replace(comment, '|', '\|'), '*', '\*') AS comment FROM x)
-SELECT id, '| ' || id || ' | ' || ref || ' | ' || source_text || ' | ' || status || ' | ' || comment || ' | ' || printf('%.2f', confidence) || ' | ' || run_id || ' |' AS line FROM e
-""")
+def _cell_sql(c: str) -> str:
+    for a, b in (("'\\'", "'\\\\'"), ("'|'", "'\\|'"), ("'*'", "'\\*'"), ("chr(13) || chr(10)", "'<br>'"), ("chr(10)", "'<br>'"), ("chr(13)", "'<br>'")):
+        c = f"replace({c}, {a}, {b})"
+    return rf"regexp_replace(regexp_replace({c}, '^[\s\x0b\x85\p{{Z}}]+', ''), '[\s\x0b\x85\p{{Z}}]+$', '')"
+
+
+_MARKDOWN = rf"""
+md AS (SELECT id, '| ' || id || ' | ' || {_cell_sql('ref')} || ' | ' || {_cell_sql('source_text')} || ' | ' || status || ' | ' || {_cell_sql('comment')} || ' | ' || printf('%.2f', confidence) || ' | ' || run_id || ' |' AS line FROM x)
+"""
+
+
+@query(f"WITH {_EXPORT}, {_MARKDOWN} SELECT id, line FROM md")
 def markdown_rows(spark, sf_dir):
     return export.markdown_rows(_export(spark, sf_dir))
 
 
+@query(f"""
+WITH {_EXPORT}, {_MARKDOWN}, head AS (SELECT unnest(range(11)) AS position, unnest(['---', 'run_id: {RUN_ID}', 'date: ' || chr(39) || '2026-01-02T03:04:05Z' || chr(39), 'source: in/tz 1.xlsx', 'schema_version: ' || chr(39) || '1.0' || chr(39), '---', '', '# Результат анализа ТЗ — tz 1.xlsx', '',
+  '| № | Ref | Исходное требование | [Статус] | [Комментарий] | [Confidence] | [RunID] |', '|---:|---|---|---|---|---:|---|']) AS line)
+SELECT position, line FROM head UNION ALL SELECT 10 + row_number() OVER (ORDER BY id), line FROM md
+""")
+def markdown_report(spark, sf_dir):
+    return export.markdown_report(_export(spark, sf_dir), RUN_ID, "2026-01-02T03:04:05Z", "in/tz 1.xlsx")
+
+
+@query(f"""
+WITH {_EXPORT}, w AS (SELECT *, CASE WHEN id % 5 = 0 THEN '' ELSE run_id END AS own FROM x)
+SELECT id, ref, source_text, status, comment, confidence, CASE WHEN own = '' THEN 'filled' ELSE own END AS run_id FROM w
+""")
+def passed_rows(spark, sf_dir):
+    rows = _export(spark, sf_dir).withColumn("run_id", F.when(F.col("id") % 5 == 0, "").otherwise(F.col("run_id")))
+    return export.passed_through(rows.toDF("id", "ref", "source_text", *export.RESULT_COLUMNS), "filled")
+
+
+@query(f"""
+WITH e AS (SELECT 'run-' || conv_id AS run_id, turn, role AS provider, text AS message, min(text) OVER (PARTITION BY conv_id) AS q FROM conversations),
+g AS (SELECT run_id, any_value({_mask_sql('q')}) AS query, count(*) AS n, lower(string_agg({_mask_sql('message')}, ' ')) AS low FROM e GROUP BY run_id)
+SELECT run_id, query, 'Все провайдеры недоступны (' || n || ' из 3)' AS reason, CASE WHEN regexp_matches(low, '401|auth|token') THEN 'auth' WHEN regexp_matches(low, 'timeout|connection') THEN 'network' WHEN contains(low, '400') THEN 'request' ELSE 'default' END AS recommendation FROM g
+""")
+def error_reports(spark, sf_dir):
+    errors = _t(spark, sf_dir, "conversations").select(F.concat(F.lit("run-"), F.col("conv_id").cast("string")).alias("run_id"), F.col("text").alias("query"), F.col("role").alias("provider"), F.lit("Error").alias("error_type"), F.col("text").alias("message"))
+    return export.error_report(errors, 3, "2026-01-02T03:04:05Z").select("run_id", "query", "reason", "recommendation")
+
+
 @query(f"WITH {_EXPORT} SELECT doc_id % 20 AS sheet, doc_id AS row_idx, coalesce(x.status, '') AS status, coalesce(x.confidence, 0) AS confidence FROM documents LEFT JOIN x ON x.id = doc_id + 1 AND doc_id % 2 = 0")
 def source_merge(spark, sf_dir):
     d = F.col("doc_id")
@@ -768,15 +856,15 @@ def masked_export(spark, sf_dir):
 
 
 def _cells(spark, sf_dir):
-    """Documents as sheets of a workbook: an id, a short code and the first line."""
-    base = _t(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("book-"), F.col("source"), F.lit(".xlsx")).alias("path"), F.array(F.col("doc_id").cast("string"), F.col("lang"), F.split("text", "\n")[0]).alias("v"))
+    """Documents as rows of their source's workbook: an id, a short code and the whole text."""
+    base = _t(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("book-"), F.col("source"), F.lit(".xlsx")).alias("path"), F.array(F.col("doc_id").cast("string"), F.col("lang"), F.col("text")).alias("v"))
     body = base.select("path", F.lit(0).cast("long").alias("sheet_no"), F.lit("Лист1").alias("sheet"), (F.col("doc_id") + 2).alias("row"), F.posexplode("v").alias("col", "value"))
     head = base.select("path").distinct().select("path", F.lit(0).cast("long").alias("sheet_no"), F.lit("Лист1").alias("sheet"), F.lit(1).cast("long").alias("row"), F.posexplode(F.array(F.lit("N"), F.lit("Lang"), F.lit("Text"))).alias("col", "value"))
     return head.unionByName(body).withColumn("col", F.col("col") + 1)
 
 
 @query(r"""
-WITH c AS (SELECT source, unnest([1, 2, 3]) AS col, unnest([doc_id::VARCHAR, lang, regexp_replace(regexp_replace(string_split(text, chr(10))[1], '^\s+', ''), '\s+$', '')]) AS v FROM documents),
+WITH c AS (SELECT source, unnest([1, 2, 3]) AS col, unnest([doc_id::VARCHAR, lang, regexp_replace(regexp_replace(text, '^[\s\x0b\x85\p{Z}]+', ''), '[\s\x0b\x85\p{Z}]+$', '')]) AS v FROM documents),
 s AS (SELECT source, col, count(*) AS n, avg(length(v)) AS m FROM c WHERE length(v) >= 5 GROUP BY ALL)
 SELECT 'book-' || source || '.xlsx' AS path, arg_max(col, n * 1e9 + m * 1000 - col)::INT AS col FROM s GROUP BY source
 """)
@@ -785,7 +873,7 @@ def column_detection(spark, sf_dir):
 
 
 @query(r"""
-WITH l AS (SELECT source, doc_id, regexp_replace(regexp_replace(string_split(text, chr(10))[1], '^\s+', ''), '\s+$', '') AS v FROM documents)
+WITH l AS (SELECT source, doc_id, regexp_replace(regexp_replace(text, '^[\s\x0b\x85\p{Z}]+', ''), '[\s\x0b\x85\p{Z}]+$', '') AS v FROM documents)
 SELECT 'book-' || source || '.xlsx' AS path, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS id, v AS text, (doc_id + 2)::INT AS row FROM l WHERE length(v) >= 5
 """)
 def workbook_requirements(spark, sf_dir):
@@ -852,20 +940,138 @@ def index_chunks(spark, sf_dir):
     return _index(spark, sf_dir).select("source", "chunk_idx", tx.sha256("text").alias("chunk_sha256"), "parent_id")
 
 
-@query("SELECT item_id AS id, 'НД' AS status, 0.0::DOUBLE AS confidence FROM benchmark")
+def _said(system, user):
+    """A model's answer made of its whole prompt: the first chunk decides and is cited, and the reason is a digest of all that the model was given."""
+    import hashlib
+    import json
+    import re
+
+    first = re.search(r"<context>\n\[(.*?) — (.*?)\]\n", user)
+    cited = [{"source": first[1], "section": first[2], "quote": ""}] if first else []
+    return json.dumps({"classification": "Да" if first and first[2] == "en" else "НД", "confidence": 0.5, "reasoning": hashlib.sha256(user.encode()).hexdigest(), "citations": cited}, ensure_ascii=False)
+
+
+_STRIPPED = r"regexp_replace(regexp_replace({}, '^[\s\x0b\x85\p{{Z}}]+', ''), '[\s\x0b\x85\p{{Z}}]+$', '')".format
+
+
+@query(f"""
+WITH {_TF}, {_bm25_sql(_ITEMS, k=5)}, j AS (SELECT b.query_id, arg_min(d.lang, rank) AS lang, string_agg('[' || d.source || ' — ' || d.lang || ']' || chr(10) || {_STRIPPED('d.text')}, chr(10) || chr(10) ORDER BY rank) AS c FROM bm25 b JOIN documents d USING (doc_id) GROUP BY 1),
+p AS (SELECT item_id AS id, lang, '<requirement id="' || item_id || '">' || text || '</requirement>' || chr(10) || '<context>' || chr(10) || coalesce(c, '(контекст отсутствует)') || chr(10) || '</context>' || chr(10) || 'Respond with the JSON object only.' AS prompt FROM benchmark LEFT JOIN j ON query_id = item_id)
+SELECT id, CASE WHEN lang = 'en' THEN 'Да' ELSE 'НД' END AS status, sha256({_mask_sql('prompt')}) AS comment, 0.5::DOUBLE AS confidence FROM p
+""")
 def analyse_requirements(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents").select("doc_id", "source", F.col("lang").alias("page"), "text")
-    _, rows, _ = flows.analyse(_t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text", F.lit(None).cast("string").alias("error_note")), docs, run_id=RUN_ID)
-    return rows.select("id", "status", "confidence")
+    asked = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text", F.lit(None).cast("string").alias("error_note"))
+    _, rows, _ = flows.analyse(asked, docs, {"said": _said}, ["unknown", "said"], run_id=RUN_ID)
+    return rows.select("id", "status", "comment", "confidence")
+
+
+def _digest(system, user):
+    import hashlib
+
+    return "[src0.pdf] " + hashlib.sha256(user.encode()).hexdigest()
 
 
 @query(f"""
 WITH {_TF}, asked AS (SELECT conv_id AS query_id, arg_max(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY 1), {_bm25_sql('SELECT * FROM asked')},
-f AS (SELECT query_id, d.source || '.pdf' AS source, arg_min(d.doc_id % 4, rank) AS page FROM bm25 b JOIN documents d USING (doc_id) GROUP BY ALL)
-SELECT query_id, coalesce((SELECT '[src0.pdf' || CASE WHEN page > 0 THEN ', стр. ' || page ELSE '' END || '](http://kb/src0.pdf' || CASE WHEN page > 0 THEN '#page=' || page ELSE '' END || ')' FROM f WHERE f.query_id = asked.query_id AND source = 'src0.pdf'), '[src0.pdf]') AS answer FROM asked
+f AS (SELECT query_id, d.source || '.pdf' AS source, arg_min(d.doc_id % 4, rank) AS page FROM bm25 b JOIN documents d USING (doc_id) GROUP BY ALL),
+x AS (SELECT query_id, string_agg('[' || rank || '] ' || d.source || '.pdf' || CASE WHEN d.doc_id % 4 > 0 THEN ' стр. ' || d.doc_id % 4 ELSE '' END || chr(10) || {_STRIPPED("coalesce(d.text, '')")}, chr(10) || chr(10) ORDER BY rank) AS ctx FROM bm25 b JOIN documents d USING (doc_id) GROUP BY 1),
+h AS (SELECT conv_id AS query_id, string_agg(CASE WHEN lower(role) = 'assistant' THEN 'Ассистент' ELSE 'Пользователь' END || ': ' || {_STRIPPED('text')}, chr(10) ORDER BY turn) AS hist
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 6 AND {_STRIPPED("coalesce(text, '')")} <> '' GROUP BY 1),
+p AS (SELECT query_id, '<context>' || chr(10) || coalesce(ctx, '(no context)') || chr(10) || '</context>' || coalesce(chr(10) || chr(10) || '<history>' || chr(10) || hist || chr(10) || '</history>', '') || chr(10) || chr(10) || '<question>' || {_STRIPPED("coalesce(text, '')")} || '</question>' AS prompt
+  FROM asked LEFT JOIN x USING (query_id) LEFT JOIN h USING (query_id))
+SELECT query_id, coalesce((SELECT '[src0.pdf' || CASE WHEN page > 0 THEN ', стр. ' || page ELSE '' END || '](http://kb/src0.pdf' || CASE WHEN page > 0 THEN '#page=' || page ELSE '' END || ')' FROM f WHERE f.query_id = p.query_id AND source = 'src0.pdf'), '[src0.pdf]') || ' ' || sha256({_mask_sql('prompt')}) AS answer FROM p
 """)
 def consultation(spark, sf_dir):
     messages = _t(spark, sf_dir, "conversations")
     asked = messages.where("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text")).select(F.col("conv_id").alias("query_id"), "conv_id", "text")
     docs = _t(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit(".pdf")).alias("source"), (F.col("doc_id") % 4).cast("string").alias("page"), "text")
-    return flows.consult(messages, asked, docs, lambda system, user: "[src0.pdf]", "http://kb").select("query_id", "answer")
+
+    def down(system, user):
+        raise ConnectionError("down")
+
+    return flows.consult(messages, asked, docs, {"down": down, "digest": _digest}, "http://kb", order=["unknown", "down", "digest"]).select("query_id", "answer")
+
+
+@query(f"""
+WITH {_TF}, {_bm25_sql(_VARIANTS, 'one', 5)},
+follow AS (SELECT o.query_id, substr(d.text, 1, 200) AS text FROM one o JOIN documents d USING (doc_id) WHERE rank = 1 AND o.query_id % 2 = 0),
+{_bm25_sql('SELECT * FROM follow', 'two', 5)},
+fresh AS (SELECT * FROM two WHERE NOT EXISTS (SELECT 1 FROM one WHERE one.query_id = two.query_id AND one.doc_id = two.doc_id)),
+hops AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY hop, rank) AS rank FROM (SELECT *, 1 AS hop FROM one UNION ALL SELECT *, 2 FROM fresh)),
+summed AS (SELECT query_id // 16 AS query_id, doc_id, round(sum(1.0 / (60 + rank)), 6) AS score, min((query_id % 16) * 100000 + rank) AS first FROM hops GROUP BY ALL),
+fused AS (SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, doc_id) AS rank FROM summed) WHERE rank <= 5),
+hits AS (SELECT f.*, d.source || '::' || d.lang AS parent_id FROM fused f JOIN documents d USING (doc_id)),
+grouped AS (SELECT query_id, parent_id, min(rank) AS best, max(score) AS score, arg_min(doc_id, rank) AS doc_id, string_agg(doc_id, ',' ORDER BY rank) AS children FROM hits GROUP BY ALL)
+SELECT query_id, parent_id, score, doc_id, children, row_number() OVER (PARTITION BY query_id ORDER BY best, parent_id) AS rank FROM grouped
+""")
+def search_chain(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents")
+    passages = docs.select("doc_id", "text", F.concat_ws("::", "source", "lang").alias("parent_id"), F.lit(None).cast("string").alias("parent_text"))
+    index = ranking.postings_of(docs)
+
+    def judge(queries, hits):
+        top = hits.where("rank = 1 and hop = 1").join(docs.select("doc_id", "text"), "doc_id")
+        return top.select("query_id", (F.col("query_id") % 2 == 1).alias("sufficient"), F.lit(0.9).alias("confidence"), F.left("text", F.lit(200)).alias("follow_up"))
+
+    search = ranking.composed(lambda q: ranking.bm25(None, q, 5, index=index), 5, judge, _halves, passages)
+    return search(_items(spark, sf_dir)).select("query_id", "parent_id", "score", "doc_id", F.array_join(F.transform("children", lambda c: c.cast("string")), ",").alias("children"), "rank")
+
+
+@query(f"""
+WITH {_TF}, {_bm25_sql(_ITEMS, k=5)}, one AS (SELECT item_id AS query_id, text FROM benchmark),
+x AS (SELECT query_id, string_agg('[' || rank || '] source=' || d.source || ' chunk_idx=' || d.doc_id || ' page=' || d.lang || chr(10) || {_STRIPPED("coalesce(d.text, '')")}, chr(10) || chr(10) ORDER BY rank) AS ctx FROM bm25 b JOIN documents d USING (doc_id) GROUP BY 1),
+p AS (SELECT query_id, '<question>' || {_STRIPPED('text')} || '</question>' || chr(10) || chr(10) || '<context>' || chr(10) || coalesce(ctx, '(no context)') || chr(10) || '</context>' AS reflect, '<query>' || {_STRIPPED('text')} || '</query>' || chr(10) || 'Return exactly 3 query rewrites as a JSON array of strings.' AS rewrite FROM one LEFT JOIN x USING (query_id))
+SELECT query_id, sha256({_mask_sql('reflect')}) AS reflect_sha256, sha256({_mask_sql('rewrite')}) AS rewrite_sha256 FROM p
+""")
+def search_prompts(spark, sf_dir):
+    def echo(system, user):
+        import hashlib
+        import json
+
+        sha = hashlib.sha256(user.encode()).hexdigest()
+        return json.dumps([sha]) if user.startswith("<query>") else json.dumps({"sufficient": False, "confidence": 0.1, "follow_up": sha})
+
+    docs, items = _t(spark, sf_dir, "documents"), _items(spark, sf_dir)
+    passages = docs.select("doc_id", "source", F.col("doc_id").alias("chunk_idx"), F.col("lang").alias("page"), "text")
+    hits = ranking.bm25(docs, items, 5).withColumn("hop", F.lit(1))
+    judged = providers.reflector({"echo": echo}, ["echo"], passages, written)(items, hits)
+    said = providers.rewriter({"echo": echo}, ["echo"], written)(items)
+    return judged.select("query_id", F.col("follow_up").alias("reflect_sha256")).join(said.select("query_id", F.col("text").alias("rewrite_sha256")), "query_id")
+
+
+@query(f"""
+{_RANKS}, k AS (SELECT b.query_id, lower(string_agg(text, chr(10) ORDER BY rank)) AS ctx FROM bm25 b JOIN documents USING (doc_id) GROUP BY 1),
+g AS (SELECT item_id AS query_id, list_filter(list_slice(string_split(text, ' '), 1, 2), lambda w: w <> '') AS needles FROM benchmark),
+n AS (SELECT round(CASE WHEN len(needles) > 0 THEN len(list_filter(needles, lambda w: contains(coalesce(ctx, ''), lower(w)))) / len(needles) ELSE 1 END, 6) AS recall FROM g LEFT JOIN k USING (query_id)),
+v AS (SELECT 'hit_rate' AS gate, (SELECT round(count(rank) / count(*), 6) FROM r) AS value, 0.5::DOUBLE AS least UNION ALL SELECT 'mrr', (SELECT round(coalesce(sum(1.0 / rank), 0) / count(*), 6) FROM r), 0.0 UNION ALL SELECT 'recall', (SELECT round(avg(recall), 6) FROM n), 0.25)
+SELECT gate, value, least, value >= least AS passed FROM v
+""")
+def retrieval_gates(spark, sf_dir):
+    return flows.evaluated(_golden(spark, sf_dir), _hits(spark, sf_dir), {"hit_rate": 0.5, "recall": 0.25})[1]
+
+
+@query(SQL["index_chunks"])
+def index_store(spark, sf_dir):
+    path = new_path(spark, "index")
+    flows.write_index(_index(spark, sf_dir), path)
+    return files.read_index(spark, path).select("source", "chunk_idx", tx.sha256("text").alias("chunk_sha256"), "parent_id")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN doc_id::VARCHAR WHEN doc_id % 3 = 1 AND source <> '' THEN source ELSE coalesce(lang, '') END AS label FROM documents")
+def page_labels(spark, sf_dir):
+    d = F.col("doc_id")
+    return _t(spark, sf_dir, "documents").select("doc_id", ranking.page_label(F.when(d % 3 == 0, d.cast("string")).when(d % 3 == 1, ""), F.when(d % 3 == 1, F.col("source")), F.col("lang")).alias("label"))
+
+
+@query()
+def feature_embedding(spark, sf_dir):
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", vectors.feature_hashed(cache.normal_query("text")).alias("embedding"))
+
+
+@query("""
+WITH d AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)
+SELECT item_id, 'Stub answer grounded in SRC' || (item_id % 20) || '; expected markers: ' || CASE WHEN len(list_filter(list_slice(w, 1, 2), lambda x: x <> '')) > 0 THEN array_to_string(list_filter(list_slice(w, 1, 2), lambda x: x <> ''), ', ') ELSE 'no markers' END || '.' AS answer FROM d
+""")
+def stub_answers(spark, sf_dir):
+    return _golden(spark, sf_dir).select(F.col("query_id").alias("item_id"), cache.stub_answer(F.col("expected_sources"), F.col("expected_substrings")).alias("answer"))
