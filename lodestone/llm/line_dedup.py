@@ -6,8 +6,8 @@ the smallest doc_id that holds it, with all its lines there, and loses its lines
 
 Defined results: a null or empty text is one empty line and comes back as ``''``; rows with a null doc_id are never
 matched and keep all lines; rows that share a doc_id count as one document for the keys, and each of these rows is cut
-by itself; extra columns of the input are carried through untouched, whatever their names; an empty table gives
-an empty table.
+by itself; extra columns of the input are carried through untouched, whatever their names, but for ``n_lines`` and
+``n_dropped``, in whose place the operator's own come; an empty table gives an empty table.
 """
 
 from __future__ import annotations

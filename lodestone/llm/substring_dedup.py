@@ -8,7 +8,7 @@ passages: other copies are removed only in runs of repeated chunks that are at l
 
 Defined results: a null or empty text has no chunks and comes back empty; rows with a null doc_id are never matched and
 stay whole; rows that share a doc_id are one holder of their chunks, and each is cut by itself, so equal rows are cut alike;
-an empty table gives an empty table; extra columns are carried by ``drop_repeated_passages``.
+an empty table gives an empty table; extra columns are carried by ``drop_repeated_passages``, but for those named as its own.
 """
 
 from __future__ import annotations

@@ -99,8 +99,6 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             for a in range(0, len(ids), 500):
                 own = [t.split() if t else [] for t in texts.slice(a, 500).to_pylist()]
                 known.insert({w for words in own for w in words})
-                if any(w not in known for w in own[0]):  # the table was emptied for a larger batch
-                    known.insert(set(own[0]))
                 tokens = [sum(map(known.__getitem__, words)) for words in own]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, 500), pa.array([len(w) for w in own], pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
