@@ -161,6 +161,12 @@ def result_key(chunk_id: Column, source: Column, page: Column, text: Column) ->
     return F.when(~tx.blank(chunk_id), F.concat(F.lit("id::"), chunk_id)).otherwise(F.concat_ws("::", F.lit("sp"), F.coalesce(source, F.lit("")), F.coalesce(page, F.lit("")), F.coalesce(text, F.lit(""))))
 
 
+def keyed(hits: DataFrame) -> DataFrame:
+    """hits(chunk_id?, source, page, text) plus ``key``, under which lists of several searches are fused."""
+    ident = F.col("chunk_id").cast("string") if "chunk_id" in hits.columns else F.lit(None).cast("string")
+    return hits.withColumn("key", result_key(ident, F.col("source"), F.col("page").cast("string"), F.col("text")))
+
+
 def fuse(lists: Sequence[DataFrame], key: str = "doc_id", k: int = RRF_K, top: int | None = None) -> DataFrame:
     """Reciprocal-rank fusion of ranked lists(query_id, key, rank): sum of 1 / (k + rank), with first_list and first_rank.
 

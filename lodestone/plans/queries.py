@@ -135,6 +135,23 @@ def hybrid_rrf_topk(spark, sf_dir):
     return _hybrid(spark, sf_dir).select("query_id", "doc_id", "score", "rank", "similarity")
 
 
+@query(f"""
+WITH {_TF}, {_bm25_sql(_ITEMS, k=5)},
+o AS (SELECT q.query_id, d.doc_id, count(*)::DOUBLE AS score FROM (SELECT item_id AS query_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''))) AS token FROM benchmark) q
+  JOIN (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''))) AS token FROM documents) d USING (token) GROUP BY ALL),
+overlap AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM o QUALIFY rank <= 5),
+lists AS (SELECT query_id, doc_id, rank, 0 AS list FROM bm25 UNION ALL SELECT query_id, doc_id, rank, 1 FROM overlap),
+named AS (SELECT l.*, CASE WHEN doc_id % 2 = 0 THEN 'id::' || doc_id ELSE 'sp::' || d.source || '::' || d.lang || '::' || coalesce(d.text, '') END AS key FROM lists l JOIN documents d USING (doc_id)),
+summed AS (SELECT query_id, key, round(sum(1.0 / (60 + rank)), 6) AS score, min(list * 100000 + rank) AS first FROM named GROUP BY ALL)
+SELECT query_id, sha256(key) AS key_sha256, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, key) AS rank FROM summed) WHERE rank <= 5
+""")
+def fused_by_key(spark, sf_dir):
+    docs, items = _t(spark, sf_dir, "documents"), _items(spark, sf_dir)
+    named = docs.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).alias("chunk_id"), "source", F.col("lang").alias("page"), "text")
+    lists = [ranking.keyed(hits.select("query_id", "doc_id", "rank").join(named, "doc_id")) for hits in (ranking.bm25(docs, items, 5), ranking.overlap_search(docs, items, 5))]
+    return ranking.fuse(lists, key="key", top=5).select("query_id", tx.sha256("key").alias("key_sha256"), "score", "rank")
+
+
 _VARIANTS = f"""
 SELECT item_id * 16 AS query_id, text FROM benchmark UNION ALL
 SELECT item_id * 16 + 1, array_to_string(list_slice(w, 1, len(w) // 2), ' ') FROM (SELECT item_id, regexp_extract_all(text, '{WORD}') AS w FROM benchmark) UNION ALL
@@ -667,6 +684,14 @@ def chat_qa_blocks(spark, sf_dir):
     return chat.markdown(_t(spark, sf_dir, "conversations")).select("conv_id", tx.sha256("markdown").alias("markdown_sha256"))
 
 
+@query(f"""
+SELECT conv_id, sha256('\ufeff' || string_agg(CASE WHEN lower(role) = 'user' THEN '### Вопрос' ELSE '### Ответ' END || chr(10) || {_mask_sql("regexp_replace(regexp_replace(text, '^[[:space:]]+', ''), '[[:space:]]+$', '')")}, chr(10) || chr(10) ORDER BY turn)) AS content_sha256
+FROM conversations WHERE lower(role) IN ('user', 'assistant') AND trim(text) <> '' GROUP BY conv_id
+""")
+def chat_files(spark, sf_dir):
+    return chat.markdown_files(_t(spark, sf_dir, "conversations")).select("conv_id", F.sha2("content", 256).alias("content_sha256"))
+
+
 @query("SELECT conv_id, max(turn) FILTER (lower(role) = 'assistant') AS turn FROM conversations GROUP BY conv_id")
 def latest_assistant(spark, sf_dir):
     return chat.latest_assistant(_t(spark, sf_dir, "conversations"))

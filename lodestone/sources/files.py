@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Sequence
 
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
-from lodestone.operators.quality import last_wins
+from lodestone.operators.quality import last_wins, normal_id
 
 REGISTRY = "filename string, version string, sha256_hash string, indexed_date string, status string, coverage string"
 
@@ -121,6 +122,37 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return rows.crossJoin(some).select(F.when(F.col("_some") > 0, F.col("id")).otherwise(F.col("_n").cast("string")).alias("id"), "status", F.col("_n").alias("ord")).where("id is not null")
 
 
+# Names of the columns of a set of predictions.
+ID_COLUMNS = ("id", "ID", "Id", "№", "Номер")
+STATUS_COLUMNS = ("[Статус]", "Статус", "status", "Status", "classification", "expected_status")
+
+
+def predictions_of_cells(cells: DataFrame) -> DataFrame:
+    """id, status, ord of predictions in the first sheet of a workbook, of cells(sheet_no, row, col, value); row 1 names the columns.
+
+    Without an id column rows go by their number, and without a status column there is an error.
+    """
+    first = cells.where("sheet_no = 0")
+    head = {r.value.strip(): r.col for r in first.where("row = 1 and value is not null").select("col", "value").collect()}  # a sheet's columns
+    ident, status = pick_column(list(head), list(ID_COLUMNS)), pick_column(list(head), list(STATUS_COLUMNS))
+    if status is None:
+        raise ValueError(f"no status column; there are {', '.join(head)}")
+    value = lambda name: F.max(F.when(F.col("col") == head[name], F.col("value")))
+    rows = first.where("row > 1").groupBy("row").agg(*([value(ident).alias("id")] if ident else []), value(status).alias("status"))
+    ident = normal_id("id") if ident else (F.col("row") - 1).cast("string")
+    return rows.select(ident.alias("id"), tx.strip(tx.text_or_empty("status")).alias("status"), F.col("row").alias("ord"))
+
+
+def read_prompt(spark: SparkSession, folder: str, name: str, version: str = "v1.0", extensions: Sequence[str] = ("md", "txt")) -> tuple[str, str]:
+    """Text and SHA-256 of ``name_version.md``, else ``.txt``; examples are read with ``extensions=("json",)``."""
+    found = spark.read.text(folder, wholetext=True, pathGlobFilter=f"{name}_{version}.*").select(F.col("value"), tx.extension(F.input_file_name()).alias("kind"))
+    by_kind = {r.kind: r.value for r in found.where(F.col("kind").isin(*extensions)).collect()}  # at most one file an extension
+    for kind in extensions:
+        if kind in by_kind:
+            return by_kind[kind], hashlib.sha256(by_kind[kind].encode("utf-8")).hexdigest()
+    raise FileNotFoundError(f"no prompt {name}_{version} in {folder}")
+
+
 def pick_column(columns: list[str], candidates: list[str]) -> str | None:
     """The first candidate that is a column, exactly, else without regard to case."""
     low = {c.lower(): c for c in reversed(columns)}

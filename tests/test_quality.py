@@ -42,6 +42,14 @@ def test_summary_and_gates(spark):
     assert gates["accuracy"] == (0.5, True) and not gates["macro_f1"][1]
 
 
+def test_evaluation_flow(spark):
+    from lodestone.plans import flows
+
+    gold = spark.createDataFrame([("1", "Да"), ("2", "Нет")], "id string, status string")
+    totals, classes, grid, text = flows.evaluate_quality(gold, spark.createDataFrame([("1", "Да"), ("2", "Да")], "id string, status string"))
+    assert totals.first().accuracy == 0.5 and classes.count() == 4 and grid.count() == 16 and "Accuracy: 0.500" in text
+
+
 def test_last_wins(spark):
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "k string, n int, v string")
     assert sorted(r.v for r in quality.last_wins(rows, "k", "n").collect()) == ["y", "z"]

@@ -110,6 +110,30 @@ def test_predictions(spark, tmp_path):
     assert files.pick_column(["ID", "Статус"], ["id", "ID"]) == "ID" and files.pick_column(["iD"], ["x", "ID"]) == "iD" and files.pick_column([], ["x"]) is None
 
 
+def test_predictions_in_a_workbook(spark, tmp_path):
+    workbook(tmp_path / "p.xlsx", [("A", {1: {"A": "Номер", "B": "статус"}, 2: {"A": 1, "B": " Да "}, 3: {"A": 7}}), ("B", {1: {"A": "status"}, 2: {"A": "no"}})])
+    got = files.predictions_of_cells(office.read_cells(spark, str(tmp_path / "p.xlsx")))
+    assert [(r.id, r.status) for r in got.orderBy("ord").collect()] == [("1", "Да"), ("7", "")]
+    workbook(tmp_path / "q.xlsx", [("A", {1: {"A": "x", "B": "status"}, 2: {"A": 5, "B": "Да"}, 3: {"B": "Нет"}})])
+    assert [(r.id, r.status) for r in files.predictions_of_cells(office.read_cells(spark, str(tmp_path / "q.xlsx"))).orderBy("ord").collect()] == [("1", "Да"), ("2", "Нет")]
+    workbook(tmp_path / "r.xlsx", [("A", {1: {"A": "x"}, 2: {"A": 5}})])
+    with pytest.raises(ValueError):
+        files.predictions_of_cells(office.read_cells(spark, str(tmp_path / "r.xlsx")))
+
+
+def test_prompts(spark, tmp_path):
+    (tmp_path / "system_v1.0.txt").write_text("plain")
+    (tmp_path / "system_v2.md").write_text("second\n")
+    (tmp_path / "system_v2.txt").write_text("not this")
+    (tmp_path / "shots_v1.0.json").write_text("[]")
+    assert files.read_prompt(spark, str(tmp_path), "system")[0] == "plain"
+    text, sha = files.read_prompt(spark, str(tmp_path), "system", "v2")
+    assert text == "second\n" and sha == __import__("hashlib").sha256(b"second\n").hexdigest()
+    assert files.read_prompt(spark, str(tmp_path), "shots", extensions=("json",))[0] == "[]"
+    with pytest.raises(FileNotFoundError):
+        files.read_prompt(spark, str(tmp_path), "none")
+
+
 def test_gold_set(spark, tmp_path):
     (tmp_path / "g.json").write_text(json.dumps([{"id": 1, "requirement": "r", "expected_status": "Да"}, {"ID": "2", "status": "Нет"}], ensure_ascii=False), "utf-8")
     got = files.read_gold_standard(spark, str(tmp_path / "g.json"))
