@@ -105,6 +105,20 @@ def marginals(e: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.nda
     return both[:, 1] / both.sum(axis=1), alpha, beta / beta.sum(axis=1, keepdims=True)
 
 
+def slopes(e: np.ndarray, labels: np.ndarray, first: np.ndarray, log_trans: np.ndarray, log_start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slopes of the labels' log likelihood: along each token's evidence, the transition weights and the start weights."""
+    trans, start = np.exp(log_trans), np.exp(log_start)
+    p, alpha, beta = marginals(e, first, trans, start)
+    pairs = np.flatnonzero(~first)
+    up = np.stack([np.ones(len(e)), np.exp(np.clip(e, -30, 30))], axis=1)
+    joint = alpha[pairs - 1][:, :, None] * trans[None] * (up * beta)[pairs][:, None, :]
+    joint /= joint.sum(axis=(1, 2), keepdims=True)
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (labels[pairs - 1], labels[pairs]), 1)
+    begun = np.bincount(labels[first], minlength=2) - np.array([(1 - p)[first].sum(), p[first].sum()])
+    return labels - p, seen - joint.sum(axis=0), begun
+
+
 def summary(p: np.ndarray) -> np.ndarray:
     top = p if len(p) <= TOP else np.partition(p, -TOP)[-TOP:]
     return np.array([1.0, top.sum(), top.max() if len(top) else 0.0])
@@ -196,27 +210,12 @@ def train(docs: list[tuple[str, int]], epochs: int = 15, rate: float = 0.5, deca
     weights, bias = np.zeros(DIMENSIONS), -3.0
     trans, start = np.zeros((2, 2)), np.zeros(2)
     squares = [np.full(DIMENSIONS, 1e-3), 1e-3, np.full((2, 2), 1e-3), np.full(2, 1e-3)]
-    n = len(at)
-    pairs = np.flatnonzero(~first)
-    gold = np.zeros((2, 2))
-    np.add.at(gold, (labels[pairs - 1], labels[pairs]), 1)
-    begun = np.bincount(labels[first], minlength=2)
     scale = 1.0 / max(1, labels.sum())
     for _ in range(epochs):
         e = (bias + np.bincount(rows, weights[columns], len(each)))[at]
-        tr, st = np.exp(trans), np.exp(start)
-        p, alpha, beta = marginals(e, first, tr, st)
-        up = np.stack([np.ones(n), np.exp(np.clip(e, -30, 30))], axis=1)
-        joint = alpha[pairs - 1][:, :, None] * tr[None] * (up * beta)[pairs][:, None, :]
-        joint /= joint.sum(axis=(1, 2), keepdims=True)
-        miss = labels - p
+        miss, moved, begun = slopes(e, labels, first, trans, start)
         by_word = np.bincount(at, miss, len(each))
-        grads = [
-            np.bincount(columns, by_word[rows], DIMENSIONS) * scale - decay * weights,
-            miss.sum() * scale,
-            (gold - joint.sum(axis=0)) * scale - decay * trans,
-            (begun - np.array([(1 - p)[first].sum(), p[first].sum()])) * scale - decay * start,
-        ]
+        grads = [np.bincount(columns, by_word[rows], DIMENSIONS) * scale - decay * weights, miss.sum() * scale, moved * scale - decay * trans, begun * scale - decay * start]
         squares = [s + g * g for s, g in zip(squares, grads, strict=True)]
         steps = [rate * g / np.sqrt(s) for g, s in zip(grads, squares, strict=True)]
         weights, bias, trans, start = weights + steps[0], bias + steps[1], trans + steps[2], start + steps[3]

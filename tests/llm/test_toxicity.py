@@ -86,3 +86,63 @@ def test_a_long_document_is_not_passed_over_for_shorter_ones(monkeypatch):
     monkeypatch.setattr(tox, "SAMPLE_TOKENS", 10)
     words, _, first, toxic = tox._labelled([("a b c", 0), ("d " * 20, 1), ("e", 0)])
     assert (len(words), first.sum(), toxic.tolist()) == (23, 2, [0, 1])
+
+
+def likelihood(e, labels, first, log_trans, log_start):
+    """log p(labels), every document's labelling summed one by one."""
+    total = 0.0
+    starts = [*np.flatnonzero(first), len(e)]
+    for a, b in zip(starts[:-1], starts[1:], strict=True):
+        score = lambda y: log_start[y[0]] + sum(log_trans[i, j] for i, j in zip(y[:-1], y[1:], strict=True)) + sum(v for v, k in zip(e[a:b], y, strict=True) if k)  # noqa: B023, E731
+        total += score(labels[a:b]) - np.log(sum(np.exp(score(y)) for y in itertools.product((0, 1), repeat=b - a)))
+    return total
+
+
+def test_slopes_are_those_of_the_likelihood():
+    rng = np.random.default_rng(8)
+    first = np.array([1, 0, 0, 0, 1, 1, 0, 0], bool)
+    e, labels = rng.normal(size=8), rng.integers(0, 2, 8).astype(np.int8)
+    trans, start = rng.normal(size=(2, 2)), rng.normal(size=2)
+    miss, moved, begun = tox.slopes(e, labels, first, trans, start)
+    step = 1e-6
+    for values, slope, at in ((e, miss, 0), (trans, moved, 3), (start, begun, 4)):
+        for k in np.ndindex(values.shape):
+            ends = []
+            for d in (step, -step):
+                args = [e.copy(), labels, first, trans.copy(), start.copy()]
+                args[at][k] += d
+                ends.append(likelihood(*args))
+            assert abs((ends[0] - ends[1]) / (2 * step) - slope[k]) < 1e-6
+
+
+def test_calibration_is_the_penalised_best_and_scores_are_its_logistic():
+    rng = np.random.default_rng(3)
+    sums = np.stack([np.ones(200), rng.random(200) * 5, rng.random(200)], axis=1)
+    toxic = (sums[:, 1] + rng.normal(size=200) > 2.5).astype(int)
+    field = tox.Field(np.zeros(tox.DIMENSIONS, np.float32), 0.0, np.full((2, 2), 0.25), np.full(2, 0.5))
+    field.calibrate(sums, toxic)
+    q = 1 / (1 + np.exp(-sums @ field.logit))
+    assert np.abs(sums.T @ (toxic - q) - 0.05 * field.logit).max() < 1e-6
+    p = np.array([0.9, 0.2, *[0.01] * 30])
+    top = sorted(p)[-tox.TOP:]
+    assert abs(field.chance(p) - 1 / (1 + np.exp(-(field.logit @ [1, sum(top), 0.9])))) < 1e-12
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    """A toxic word in the middle of 30,000, under columns named like the operator's own."""
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(200)]
+    rows, labels = [], []
+    for k in range(120):
+        own = rng.choice(words, 40).tolist()
+        if k % 3 == 0:
+            own[int(rng.integers(40))] = "vileness"
+            own[int(rng.integers(40))] = "vileness"
+        rows.append((k, " ".join(own), 0.5, True))
+        labels.append((k, int(k % 3 == 0)))
+    long = rng.choice(words, 30_000).tolist()
+    rows += [(900, " ".join(long), 0.1, False), (901, " ".join([*long[:15_000], "vileness", "vileness", *long[15_000:]]), 0.1, False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, held_out boolean")
+    field = tox.train([(text, t) for (_, text, _, _), (_, t) in zip(rows, labels, strict=False)])
+    got = {r.doc_id: r for r in tox.score(docs, field).collect()}
+    assert len(got) == len(rows) and got[901].score > got[900].score and [s.start for s in got[901].spans] == [len(" ".join(long[:15_000])) + 1, len(" ".join(long[:15_000])) + 10]
