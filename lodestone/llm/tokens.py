@@ -13,6 +13,7 @@ import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ LONG_PIECE = 64
 _NOT_PLAIN = re.compile("[^\x00-\x1b\x20-\u012f\u0131-\u024f]")
 _CONTROL = "\x1c\x1d\x1e\x1f"
 _SPECIAL = "<|"
+#: Marks behind a word that are a word of their own, all of a run. An apostrophe may begin another.
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _WHITE = re.compile("[^\\S\x1c-\x1f]+")
 _open: dict[str, PieceIds] = {}
 
@@ -70,8 +73,9 @@ class PieceIds(dict):
             self._ends[i] = token.endswith("</w>")
 
     def __missing__(self, piece: str) -> bytes:
-        if piece[-1] in ".," and _letters(piece[:-1]):
-            ids = self[piece[:-1]] + self[piece[-1]]
+        word = piece.rstrip(_TAIL)
+        if len(word) < len(piece) and _letters(word):
+            ids = self[word] + self[piece[len(word) :]]
             if len(piece) < LONG_PIECE:
                 self[piece] = ids
             return ids
@@ -81,11 +85,20 @@ class PieceIds(dict):
         return ids
 
     def learn(self, pieces: set[str]) -> None:
-        """Encodes many new pieces of letters alone in one call: each is one word, which ends with a word-end token."""
+        """Encodes many new pieces in a few calls: words of letters, each of which ends with a word-end token, in a row, and others one by one."""
         if len(self) + len(pieces) > CACHE_PIECES:
             self.clear()
-        words = {p[:-1] if p[-1] in ".," else p for p in pieces.difference(self)}
-        new = [p for p in words if p not in self and len(p) < LONG_PIECE and _letters(p)][:CACHE_PIECES]
+        ended, words, others = [], set(), []
+        for p in pieces.difference(self):
+            if len(p) < LONG_PIECE:
+                word = p.rstrip(_TAIL)
+                if not _letters(word):
+                    others.append(p)
+                    continue
+                words.add(word)
+                if len(word) < len(p):
+                    ended.append((p, word))
+        new = [w for w in words if w not in self]
         for k in range(0, len(new), 4096):
             part = new[k : k + 4096]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
@@ -93,6 +106,11 @@ class PieceIds(dict):
             if len(ends) == len(part):
                 raw, cut = ids.tobytes(), (ends * 4).tolist()
                 self.update(zip(part, (raw[a:b] for a, b in zip([0, *cut], cut)), strict=False))
+        for k in range(0, len(others), 4096):
+            part = others[k : k + 4096]
+            self.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
+        for p, word in ended:
+            self[p] = self[word] + self[p[len(word) :]]
 
     def pieces(self, text: str) -> list[str]:
         """Pieces of a text whose special tokens, if any, are none; in lower case where that changes no id."""
@@ -124,7 +142,7 @@ def encoded(batch: pa.RecordBatch, vocabulary: str) -> Iterator[tuple[int | None
     for k in range(0, len(ids), 500):
         part = texts.slice(k, 500).to_pylist()
         split = [known.pieces(t) if t and _SPECIAL not in t else None for t in part]
-        known.learn({p for own in split if own for p in own})
+        known.learn(set(chain.from_iterable(own for own in split if own)))
         for i, t, own in zip(ids[k : k + 500], part, split, strict=True):
             yield i, known.ids(t) if own is None else b"".join(map(known.__getitem__, own))
 

@@ -139,7 +139,7 @@ def test_letters_that_become_marks(library, text):
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.lists(st.one_of(st.text(max_size=6), st.sampled_from(["the", "Über", "İ", "ok.", "A,", "é́", "<|", "\x1d", "。", "ß.", "\u0958,"])), max_size=12), st.sampled_from([" ", "", "\n", "\u00a0"]))
+@given(st.lists(st.one_of(st.text(max_size=6), st.sampled_from(["the", "Über", "İ", "ok.", "A,", "ab.$$$", "é***", "x_y", "don't!", "'s", "'re,", "q'", "é́", "<|", "\x1d", "。", "ß.", "\u0958,"])), max_size=12), st.sampled_from([" ", "", "\n", "\u00a0"]))
 def test_any_text_has_the_library_s_ids(parts, between):
     text = between.join(parts).encode("utf-8", "ignore").decode()
     known = tokens.piece_ids(tokens.VOCABULARY)
