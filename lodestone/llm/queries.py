@@ -43,9 +43,8 @@ fits AS (
 terms(term, weight) AS (VALUES {quoted([*((t, 0) for t in url_filter.vocabulary()[0]), *url_filter.vocabulary()[1]])}),
 hits AS (
   SELECT page_id, count(*) FILTER (weight = 0) AS n_strict, count(*) FILTER (weight > 0) AS n_soft, coalesce(sum(weight), 0) AS soft_weight
-  FROM parts JOIN terms ON regexp_matches(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                          '(^|[^\p{{L}}\p{{N}}])' || term || '($|[^\p{{L}}\p{{N}}])')
-  GROUP BY page_id)
+  FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\p{{L}}\p{{N}}]+')) AS term FROM parts)
+  JOIN terms USING (term) GROUP BY page_id)
 SELECT p.page_id, p.host, p.path, f.rule, coalesce(h.n_strict, 0)::BIGINT AS n_strict, coalesce(h.n_soft, 0)::BIGINT AS n_soft, coalesce(h.soft_weight, 0)::BIGINT AS soft_weight,
        coalesce(f.verdict, CASE WHEN h.n_strict > 0 OR (h.n_soft >= {url_filter.SOFT_HITS} AND h.soft_weight >= {url_filter.SOFT_LIMIT}) THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts p LEFT JOIN fits f USING (page_id) LEFT JOIN hits h USING (page_id)
