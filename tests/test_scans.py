@@ -1,0 +1,48 @@
+import random
+
+import pytest
+
+from lodestone.plans.scans import Run, scan
+
+RUNS = {
+    "n": Run("count"), "total": Run("sum", "x"), "mark": Run("xor", "x"), "top": Run("max", "x", restarts=True), "since": Run("count", restarts=True),
+    "held": Run("first", "s", restarts=True), "begun": Run("first", "s"),
+}
+
+
+def brute(rows):
+    out, key = [], object()
+    for k, at, x, s, flag in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1])):
+        if k != key:
+            key, n, total, mark, top, since, held, begun = k, 0, 0, 0, None, 0, s, s
+        if flag:
+            top, since, held = None, 0, s
+        n, since, total, mark = n + 1, since + 1, total + (x or 0), mark ^ (x or 0)
+        top = x if top is None else top if x is None else max(top, x)
+        out.append((at, n, total, mark, top, since, held, begun))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 13])
+@pytest.mark.parametrize("batch", [4, 10_000])
+def test_against_a_loop(spark, partitions, batch):
+    rng = random.Random(partitions)
+    rows = [(rng.choice(["a", "hot", "hot", "hot", "z", None, f"k{rng.randrange(60)}"]), k, rng.choice([None, rng.randrange(-(1 << 40), 1 << 40)]), rng.choice([None, f"s{k}"]), rng.random() < 0.05) for k in range(900)]
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for c, v in zip(before, (partitions, batch, "false"), strict=True):
+            spark.conf.set(c, v)
+        df = spark.createDataFrame(rows, "k string, at long, x long, s string, flag boolean").repartition(5)
+        got = scan(df, ["k"], ["at"], RUNS, reset="flag")
+        assert got.columns == [*df.columns, *RUNS]
+        assert sorted((tuple(r[c] for c in ("at", *RUNS)) for r in got.collect()), key=repr) == brute(rows)
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+
+
+def test_two_keys_structs_and_no_rows(spark):
+    df = spark.createDataFrame([(1, "a", 1, (7, "x")), (1, "a", 2, (8, "y")), (1, "b", 1, (9, "z")), (2, "a", 1, None)], "k long, l string, at int, s struct<a:int,b:string>")
+    got = scan(df, ["k", "l"], ["at"], {"n": Run("count"), "f": Run("first", "s")})
+    assert sorted((r.k, r.l, r.at, r.n, r.f and tuple(r.f)) for r in got.collect()) == [(1, "a", 1, 1, (7, "x")), (1, "a", 2, 2, (7, "x")), (1, "b", 1, 1, (9, "z")), (2, "a", 1, 1, None)]
+    assert scan(df.limit(0), ["k"], ["at"], {"n": Run("count")}).count() == 0
