@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontam, line_dedup, near_dedup, packing, substring_dedup, token_counts, tokens, topk_search, toxicity, url_filter, whitening
+from lodestone.llm import decontam, line_dedup, near_dedup, packing, prefix_trie, substring_dedup, token_counts, tokens, topk_search, toxicity, url_filter, whitening
 from lodestone.llm.scratch import Scratch
 
 
@@ -114,9 +114,13 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(_table(spark, sf_dir, "embeddings"), components=4, scale=256)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_near_dedup, op2_url_filter, op3_substring_dedup, op4_toxicity, op5_line_dedup, op6_topk_search, op7_best_fit_packing, op8_decontamination, op9_token_files, op10_token_counts, op12_whitening)
+    for f in (op1_near_dedup, op2_url_filter, op3_substring_dedup, op4_toxicity, op5_line_dedup, op6_topk_search, op7_best_fit_packing, op8_decontamination, op9_token_files, op10_token_counts, op12_whitening, op13_prefix_trie)
 }
 
 SQL: dict[str, str] = {"op2_url_filter": _op2_sql(), "op5_line_dedup": OP5_SQL}
