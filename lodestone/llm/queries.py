@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontam, line_dedup, near_dedup, packing, prefix_trie, substring_dedup, token_counts, tokens, topk_search, toxicity, url_filter, whitening
+from lodestone.llm import decontam, language_id, line_dedup, near_dedup, packing, prefix_trie, substring_dedup, token_counts, tokens, topk_search, toxicity, url_filter, whitening
 from lodestone.llm.scratch import Scratch
 
 
@@ -110,6 +110,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identified(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.size("segments").cast("long").alias("n_segments"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(_table(spark, sf_dir, "embeddings"), components=4, scale=256)
 
@@ -120,7 +125,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_near_dedup, op2_url_filter, op3_substring_dedup, op4_toxicity, op5_line_dedup, op6_topk_search, op7_best_fit_packing, op8_decontamination, op9_token_files, op10_token_counts, op12_whitening, op13_prefix_trie)
+    for f in (op1_near_dedup, op2_url_filter, op3_substring_dedup, op4_toxicity, op5_line_dedup, op6_topk_search, op7_best_fit_packing, op8_decontamination, op9_token_files, op10_token_counts, op11_language_id, op12_whitening, op13_prefix_trie)
 }
 
 SQL: dict[str, str] = {"op2_url_filter": _op2_sql(), "op5_line_dedup": OP5_SQL}
