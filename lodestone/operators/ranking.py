@@ -60,24 +60,33 @@ def with_documents(index: DataFrame, docs: DataFrame) -> DataFrame:
     return written(index.join(new.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(new), "postings")
 
 
-def bm25(docs: DataFrame | None, queries: DataFrame, k: int | None = 5, k1: float = K1, b: float = B, index: DataFrame | None = None) -> DataFrame:
-    """The best of documents(doc_id, text), or of a kept ``index`` of them, for each of queries(query_id, text).
+def query_terms(queries: DataFrame) -> DataFrame:
+    """query_id, term, qtf of queries(query_id, text)."""
+    return queries.select("query_id", F.explode(tx.tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
-    A query word that is repeated counts again. Texts are cut into words once; everything else reads the written postings of query words.
-    """
-    wanted = queries.select("query_id", F.explode(tx.tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    index = postings_of(docs, wanted) if index is None else index
-    n, words = index.where("term = ''").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+
+def best(postings: DataFrame, wanted: DataFrame, df: DataFrame, n: int, words: int, k: int | None, k1: float = K1, b: float = B) -> DataFrame:
+    """The k best by BM25 of postings(term, doc_id, tf, dl) for wanted(query_id, term, qtf), given df(term, df) and how many documents and words there are."""
     mean = words / max(1, n)
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
     weighted = wanted.join(df, "term").select("query_id", "term", (F.col("qtf") * F.log1p((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w"))
     # As many rows as query words at most, and only these are counted.
     weighted = F.broadcast(weighted) if is_small(wanted) else weighted
     part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / mean if mean else F.lit(1.0)))
-    scored = index.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    scored = postings.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     return ranked(scored.where("score > 0"), k, "doc_id")
 
 
+def bm25(docs: DataFrame | None, queries: DataFrame, k: int | None = 5, k1: float = K1, b: float = B, index: DataFrame | None = None) -> DataFrame:
+    """The best of documents(doc_id, text), or of a kept ``index`` of them, for each of queries(query_id, text).
+
+    A query word that is repeated counts again. Texts are cut into words once; everything else reads the written postings of query words.
+    """
+    wanted = query_terms(queries)
+    index = postings_of(docs, wanted) if index is None else index
+    n, words = index.where("term = ''").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    return best(index, wanted, index.groupBy("term").agg(F.count("*").alias("df")), n, words, k, k1, b)
+
+
 def _unit_rows(vectors: pa.ListArray, width: int | None = None) -> np.ndarray:
     """Rows of unit length, or of zeros; with ``width``, cut or filled up to it after scaling."""
     vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors

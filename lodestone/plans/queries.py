@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import masking, vectors
 from lodestone.functions import text as tx
-from lodestone.operators import atoms, cache, chat, classify, dependencies, export, providers, quality, ranking, sections
-from lodestone.plans import flows
+from lodestone.operators import atoms, cache, chat, classify, dependencies, export, growing, providers, quality, ranking, sections
+from lodestone.plans import builds, flows
 from lodestone.plans.sizing import broadcast_if_small
 from lodestone.plans.tables import new_path, written
 from lodestone.sources import files, office
@@ -1078,9 +1078,53 @@ def retrieval_gates(spark, sf_dir):
 
 @query(SQL["index_chunks"])
 def index_store(spark, sf_dir):
-    path = new_path(spark, "index")
-    flows.write_index(_index(spark, sf_dir), path)
-    return files.read_index(spark, path).select("source", "chunk_idx", tx.sha256("text").alias("chunk_sha256"), "parent_id")
+    store = builds.ChunkIndex(spark, new_path(spark, "index"), _products(spark))
+    store.refresh(_files(spark, sf_dir))
+    return store.read().select("source", "chunk_idx", tx.sha256("text").alias("chunk_sha256"), "parent_id")
+
+
+def _files(spark, sf_dir):
+    """Pages as files of a folder, with hashes."""
+    return _page_text(spark, sf_dir).withColumn("sha256_hash", tx.sha256("text"))
+
+
+@query(SQL["index_chunks"])
+def refreshed_index(spark, sf_dir):
+    """The index of an earlier state of the pages, brought up to date: some were missing then, some were other, some have gone since."""
+    now = _files(spark, sf_dir)
+    number = F.crc32(F.col("source").cast("binary"))
+    then = now.where(number % 5 > 0).withColumn("text", F.when(number % 7 == 0, F.concat("text", F.lit("\nas it was"))).otherwise(F.col("text")))
+    then = then.unionByName(now.where(number % 11 == 0).withColumn("source", F.concat(F.lit("gone-"), F.col("source")))).withColumn("sha256_hash", tx.sha256("text"))
+    store = builds.ChunkIndex(spark, new_path(spark, "index"), _products(spark))
+    store.refresh(then)
+    store.refresh(now)
+    return store.read().select("source", "chunk_idx", tx.sha256("text").alias("chunk_sha256"), "parent_id")
+
+
+_TF_GIVEN = _TF.replace("FROM documents", "FROM (SELECT * FROM documents WHERE text <> '')")
+
+
+def _grown(spark, sf_dir):
+    """An index that began with other texts of some documents, without some, and with some that are taken away again."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    turn = F.col("doc_id") % 3
+    first = docs.where(turn < 2).withColumn("text", F.when(turn == 1, F.concat("text", F.lit(" and more words of old"))).otherwise(F.col("text")))
+    gone = docs.where("doc_id % 4 = 1").select((-1 - F.col("doc_id")).alias("doc_id"), "text")
+    index = growing.GrowingIndex(spark, new_path(spark, "growing"))
+    index.add(first.unionByName(gone))
+    index.add(docs.where(turn > 0))
+    index.remove(gone)
+    return index
+
+
+@query(f"WITH {_TF_GIVEN}, {_bm25_sql(_ITEMS)} SELECT query_id, doc_id, score, rank FROM bm25")
+def growing_topk(spark, sf_dir):
+    return _grown(spark, sf_dir).search(_items(spark, sf_dir), 5)
+
+
+@query(f"WITH {_TF_GIVEN} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tf GROUP BY term")
+def growing_statistics(spark, sf_dir):
+    return _grown(spark, sf_dir).term_counts()
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN doc_id::VARCHAR WHEN doc_id % 3 = 1 AND source <> '' THEN source ELSE coalesce(lang, '') END AS label FROM documents")

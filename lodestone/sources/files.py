@@ -97,13 +97,6 @@ def demanded(rows: DataFrame, what: str) -> DataFrame:
     return rows
 
 
-def read_index(spark: SparkSession, path: str, sources: Sequence[str] | None = None) -> DataFrame:
-    """Chunks of an index that ``write_index`` wrote, of all sources or of some; only these sources' files are read. Blank texts are left out."""
-    rows = spark.read.parquet(path)
-    rows = rows.where(F.col("source").isin(*sources)) if sources is not None else rows
-    return rows.where(~tx.blank("text"))
-
-
 def synthetic_requirements(spark: SparkSession, n: int) -> DataFrame:
     """id, text of ``n`` numbered requirements, to measure a pipeline with."""
     number = F.col("id").cast("string")
