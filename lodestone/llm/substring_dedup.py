@@ -134,7 +134,7 @@ def drop_repeated_passages(docs: DataFrame) -> DataFrame:
     joined = (
         docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
         .withColumn("text_hash", F.hash("text")).join(marked, ["doc", "text_hash"], "left")
-        .select("row", "text", "places")
+        .select("row", F.col("doc").isNotNull().alias("known"), "text", "places")
     )
     schema = "row " + joined.schema["row"].dataType.simpleString() + ", text string, n_chunks long, n_dropped_bytes long, dropped array<struct<start:int,end:int>>, copy_of array<long>"
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -142,9 +142,10 @@ def drop_repeated_passages(docs: DataFrame) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts, sizes, runs, origins = [], [], [], [], []
-            for raw, places in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("places").to_pylist(), strict=True):
+            for raw, places, known in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("places").to_pylist(), batch.column("known").to_pylist(), strict=True):
                 places = places or []
-                text, cut, n = _keep(raw, [p["pos"] for p in places])
+                # A row without an id holds no chunk that another place could lose against.
+                text, cut, n = _keep(raw, [p["pos"] for p in places]) if known else (raw.decode(), [], len(cuts(np.frombuffer(raw, np.uint8))))
                 texts.append(text)
                 counts.append(n)
                 sizes.append(sum(b - a for a, b in cut))

@@ -75,3 +75,19 @@ def test_edge_cases(spark):
     assert [got[k].text for k in "abd"] == [long] * 3 and got["e"].text == got["f"].text == ""
     assert got["c"].text == "" and got["c"].copy_of == [1] and got["g"].n_dropped_bytes > 300
     assert sd.drop_repeated_passages(docs.limit(0)).count() == 0
+
+
+def test_rows_without_an_id_stay_whole_and_own_columns_give_way(spark):
+    rng = random.Random(4)
+    passage = prose(rng, 80)
+    twice = f"{passage} {prose(rng, 30)} {passage} {prose(rng, 10)} {passage}"
+    long = " ".join(prose(rng, 400) for _ in range(60)) + " " + passage + " " + prose(rng, 20_000)
+    rows = [(None, twice, 1, "x"), (1, twice, 2, "y"), (2, long, 3, "z"), (None, None, 4, "w")]
+    out = sd.drop_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string, n_chunks int, copy_of string"))
+    assert out.columns == ["doc_id", "text", "n_chunks", "n_dropped_bytes", "dropped", "copy_of"]
+    got = {(r.doc_id, r.text is not None and len(r.text) > 0): r for r in out.collect()}
+    bare = got[None, True]
+    assert bare.text == twice and bare.n_dropped_bytes == 0 and bare.dropped == [] and bare.copy_of == [] and bare.n_chunks > 10
+    assert got[1, True].text.count(passage[40:-40]) == 1 and got[1, True].copy_of == []  # inside a document the first place stays
+    assert got[2, True].text == brute([(1, twice), (2, long)])[2] and got[2, True].n_dropped_bytes > 300 and got[2, True].copy_of == [1]
+    assert got[None, False].text == ""
