@@ -22,6 +22,8 @@ RRF_K = 60
 PARENT_CHARS = 6000
 #: Query vectors that are held by every task at once, and vectors that they meet at once.
 QUERY_BLOCK, DENSE_ROWS = 4096, 1024
+#: Vectors that a task holds while all queries pass.
+HELD_ROWS = 65_536
 
 
 def ranked(hits: DataFrame, k: int | None, *ties: str) -> DataFrame:
@@ -102,44 +104,64 @@ def _unit_rows(vectors: pa.ListArray, width: int | None = None) -> np.ndarray:
     return out[:, :width] if width < wide else np.pad(out, ((0, 0), (0, width - wide)))
 
 
+def query_blocks(queries: DataFrame, label: str = "query-vectors") -> tuple[str, int]:
+    """Writes queries(query_id, embedding, …) in blocks of about QUERY_BLOCK that tasks read: (folder, number of blocks)."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    path = new_path(queries.sparkSession, label)
+    queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).repartition("block").write.partitionBy("block").parquet(path)
+    return path, blocks
+
+
+def held_rows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """A task's rows in tables of some ``most`` rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= most:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def best_pairs(q: np.ndarray, d: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query's pairs: by score, of equal ones the smaller document."""
+    order = np.lexsort((d, -s, q))
+    q, d, s = q[order], d[order], s[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], d[keep], s[keep]
+
+
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """The nearest of vectors(doc_id, embedding) for each of queries(query_id, embedding) by cosine similarity.
 
-    Queries are written in blocks of about ``QUERY_BLOCK``, which tasks read; every task keeps the k best of its own rows, so a query
-    costs k rows of shuffle per task. Zero vectors have similarity 0; vectors of another length than the query's are compared over the shorter one.
+    Vectors are read once: a task holds some of its rows at a time and takes all queries past them, block by block from where they are
+    written, and keeps the k best of its rows for each. Zero vectors have similarity 0; vectors of another length than the
+    query's are compared over the shorter one. ``neighbours`` has an index of vectors for many searches.
     """
-    spark = vectors.sparkSession
-    base = queries.where("embedding is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    blocks = max(1, -(-base.count() // QUERY_BLOCK))
-    path = new_path(spark, "query-vectors")
-    base.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).repartition("block").write.partitionBy("block").parquet(path)
-    rows = vectors.where("embedding is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    found = None
-    for block in range(blocks):
-
-        def nearest(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            asked = read_part(path, f"block={block}", ["query_id", "embedding"])
-            if asked is None:
-                return
-            ids, unit = asked["query_id"].to_numpy(), _unit_rows(asked["embedding"])
-            q, d, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-            for batch in batches:
-                for a in range(0, batch.num_rows, DENSE_ROWS):
-                    part = batch.slice(a, DENSE_ROWS)
-                    who, sims = part.column("doc_id").to_numpy(), np.round(_unit_rows(part.column("embedding"), unit.shape[1]) @ unit.T, 6)
+    if k <= 0:
+        return vectors.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank int")
+    path, blocks = query_blocks(queries.where("embedding is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding")))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in held_rows(batches, HELD_ROWS):
+            who = rows["doc_id"].to_numpy()
+            for block in range(blocks):
+                asked = read_part(path, f"block={block}", ["query_id", "embedding"])
+                if asked is None:
+                    continue
+                ids, unit = asked["query_id"].to_numpy(), _unit_rows(asked["embedding"])
+                q, d, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+                for a in range(0, rows.num_rows, DENSE_ROWS):
+                    sims = np.round(_unit_rows(rows["embedding"].slice(a, DENSE_ROWS), unit.shape[1]) @ unit.T, 6)
                     least = np.partition(sims, -k, axis=0)[-k] if len(sims) > k else np.full(len(ids), -np.inf)
                     i, j = np.nonzero(sims >= least)
-                    q, d, s = np.concatenate([q, j]), np.concatenate([d, who[i]]), np.concatenate([s, sims[i, j]])
-                    order = np.lexsort((d, -s, q))
-                    q, d, s = q[order], d[order], s[order]
-                    first = np.searchsorted(q, q)
-                    keep = np.arange(len(q)) - first < k
-                    q, d, s = q[keep], d[keep], s[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(d), pa.array(s)], ["query_id", "doc_id", "score"])
-
-        part = rows.mapInArrow(nearest, "query_id long, doc_id long, score double")
-        found = part if found is None else found.unionByName(part)
-    return ranked(found, k, "doc_id")
+                    q, d, s = best_pairs(np.concatenate([q, j]), np.concatenate([d, who[a + i]]), np.concatenate([s, sims[i, j]]), k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(d), pa.array(s)], ["query_id", "doc_id", "score"])
+
+    rows = vectors.where("embedding is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return ranked(rows.mapInArrow(nearest, "query_id long, doc_id long, score double"), k, "doc_id")
 
 
 def nearest_of_few(vectors: DataFrame, queries: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import masking, vectors
 from lodestone.functions import text as tx
-from lodestone.operators import atoms, cache, chat, classify, dependencies, export, growing, providers, quality, ranking, sections
+from lodestone.operators import atoms, cache, chat, classify, dependencies, export, growing, neighbours, providers, quality, ranking, sections
 from lodestone.plans import builds, flows
 from lodestone.plans.sizing import broadcast_if_small
 from lodestone.plans.tables import new_path, written
@@ -105,6 +105,12 @@ def dense_topk(spark, sf_dir):
     return hits.withColumn("similarity", F.round(vectors.distance_similarity(F.sqrt(F.greatest(F.lit(0), 2 - 2 * F.col("score")))), 6))
 
 
+@query(f"WITH {_dense_sql('SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0', 5)} SELECT query_id, doc_id, score, rank FROM dense")
+def cells_topk(spark, sf_dir):
+    e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return neighbours.Cells.build(e).search(e.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), 5)[0]
+
+
 @query(rf"""
 WITH words AS (SELECT doc_id, lower(unnest(regexp_extract_all(coalesce(text, ''), '{WORD}'))) AS term FROM documents),
 buckets AS (SELECT doc_id, (('0x' || substr(md5(term), 1, 7))::BIGINT % 256)::INT AS bucket, count(*) AS n FROM words GROUP BY ALL)
