@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
+from lodestone.plans.scans import Run, scan
 
 # Where a section may begin; (?d) makes \n the only line end, (?iu) folds Cyrillic case.
 HEADING_STARTS = (
@@ -40,19 +43,41 @@ def windows(words: Column | str, size: int, overlap: int) -> Column:
     return F.when(n > 0, F.transform(starts, lambda s: F.array_join(F.slice(words, s + 1, F.lit(size)), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def chunk(pages: DataFrame, size: int = 512, overlap: int = 64, check: bool = True) -> DataFrame:
-    """pages(source, page_number, text) -> source, page_number, section_pos, window_pos, section_text, text, chunk_idx.
+_IN_SOURCE = ["page_number", "section_pos", "window_pos"]
 
-    Chunks never cross a section or page; chunk_idx counts from 0 over a source's pages.
-    """
+
+def _cut(pages: DataFrame, size: int, overlap: int, check: bool) -> DataFrame:
+    """Chunks of pages, not numbered yet."""
     if check and not MIN_SIZE <= size <= MAX_SIZE:
         raise ValueError(f"size must be from {MIN_SIZE} to {MAX_SIZE}")
     if not 0 <= overlap < size:
         raise ValueError("overlap must be from 0 to below size")
     sections = pages.select("source", "page_number", F.posexplode(split_sections("text")).alias("section_pos", "section_text"))
-    cut = sections.select("*", F.posexplode(windows(tx.whitespace_tokens("section_text"), size, overlap)).alias("window_pos", "text"))
-    order = Window.partitionBy("source").orderBy("page_number", "section_pos", "window_pos")
-    return cut.withColumn("chunk_idx", (F.row_number().over(order) - 1).cast("int"))
+    return sections.select("*", F.posexplode(windows(tx.whitespace_tokens("section_text"), size, overlap)).alias("window_pos", "text"))
+
+
+def _numbered(n: Column) -> Column:
+    return (n - 1).cast("int").alias("chunk_idx")
+
+
+def chunk(pages: DataFrame, size: int = 512, overlap: int = 64, check: bool = True) -> DataFrame:
+    """pages(source, page_number, text) -> source, page_number, section_pos, window_pos, section_text, text, chunk_idx.
+
+    Chunks never cross a section or page; chunk_idx counts from 0 over a source's pages. A source of any size is spread over tasks.
+    """
+    cut = _cut(pages, size, overlap, check)
+    return scan(cut, ["source"], _IN_SOURCE, {"_n": Run("count")}).select(*cut.columns, _numbered(F.col("_n")))
+
+
+def chunk_with_sections(pages: DataFrame, size: int = 512, overlap: int = 64, max_pages: int = 6, enabled: bool = True) -> DataFrame:
+    """``chunk`` and ``propagate`` in one run over the chunks: source, chunk_idx, page_number, text, number, title, and what ``propagate`` adds.
+
+    A heading is read from its section's text before white space is collapsed, and belongs to the section's first window.
+    """
+    cut, first = _cut(pages, size, overlap, True).withColumn("_h", heading("section_text")), F.col("window_pos") == 0
+    cut = cut.select("source", *_IN_SOURCE, "text", F.when(first, F.col("_h.number")).alias("number"), F.when(first, F.col("_h.title")).alias("title"))
+    seen = scan(_marked(cut), ["source"], _IN_SOURCE, _HELD | {"_n": Run("count")}, reset="_heads").withColumn("chunk_idx", _numbered(F.col("_n")))
+    return _with_states(seen, ["source", "chunk_idx", "page_number", "text", "number", "title"], max_pages, enabled)
 
 
 def heading(text: Column | str) -> Column:
@@ -62,27 +87,36 @@ def heading(text: Column | str) -> Column:
     return F.coalesce(*found, F.struct(F.lit(None).cast("string").alias("number"), F.lit(None).cast("string").alias("title")))
 
 
+#: The last heading, and the last page that a chunk without one has reached behind it.
+_HELD = {"_last": Run("first", "_head", restarts=True), "_worst": Run("max", "_plain", restarts=True)}
+
+
+def _marked(chunks: DataFrame) -> DataFrame:
+    heads = F.col("number").isNotNull()
+    return chunks.withColumns({"_heads": heads, "_head": F.when(heads, F.struct("number", "title", F.col("page_number").alias("page"))), "_plain": F.when(~heads, F.col("page_number").cast("long"))})
+
+
 def propagate(chunks: DataFrame, max_pages: int = 6, enabled: bool = True) -> DataFrame:
     """chunks(source, chunk_idx, page_number, number, title) plus section_number, section_title, section_inherited, section_fallback and state.
 
     A heading holds for later chunks while they are at most ``max_pages`` pages behind it (no limit if negative); after that, and
     before the first one, a chunk falls back to ``document`` with the source's title. state: heading, inherited, stale, unassigned or none.
+    The last heading is carried over ranges of chunks, so a source of any size is spread over tasks.
     """
-    order = Window.partitionBy("source").orderBy("chunk_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = F.last(F.when(F.col("number").isNotNull(), F.struct("number", "title", F.col("page_number").alias("page"))), ignorenulls=True).over(order)
+    return _with_states(scan(_marked(chunks), ["source"], ["chunk_idx"], _HELD, reset="_heads"), chunks.columns, max_pages, enabled)
+
+
+def _with_states(seen: DataFrame, columns: Sequence[str], max_pages: int, enabled: bool) -> DataFrame:
     page = F.col("page_number")
-    fresh = F.col("_last").isNotNull() & (F.lit(max_pages < 0) | (page - F.col("_last.page") <= max_pages))
     # Once a section is stale it stays so until the next heading.
-    worst = F.max(F.when(F.col("number").isNull(), page)).over(Window.partitionBy("source", "_span").orderBy("chunk_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    held = fresh & (F.lit(max_pages < 0) | (F.coalesce("_worst", page) - F.col("_last.page") <= max_pages))
+    held = F.col("_last").isNotNull() & (F.lit(max_pages < 0) | ((page - F.col("_last.page") <= max_pages) & (F.coalesce("_worst", page) - F.col("_last.page") <= max_pages)))
     state = (
         F.when(F.col("number").isNotNull(), "heading").when(F.lit(not enabled), "none")
         .when(held, "inherited").when(F.col("_last").isNotNull(), "stale").otherwise("unassigned")
     )
-    marked = chunks.withColumn("_last", last).withColumn("_span", F.count("number").over(order)).withColumn("_worst", worst).withColumn("state", state)
     inherited, fallback = F.col("state") == "inherited", F.col("state").isin("stale", "unassigned")
-    return marked.select(
-        *chunks.columns,
+    return seen.withColumn("state", state).select(
+        *columns,
         F.when(F.col("state") == "heading", F.col("number")).when(inherited, F.col("_last.number")).when(fallback, F.lit("document")).otherwise("").alias("section_number"),
         F.when(F.col("state") == "heading", F.col("title")).when(inherited, F.col("_last.title")).when(fallback, tx.title_from_source("source")).otherwise("").alias("section_title"),
         inherited.alias("section_inherited"),

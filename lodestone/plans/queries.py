@@ -11,6 +11,7 @@ from lodestone.functions import masking, vectors
 from lodestone.functions import text as tx
 from lodestone.operators import atoms, cache, chat, classify, dependencies, export, growing, neighbours, providers, quality, ranking, sections
 from lodestone.plans import builds, flows
+from lodestone.plans.scans import Run, scan
 from lodestone.plans.sizing import broadcast_if_small
 from lodestone.plans.tables import new_path, written
 from lodestone.sources import files, office
@@ -324,7 +325,10 @@ def chunk_windows(spark, sf_dir):
 
 def _line_chunks(spark, sf_dir):
     """Each line of a document as a chunk, two to a page; a line that begins with a one-letter word is taken as a numbered heading."""
-    lines = _t(spark, sf_dir, "documents").select(F.concat(F.lit("kb-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("source"), F.posexplode(F.split("text", "\n", -1)).alias("chunk_idx", "line"))
+    return _propagated(_t(spark, sf_dir, "documents").select(F.concat(F.lit("kb-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("source"), F.posexplode(F.split("text", "\n", -1)).alias("chunk_idx", "line")))
+
+
+def _propagated(lines):
     head = F.col("line").rlike("^[A-Za-z] ")
     raw = F.when(head, F.concat((F.col("chunk_idx") + 1).cast("string"), F.lit(".1 "), F.col("line"))).otherwise(F.col("line"))
     lines = lines.select("source", "chunk_idx", F.floor(F.col("chunk_idx") / 2).cast("int").alias("page_number"), raw.alias("text"))
@@ -355,6 +359,23 @@ def section_stats(spark, sf_dir):
     return sections.section_stats(_line_chunks(spark, sf_dir))
 
 
+_HOT_LINES = (
+    _LINES.replace("'kb-' || doc_id || '.md' AS source, 'kb ' || doc_id AS fallback, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10)))))::INT AS chunk_idx FROM documents",
+    "source, source AS fallback, line, (row_number() OVER (PARTITION BY source ORDER BY doc_id, pos) - 1)::INT AS chunk_idx FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents)")
+)
+
+
+@query(f"""
+WITH {_HOT_LINES} SELECT source, chunk_idx, state, CASE WHEN state IN ('heading', 'inherited') THEN l.n ELSE 'document' END AS section_number,
+  CASE WHEN state IN ('heading', 'inherited') THEN l.t ELSE fallback END AS section_title FROM st
+""")
+def hot_source_sections(spark, sf_dir):
+    """All lines of a source as one file: the largest source has a third of them."""
+    lines = _t(spark, sf_dir, "documents").select("source", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    lines = scan(lines, ["source"], ["doc_id", "pos"], {"n": Run("count")}).withColumn("chunk_idx", (F.col("n") - 1).cast("int"))
+    return _propagated(lines).select("source", "chunk_idx", "state", "section_number", "section_title")
+
+
 _PRODUCTS = (("src1", "Telephony"), ("src10", "Analytics"), ("src2", "Contact centre"), ("kb", "Knowledge base"))
 
 

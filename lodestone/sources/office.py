@@ -13,11 +13,12 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.plans.numbering import numbered
+from lodestone.plans.scans import Run, scan
 from lodestone.sources.files import demanded
 
 MIN_LENGTH = 5
@@ -186,8 +187,9 @@ def requirements_of_paragraphs(rows: DataFrame) -> DataFrame:
         F.col("kind").alias("type"), F.when(F.col("kind") == "paragraph", F.col("paragraph")).cast("int").alias("index"), "table_path", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"),
         F.when(F.col("kind") == "table", F.col("paragraph")).cast("int").alias("paragraph"), F.when(F.col("fragment") > 1, F.col("fragment")).alias("fragment"), F.when(F.col("list_style") | (F.col("_mark") != ""), path).alias("list_path"),
     )
-    ident = F.row_number().over(Window.partitionBy("path").orderBy("ord", "_line"))
-    return lines.select("path", ident.alias("id"), F.col("_clean").alias("text"), locator.alias("locator"))
+    kept = lines.select("path", "ord", "_line", F.col("_clean").alias("text"), locator.alias("locator"))
+    # A document may hold any share of the rows.
+    return scan(kept, ["path"], ["ord", "_line"], {"id": Run("count")}).select("path", "id", "text", "locator")
 
 
 def read_requirements(spark: SparkSession, path: str) -> DataFrame:

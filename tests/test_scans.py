@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.plans.scans import Run, scan
 
@@ -46,3 +47,16 @@ def test_two_keys_structs_and_no_rows(spark):
     got = scan(df, ["k", "l"], ["at"], {"n": Run("count"), "f": Run("first", "s")})
     assert sorted((r.k, r.l, r.at, r.n, r.f and tuple(r.f)) for r in got.collect()) == [(1, "a", 1, 1, (7, "x")), (1, "a", 2, 2, (7, "x")), (1, "b", 1, 1, (9, "z")), (2, "a", 1, 1, None)]
     assert scan(df.limit(0), ["k"], ["at"], {"n": Run("count")}).count() == 0
+
+
+def test_a_hot_key_is_spread(spark):
+    df = spark.range(4000).selectExpr("if(id % 50 = 0, id, -1) as k", "id as at", "id as x")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        out = scan(df, ["k"], ["at"], {"n": Run("count"), "total": Run("sum", "x")}).where("k = -1")
+        files = out.groupBy(F.input_file_name()).count().collect()
+        assert len(files) >= 3 and max(r["count"] for r in files) < 2500
+        assert out.agg(F.max("n"), F.max("total")).first() == (3920, sum(k for k in range(4000) if k % 50))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
