@@ -143,4 +143,4 @@ class GrowingIndex:
         wanted = ranking.query_terms(queries)
         df = self.term_counts(v, wanted).select("term", "df")
         held = self.postings(v).join(broadcast_if_small(wanted.select("term").distinct()), "term", "left_semi")
-        return ranking.best(held, wanted, df, n, words, k)
+        return ranking.ranked(ranking.scores(held, wanted, df, n, words), k, "doc_id")

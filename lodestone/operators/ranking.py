@@ -67,15 +67,22 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tx.tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def best(postings: DataFrame, wanted: DataFrame, df: DataFrame, n: int, words: int, k: int | None, k1: float = K1, b: float = B) -> DataFrame:
-    """The k best by BM25 of postings(term, doc_id, tf, dl) for wanted(query_id, term, qtf), given df(term, df) and how many documents and words there are."""
+def scores(postings: DataFrame, wanted: DataFrame, df: DataFrame, n: int, words: int, k1: float = K1, b: float = B) -> DataFrame:
+    """query_id, doc_id, score above 0 by BM25 of postings(term, doc_id, tf, dl) for wanted(query_id, term, qtf), given df(term, df) and how many documents and words there are."""
     mean = words / max(1, n)
     weighted = wanted.join(df, "term").select("query_id", "term", (F.col("qtf") * F.log1p((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w"))
     # As many rows as query words at most, and only these are counted.
     weighted = F.broadcast(weighted) if is_small(wanted) else weighted
     part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / mean if mean else F.lit(1.0)))
-    scored = postings.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-    return ranked(scored.where("score > 0"), k, "doc_id")
+    return postings.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
+
+
+def bm25_scores(docs: DataFrame | None, queries: DataFrame, index: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """query_id, doc_id, score of all of documents(doc_id, text), or of a kept ``index`` of them, that share a word with one of queries(query_id, text)."""
+    wanted = query_terms(queries)
+    index = postings_of(docs, wanted) if index is None else index
+    n, words = index.where("term = ''").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    return scores(index, wanted, index.groupBy("term").agg(F.count("*").alias("df")), n, words, k1, b)
 
 
 def bm25(docs: DataFrame | None, queries: DataFrame, k: int | None = 5, k1: float = K1, b: float = B, index: DataFrame | None = None) -> DataFrame:
@@ -83,10 +90,7 @@ def bm25(docs: DataFrame | None, queries: DataFrame, k: int | None = 5, k1: floa
 
     A query word that is repeated counts again. Texts are cut into words once; everything else reads the written postings of query words.
     """
-    wanted = query_terms(queries)
-    index = postings_of(docs, wanted) if index is None else index
-    n, words = index.where("term = ''").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
-    return best(index, wanted, index.groupBy("term").agg(F.count("*").alias("df")), n, words, k, k1, b)
+    return ranked(bm25_scores(docs, queries, index, k1, b), k, "doc_id")
 
 
 def _unit_rows(vectors: pa.ListArray, width: int | None = None) -> np.ndarray:
@@ -217,12 +221,15 @@ def fuse(lists: Sequence[DataFrame], key: str = "doc_id", k: int = RRF_K, top: i
 def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, k: int = 5, rrf_k: int = RRF_K, index: DataFrame | None = None, candidates: int | None = -1) -> DataFrame:
     """BM25 and dense hits fused and cut to k; the dense similarity is attached where there is one.
 
-    Each list is cut to ``candidates`` first, 2k by default; None takes all that BM25 finds, and as many dense ones as there are vectors.
+    Each list is cut to ``candidates`` first, 2k by default; None fuses all that BM25 finds with all vectors (``fusion.uncut``).
     """
+    if candidates is None:
+        from lodestone.operators import fusion
+
+        return fusion.uncut(docs, vectors, queries, query_vectors, k, rrf_k, index)[0]
     cut = 2 * k if candidates == -1 else candidates
-    lexical = bm25(docs, queries, cut, index=index)
-    near = dense(vectors, query_vectors, cut if cut is not None else max(1, vectors.count()))
-    fused = fuse([lexical, near], "doc_id", rrf_k, k)
+    near = written(dense(vectors, query_vectors, cut), "near")
+    fused = fuse([bm25(docs, queries, cut, index=index), near], "doc_id", rrf_k, k)
     return fused.join(near.select("query_id", "doc_id", F.col("score").alias("similarity")), ["query_id", "doc_id"], "left")
 
 

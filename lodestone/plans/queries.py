@@ -130,11 +130,11 @@ fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDE
 """
 
 
-def _hybrid(spark, sf_dir):
+def _hybrid(spark, sf_dir, **more):
     e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     items = _items(spark, sf_dir)
     near = e.withColumnRenamed("doc_id", "query_id").join(broadcast_if_small(items.select("query_id")), "query_id")
-    return ranking.hybrid(_t(spark, sf_dir, "documents"), e, items, near, 5)
+    return ranking.hybrid(_t(spark, sf_dir, "documents"), e, items, near, 5, **more)
 
 
 @query(f"{_HYBRID} SELECT f.query_id, f.doc_id, f.score, f.rank, d.score AS similarity FROM fused f LEFT JOIN dense d USING (query_id, doc_id)")
@@ -142,6 +142,14 @@ def hybrid_rrf_topk(spark, sf_dir):
     return _hybrid(spark, sf_dir).select("query_id", "doc_id", "score", "rank", "similarity")
 
 
+_UNCUT = _HYBRID.replace("WHERE rank <= 10)\n", ")\n").replace("WHERE rank <= 10),", "),")
+
+
+@query(f"{_UNCUT} SELECT f.query_id, f.doc_id, f.score, f.rank, d.score AS similarity FROM fused f LEFT JOIN dense d USING (query_id, doc_id)")
+def hybrid_uncut(spark, sf_dir):
+    return _hybrid(spark, sf_dir, candidates=None).select("query_id", "doc_id", "score", "rank", "similarity")
+
+
 @query(f"""
 WITH {_TF}, {_bm25_sql(_ITEMS, k=5)},
 o AS (SELECT q.query_id, d.doc_id, count(*)::DOUBLE AS score FROM (SELECT item_id AS query_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''))) AS token FROM benchmark) q
