@@ -13,6 +13,7 @@ from lodestone.functions import text as tx
 from lodestone.operators.classify import ERROR
 from lodestone.operators.quality import STATUSES
 from lodestone.plans.numbering import numbered
+from lodestone.sources import formats
 
 SCHEMA_VERSION = "1.0"
 # Column names of reports.
@@ -164,10 +165,11 @@ def report_path(kind: str, run_id: str, output_file: str | None = None, output_d
     return os.path.join(folder, template.format(basename=stem, run_id_8=run_id[:8], ext=kind))
 
 
-def write_report(export: DataFrame, run_id: str, date: str = "", output_file: str | None = None, output_format: str | None = None, output_dir: str | None = None, source_file: str | None = None, output_mode: str = "create_new") -> str:
+def write_report(export: DataFrame, run_id: str, date: str = "", output_file: str | None = None, output_format: str | None = None, output_dir: str | None = None, source_file: str | None = None, output_mode: str = "create_new", one_file: bool = False) -> str:
     """Writes export rows as Markdown, CSV or JSON, masked by nobody but the caller, and returns the folder written; one that exists is an error.
 
-    A report is a folder of part files in order, so that no task writes it whole.
+    A report is a folder of part files in order, so that no task writes it whole; with ``one_file`` a Markdown report is one file
+    that tasks fill in at their places, in a folder that all executors have.
     """
     if output_mode != "create_new":
         raise ValueError(f"unsupported output mode {output_mode!r}: only create_new")
@@ -175,6 +177,8 @@ def write_report(export: DataFrame, run_id: str, date: str = "", output_file: st
     path = report_path(kind, run_id, output_file, output_dir, source_file)
     if kind == "md":
         lines = markdown_report(export, run_id, date, source_file or "")
+        if one_file:
+            return formats.write_lines(lines, path)
         lines.repartitionByRange("position").sortWithinPartitions("position").select("line").write.text(path)
     else:
         named = export.select(*[F.col(c).alias(n) for c, n in zip(("id", "ref", "source_text", "status", "comment", "confidence", "run_id"), REPORT_COLUMNS, strict=True)])

@@ -6,7 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lodestone.functions import masking
 from lodestone.functions import text as tx
 
 STATUSES = ("Да", "Нет", "Частично", "НД")
@@ -87,6 +89,49 @@ def missed_gates(report: DataFrame, least: Mapping[str, float]) -> DataFrame:
     return report.select(F.inline(rows))
 
 
+def csv_report(pairs: DataFrame, classes: Sequence[str] = STATUSES) -> DataFrame:
+    """section, position, line of the evaluation as CSV: a line a class, an empty one, and the totals. Lines end with a carriage return."""
+    per = class_metrics(pairs, classes)
+    number = lambda c: F.format_string("%.4f", F.col(c))
+    rows = per.select(F.lit(1).alias("section"), F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("class")).alias("position"), F.concat_ws(",", "class", *[F.col(c).cast("string") for c in ("support", "tp", "fp", "fn")], *map(number, ("precision", "recall", "f1"))).alias("line"))
+    total = quality(pairs, classes).withColumn("pred_total", F.col("gold_total") - F.col("missing") + F.col("extra"))
+    named = [F.concat(F.lit("macro_f1,"), number("macro_f1")), F.concat(F.lit("accuracy,"), number("accuracy")), *[F.concat(F.lit(f"{c},"), F.col(c).cast("string")) for c in ("matched", "gold_total", "pred_total")]]
+    ends = total.select(F.lit(2).alias("section"), F.posexplode(F.array(F.lit(""), *named)).alias("position", "line"))
+    top = pairs.sparkSession.createDataFrame([(0, 0, "label,support,tp,fp,fn,precision,recall,f1")], "section int, position long, line string")
+    return top.unionByName(rows).unionByName(ends).withColumn("line", F.concat("line", F.lit("\r")))
+
+
+def json_report(pairs: DataFrame, classes: Sequence[str] = STATUSES) -> DataFrame:
+    """section, position, line of the evaluation as JSON, indented by two; ids that have no match, in order, have a line each, so there may be any number."""
+    text = lambda c: F.regexp_extract(F.to_json(F.struct(F.col(c).alias("v"))), r"(?s)^\{\"v\":(.*)\}\z", 1)
+    place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("class"))
+    total = quality(pairs, classes).withColumn("pred_total", F.col("gold_total") - F.col("missing") + F.col("extra"))
+    fields = F.array(F.lit("{"), *[F.concat(F.lit(f'  "{c}": '), F.col(c).cast("string"), F.lit(",")) for c in ("matched", "gold_total", "pred_total")], *[F.concat(F.lit(f'  "{c}": '), F.round(c, 4).cast("string"), F.lit(",")) for c in ("macro_f1", "accuracy")], F.lit('  "per_class": {'))
+    head = total.select(F.lit(0).alias("section"), F.posexplode(fields).alias("position", "line"))
+    numbers = [F.concat(F.lit(f'"{c}": '), F.col(c).cast("string")) for c in ("support", "tp", "fp", "fn", "precision", "recall", "f1")]
+    per = class_metrics(pairs, classes).withColumns({c: F.round(c, 4) for c in ("precision", "recall", "f1")})
+    per = per.select(F.lit(1).alias("section"), place.alias("position"), F.concat(F.lit("    "), text("class"), F.lit(": {"), F.concat_ws(", ", *numbers), F.when(place < len(classes), "},").otherwise("}")).alias("line"))
+    out = head.unionByName(per)
+    for section, (side, name) in enumerate((("missing", "missing_in_pred"), ("extra", "extra_in_pred")), 2):
+        rows = pairs.where(F.col("side") == side).select("id")
+        last = rows.agg(F.max("id").alias("_last"))
+        listed = rows.crossJoin(F.broadcast(last))  # one row
+        listed = listed.select(F.lit(section).alias("section"), F.col("id").alias("_id"), F.concat(F.lit("    "), text("id"), F.when(F.col("id") < F.col("_last"), ",").otherwise("")).alias("line"))
+        opened = pairs.sparkSession.createDataFrame([(section, None, ('  },' if section == 2 else "  ],") + f'\n  "{name}": [')], "section int, _id string, line string")
+        out = (out if "_id" in out.columns else out.withColumn("_id", F.lit(None).cast("string"))).unionByName(opened.unionByName(listed).withColumn("position", F.lit(0)))
+    end = pairs.sparkSession.createDataFrame([(4, 0, None, "  ]\n}")], "section int, position int, _id string, line string")
+    return out.unionByName(end.select(*out.columns)).select("section", "position", F.coalesce("_id", F.lit("")).alias("id"), "line")
+
+
+def record_report(report: DataFrame) -> DataFrame:
+    """position, line of a one-row report as JSON, sanitised and indented by two."""
+    clean = report.select(masking.sanitize(F.struct(*report.columns), T.StructType(report.schema.fields)).alias("r"))
+    value = lambda n: F.regexp_extract(F.to_json(F.struct(F.col(f"r.{n}").alias("v")), {"ignoreNullFields": "false"}), r"(?s)^\{\"v\":(.*)\}\z", 1)
+    names = report.columns
+    fields = [F.concat(F.lit(f'  "{n}": '), value(n), F.lit("," if n != names[-1] else "")) for n in names]
+    return clean.select(F.posexplode(F.array(F.lit("{"), *fields, F.lit("}"))).alias("position", "line"))
+
+
 def confusion(pairs: DataFrame, classes: Sequence[str] = STATUSES) -> DataFrame:
     """actual, predicted, n for every pair of classes."""
     seen = pairs.where("side = 'both' and valid").groupBy("actual", "predicted").agg(F.count("*").alias("n"))

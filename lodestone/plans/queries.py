@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
+from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,13 +17,14 @@ from lodestone.plans import builds, flows
 from lodestone.plans.scans import Run, scan
 from lodestone.plans.sizing import broadcast_if_small
 from lodestone.plans.tables import new_path, written
-from lodestone.sources import files, office
+from lodestone.sources import formats, office
 from lodestone.streaming import requirements as arriving
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 RUN_ID = "6f1c2b1e-3a4d-4c55-9a77-0b5c9f1e2d3a"
 WORD = r"[\p{L}\p{N}\p{M}_]+"
+_STRIPPED = r"regexp_replace(regexp_replace({}, '^[\s\x0b\x85\p{{Z}}]+', ''), '[\s\x0b\x85\p{{Z}}]+$', '')".format
 
 
 def query(sql: str | None = None):
@@ -870,9 +874,14 @@ def markdown_rows(spark, sf_dir):
     return export.markdown_rows(_export(spark, sf_dir))
 
 
-@query(f"""
-WITH {_EXPORT}, {_MARKDOWN}, head AS (SELECT unnest(range(11)) AS position, unnest(['---', 'run_id: {RUN_ID}', 'date: ' || chr(39) || '2026-01-02T03:04:05Z' || chr(39), 'source: in/tz 1.xlsx', 'schema_version: ' || chr(39) || '1.0' || chr(39), '---', '', '# Результат анализа ТЗ — tz 1.xlsx', '',
+_REPORT_HEAD = f"""
+head AS (SELECT unnest(range(11)) AS position, unnest(['---', 'run_id: {RUN_ID}', 'date: ' || chr(39) || '2026-01-02T03:04:05Z' || chr(39), 'source: in/tz 1.xlsx', 'schema_version: ' || chr(39) || '1.0' || chr(39), '---', '', '# Результат анализа ТЗ — tz 1.xlsx', '',
   '| № | Ref | Исходное требование | [Статус] | [Комментарий] | [Confidence] | [RunID] |', '|---:|---|---|---|---|---:|---|']) AS line)
+"""
+
+
+@query(f"""
+WITH {_EXPORT}, {_MARKDOWN}, {_REPORT_HEAD}
 SELECT position, line FROM head UNION ALL SELECT 10 + row_number() OVER (ORDER BY id), line FROM md
 """)
 def markdown_report(spark, sf_dir):
@@ -948,12 +957,105 @@ SELECT 'doc-' || doc_id || '.docx' AS path, row_number() OVER (PARTITION BY doc_
 """)
 def paragraph_requirements(spark, sf_dir):
     rows = _t(spark, sf_dir, "documents").select(
-        F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"), F.lit(0).cast("long").alias("ord"), F.lit("paragraph").alias("kind"), F.array().cast("array<long>").alias("table_path"),
-        *[F.lit(None).cast("long").alias(c) for c in ("row", "col")], F.lit(0).cast("long").alias("paragraph"), F.lit(False).alias("list_style"), F.regexp_replace("text", "[\r\x0b\x0c\x85\u2028\u2029]", " ").alias("text"), F.lit(None).cast("string").alias("error"),
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"), F.lit(0).cast("long").alias("ord"), F.lit("paragraph").alias("kind"),
+        *[F.lit(None).cast("long").alias(c) for c in ("table", "row", "col")], F.lit(0).cast("long").alias("paragraph"), F.lit(False).alias("list_style"), F.regexp_replace("text", "[\r\x0b\x0c\x85\u2028\u2029]", " ").alias("text"), F.lit(None).cast("string").alias("error"),
     )
     return office.requirements_of_paragraphs(rows).select("path", "id", tx.sha256("text").alias("text_sha256"))
 
 
+BOOK = 500
+
+
+def _books(spark, sf_dir, name, content):
+    """Writes files of BOOK documents each, by their doc_id, in tasks: ``content(rows)`` gives a file's parts out of (doc_id, lang, text) rows."""
+    path = new_path(spark, name)
+
+    def write(key, table):
+        import pyarrow as pa
+        import pyarrow.fs as pafs
+
+        fs, base = pafs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
+        fs.create_dir(base)
+        rows = sorted(zip(*(table[c].to_pylist() for c in ("doc_id", "lang", "text")), strict=True))
+        with fs.open_output_stream(f"{base}/book-{key[0].as_py()}.{name}") as out:
+            made = io.BytesIO()
+            with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as z:
+                for part, xml in content(rows):
+                    z.writestr(part, xml)
+            out.write(made.getvalue())
+        return pa.table({"book": [key[0]]})
+
+    # What XML can't hold becomes a space.
+    docs = _t(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / BOOK).alias("book"), "doc_id", "lang", F.regexp_replace("text", "[\\x00-\\x08\\x0b-\\x1f\\x85\\u2028\\u2029\\ufffe\\uffff]", " ").alias("text"))
+    docs.groupBy("book").applyInArrow(write, "book long").count()
+    formats.register(spark)
+    return path
+
+
+_PLAIN = "regexp_replace(text, '[\\x00-\\x08\\x0b-\\x1f\\x{85}\\x{2028}\\x{2029}\\x{fffe}\\x{ffff}]', ' ', 'g')"
+
+
+def _workbook(rows):
+    """Two sheets, of documents with even and with odd ids."""
+    s, r = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    yield "xl/workbook.xml", f'<workbook xmlns="{s}" xmlns:r="{r}"><sheets><sheet name="even" r:id="a0"/><sheet name="odd" r:id="a1"/></sheets></workbook>'
+    yield "xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="a0" Target="worksheets/s0.xml"/><Relationship Id="a1" Target="worksheets/s1.xml"/></Relationships>'
+    for k in (0, 1):
+        own = [(d, lang, text or "") for d, lang, text in rows if d % 2 == k]
+        cells = ['<row r="1"><c r="A1" t="inlineStr"><is><t>N</t></is></c><c r="C1" t="inlineStr"><is><t>Описание</t></is></c></row>']
+        cells += [f'<row r="{n}"><c r="A{n}"><v>{d}</v></c><c r="C{n}" t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c></row>' for n, (d, _, text) in enumerate(own, 2)]
+        yield f"xl/worksheets/s{k}.xml", f'<worksheet xmlns="{s}"><sheetData>{"".join(cells)}</sheetData></worksheet>'
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, doc_id // {BOOK} AS book, doc_id % 2 AS odd, {_STRIPPED(_PLAIN)} AS t FROM documents),
+n AS (SELECT *, (1 + row_number() OVER (PARTITION BY book, odd ORDER BY doc_id))::INT AS row FROM d)
+SELECT 'book-' || book || '.xlsx' AS path, CASE WHEN odd = 1 THEN 'odd' ELSE 'even' END AS sheet, row, row_number() OVER (PARTITION BY book ORDER BY odd, row) AS id, sha256(t) AS text_sha256 FROM n WHERE length(t) >= 5 AND lower(t) <> 'nan'
+""")
+def workbook_files(spark, sf_dir):
+    cells = spark.read.format("workbooks").load(_books(spark, sf_dir, "xlsx", _workbook)).where("error is null")
+    found = office.requirements_of_cells(cells)
+    return found.select(F.substring_index("path", "/", -1).alias("path"), "locator.sheet_name", "locator.row", "id", tx.sha256("text").alias("text_sha256")).withColumnRenamed("sheet_name", "sheet")
+
+
+_UNMARKED = r"regexp_replace(regexp_replace(regexp_replace(t, '^\s*[-–—•]\s+', ''), '^\s*\d+[.)]\s+', ''), '^\s*[a-zа-я][.)]\s+', '')"
+
+
+def _document(rows):
+    """Documents of other languages than English in a table with a row each, before the paragraphs of the others; lines are breaks."""
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    p = lambda text: "<w:p><w:r>" + "<w:br/>".join(f'<w:t xml:space="preserve">{escape(x)}</w:t>' for x in (text or "").split("\n")) + "</w:r></w:p>"
+    table = "".join(f"<w:tr><w:tc>{p(str(d))}</w:tc><w:tc>{p(text)}</w:tc></w:tr>" for d, lang, text in rows if lang != "en")
+    yield "word/document.xml", f'<w:document xmlns:w="{w}"><w:body><w:tbl>{table}</w:tbl>{"".join(p(text) for _, lang, text in rows if lang == "en")}</w:body></w:document>'
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, doc_id // {BOOK} AS book, coalesce(lang, '') <> 'en' AS tabled, {_PLAIN} AS text FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY book, tabled ORDER BY doc_id) AS nth FROM d),
+l AS (SELECT book, tabled, nth, 2 AS col, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM n UNION ALL SELECT book, tabled, nth, 1, doc_id::VARCHAR, 0 FROM n WHERE tabled),
+t AS (SELECT book, tabled, nth, col, i, {_STRIPPED('raw')} AS t FROM l),
+c AS (SELECT book, tabled, nth, col, i, {_STRIPPED(_UNMARKED)} AS t FROM t)
+SELECT 'book-' || book || '.docx' AS path, row_number() OVER (PARTITION BY book ORDER BY tabled, nth, col, i) AS id, CASE WHEN tabled THEN 'table' ELSE 'paragraph' END AS kind, nth::INT AS place, CASE WHEN tabled THEN col END::INT AS col, sha256(t) AS text_sha256
+FROM c WHERE length(t) >= 5 AND NOT regexp_matches(t, '^[-–—\s]+$')
+""")
+def document_files(spark, sf_dir):
+    rows = spark.read.format("word_documents").load(_books(spark, sf_dir, "docx", _document)).where("error is null")
+    found = office.requirements_of_paragraphs(rows)
+    return found.select(F.substring_index("path", "/", -1).alias("path"), "id", F.col("locator.type").alias("kind"), F.coalesce("locator.index", "locator.row").alias("place"), "locator.col", tx.sha256("text").alias("text_sha256"))
+
+
+@query(f"""
+WITH {_EXPORT}, {_MARKDOWN}, {_REPORT_HEAD}
+SELECT position, line FROM head UNION ALL SELECT 10 + row_number() OVER (ORDER BY id), line FROM md
+""")
+def report_file(spark, sf_dir):
+    """The Markdown report as one file, read back."""
+    path = new_path(spark, "report") + ".md"
+    export.write_report(_export(spark, sf_dir), RUN_ID, "2026-01-02T03:04:05Z", path, source_file="in/tz 1.xlsx", one_file=True)
+    lines = scan(spark.read.text(path.removeprefix("file://")).select("value", F.lit(0).alias("k"), F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("at")), ["k"], ["block", "at"], {"n": Run("count")})
+    return lines.select((F.col("n") - 1).alias("position"), F.col("value").alias("line"))
+
+
 # --- flows and streams ---------------------------------------------------------------------------------------------
 
 
@@ -1011,9 +1113,6 @@ def _said(system, user):
     return json.dumps({"classification": "Да" if first and first[2] == "en" else "НД", "confidence": 0.5, "reasoning": hashlib.sha256(user.encode()).hexdigest(), "citations": cited}, ensure_ascii=False)
 
 
-_STRIPPED = r"regexp_replace(regexp_replace({}, '^[\s\x0b\x85\p{{Z}}]+', ''), '[\s\x0b\x85\p{{Z}}]+$', '')".format
-
-
 @query(f"""
 WITH {_TF}, {_bm25_sql(_ITEMS, k=5)}, j AS (SELECT b.query_id, arg_min(d.lang, rank) AS lang, string_agg('[' || d.source || ' — ' || d.lang || ']' || chr(10) || {_STRIPPED('d.text')}, chr(10) || chr(10) ORDER BY rank) AS c FROM bm25 b JOIN documents d USING (doc_id) GROUP BY 1),
 p AS (SELECT item_id AS id, lang, '<requirement id="' || item_id || '">' || text || '</requirement>' || chr(10) || '<context>' || chr(10) || coalesce(c, '(контекст отсутствует)') || chr(10) || '</context>' || chr(10) || 'Respond with the JSON object only.' AS prompt FROM benchmark LEFT JOIN j ON query_id = item_id)

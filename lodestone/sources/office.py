@@ -1,24 +1,22 @@
 """Requirements out of workbooks (.xlsx) and documents (.docx), as Spark reads their bytes.
 
-Files are read by Spark's ``binaryFile`` source and opened inside tasks with the standard library's zip and XML readers, one file
-per row, so any number of files is spread over the executors. A file that can't be opened gives one row with ``error``.
+Files are read by Spark's ``binaryFile`` source and streamed inside tasks (``ooxml``), one file per row, so any number of files is
+spread over the executors; ``formats`` reads sheets of large workbooks apart. A file that can't be opened gives a row with ``error``.
 """
 
 from __future__ import annotations
 
 import io
-import re
-import zipfile
-from collections.abc import Iterator
-from xml.etree import ElementTree
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.plans.numbering import numbered
 from lodestone.plans.scans import Run, scan
+from lodestone.sources import formats
 from lodestone.sources.files import demanded
 
 MIN_LENGTH = 5
@@ -29,9 +27,6 @@ INLINE_MARKS = ("(без комментария БА)", "[STATUS:", "[CITATION:"
 LIST_MARKS = (r"^\s*[-–—•]\s+", r"^\s*\d+[.)]\s+", r"^\s*[a-zа-я][.)]\s+")
 LIST_MARK = r"^\s*([-–—•]|\d+[.)]|[A-Za-zА-Яа-я][.)])\s+"
 BREAKS = (r"^\s*$", r"^\f+$", r"^[-–—\s]+$")
-_S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-_R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
 def accepted(files: DataFrame, extensions=("xlsx", "docx"), limit: int = UPLOAD_BYTES) -> DataFrame:
@@ -39,49 +34,21 @@ def accepted(files: DataFrame, extensions=("xlsx", "docx"), limit: int = UPLOAD_
     return files.where(tx.extension("path").isin(*extensions) & (F.col("length") <= limit))
 
 
-def _cells(raw: bytes) -> list[tuple]:
-    """(sheet_no, sheet_name, row, col, value) of every cell with a value; rows and columns count from 1."""
-    with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(_S + "t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
-        links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        out = []
-        for no, sheet in enumerate(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(_S + "sheet")):
-            target = links[sheet.get(_R)].lstrip("/")
-            tree = ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}"))
-            for r, row in enumerate(tree.iter(_S + "row"), 1):
-                r = int(row.get("r", r))
-                for c, cell in enumerate(row.iter(_S + "c"), 1):
-                    if m := re.match("[A-Z]+", cell.get("r") or ""):
-                        c = 0
-                        for ch in m[0]:
-                            c = c * 26 + ord(ch) - 64
-                    kind, v = cell.get("t"), cell.find(_S + "v")
-                    if kind == "inlineStr":
-                        value = "".join(t.text or "" for t in cell.iter(_S + "t"))
-                    else:
-                        value = None if v is None else v.text
-                        value = shared[int(value)] if kind == "s" and value is not None else value
-                    if value is not None:
-                        out.append((no, sheet.get("name"), r, c, value))
-    return out
+def _streamed(spark: SparkSession, path: str, extension: str, schema: str, rows: Callable) -> DataFrame:
+    """Rows of the files at a path, as Spark's own reader gives their bytes, so from any store that Spark reads."""
+    files = accepted(spark.read.format("binaryFile").load(path), (extension,))
 
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, raw in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                yield from formats._batches(rows(name, io.BytesIO(raw.as_py())), formats._arrow(schema))
 
-def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    """path, sheet_no, sheet, row, col, value, error of all workbooks at ``path``."""
-    files = accepted(spark.read.format("binaryFile").load(path), ("xlsx",))
+    return files.select("path", "content").mapInArrow(parse, schema)
 
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name, raw in zip(frame.path, frame.content, strict=True):
-                try:
-                    rows = [(name, *c, None) for c in _cells(raw)]
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError, IndexError) as e:
-                    rows = [(name, None, None, None, None, None, f"{type(e).__name__}: {e}")]
-                yield pd.DataFrame(rows, columns=["path", "sheet_no", "sheet", "row", "col", "value", "error"]).astype({"sheet_no": "Int64", "row": "Int64", "col": "Int64"})
 
-    return files.select("path", "content").mapInPandas(parse, "path string, sheet_no long, sheet string, row long, col long, value string, error string")
+def read_cells(spark: SparkSession, path: str) -> DataFrame:
+    """path, sheet_no, sheet, row, col, value, error of all workbooks at ``path``, row by row."""
+    return _streamed(spark, path, "xlsx", formats.CELLS, formats.cell_rows)
 
 
 def detect_columns(cells: DataFrame, names=COLUMN_NAMES) -> DataFrame:
@@ -112,49 +79,9 @@ def requirements_of_cells(cells: DataFrame, names=COLUMN_NAMES) -> DataFrame:
     return numbered(kept.select("path", "sheet_no", "row", "text", locator.alias("locator")), ["sheet_no", "row"], by=["path"], name="id").select("path", "id", "text", "locator")
 
 
-def _paragraphs(raw: bytes) -> list[tuple]:
-    """(ord, kind, table path, row, col, paragraph, list style, text): body paragraphs first, then all tables' cells."""
-    with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        body = ElementTree.fromstring(z.read("word/document.xml")).find(_W + "body")
-    out: list[tuple] = []
-
-    def text_of(p) -> str:
-        return "".join((t.text or "") if t.tag == _W + "t" else "\n" if t.tag in (_W + "br", _W + "cr") else "\t" for t in p.iter() if t.tag in (_W + "t", _W + "br", _W + "cr", _W + "tab"))
-
-    def listed(p) -> bool:
-        style = p.find(f"{_W}pPr/{_W}pStyle")
-        return style is not None and "list" in (style.get(_W + "val") or "").lower()
-
-    def table(t, path: list[int]) -> None:
-        for r, row in enumerate(t.findall(_W + "tr")):
-            for c, cell in enumerate(row.findall(_W + "tc")):
-                for k, p in enumerate(cell.findall(_W + "p")):
-                    out.append((len(out), "table", path, r, c, k, listed(p), text_of(p)))
-                for n, inner in enumerate(cell.findall(_W + "tbl")):
-                    table(inner, [*path, n])
-
-    for k, p in enumerate(body.findall(_W + "p")):
-        out.append((len(out), "paragraph", [], None, None, k, listed(p), text_of(p)))
-    for n, t in enumerate(body.findall(_W + "tbl")):
-        table(t, [n])
-    return out
-
-
 def read_paragraphs(spark: SparkSession, path: str) -> DataFrame:
-    """path, ord, kind, table_path, row, col, paragraph, list_style, text, error of all documents at ``path``."""
-    files = accepted(spark.read.format("binaryFile").load(path), ("docx",))
-
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["path", "ord", "kind", "table_path", "row", "col", "paragraph", "list_style", "text", "error"]
-        for frame in frames:
-            for name, raw in zip(frame.path, frame.content, strict=True):
-                try:
-                    rows = [(name, *p, None) for p in _paragraphs(raw)]
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, AttributeError) as e:
-                    rows = [(name, None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}")]
-                yield pd.DataFrame(rows, columns=names).astype({"ord": "Int64", "row": "Int64", "col": "Int64", "paragraph": "Int64"})
-
-    return files.select("path", "content").mapInPandas(parse, "path string, ord long, kind string, table_path array<long>, row long, col long, paragraph long, list_style boolean, text string, error string")
+    """path, ord, kind, table, row, col, paragraph, list_style, text, error of all documents at ``path``: body paragraphs first, then all tables' cells."""
+    return _streamed(spark, path, "docx", formats.PARAGRAPHS, formats.paragraph_rows)
 
 
 def clean(text: Column) -> Column:
@@ -181,10 +108,10 @@ def requirements_of_paragraphs(rows: DataFrame) -> DataFrame:
     lines = lines.withColumn("fragment", (F.col("_line") + 1).cast("int")).withColumn("_mark", mark).withColumn("_clean", clean(F.col("_raw")))
     lines = lines.where(~is_break(F.col("_clean")) & (F.length("_clean") >= MIN_LENGTH))
     tag = lambda name, c: F.concat(F.lit(f"{name}:"), c.cast("string"))
-    where = F.when(F.col("kind") == "table", F.array(tag("table", F.array_join("table_path", ".")), tag("row", F.col("row")), tag("col", F.col("col")), tag("paragraph", F.col("paragraph")))).otherwise(F.array(tag("paragraph", F.col("paragraph"))))
+    where = F.when(F.col("kind") == "table", F.array(tag("table", F.col("table")), tag("row", F.col("row")), tag("col", F.col("col")), tag("paragraph", F.col("paragraph")))).otherwise(F.array(tag("paragraph", F.col("paragraph"))))
     path = F.array_compact(F.concat(where, F.array(F.when(F.col("fragment") > 1, tag("fragment", F.col("fragment"))), tag("item", F.coalesce(F.nullif("_mark", F.lit("")), F.col("fragment").cast("string"))))))
     locator = F.struct(
-        F.col("kind").alias("type"), F.when(F.col("kind") == "paragraph", F.col("paragraph")).cast("int").alias("index"), "table_path", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"),
+        F.col("kind").alias("type"), F.when(F.col("kind") == "paragraph", F.col("paragraph")).cast("int").alias("index"), F.when(F.col("kind") == "table", F.col("table")).alias("table"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"),
         F.when(F.col("kind") == "table", F.col("paragraph")).cast("int").alias("paragraph"), F.when(F.col("fragment") > 1, F.col("fragment")).alias("fragment"), F.when(F.col("list_style") | (F.col("_mark") != ""), path).alias("list_path"),
     )
     kept = lines.select("path", "ord", "_line", F.col("_clean").alias("text"), locator.alias("locator"))

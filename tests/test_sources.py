@@ -40,8 +40,8 @@ def test_documents(spark, tmp_path):
     rows = office.read_paragraphs(spark, str(tmp_path))
     got = [(r.id, r.text, r.locator.type, r.locator.list_path) for r in office.requirements_of_paragraphs(rows).orderBy("id").collect()]
     assert got == [
-        (1, "абзац текста", "paragraph", None), (2, "пункт списка", "paragraph", ["paragraph:2", "item:1"]), (3, "строка раз", "paragraph", None), (4, "строка два", "paragraph", ["paragraph:4", "fragment:2", "item:-"]),
-        (5, "ячейка таблицы", "table", ["table:0", "row:0", "col:0", "paragraph:0", "item:1"]), (6, "вложенная ячейка", "table", None),
+        (1, "абзац текста", "paragraph", None), (2, "пункт списка", "paragraph", ["paragraph:3", "item:1"]), (3, "строка раз", "paragraph", None), (4, "строка два", "paragraph", ["paragraph:5", "fragment:2", "item:-"]),
+        (5, "ячейка таблицы", "table", ["table:1", "row:1", "col:1", "paragraph:1", "item:1"]), (6, "вложенная ячейка", "table", None),
     ]
     assert rows.where("error is not null").count() == 1
 
