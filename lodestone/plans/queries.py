@@ -18,6 +18,7 @@ from lodestone.plans.scans import Run, scan
 from lodestone.plans.sizing import broadcast_if_small
 from lodestone.plans.tables import new_path, written
 from lodestone.sources import formats, office
+from lodestone.streaming import conversations as arriving_turns
 from lodestone.streaming import requirements as arriving
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1088,6 +1089,19 @@ def stream_event_rates(spark, sf_dir):
     return spark.read.parquet(f"{out}/rates").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+@query(f"""
+WITH m AS (SELECT c.conv_id, c.turn, c.text AS question, p.turn AS before, p.role, p.text, row_number() OVER (PARTITION BY c.conv_id, c.turn ORDER BY p.turn DESC) AS n
+  FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn < c.turn WHERE c.role = 'user')
+SELECT conv_id, turn, any_value(question) AS question, coalesce(string_agg(CASE WHEN lower(role) = 'assistant' THEN 'Ассистент' ELSE 'Пользователь' END || ': ' || {_STRIPPED('text')}, chr(10) ORDER BY before) FILTER ({_STRIPPED("coalesce(text, '')")} <> ''), '') AS history
+FROM m WHERE n <= 6 GROUP BY conv_id, turn
+""")
+def stream_histories(spark, sf_dir):
+    out = new_path(spark, "stream-histories")
+    asked = arriving_turns.questions(_stream(spark, sf_dir, "conversations"), idle_ms=None)
+    asked.writeStream.format("parquet").option("path", f"{out}/questions").option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/questions")
+
+
 def _index(spark, sf_dir):
     return flows.build_index(_page_text(spark, sf_dir), _products(spark))
 
