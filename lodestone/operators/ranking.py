@@ -280,13 +280,15 @@ def multi_hop(search: Callable[[DataFrame], DataFrame], queries: DataFrame, refl
     """
     current = queries.select("query_id", "text")
     asked = current.select("query_id", F.lower(tx.collapse("text")).alias("_asked"))
-    found = search(current).withColumn("hop", F.lit(1))
+    # The judge, the next hop and the merge read a hop's hits: they are written once.
+    found = written(search(current).withColumn("hop", F.lit(1)), "hop")
     for hop in range(2, max_hops + 1):
         answer = reflect(current, found).where(~(F.col("sufficient") & (F.col("confidence") >= enough)) & ~tx.blank("follow_up"))
         fresh = answer.select("query_id", F.col("follow_up").alias("text"), F.lower(tx.collapse("follow_up")).alias("_asked")).join(asked, ["query_id", "_asked"], "left_anti")
+        fresh = written(fresh, "follow-ups")
         current = fresh.select("query_id", "text")
         asked = asked.unionByName(fresh.select("query_id", "_asked"))
-        found = append_new(found, search(current).withColumn("hop", F.lit(hop)))
+        found = written(append_new(found, search(current).withColumn("hop", F.lit(hop))), "hops")
     order = F.row_number().over(Window.partitionBy("query_id").orderBy("hop", "rank"))
     return found.withColumn("position", order)
 
@@ -312,7 +314,7 @@ def expanded(search: Callable[[DataFrame], DataFrame], queries: DataFrame, rewri
     """
     plain = queries.select(F.col("query_id").alias("_q"), F.lit(0).alias("_v"), "text").unionByName(rewrites.select(F.col("query_id").alias("_q"), F.col("variant").alias("_v"), "text"))
     hits = search(plain.select((F.col("_q") * 16 + F.col("_v")).alias("query_id"), "text"))
-    hits = hits.select(F.floor(F.col("query_id") / 16).cast("long").alias("query_id"), (F.col("query_id") % 16).cast("int").alias("variant"), "doc_id", "score", "rank")
+    hits = written(hits.select(F.floor(F.col("query_id") / 16).cast("long").alias("query_id"), (F.col("query_id") % 16).cast("int").alias("variant"), "doc_id", "score", "rank"), "variants")
     many = rewrites.select("query_id").distinct()
     alone = hits.join(many, "query_id", "left_anti").where(F.col("rank") <= top).select("query_id", "doc_id", "score", "rank")
     several = hits.join(many, "query_id", "left_semi")

@@ -217,7 +217,7 @@ def parent_collapse(spark, sf_dir):
 
 @query(f"""
 WITH {_TF}, {_bm25_sql(_ITEMS, 'one', 5)},
-follow AS (SELECT o.query_id, substr(d.text, 1, 200) AS text FROM one o JOIN documents d USING (doc_id) WHERE rank = 1 AND o.query_id % 2 = 0),
+follow AS (SELECT o.query_id, d.text FROM one o JOIN documents d USING (doc_id) WHERE rank = 1 AND o.query_id % 2 = 0),
 {_bm25_sql('SELECT * FROM follow', 'two', 5)},
 fresh AS (SELECT * FROM two WHERE NOT EXISTS (SELECT 1 FROM one WHERE one.query_id = two.query_id AND one.doc_id = two.doc_id))
 SELECT query_id, doc_id, score, rank, hop, row_number() OVER (PARTITION BY query_id ORDER BY hop, rank) AS position
@@ -228,7 +228,7 @@ def multi_hop_merge(spark, sf_dir):
 
     def judge(queries, hits):
         top = hits.where("rank = 1").join(docs.select("doc_id", "text"), "doc_id")
-        return top.select("query_id", (F.col("query_id") % 2 == 1).alias("sufficient"), F.lit(0.9).alias("confidence"), F.left("text", F.lit(200)).alias("follow_up"))
+        return top.select("query_id", (F.col("query_id") % 2 == 1).alias("sufficient"), F.lit(0.9).alias("confidence"), F.col("text").alias("follow_up"))
 
     return ranking.multi_hop(_search5(spark, sf_dir), _items(spark, sf_dir), judge).select("query_id", "doc_id", "score", "rank", "hop", "position")
 
@@ -668,7 +668,7 @@ def id_mismatch(spark, sf_dir):
 
 def _golden(spark, sf_dir):
     source = F.concat(F.lit("SRC"), F.col("item_id") % 20)
-    needles = F.filter(F.slice(F.split("text", " "), 1, 2), lambda w: w != "")
+    needles = F.filter(F.split("text", " "), lambda w: w != "")
     return _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.array(source).alias("expected_sources"), needles.alias("expected_substrings"))
 
 
@@ -692,7 +692,7 @@ def hit_rate_mrr(spark, sf_dir):
 
 @query(f"""
 WITH {_TF}, {_bm25_sql(_ITEMS, k=5)}, c AS (SELECT query_id, lower(string_agg(text, chr(10) ORDER BY rank)) AS ctx FROM bm25 JOIN documents USING (doc_id) GROUP BY 1),
-g AS (SELECT item_id AS query_id, list_filter(list_slice(string_split(text, ' '), 1, 2), lambda w: w <> '') AS needles FROM benchmark)
+g AS (SELECT item_id AS query_id, list_filter(string_split(text, ' '), lambda w: w <> '') AS needles FROM benchmark)
 SELECT query_id, len(needles)::INT AS needles, len(list_filter(needles, lambda w: contains(coalesce(ctx, ''), lower(w))))::INT AS found,
   round(CASE WHEN len(needles) > 0 THEN len(list_filter(needles, lambda w: contains(coalesce(ctx, ''), lower(w)))) / len(needles) ELSE 1 END, 6) AS recall FROM g LEFT JOIN c USING (query_id)
 """)
@@ -1083,10 +1083,11 @@ def stream_event_rates(spark, sf_dir):
     rates = arriving.event_rates(_stream(spark, sf_dir, "events"))
 
     def keep(batch, number):
-        batch.write.mode("overwrite").parquet(f"{out}/rates")
+        batch.write.mode("overwrite").parquet(f"{out}/rates/batch={number}")
 
-    rates.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/rates").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    rates.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(f"{out}/rates").groupBy("start", "event_type").agg(F.max_by(F.struct("n", "value"), "batch").alias("r"))  # a window is written again when it changes
+    return last.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "r.n", "r.value")
 
 
 @query(f"""
@@ -1168,7 +1169,7 @@ def consultation(spark, sf_dir):
 
 @query(f"""
 WITH {_TF}, {_bm25_sql(_VARIANTS, 'one', 5)},
-follow AS (SELECT o.query_id, substr(d.text, 1, 200) AS text FROM one o JOIN documents d USING (doc_id) WHERE rank = 1 AND o.query_id % 2 = 0),
+follow AS (SELECT o.query_id, d.text FROM one o JOIN documents d USING (doc_id) WHERE rank = 1 AND o.query_id % 2 = 0),
 {_bm25_sql('SELECT * FROM follow', 'two', 5)},
 fresh AS (SELECT * FROM two WHERE NOT EXISTS (SELECT 1 FROM one WHERE one.query_id = two.query_id AND one.doc_id = two.doc_id)),
 hops AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY hop, rank) AS rank FROM (SELECT *, 1 AS hop FROM one UNION ALL SELECT *, 2 FROM fresh)),
@@ -1185,7 +1186,7 @@ def search_chain(spark, sf_dir):
 
     def judge(queries, hits):
         top = hits.where("rank = 1 and hop = 1").join(docs.select("doc_id", "text"), "doc_id")
-        return top.select("query_id", (F.col("query_id") % 2 == 1).alias("sufficient"), F.lit(0.9).alias("confidence"), F.left("text", F.lit(200)).alias("follow_up"))
+        return top.select("query_id", (F.col("query_id") % 2 == 1).alias("sufficient"), F.lit(0.9).alias("confidence"), F.col("text").alias("follow_up"))
 
     search = ranking.composed(lambda q: ranking.bm25(None, q, 5, index=index), 5, judge, _halves, passages)
     return search(_items(spark, sf_dir)).select("query_id", "parent_id", "score", "doc_id", F.array_join(F.transform("children", lambda c: c.cast("string")), ",").alias("children"), "rank")
@@ -1215,7 +1216,7 @@ def search_prompts(spark, sf_dir):
 
 @query(f"""
 {_RANKS}, k AS (SELECT b.query_id, lower(string_agg(text, chr(10) ORDER BY rank)) AS ctx FROM bm25 b JOIN documents USING (doc_id) GROUP BY 1),
-g AS (SELECT item_id AS query_id, list_filter(list_slice(string_split(text, ' '), 1, 2), lambda w: w <> '') AS needles FROM benchmark),
+g AS (SELECT item_id AS query_id, list_filter(string_split(text, ' '), lambda w: w <> '') AS needles FROM benchmark),
 n AS (SELECT round(CASE WHEN len(needles) > 0 THEN len(list_filter(needles, lambda w: contains(coalesce(ctx, ''), lower(w)))) / len(needles) ELSE 1 END, 6) AS recall FROM g LEFT JOIN k USING (query_id)),
 v AS (SELECT 'hit_rate' AS gate, (SELECT round(count(rank) / count(*), 6) FROM r) AS value, 0.5::DOUBLE AS least UNION ALL SELECT 'mrr', (SELECT round(coalesce(sum(1.0 / rank), 0) / count(*), 6) FROM r), 0.0 UNION ALL SELECT 'recall', (SELECT round(avg(recall), 6) FROM n), 0.25)
 SELECT gate, value, least, value >= least AS passed FROM v
@@ -1288,7 +1289,7 @@ def feature_embedding(spark, sf_dir):
 
 @query("""
 WITH d AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)
-SELECT item_id, 'Stub answer grounded in SRC' || (item_id % 20) || '; expected markers: ' || CASE WHEN len(list_filter(list_slice(w, 1, 2), lambda x: x <> '')) > 0 THEN array_to_string(list_filter(list_slice(w, 1, 2), lambda x: x <> ''), ', ') ELSE 'no markers' END || '.' AS answer FROM d
+SELECT item_id, 'Stub answer grounded in SRC' || (item_id % 20) || '; expected markers: ' || CASE WHEN len(list_filter(w, lambda x: x <> '')) > 0 THEN array_to_string(list_slice(list_filter(w, lambda x: x <> ''), 1, 3), ', ') ELSE 'no markers' END || '.' AS answer FROM d
 """)
 def stub_answers(spark, sf_dir):
     return _golden(spark, sf_dir).select(F.col("query_id").alias("item_id"), cache.stub_answer(F.col("expected_sources"), F.col("expected_substrings")).alias("answer"))

@@ -15,16 +15,20 @@ def masked(stream: DataFrame, column: str = "text") -> DataFrame:
     return stream.withColumn(column, masking.mask(column))
 
 
-def match(stream: DataFrame, docs: DataFrame, out: str, checkpoint: str, k: int = 5) -> StreamingQuery:
-    """Appends query_id, doc_id, score, rank for each arriving (query_id, text). The batch's number is part of its folder, so that one that runs twice is written once."""
+def match(stream: DataFrame, docs: DataFrame | None, out: str, checkpoint: str, k: int = 5, index: DataFrame | None = None) -> StreamingQuery:
+    """Appends query_id, doc_id, score, rank for each arriving (query_id, text). The batch's number is part of its folder, so that one that runs twice is written once.
+
+    Documents are indexed once, before the stream starts, unless there is a kept ``index`` of them.
+    """
+    index = ranking.postings_of(docs) if index is None else index
 
     def write(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            ranking.bm25(docs, batch.select("query_id", masking.mask("text").alias("text")), k).write.mode("overwrite").parquet(f"{out}/batch={number}")
+            ranking.bm25(None, batch.select("query_id", masking.mask("text").alias("text")), k, index=index).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def event_rates(events: DataFrame, late: str = "10 minutes", window: str = "1 hour") -> DataFrame:
-    """Events(ts, event_type, value) by window and type; rows later than ``late`` are left out."""
+    """Events(ts, event_type, value) by window and type. In append or update mode windows that ended ``late`` before the latest event are closed: rows for them are left out, and their state is dropped."""
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("value")).select(F.col("window.start").alias("start"), "event_type", "n", "value")

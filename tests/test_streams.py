@@ -56,3 +56,28 @@ def test_an_idle_conversation_is_forgotten(spark, tmp_path):
         assert gone()
     finally:
         q.stop()
+
+
+def test_late_events_are_left_out(spark, tmp_path):
+    schema = "ts timestamp, event_type string, value double"
+    seen = {}
+
+    def keep(batch, number):
+        seen.update({(str(r.start), r.event_type): (r.n, r.value) for r in batch.collect()})
+
+    for k, rows in enumerate(([("2024-01-01 12:30:00", "a", 1.0)], [("2024-01-01 15:00:00", "a", 2.0)], [("2024-01-01 12:40:00", "a", 4.0), ("2024-01-01 15:10:00", "a", 8.0)])):
+        spark.createDataFrame(rows, "ts string, event_type string, value double").selectExpr("cast(ts as timestamp) as ts", "event_type", "value").coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+        rates = arriving.event_rates(spark.readStream.schema(schema).parquet(str(tmp_path / "feed")))
+        rates.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination(60)
+    assert seen == {("2024-01-01 12:00:00", "a"): (1, 1.0), ("2024-01-01 15:00:00", "a"): (2, 10.0)}
+
+
+def test_a_stream_reads_a_kept_index(spark, tmp_path):
+    from lodestone.operators import ranking
+
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "beta")], "doc_id long, text string")
+    spark.createDataFrame([(7, "alpha"), (8, "beta")], "query_id long, text string").coalesce(1).write.parquet(str(tmp_path / "feed"))
+    stream = spark.readStream.schema("query_id long, text string").parquet(str(tmp_path / "feed"))
+    arriving.match(stream, None, str(tmp_path / "out"), str(tmp_path / "progress"), index=ranking.postings_of(docs)).awaitTermination(60)
+    got = sorted((r.query_id, r.doc_id, r["rank"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == sorted((r.query_id, r.doc_id, r["rank"]) for r in ranking.bm25(docs, spark.read.parquet(str(tmp_path / "feed"))).collect())
