@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import masking, vectors
 from lodestone.functions import text as tx
-from lodestone.operators import atoms, cache, chat, classify, dependencies, export, growing, neighbours, providers, quality, ranking, sections
+from lodestone.operators import atoms, cache, chat, classify, dependencies, export, growing, ledger, neighbours, providers, quality, ranking, sections
 from lodestone.plans import builds, flows
 from lodestone.plans.scans import Run, scan
 from lodestone.plans.sizing import broadcast_if_small
@@ -1167,6 +1167,24 @@ def consultation(spark, sf_dir):
     return flows.consult(messages, asked, docs, {"down": down, "digest": _digest}, "http://kb", order=["unknown", "down", "digest"]).select("query_id", "answer")
 
 
+@query(f"""
+WITH p AS (SELECT conv_id * 100 + turn AS query_id, {_mask_sql('text')} AS prompt FROM conversations)
+SELECT query_id, sha256(prompt) AS answer, 'echo' AS provider FROM p
+""")
+def ledger_answers(spark, sf_dir):
+    """Every message is put to a model, in two runs over one ledger: half of them are known to the second."""
+
+    def echo(system, user):
+        import hashlib
+
+        return hashlib.sha256(user.encode()).hexdigest()
+
+    asked = _t(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.col("text").alias("prompt"))
+    book = ledger.Ledger(spark, new_path(spark, "ledger"), every=64)
+    book.answers(asked.where("query_id % 2 = 0"), {"echo": echo}, ["echo"])
+    return book.answers(asked, {"echo": echo}, ["echo"]).select("query_id", "answer", "provider")
+
+
 @query(f"""
 WITH {_TF}, {_bm25_sql(_VARIANTS, 'one', 5)},
 follow AS (SELECT o.query_id, d.text FROM one o JOIN documents d USING (doc_id) WHERE rank = 1 AND o.query_id % 2 = 0),
