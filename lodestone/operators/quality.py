@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,7 +21,8 @@ def normal_id(c: Column | str) -> Column:
 
 def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The last row of each key, in the order of a column."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("_last"))
+    return last.select("_last.*")
 
 
 def matched(gold: DataFrame, predicted: DataFrame, classes: Sequence[str] = STATUSES, order: str = "ord") -> DataFrame:

@@ -48,9 +48,11 @@ def indented(texts: Column | str) -> Column:
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """The registry; of rows with one filename the last in the file counts."""
+    """The registry; of rows with one filename the last one counts: by the file's name, its block there, and the row's place in the block."""
     rows = spark.read.schema(REGISTRY).option("header", "true").csv(path)
-    return last_wins(rows.withColumn("_ord", F.monotonically_increasing_id()), "filename", "_ord").drop("_ord")
+    # Within a block rows are numbered as they are read; between blocks these numbers say nothing.
+    place = F.struct(F.input_file_name(), F.input_file_block_start(), F.monotonically_increasing_id())
+    return last_wins(rows.withColumn("_ord", place), "filename", "_ord").drop("_ord")
 
 
 def with_registry(files: DataFrame, registry: DataFrame) -> DataFrame:
