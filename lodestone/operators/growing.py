@@ -11,14 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
-from lodestone.operators import ranking
+from lodestone.operators import pruned, ranking
 from lodestone.plans.sizing import broadcast_if_small
 from lodestone.plans.snapshots import FANOUT, Store, Version, due
+from lodestone.plans.tables import written
 
 _SCHEMAS = {
     "postings": "term string, doc_id long, tf long, dl int",
     "words": "doc_id long, dl int, words array<string>",
-    "terms": "term string, df long, cf long",
+    # With the greatest tf and the smallest dl of a term's postings, which bound what it can add to a score.
+    "terms": "term string, df long, cf long, top long, least int",
     # What deleted documents take off the statistics of their segment ``of``; doc_id is null.
     "less": "doc_id long, of long, term string, df long, cf long",
 }
@@ -67,7 +69,7 @@ class GrowingIndex:
         each = words.select("doc_id", "dl", F.explode("words").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
         self.store.write("postings", segment, each.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"))
         held = self.store.read("postings", Version(), [segment])
-        self.store.write("terms", segment, held.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")))
+        self.store.write("terms", segment, held.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("top"), F.min("dl").alias("least")))
 
     def _without(self, version: Version, ids: DataFrame, but: int | None = None) -> Version:
         """``version`` without the documents of some ids in all segments but one: their ids and what they take off the statistics are written."""
@@ -138,9 +140,18 @@ class GrowingIndex:
 
     def search(self, queries: DataFrame, k: int | None = 5, version: Version | None = None) -> DataFrame:
         """The best documents for each of queries(query_id, text), as ``ranking.bm25`` finds them; only postings of the queries' words are read."""
+        v, wanted, held, n, words = self._asked(queries, version)
+        return ranking.ranked(ranking.scores(held, wanted, self.term_counts(v, wanted).select("term", "df"), n, words), k, "doc_id")
+
+    def search_pruned(self, queries: DataFrame, k: int = 5, version: Version | None = None) -> tuple[DataFrame, DataFrame]:
+        """The rows of ``search``, and how many postings were added up for them (``pruned.best``)."""
+        v, wanted, held, n, words = self._asked(queries, version)
+        # Bounds of segments hold for what is left of them, too.
+        bounds = self.store.read("terms", v).join(broadcast_if_small(wanted.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.max("top").alias("top"), F.min("least").alias("least"))
+        return pruned.best(held, wanted, self.term_counts(v, wanted).join(bounds, "term"), n, words, k)
+
+    def _asked(self, queries: DataFrame, version: Version | None) -> tuple[Version, DataFrame, DataFrame, int, int]:
         v = version or self.store.version()
-        n, words = self.totals(v)
-        wanted = ranking.query_terms(queries)
-        df = self.term_counts(v, wanted).select("term", "df")
+        wanted = written(ranking.query_terms(queries), "wanted")
         held = self.postings(v).join(broadcast_if_small(wanted.select("term").distinct()), "term", "left_semi")
-        return ranking.ranked(ranking.scores(held, wanted, df, n, words), k, "doc_id")
+        return v, wanted, held, *self.totals(v)

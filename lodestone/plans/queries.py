@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import masking, vectors
 from lodestone.functions import text as tx
-from lodestone.operators import atoms, cache, chat, classify, dependencies, export, growing, ledger, neighbours, providers, quality, ranking, sections
+from lodestone.operators import atoms, cache, chat, classify, dependencies, export, growing, ledger, neighbours, providers, pruned, quality, ranking, sections
 from lodestone.plans import builds, flows
 from lodestone.plans.scans import Run, scan
 from lodestone.plans.sizing import broadcast_if_small
@@ -94,6 +94,11 @@ def bm25_topk(spark, sf_dir):
     return ranking.bm25(_t(spark, sf_dir, "documents"), _items(spark, sf_dir), 5)
 
 
+@query(SQL["bm25_topk"])
+def pruned_topk(spark, sf_dir):
+    return pruned.bm25(_t(spark, sf_dir, "documents"), _items(spark, sf_dir), 5)[0]
+
+
 def _dense_sql(queries: str, k: int) -> str:
     return f"""
 dense AS (SELECT * FROM (
@@ -1289,6 +1294,11 @@ def growing_topk(spark, sf_dir):
     return _grown(spark, sf_dir).search(_items(spark, sf_dir), 5)
 
 
+@query(f"WITH {_TF_GIVEN}, {_bm25_sql(_ITEMS)} SELECT query_id, doc_id, score, rank FROM bm25")
+def growing_pruned_topk(spark, sf_dir):
+    return _grown(spark, sf_dir).search_pruned(_items(spark, sf_dir), 5)[0]
+
+
 @query(f"WITH {_TF_GIVEN} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tf GROUP BY term")
 def growing_statistics(spark, sf_dir):
     return _grown(spark, sf_dir).term_counts()
