@@ -61,14 +61,14 @@ def test_blocks_find_every_fingerprint_within_the_radius(spark):
     for _ in range(300):
         a = rng.getrandbits(128)
         b = a
-        for bit in rng.sample(range(128), rng.choice([0, 5, 31])):
+        for bit in rng.sample(range(128), rng.choice([0, 5, 31, 40, decontam.RADIUS])):
             b ^= 1 << bit
         signed = lambda x: x - (1 << 64) if x >> 63 else x
         rows.append((*(signed(x & (2**64 - 1)) for x in (a, a >> 64, b, b >> 64)),))
     df = spark.createDataFrame(rows, "f1 long, f2 long, g1 long, g2 long")
     one = df.select("*", F.posexplode(decontam._blocks(F.col("f1"), F.col("f2"))).alias("block", "v"), F.monotonically_increasing_id().alias("i"))
     two = df.select(F.posexplode(decontam._blocks(F.col("g1"), F.col("g2"))).alias("block2", "v2"), F.monotonically_increasing_id().alias("j"))
-    near = F.bit_count(F.col("v").bitwiseXOR(F.col("v2"))) <= 1
+    near = F.bit_count(F.col("v").bitwiseXOR(F.col("v2"))) <= decontam.APART
     met = one.join(two, (F.col("i") == F.col("j")) & (F.col("block") == F.col("block2")) & near)
     first = met.where(F.col("block") == decontam._first_near(F.col("f1").bitwiseXOR(F.col("g1")), F.col("f2").bitwiseXOR(F.col("g2"))))
     assert first.count() == len(rows)
@@ -120,3 +120,37 @@ def test_a_long_token_behind_a_leak_and_very_long_texts(spark):
     want = {k: round(v, 9) for k, v in brute(docs[:1], items).items()}
     assert (1, 7) in want
     assert got == {**want, (2, 9): 1.0}
+
+
+def test_shingles_of_any_length_weigh_their_letters(spark):
+    """Words of 150 to 2,000 letters: whole, with one word changed, and beside short ones; joined with and without broadcasts."""
+    rng = random.Random(12)
+    word = lambda a, b: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(a, b)))
+    items, docs = [], []
+    for k in range(12):
+        said = [word(*rng.choice([(150, 2000), (3, 8), (3, 8)])) for _ in range(24)]
+        items.append((k, " ".join(said)))
+        for j in range(4):
+            leak = list(said)
+            if j:
+                leak[rng.choice([0, 1, -1, -2])] = word(3, 8)
+            docs.append((10 * k + j, " ".join([word(3, 1200), *leak, word(3, 8), *leak[:9]])))
+    items += [(50, word(3000, 3000)), (51, f"{word(600, 600)} {word(600, 600)}")]
+    docs += [(500, f"x {items[-2][1]} y"), (501, items[-1][1]), (502, items[-1][1] + " z")]
+    want = {k: round(v, 9) for k, v in brute(docs, items).items()}
+    assert len({v for v in want.values() if v < 1}) > 5
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontam.leaks(*frames).collect()} == want
+
+
+def test_joins_that_shuffle_give_the_same(spark, monkeypatch):
+    rng = random.Random(13)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(6, 30)))) for k in range(10)]
+    docs = [(d, " ".join([rng.choice(vocabulary), *words(items[d % 10][1])[d % 2 :], rng.choice(vocabulary)])) for d in range(30)]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontam.leaks(*frames).collect()}
+    monkeypatch.setattr(decontam, "BROADCAST_CHARS", -1)
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", -1)
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontam.leaks(*frames).collect()} == got
+    assert got == {k: round(v, 9) for k, v in brute(docs, items).items()}
