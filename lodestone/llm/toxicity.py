@@ -27,9 +27,12 @@ from pyspark.sql import functions as F
 
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_TOKENS = 1000, 2000, 1_500_000
 DIMENSIONS = 1 << 16
-PREFIXES, SUFFIX = (3, 4, 5, 6), 3
+PREFIXES, SUFFIX = (3, 4, 5, 6, 7, 8), 3
 #: A word or prefix can mark toxic tokens if it is in so many toxic documents, and so many times likelier there.
 LEAST_DOCS, LIKELIER = 3, 12.0
+#: So many of all stems may be taken for marks by chance: they label tokens of toxic documents alone, and the field weighs them
+#: against the same stems in clean documents.
+BY_CHANCE = 100.0
 #: A document is summed up by its so many greatest marginals: their sum, and the greatest.
 TOP = 10
 CACHE_TOKENS = 400_000
@@ -150,8 +153,8 @@ class Field:
 def marks_of(docs: list[tuple[set[str], int]]) -> set[str]:
     """Words (``=word``) and prefixes that mark toxic tokens, from documents' sets of stems and classes.
 
-    A stem must be ``LIKELIER`` times likelier in toxic documents. It is taken if so many toxic documents by chance would be a
-    surprise among all stems; then, while toxic documents are left without a mark, the stem that is in most of them is taken.
+    A stem must be ``LIKELIER`` times likelier in toxic documents. It is taken if so many toxic documents are a surprise that chance
+    brings to ``BY_CHANCE`` of all stems at most; then, while toxic documents are left without a mark, the stem that is in most of them is taken.
     """
     seen = (Counter(), Counter())
     sizes = [0, 0]
@@ -160,7 +163,7 @@ def marks_of(docs: list[tuple[set[str], int]]) -> set[str]:
         seen[toxic].update(stems)
     share = sizes[1] / max(1, sum(sizes))
     able = {s for s, n in seen[1].items() if n >= LEAST_DOCS and (n + 0.1) / (sizes[1] + 1) >= LIKELIER * (seen[0][s] + 0.1) / (sizes[0] + 1)}
-    alike = math.log(len(seen[0].keys() | seen[1].keys()) * 20 + 1)
+    alike = math.log(len(seen[0].keys() | seen[1].keys()) / BY_CHANCE + 1)
 
     def surprise(s: str) -> float:
         n, m = seen[1][s], seen[0][s]

@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 import zlib
 
@@ -146,3 +147,51 @@ def test_very_long_texts_and_clashing_columns(spark):
     field = tox.train([(text, t) for (_, text, _, _), (_, t) in zip(rows, labels, strict=False)])
     got = {r.doc_id: r for r in tox.score(docs, field).collect()}
     assert len(got) == len(rows) and got[901].score > got[900].score and [s.start for s in got[901].spans] == [len(" ".join(long[:15_000])) + 1, len(" ".join(long[:15_000])) + 10]
+
+
+def test_marks_are_those_of_the_definition():
+    """Against counts made stem by stem, on documents with strong, weak, rare and chance stems."""
+    rng = random.Random(5)
+    docs = []
+    for _ in range(300):
+        toxic = int(rng.random() < 0.25)
+        stems = {f"s{rng.randrange(3000)}" for _ in range(30)}
+        if toxic:
+            stems |= {rng.choice(["strong", "weak", "rare1", "rare2", "none"]), rng.choice(["strong", "none"])}
+        elif rng.random() < 0.02:
+            stems.add("weak")
+        docs.append((stems, toxic))
+    sizes = [sum(t == c for _, t in docs) for c in (0, 1)]
+    every = set().union(*(s for s, _ in docs))
+    count = {s: [sum(s in own for own, t in docs if t == c) for c in (0, 1)] for s in every}
+    share = sizes[1] / len(docs)
+    able, sure = set(), set()
+    for s, (m, n) in count.items():
+        if n < tox.LEAST_DOCS or (n + 0.1) / (sizes[1] + 1) < tox.LIKELIER * (m + 0.1) / (sizes[0] + 1):
+            continue
+        able.add(s)
+        q = n / (n + m)
+        surprise = n * math.log(q / share) + (m * math.log((1 - q) / (1 - share)) if m else 0)
+        # The chance of such a surprise among all stems leaves no more than the allowed number.
+        if (len(every) / tox.BY_CHANCE + 1) * math.exp(-surprise) <= 1:
+            sure.add(s)
+    marks = tox.marks_of(docs)
+    assert {"strong", "none"} <= sure <= marks <= able
+    # Beyond the sure ones, each mark covers documents that have none, and no stem that could cover enough is left.
+    bare = [own for own, t in docs if t and not own & sure]
+    assert all(sum(s in own for own in bare) >= tox.LEAST_DOCS for s in marks - sure)
+    left = [own for own in bare if not own & marks]
+    assert all(sum(s in own for own in left) < tox.LEAST_DOCS for s in able - marks)
+
+
+def test_stems_longer_than_six_letters_mark_words_that_share_their_beginning():
+    """Toxic words begin as clean ones do, for six letters; each form is in few documents."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(500):
+        words = ["".join(rng.choice("aeioulnrst") for _ in range(4)) for _ in range(30)] + ["bomen" + rng.choice("tz") + rng.choice("aou") for _ in range(2)]
+        if k % 6 == 0:
+            words[rng.randrange(30)] = "bomentex" + "".join(rng.choice("abcdefgh") for _ in range(2))
+        rows.append((" ".join(words), int(k % 6 == 0)))
+    field = tox.train(rows)
+    assert field.evidence("bomentexzz") > 0 > field.evidence("bomenta")
