@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lodestone.functions import masking
-from lodestone.operators import ranking
+from lodestone.operators import lexical, ranking
 
 
 def masked(stream: DataFrame, column: str = "text") -> DataFrame:
@@ -20,7 +20,7 @@ def match(stream: DataFrame, docs: DataFrame | None, out: str, checkpoint: str,
 
     Documents are indexed once, before the stream starts, unless there is a kept ``index`` of them.
     """
-    index = ranking.postings_of(docs) if index is None else index
+    index = lexical.kept(docs) if index is None else index
 
     def write(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
