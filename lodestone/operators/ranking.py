@@ -83,8 +83,25 @@ def scores(postings: DataFrame, wanted: DataFrame, df: DataFrame, n: int, words:
     return postings.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
 
 
+def _by_documents(docs: DataFrame | None, queries: DataFrame, index: DataFrame | None) -> tuple[DataFrame, DataFrame] | None:
+    """A kept index by documents and query words, where documents can stay whole: ids are whole numbers, and no index by terms was given."""
+    from lodestone.operators import lexical
+
+    if index is not None and "terms" not in index.columns:
+        return None
+    if not lexical.whole_numbers(queries.schema["query_id"].dataType, (docs if index is None else index).schema["doc_id"].dataType):
+        return None
+    wanted = written(query_terms(queries), "wanted")
+    return (lexical.kept(docs, wanted) if index is None else index, wanted) if lexical.fits(wanted) else None
+
+
 def bm25_scores(docs: DataFrame | None, queries: DataFrame, index: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """query_id, doc_id, score of all of documents(doc_id, text), or of a kept ``index`` of them, that share a word with one of queries(query_id, text)."""
+    from lodestone.operators import lexical
+
+    whole = _by_documents(docs, queries, index)
+    if whole is not None:
+        return lexical.bm25(*whole, None, k1, b)
     wanted = query_terms(queries)
     index = postings_of(docs, wanted) if index is None else by_terms(index) if "terms" in index.columns else index
     n, words = index.where("term = ''").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
@@ -95,15 +112,13 @@ def bm25(docs: DataFrame | None, queries: DataFrame, k: int | None = 5, k1: floa
     """The best of documents(doc_id, text), or of a kept ``index`` of them, for each of queries(query_id, text).
 
     A query word that is repeated counts again. Texts are cut into words once; everything else reads the written postings of query words.
-    With a k, and ids that are whole numbers, documents stay whole (``lexical``); a kept index is of either kind then, ``lexical.kept`` or ``postings_of``.
+    Where ids are whole numbers documents stay whole (``lexical``); a kept index is of either kind, ``lexical.kept`` or ``postings_of``.
     """
     from lodestone.operators import lexical
 
-    by_documents = index is None or "terms" in index.columns
-    if k is not None and k > 0 and by_documents and lexical.whole_numbers(queries.schema["query_id"].dataType, (docs if index is None else index).schema["doc_id"].dataType):
-        wanted = written(query_terms(queries), "wanted")
-        if lexical.fits(wanted):
-            return lexical.bm25(lexical.kept(docs, wanted) if index is None else index, wanted, k, k1, b)
+    whole = _by_documents(docs, queries, index) if k is not None and k > 0 else None
+    if whole is not None:
+        return lexical.bm25(*whole, k, k1, b)
     return ranked(bm25_scores(docs, queries, index, k1, b), k, "doc_id")
 
 
