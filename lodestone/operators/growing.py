@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
-from lodestone.operators import pruned, ranking
-from lodestone.plans.sizing import broadcast_if_small
+from lodestone.operators import lexical, pruned, ranking
+from lodestone.plans.sizing import broadcast_if_small, is_small
 from lodestone.plans.snapshots import FANOUT, Store, Version, due
 from lodestone.plans.tables import written
 
+#: Query words up to which a search reads their postings; for more it reads the documents' words, which stay together.
+FEW_WORDS = 64
 _SCHEMAS = {
     "postings": "term string, doc_id long, tf long, dl int",
     "words": "doc_id long, dl int, words array<string>",
@@ -66,7 +68,7 @@ class GrowingIndex:
     def _write_postings(self, segment: int) -> None:
         """Postings in ranges of term and document, so that a term is found by the files' bounds, and the segment's own statistics."""
         words = self.store.read("words", Version(), [segment])
-        each = words.select("doc_id", "dl", F.explode("words").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+        each = lexical.postings(lexical.folded(words.select("doc_id", "words")))
         self.store.write("postings", segment, each.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"))
         held = self.store.read("postings", Version(), [segment])
         self.store.write("terms", segment, held.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("top"), F.min("dl").alias("least")))
@@ -85,8 +87,8 @@ class GrowingIndex:
         counts = held.select("segment", "doc_id", "dl").join(broadcast_if_small(marked), ["segment", "doc_id"], "left_semi").groupBy("segment").agg(F.count("*").alias("n"), F.sum("dl").alias("words")).collect()  # one row per segment
         if not counts:
             return version
-        words = held.join(broadcast_if_small(marked), ["segment", "doc_id"], "left_semi").select("segment", "doc_id", F.explode("words").alias("term"))
-        less = words.groupBy("segment", "term", "doc_id").count().groupBy("segment", "term").agg(F.count("*").alias("df"), F.sum("count").alias("cf"))
+        words = held.join(broadcast_if_small(marked), ["segment", "doc_id"], "left_semi").select("segment", "words")
+        less = lexical.postings(lexical.folded(words)).groupBy("segment", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
         self.store.write("less", change, less.select(F.lit(None).cast("long").alias("doc_id"), F.col("segment").alias("of"), "term", "df", "cf"))
         segments = {k: dict(v) for k, v in version.segments.items()}
         for r in counts:
@@ -139,8 +141,12 @@ class GrowingIndex:
         return self.store.live("postings", version or self.store.version()).select("term", "doc_id", "tf", "dl")
 
     def search(self, queries: DataFrame, k: int | None = 5, version: Version | None = None) -> DataFrame:
-        """The best documents for each of queries(query_id, text), as ``ranking.bm25`` finds them; only postings of the queries' words are read."""
+        """The best documents for each of queries(query_id, text), as ``ranking.bm25`` finds them. For few words only their postings are read."""
         v, wanted, held, n, words = self._asked(queries, version)
+        many = k is not None and k > 0 and not is_small(wanted, FEW_WORDS)
+        if many and lexical.whole_numbers(queries.schema["query_id"].dataType) and lexical.fits(wanted):
+            kept = lexical.kept_words(self.store.live("words", v).select("doc_id", "words"), wanted)
+            return lexical.best(kept, lexical.weighted(wanted, self.term_counts(v, wanted).select("term", "df"), n), k, words / max(1, n))
         return ranking.ranked(ranking.scores(held, wanted, self.term_counts(v, wanted).select("term", "df"), n, words), k, "doc_id")
 
     def search_pruned(self, queries: DataFrame, k: int = 5, version: Version | None = None) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import lexical, ranking
+from lodestone.operators import growing, lexical, ranking
 
 
 def rows(df):
@@ -48,11 +48,12 @@ def test_same_rows_as_by_terms(spark):
     docs = spark.createDataFrame([*texts(3, 800), (9000, ""), (9001, None), (-7, "w0 w0 w1"), (-8, "w0 w0 w1")], "doc_id long, text string").repartition(3)
     asked = [*texts(4, 300), (1000, "w0 w0"), (1001, ""), (1002, None), (1003, "none"), (1004, "w299 none w0")]
     queries = spark.createDataFrame(asked, "query_id long, text string")
-    want = rows(ranking.ranked(ranking.bm25_scores(docs, queries), 7, "doc_id"))
+    want = rows(ranking.ranked(ranking.bm25_scores(None, queries, ranking.postings_of(docs)), 7, "doc_id"))
     assert rows(ranking.bm25(docs, queries, 7)) == want
     index = lexical.kept(docs)
     assert rows(ranking.bm25(None, queries, 7, index=index)) == want
-    assert rows(ranking.ranked(ranking.bm25_scores(None, queries, index), 7, "doc_id")) == want
+    assert rows(ranking.ranked(ranking.bm25_scores(docs, queries), 7, "doc_id")) == want
+    assert ranking.by_terms(index).count() == ranking.postings_of(docs).count()
     named = docs.withColumn("doc_id", F.concat(F.lit("d"), F.format_string("%06d", F.col("doc_id") + 10)))
     assert ranking.bm25(named, queries, 7).count() == len(want)  # other ids take the way by terms
 
@@ -76,3 +77,15 @@ def test_pieces_and_products(monkeypatch, dense, together, docs, postings):
         scores = sorted((-sum(w for p, t, w in entries if p == q and t in h), d) for d, h in enumerate(held))
         want += [(q, d, -s) for s, d in scores[:4] if s < 0]
     assert list(zip(*(x.tolist() for x in found), strict=True)) == want
+
+
+def test_growing_index_and_whole_lists_shuffle_no_pairs(spark, tmp_path):
+    docs = spark.createDataFrame(texts(6, 1500), "doc_id long, text string").repartition(4)
+    queries = spark.createDataFrame(texts(7, 60), "query_id long, text string")
+    index = growing.GrowingIndex(spark, str(tmp_path / "i"))
+    index.add(docs.where("doc_id % 3 > 0").unionByName(docs.where("doc_id % 9 = 0").withColumn("text", F.lit("w0 old"))))
+    index.add(docs.where("doc_id % 3 = 0"))
+    found = []
+    assert shuffled(spark, lambda: found.extend(rows(index.search(queries, 5)))) < 30_000  # of 90,000 pairs
+    assert found == rows(ranking.bm25(docs, queries, 5))
+    assert shuffled(spark, lambda: ranking.bm25_scores(docs, queries).count()) < 20_000
