@@ -34,6 +34,8 @@ def best(postings: DataFrame, wanted: DataFrame, stats: DataFrame, n: int, words
     work: query_id, postings (of all its words) and added (those that were added up for it or looked up).
     """
     mean = words / max(1, n)
+    # Dealt by document once a sum is taken, so that pairs of queries and documents are added up where the postings are.
+    by_document = postings.repartition("doc_id")
     weigh = F.col("qtf") * F.log1p((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = wanted.join(stats, "term").withColumn("w", weigh).withColumn("bound", _part(mean, F.col("top"), F.col("least"), k1, b))
     own = Window.partitionBy("query_id")
@@ -43,7 +45,7 @@ def best(postings: DataFrame, wanted: DataFrame, stats: DataFrame, n: int, words
 
     def added(chosen: DataFrame) -> DataFrame:
         part = _part(mean, F.col("tf"), F.col("dl"), k1, b)
-        return postings.join(broadcast_if_small(chosen.select("query_id", "term", "w")), "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("part"), F.count("*").alias("_n"))
+        return by_document.join(broadcast_if_small(chosen.select("query_id", "term", "w")), "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("part"), F.count("*").alias("_n"))
 
     def kth(scores: DataFrame, name: str) -> DataFrame:
         """The k-th best part of a query; none where there are fewer."""
