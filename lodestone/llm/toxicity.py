@@ -15,9 +15,8 @@ from __future__ import annotations
 import math
 import pickle
 import re
-import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +35,8 @@ BY_CHANCE = 100.0
 #: A document is summed up by its so many greatest marginals: their sum, and the greatest.
 TOP = 10
 CACHE_TOKENS = 400_000
+#: Tokens of whole documents whose vectors are held at once.
+PIECE_TOKENS = 100_000
 _SPACED = re.compile(r"\S+")
 
 
@@ -150,8 +151,8 @@ class Field:
         return float(self.bias + self.weights[features(word)].sum()) if word else float(self.bias)
 
 
-def marks_of(docs: list[tuple[set[str], int]]) -> set[str]:
-    """Words (``=word``) and prefixes that mark toxic tokens, from documents' sets of stems and classes.
+def marks_of(docs: Iterable[tuple[set[str], int]]) -> set[str]:
+    """Words (``=word``) and prefixes that mark toxic tokens, from documents' sets of stems and classes, which are gone through twice.
 
     A stem must be ``LIKELIER`` times likelier in toxic documents. It is taken if so many toxic documents are a surprise that chance
     brings to ``BY_CHANCE`` of all stems at most; then, while toxic documents are left without a mark, the stem that is in most of them is taken.
@@ -182,41 +183,85 @@ def marks_of(docs: list[tuple[set[str], int]]) -> set[str]:
     return marks
 
 
-def _labelled(docs: list[tuple[str, int]]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Words of the sample's tokens, their labels, where documents begin, and the classes of documents with words."""
+class _StemSets:
+    """(stems, class) of documents, given as codes of words and classes; a document's set is made when it is asked for."""
+
+    def __init__(self, docs: list[tuple[np.ndarray, int]], stems: list[list[str]]):
+        self.docs, self.stems = docs, stems
+
+    def __iter__(self) -> Iterator[tuple[set[str], int]]:
+        for own, toxic in self.docs:
+            yield {s for k in np.unique(own).tolist() for s in self.stems[k]}, toxic
+
+
+def _coded(docs: Iterable[tuple[str, int]]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of the sample, its tokens as places among them, their labels, where documents begin, and the classes of documents with words.
+
+    Texts are read one at a time and kept as codes; no more are read once the sample is full.
+    """
+    codes: dict[str, int] = {}
+    words: dict[str, int] = {}
     kept, n = [], 0
     for text, toxic in docs:
-        own = [w for w in map(word_of, text.split()) if w]
-        kept.append((own, toxic))
+        own = []
+        for token in text.split():
+            k = codes.get(token)
+            if k is None:
+                word = word_of(token)
+                k = codes[token] = words.setdefault(word, len(words)) if word else -1
+            if k >= 0:
+                own.append(k)
+        kept.append((np.array(own, np.int32), toxic))
         n += len(own)
         if n >= SAMPLE_TOKENS:  # the document that fills the sample is whole: a long one is as likely in it as a short one
             break
-    stems = {w: _stems(w) for own, _ in kept for w in own}
-    marks = marks_of([({s for w in set(own) for s in stems[w]}, toxic) for own, toxic in kept])
-    marked = {w for w, found in stems.items() if any(s in marks for s in found)}
-    flat = [w for own, _ in kept for w in own]
-    labels = [int(toxic and w in marked) for own, toxic in kept for w in own]
-    first = [k == 0 for own, _ in kept for k in range(len(own))]
-    return flat, np.array(labels, np.int8), np.array(first, bool), np.array([toxic for own, toxic in kept if own])
-
-
-def train(docs: list[tuple[str, int]], epochs: int = 15, rate: float = 0.5, decay: float = 1e-5) -> Field | None:
+    del codes
+    vocabulary = list(words)
+    del words
+    stems = [_stems(w) for w in vocabulary]
+    marks = marks_of(_StemSets(kept, stems))
+    marked = np.array([any(s in marks for s in found) for found in stems], bool)
+    at = np.concatenate([np.zeros(0, np.int32), *(own for own, _ in kept)])
+    sizes = np.array([len(own) for own, _ in kept if len(own)], np.int64)
+    classes = np.array([toxic for own, toxic in kept if len(own)], np.int64)
+    labels = (marked[at] & np.repeat(classes == 1, sizes)).astype(np.int8)
+    first = np.zeros(len(at), bool)
+    first[np.cumsum(sizes) - sizes] = True
+    return vocabulary, at, labels, first, classes
+
+
+def _labelled(docs: Iterable[tuple[str, int]]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """``_coded`` with the tokens' words themselves."""
+    vocabulary, at, labels, first, toxic = _coded(docs)
+    return [vocabulary[k] for k in at.tolist()], labels, first, toxic
+
+
+def _pieces(first: np.ndarray) -> list[slice]:
+    """Slices of whole documents with some PIECE_TOKENS tokens each."""
+    cuts = [0]
+    for begin in np.flatnonzero(first).tolist():
+        if begin - cuts[-1] >= PIECE_TOKENS:
+            cuts.append(begin)
+    return [slice(a, b) for a, b in zip(cuts, [*cuts[1:], len(first)], strict=True)]
+
+
+def train(docs: Iterable[tuple[str, int]], epochs: int = 15, rate: float = 0.5, decay: float = 1e-5) -> Field | None:
     """Maximum likelihood with a quadratic penalty, by adaptive gradient steps over whole batches of documents."""
-    flat, labels, first, toxic = _labelled(docs)
+    vocabulary, at, labels, first, toxic = _coded(docs)
     if not len(labels) or not labels.any():
         return None
-    vocabulary = {w: k for k, w in enumerate(dict.fromkeys(flat))}
-    each = [features(w) for w in vocabulary]
+    each = [np.array(features(w), np.int32) for w in vocabulary]
     lengths = np.array([len(f) for f in each])
-    columns, rows = np.concatenate([np.array(f) for f in each]), np.repeat(np.arange(len(each)), lengths)
-    at = np.array([vocabulary[w] for w in flat])
+    columns, rows = np.concatenate(each), np.repeat(np.arange(len(each)), lengths)
+    pieces = _pieces(first)
     weights, bias = np.zeros(DIMENSIONS), -3.0
     trans, start = np.zeros((2, 2)), np.zeros(2)
     squares = [np.full(DIMENSIONS, 1e-3), 1e-3, np.full((2, 2), 1e-3), np.full(2, 1e-3)]
     scale = 1.0 / max(1, labels.sum())
     for _ in range(epochs):
         e = (bias + np.bincount(rows, weights[columns], len(each)))[at]
-        miss, moved, begun = slopes(e, labels, first, trans, start)
+        parts = [slopes(e[own], labels[own], first[own], trans, start) for own in pieces]
+        miss, moved, begun = np.concatenate([m for m, _, _ in parts]), sum(m for _, m, _ in parts), sum(b for _, _, b in parts)
         by_word = np.bincount(at, miss, len(each))
         grads = [np.bincount(columns, by_word[rows], DIMENSIONS) * scale - decay * weights, miss.sum() * scale, moved * scale - decay * trans, begun * scale - decay * start]
         squares = [s + g * g for s, g in zip(squares, grads, strict=True)]
@@ -225,7 +270,7 @@ def train(docs: list[tuple[str, int]], epochs: int = 15, rate: float = 0.5, deca
     tr, st = np.exp(trans), np.exp(start)
     field = Field(weights.astype(np.float32), float(bias), tr / tr.sum(), st / st.sum())
     e = (bias + np.bincount(rows, weights[columns], len(each)))[at]
-    p = marginals(e, first, field.trans, field.start)[0]
+    p = np.concatenate([marginals(e[own], first[own], field.trans, field.start)[0] for own in pieces])
     field.calibrate(np.stack([summary(q) for q in np.split(p, np.flatnonzero(first)[1:])]), toxic)
     return field
 
@@ -248,11 +293,14 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Field | None:
     """The field of the training sample, fitted in one task: the driver gets the weights alone."""
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "toxic", "text")), strict=True)]
-        rows.sort(key=lambda r: (zlib.crc32(b"%d" % r[0]), r[0]))
-        yield pa.RecordBatch.from_pydict({"field": [pickle.dumps(train([(text, toxic) for _, toxic, text in rows]))]})
-
-    row = training_sample(docs, labels).repartition(1).mapInArrow(fit, "field binary").first()
+        rows = ((b.column("text")[k].as_py(), b.column("toxic")[k].as_py()) for b in batches for k in range(b.num_rows))
+        field = train(rows)
+        for _ in rows:  # what the full sample left is read to its end, as Spark expects
+            pass
+        yield pa.RecordBatch.from_pydict({"field": [pickle.dumps(field)]})
+
+    order = F.crc32(F.col("doc_id").cast("string"))
+    row = training_sample(docs, labels).repartition(1).sortWithinPartitions(order, "doc_id").select("toxic", "text").mapInArrow(fit, "field binary").first()
     return pickle.loads(bytes(row.field)) if row else None
 
 
@@ -280,7 +328,7 @@ def score(docs: DataFrame, field: Field | None) -> DataFrame:
             while k < len(ids):
                 own: list[np.ndarray] = []
                 held, begin, n = [], k, 0
-                while k < len(ids) and n < 400_000:
+                while k < len(ids) and n < PIECE_TOKENS:
                     text = texts[k].as_py() or ""
                     tokens = text.split() if f is not None else []
                     own.append(np.fromiter(map(known.__getitem__, tokens), np.float64, len(tokens)))

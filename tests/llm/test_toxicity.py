@@ -195,3 +195,25 @@ def test_stems_longer_than_six_letters_mark_words_that_share_their_beginning():
         rows.append((" ".join(words), int(k % 6 == 0)))
     field = tox.train(rows)
     assert field.evidence("bomentexzz") > 0 > field.evidence("bomenta")
+
+
+def test_sample_is_held_as_codes_and_fitted_in_pieces(monkeypatch):
+    import tracemalloc
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aeioulnrst") for _ in range(6)) for _ in range(400)]
+    rows = [(" ".join(rng.choice(words) for _ in range(400)) + " zorkish" * (k % 5 == 0), int(k % 5 == 0)) for k in range(500)]
+    tracemalloc.start()
+    field = tox.train(iter(rows), epochs=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 160 * 200_000  # bytes a token; some 240 while all tokens' vectors were held at once
+    monkeypatch.setattr(tox, "PIECE_TOKENS", 1 << 40)
+    whole = tox.train(rows, epochs=2)
+    assert np.allclose(field.weights, whole.weights, atol=1e-6) and np.allclose(field.logit, whole.logit, atol=1e-6)
+
+
+def test_no_text_is_read_once_the_sample_is_full(monkeypatch):
+    monkeypatch.setattr(tox, "SAMPLE_TOKENS", 10)
+    left = iter([("zorkish a b c d", 1), ("e f g h i", 0), ("never", 0)])
+    assert len(tox._labelled(left)[0]) == 10 and next(left) == ("never", 0)
