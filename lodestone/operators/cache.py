@@ -13,7 +13,7 @@ from lodestone.functions import text as tx
 from lodestone.operators import ranking
 from lodestone.plans.numbering import numbered
 from lodestone.plans.sizing import is_small
-from lodestone.plans.tables import written
+from lodestone.plans.tables import new_path, written
 
 # Fixed values.
 THRESHOLDS = (0.90, 0.95, 0.97)
@@ -61,37 +61,30 @@ def seeded_replay(records: DataFrame, seeds: int, thresholds: Sequence[float] =
     return numbered(each, ["seq"], by=["threshold", "entry_seq"], name="cluster_size", of=F.col("hit").cast("long")).withColumn("cluster_size", F.col("cluster_size") + 1)
 
 
-_PLAYED = "threshold double, seq long, entry_seq long, similarity double, hit boolean, accurate boolean, cluster_size long, filled boolean"
-
-
 def _play(threshold: float):
     """Settles one block of records: each against the best entry from before the block, and against those that the block's misses added."""
 
-    def play(frame: pd.DataFrame) -> pd.DataFrame:
+    def play(frame: pd.DataFrame, best: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("seq")
+        before = dict(zip(best.seq, zip(best.entry_id, best.similarity, strict=True), strict=True))
         vectors = np.zeros((len(frame), max((len(v) for v in frame.embedding), default=0)))
         for i, v in enumerate(frame.embedding):
             own = np.nan_to_num(np.asarray(v, float))
             vectors[i, : len(own)] = own / (np.linalg.norm(own) or 1.0)
-        held, added, sizes, out = np.zeros_like(vectors), [], {}, []
+        held, added, out = np.zeros_like(vectors), [], []
         for i, r in enumerate(frame.itertuples()):
-            entry, similarity, intent = (None, -1.0, None) if pd.isna(r.entry_id) else (int(r.entry_id), r.similarity, r.entry_intent)
-            if entry is not None:
-                sizes.setdefault(entry, int(r.entry_size))
+            entry, similarity = before.get(r.seq, (None, -1.0))
             if added:
                 near = np.round(held[: len(added)] @ vectors[i], 6)
                 at = int(np.argmax(near))
                 if near[at] > similarity:
-                    (entry, intent), similarity = added[at], float(near[at])
+                    entry, similarity = added[at], float(near[at])
             hit = entry is not None and similarity >= threshold
-            if hit:
-                sizes[entry] += 1
-            else:
+            if not hit:
                 held[len(added)] = vectors[i]
-                added.append((r.seq, r.intent))
-                sizes[r.seq] = 1
-            out.append((threshold, r.seq, entry, similarity, hit, bool(hit and intent == r.intent), sizes[entry] if entry is not None else 0, not hit))
-        return pd.DataFrame(out, columns=["threshold", "seq", "entry_seq", "similarity", "hit", "accurate", "cluster_size", "filled"]).astype({"entry_seq": "Int64"})
+                added.append(r.seq)
+            out.append((threshold, r.seq, r.intent, entry, similarity, bool(hit), None if hit else r.embedding))
+        return pd.DataFrame(out, columns=["threshold", "seq", "intent", "entry_seq", "similarity", "hit", "embedding"]).astype({"entry_seq": "Int64"})
 
     return play
 
@@ -101,33 +94,40 @@ def online_replay(records: DataFrame, seeds: int, thresholds: Sequence[float] =
 
     The first ``seeds`` records fill the cache and are not replayed. What a record meets depends on all records before it, so the records go
     by blocks: a block's best entries among all from before it are found by one search that is spread over the entries, and what its
-    own misses add is settled inside the block, in one task of ``block`` rows. A block's outcome is written before the next one is begun.
+    own misses add is settled inside the block, in one task of ``block`` rows. A block's outcome is written before the next one is begun,
+    with the vectors that it adds, to one folder that the next search scans: no block joins anything to the blocks before it, and nothing
+    is broadcast. Whether hits are accurate and how large clusters are follows from all outcomes at the end.
     Similarities have 6 digits; of equal entries the earliest counts.
     """
-    rows = written(numbered(records.where("embedding is not null").select(F.col("seq").cast("long").alias("seq"), "embedding", "intent"), ["seq"]), "replay")
-    total = rows.count()
-    kept = ["threshold", "seq", "entry_seq", "similarity", "hit", "accurate", "cluster_size"]
-    every = rows.sparkSession.createDataFrame([], _PLAYED).select(*kept)
-    for threshold in map(float, thresholds):
-        seed = rows.where(F.col("n") <= seeds).select("seq", "embedding", "intent")
-        entries, played = seed, None
+    spark = records.sparkSession
+    asked = records.where("embedding is not null").select(F.col("seq").cast("long").alias("seq"), "embedding", "intent")
+    folder, played = new_path(spark, "replay"), new_path(spark, "replayed")
+    # Block -1 are the seeds.
+    number = F.greatest(F.lit(-1), F.floor((F.col("n") - seeds - 1) / block).cast("int"))
+    numbered(asked, ["seq"]).withColumn("block", number).drop("n").repartition("block").write.partitionBy("block").parquet(folder)
+    read = lambda path, schema=asked.schema: spark.read.schema(schema).parquet(path)
+    total = read(folder).count()
+    kinds = {c: asked.schema[c].dataType.simpleString() for c in ("intent", "embedding")}
+    outcome = f"threshold double, seq long, intent {kinds['intent']}, entry_seq long, similarity double, hit boolean, embedding {kinds['embedding']}"
+    seeded = read(f"{folder}/block=-1") if min(seeds, total) > 0 else spark.createDataFrame([], asked.schema)
+    paths = []
+    for place, threshold in enumerate(map(float, thresholds) if total > seeds else ()):
+        paths.append(f"{played}/{place}")
         for start in range(seeds, total, block):
-            part = rows.where((F.col("n") > start) & (F.col("n") <= start + block))
-            best = ranking.dense(entries.select(F.col("seq").alias("doc_id"), "embedding"), part.select(F.col("seq").alias("query_id"), "embedding"), 1)
+            part = read(f"{folder}/block={(start - seeds) // block}")
+            entries = seeded.select(F.col("seq").alias("doc_id"), "embedding")
+            if start > seeds:
+                entries = entries.unionByName(read(paths[-1], outcome).where("not hit").select(F.col("seq").alias("doc_id"), "embedding"))
+            best = ranking.dense(entries, part.select(F.col("seq").alias("query_id"), "embedding"), 1)
             best = best.select(F.col("query_id").alias("seq"), F.col("doc_id").alias("entry_id"), F.col("score").alias("similarity"))
-            best = best.join(entries.select(F.col("seq").alias("entry_id"), F.col("intent").alias("entry_intent")), "entry_id")
-            hits = F.lit(1) if played is None else F.coalesce(F.col("_hits"), F.lit(0)) + 1
-            if played is not None:
-                taken = played.where("hit").groupBy(F.col("entry_seq").alias("entry_id")).agg(F.count("*").alias("_hits"))
-                best = best.join(taken, "entry_id", "left")
-            best = best.select("seq", "entry_id", "similarity", "entry_intent", hits.alias("entry_size"))
-            asked = part.select("seq", "embedding", "intent").join(best, "seq", "left")
-            done = written(asked.groupBy().applyInPandas(_play(threshold), _PLAYED), "replayed")
-            played = done if played is None else played.unionByName(done)
-            entries = entries.unionByName(part.join(done.where("filled").select("seq"), "seq", "left_semi").select("seq", "embedding", "intent"))
-        if played is not None:
-            every = every.unionByName(played.select(*kept))
-    return every
+            pairs = part.groupBy(F.lit("")).cogroup(best.groupBy(F.lit("")))
+            pairs.applyInPandas(_play(threshold), outcome).write.mode("append").parquet(paths[-1])
+    every = spark.read.schema(outcome).parquet(*paths) if paths else spark.createDataFrame([], outcome)
+    every = every.drop("embedding").join(read(folder).select(F.col("seq").alias("entry_seq"), F.col("intent").alias("_intent")), "entry_seq", "left")
+    accurate = F.col("hit") & F.coalesce(F.col("intent") == F.col("_intent"), F.lit(False))
+    every = every.select("threshold", "seq", "entry_seq", "similarity", "hit", accurate.alias("accurate"))
+    sized = numbered(every, ["seq"], by=["threshold", "entry_seq"], name="cluster_size", of=F.col("hit").cast("long"))
+    return sized.withColumn("cluster_size", F.when(F.col("entry_seq").isNull(), 0).otherwise(F.col("cluster_size") + 1))
 
 
 def metrics(replayed: DataFrame, by: Sequence[str] = ("threshold",)) -> DataFrame:

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestone.operators import cache, chat
+from lodestone.operators import cache, chat, ranking
 
 
 def test_history_and_blocks(spark):
@@ -65,6 +65,20 @@ def test_replay_against_a_loop(spark):
             assert r.cluster_size == sizes[r.entry_seq]
 
 
+def test_a_replayed_block_joins_nothing_to_the_blocks_before_it(spark, monkeypatch):
+    """What a search has for its plan is as long for a late block as for the second one."""
+    plans, dense = [], ranking.dense
+
+    def seen(vectors, queries, k):
+        plans.append(vectors._jdf.queryExecution().optimizedPlan().toString())
+        return dense(vectors, queries, k)
+
+    monkeypatch.setattr(ranking, "dense", seen)
+    rows = spark.createDataFrame([(k, [float(k % 7), float(k % 5), 1.0], k % 3) for k in range(40)], "seq long, embedding array<double>, intent int")
+    assert cache.online_replay(rows, 4, (0.999,), 6).count() == 36
+    assert len(plans) == 6 and not any("Join" in p for p in plans) and len(plans[1].splitlines()) == len(plans[-1].splitlines())
+
+
 def test_wrong_intent_is_a_false_hit(spark):
     rows = spark.createDataFrame([(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 2)], "seq long, embedding array<double>, intent int")
     m = cache.metrics(cache.online_replay(rows, 1, (0.99,))).first()
