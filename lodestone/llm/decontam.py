@@ -95,12 +95,10 @@ def _fingerprints(df: DataFrame, *keys: str) -> DataFrame:
     sums = rows.groupBy(*keys).agg(F.sum("_w").alias("total"), *lanes)
 
     def half(number: int) -> Column:
-        out = F.lit(0).cast("long")
-        for b in range(32):
-            lane = F.col(f"_s{number}_{b}")
-            for at, part in ((b, lane.bitwiseAND(F.lit(0xFFFFFFFF))), (b + 32, F.shiftrightunsigned(lane, 32))):
-                out = out.bitwiseOR(F.shiftleft((part * 2 > F.col("total")).cast("long"), at))
-        return out
+        # A loop over the lanes: a term for each bit would be an expression that is copied at every step of planning.
+        bit = lambda part, at: F.call_function("shiftleft", (part * 2 > F.col("total")).cast("long"), at)
+        pair = lambda lane, b: bit(lane.bitwiseAND(F.lit(0xFFFFFFFF)), b).bitwiseOR(bit(F.shiftrightunsigned(lane, 32), b + 32))
+        return F.aggregate(F.transform(F.array(*[f"_s{number}_{b}" for b in range(32)]), pair), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x))
 
     return sums.select(*keys, "total", half(1).alias("f1"), half(2).alias("f2"))
 
@@ -128,10 +126,12 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) ->
     small_blocks = F.broadcast if n_items * len(_FLIPS) * (BITS // BLOCK_BITS) <= BROADCAST_ROWS else lambda df: df
     doc = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text"))
     split = doc.select("doc_id", "text_hash", words(F.col("text")).alias("w"))
-    widths = sorted(r[0] for r in item.select(F.least(F.lit(WIDTH), F.col("n"))).distinct().collect())  # at most five numbers
     width = F.least(F.lit(WIDTH), F.col("n"))
     item = item.withColumn("codes", _codes(F.col("w"), width)).withColumn("heavy", _heavy(F.col("codes"), _letters(F.col("w"), width)))
     item = item.withColumn("codes", F.array_distinct("codes")).withColumn("weight", _total(F.col("codes"), F.col("heavy")))
+    # What is read more than once is written, and each of the plans below stays small: the driver's memory holds plans, not rows.
+    item = scratch.table(item, "items")
+    widths = sorted(r[0] for r in item.select(F.least(F.lit(WIDTH), F.col("n"))).distinct().collect())  # at most five numbers
     lightest = item.groupBy("n").agg(F.min("weight").alias("lightest"))
     key = ["doc_id", "text_hash", "n"]
     shared = None
@@ -167,11 +167,11 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) ->
         .where(F.col("shared") >= _total(F.col("codes"), F.col("heavy")) * similarity - 1e-6).select(*key, "codes", "heavy")
     )
     coded = scratch.table(coded, "windows")
-    made = _fingerprints(coded, *key)
-    made = made.select(*key, "f1", "f2", F.posexplode(_blocks(F.col("f1"), F.col("f2"))).alias("block", "value"))
+    prints = scratch.table(_fingerprints(coded, *key), "fingerprints")
+    made = prints.select(*key, "f1", "f2", F.posexplode(_blocks(F.col("f1"), F.col("f2"))).alias("block", "value"))
     items_coded = item.select("item_id", "n", "codes", "heavy", "weight")
-    held = _fingerprints(items_coded, "item_id", "n").select("item_id", "n", F.col("f1").alias("g1"), F.col("f2").alias("g2"))
-    held = held.select("*", F.posexplode(_blocks(F.col("g1"), F.col("g2"))).alias("block", "value"))
+    item_prints = scratch.table(_fingerprints(items_coded, "item_id", "n").select("item_id", "n", F.col("f1").alias("g1"), F.col("f2").alias("g2")), "item-fingerprints")
+    held = item_prints.select("*", F.posexplode(_blocks(F.col("g1"), F.col("g2"))).alias("block", "value"))
     held = held.withColumn("value", F.explode(F.transform(F.array(*map(F.lit, _FLIPS)), lambda x: F.col("value").bitwiseXOR(x))))
     x1, x2 = F.col("f1").bitwiseXOR(F.col("g1")), F.col("f2").bitwiseXOR(F.col("g2"))
     near = (
@@ -185,12 +185,15 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) ->
         .select("doc_id", "item_id", "start", "n", _total(F.col("codes"), F.col("heavy")).alias("weight"), "weight2", _total(F.array_intersect("codes", "codes2"), F.col("heavy")).alias("both"))
         .withColumn("similarity", F.col("both") / (F.col("weight") + F.col("weight2") - F.col("both")))
     )
-    return (
+    best = (
         found.where(F.col("similarity") >= similarity)
         .groupBy("doc_id", "item_id")
         .agg(F.max(F.struct("similarity", (-F.col("start")).alias("start"), "n")).alias("best"))
         .select("doc_id", "item_id", "best.similarity", (-F.col("best.start")).alias("start"), F.col("best.n").alias("n_words"))
-    )
+    )
+    best = scratch.table(best, "leaks")
+    scratch.drop(item, hit, coded, prints, item_prints)
+    return best
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

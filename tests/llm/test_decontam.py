@@ -154,3 +154,31 @@ def test_joins_that_shuffle_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BROADCAST_ROWS", -1)
     assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontam.leaks(*frames).collect()} == got
     assert got == {k: round(v, 9) for k, v in brute(docs, items).items()}
+
+
+def test_plans_stay_small(spark):
+    """The driver holds plans: what is read again is written, and fingerprints' bits are a loop, not a term each."""
+    items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "one alpha beta gamma delta epsilon zeta eta theta two"), (2, "nothing of it"), (None, None)], "doc_id long, text string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    kept = decontam.drop_leaks(docs, items)
+    assert sorted(r.text or "" for r in kept.collect()) == ["", "nothing of it"]
+    assert not re.search("Generate|Window|xxhash64", plan(kept))
+    coded = spark.createDataFrame([(1, [5 << 10 | 7], [])], "k long, codes array<long>, heavy array<struct<c:bigint,x:bigint>>")
+    assert plan(decontam._fingerprints(coded, "k")).count("shiftleft") <= 4
+
+
+def test_fingerprints_against_their_definition(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    rows = [(k, sorted({rng.getrandbits(53) << 10 | rng.randint(1, 1022) for _ in range(rng.randint(1, 30))}), []) for k in range(20)]
+    coded = spark.createDataFrame(rows, "k long, codes array<long>, heavy array<struct<c:bigint,x:bigint>>")
+    flat = coded.select("k", F.explode("codes").alias("c"))
+    hashed = flat.select("k", F.col("c").bitwiseAND(F.lit(1023)).alias("w"), F.xxhash64("c").alias("h1"), F.xxhash64(F.lit(1), "c").alias("h2")).collect()
+    for r in decontam._fingerprints(coded, "k").collect():
+        own = [x for x in hashed if x.k == r.k]
+        total = sum(x.w for x in own)
+        assert r.total == total
+        for f, name in ((r.f1, "h1"), (r.f2, "h2")):
+            assert f % 2**64 == sum(1 << b for b in range(64) if 2 * sum(x.w for x in own if x[name] >> b & 1) > total)
