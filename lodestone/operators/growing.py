@@ -38,20 +38,22 @@ class GrowingIndex:
     # --- changes ------------------------------------------------------------------------------------------------------
 
     def add(self, docs: DataFrame, merge: bool = True) -> Version:
-        """Adds documents; one with a doc_id that is known replaces the old one. A doc_id may be in ``docs`` once."""
+        """Adds documents; one with a doc_id that is known replaces the old one, which is gone if the new text is empty. A doc_id may be in ``docs`` once."""
         before = self.store.version()
         new = before.last + 1
-        rows = docs.where(F.col("doc_id").isNotNull() & (F.coalesce("text", F.lit("")) != ""))
-        rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), tx.tokens("text").alias("words")).withColumn("dl", F.size("words"))
-        self.store.write("words", new, rows)
+        given = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), tx.text_or_empty("text").alias("text"))
+        self.store.write("words", new, given.where("text <> ''").select("doc_id", tx.tokens("text").alias("words")).withColumn("dl", F.size("words")))
         facts = self._facts(new)
+        # A document whose text is empty now takes its old text away.
+        empty = written(given.where("text = ''").select("doc_id"), "empty") if before.segments else None
         if facts["docs"] == 0:
-            return before
+            return before if empty is None else self.remove(empty)
         if self.store.read("words", before, [new]).groupBy("doc_id").count().where("count > 1").limit(1).count():
             raise ValueError("documents to add must have different ids")
         self._write_postings(new)
         added = Version(before.number, {**before.segments, new: facts}, before.dead, new)
-        after = self._without(added, self.store.read("words", before, [new]).select("doc_id"), but=new)
+        ids = self.store.read("words", before, [new]).select("doc_id")
+        after = self._without(added, ids if empty is None else ids.unionByName(empty), but=new)
         done = self.store.commit(before, after)
         return self.merge() if merge else done
 

@@ -58,6 +58,19 @@ def test_equal_to_a_fresh_index(spark, tmp_path):
     assert index.totals() == (0, 0) and index.search(spark.createDataFrame([(1, "w1")], "query_id long, text string")).count() == 0
 
 
+def test_an_empty_text_replaces_a_document(spark, tmp_path):
+    index = growing.GrowingIndex(spark, str(tmp_path / "i"))
+    add = lambda *rows: index.add(spark.createDataFrame(list(rows), "doc_id long, text string"), merge=False)
+    add((1, "alpha beta"), (2, "beta"), (3, "gamma"), (4, "gamma delta"))
+    add((1, ""), (2, None), (5, "delta"), (9, ""))
+    same(spark, index, {3: "gamma", 4: "gamma delta", 5: "delta"})
+    add((3, ""), (9, None))  # nothing but empty texts
+    same(spark, index, {4: "gamma delta", 5: "delta"})
+    known = index.store.version()
+    add((9, ""))
+    assert index.store.version() == known
+
+
 def test_a_hundredth_writes_a_hundredth(spark, tmp_path):
     rng = random.Random(2)
     index = growing.GrowingIndex(spark, str(tmp_path / "i"))
