@@ -6,13 +6,14 @@ document frequencies) are summed over all shards, so a score does not depend on
 exactly. Queries are written in blocks of about ``BLOCK_TERMS`` terms by executors, and a task streams them past its shards:
 neither queries nor documents pass through the driver.
 
-In a shard documents of like words stand together, so that blocks of ``BLOCK`` documents differ. A list in over ``COMMON`` of the
-documents has a value for each of them, and one matrix product gives every document's sum over these lists, for many queries at
-once. Every other list knows where each of its blocks begins and the block's greatest impact. A query's bound for a block is the
-greatest such sum in it plus these maxima. The pivot is the block of the greatest bound that is left: the lists' cursors jump to
-it, its documents are scored in full, in double precision, and the threshold, the k-th best score over all shards that the task
-has gone through, grows. When the pivot's bound is below the threshold so are all others, and their postings are never read.
-Pivots are whole blocks, and several are taken in one step, because here a step costs as much as hundreds of postings.
+In a shard documents of like words stand together, so that blocks of ``BLOCK`` documents differ. The most frequent lists, those in
+over ``COMMON`` of the documents, have a value for each of them, and one matrix product in single precision, widened by its greatest
+rounding error, bounds every document's sum over these lists, for many queries of like words at once. Every other list knows where
+each of its blocks begins and the block's greatest impact. A query's bound for a block is the greatest such sum in it plus these
+maxima. The pivots are the blocks of the greatest bounds: the lists' cursors jump to them, which bounds their documents one by one,
+and those that can still reach the threshold are scored in full, in double precision. The threshold, the
+k-th best score over all shards that the task has gone through, grows. What is bounded below the threshold is never read.
+Pivots are whole blocks, and several queries take several of them in one step, because here a step costs as much as hundreds of postings.
 
 Ties: the smaller doc_id first, at scores rounded to 6 digits. Defined results: documents without words match nothing and queries
 without words find nothing; rows with a null id are not indexed; rows that share a doc_id are indexed one by one and the best
@@ -34,14 +35,19 @@ from lodestone.llm.scratch import Scratch, open_files
 
 K1, B = 1.5, 0.75
 SHARD_DOCS, SHARD_POSTINGS = 1 << 14, 1 << 20
-#: Documents in a block, and blocks that a query scores first in a shard; then four times as many, and so on.
+#: Documents in a block, and blocks that a query without a threshold takes first; then all that are above it.
 BLOCK, FIRST = 64, 8
-#: A list in over this share of a shard's documents is dense.
-COMMON = 0.1
+#: A list in over this share of a shard's documents is dense, as long as the matrix has no more cells than this.
+COMMON, DENSE_CELLS = 0.04, 1 << 24
 #: Terms and queries in a written block of queries, and shards that a task holds at once.
-BLOCK_TERMS, BLOCK_QUERIES, TOGETHER = 1 << 16, 128, 4
+BLOCK_TERMS, BLOCK_QUERIES, TOGETHER = 1 << 17, 256, 2
+#: Queries of a matrix product, and queries times documents that are bounded together.
+ALIKE, STEP = 256, 1 << 16
+#: Shards that give queries their first thresholds.
+SEEDS = 4
 _INDEX = "doc_ids binary, lengths binary, terms binary, begins binary, docs binary, counts binary, n_docs long, n_words long"
 _BLOCKS = "queries binary, begins binary, terms binary, weights binary"
+_SEEDED = f"{_BLOCKS}, floors binary"
 
 
 def build_index(docs: DataFrame) -> DataFrame:
@@ -143,44 +149,49 @@ def query_blocks(weighted: DataFrame) -> DataFrame:
 
 
 class Best:
-    """The k best doc_ids of a query so far, by rounded score and then by id; ``least`` is the k-th score, 0 before there are k."""
+    """The k best doc_ids of a query so far, by rounded score and then by id; ``least`` is the k-th score, or what is known of it before there are k."""
 
     __slots__ = ("ids", "k", "least", "scores")
 
-    def __init__(self, k: int):
-        self.k, self.least = k, 0.0
+    def __init__(self, k: int, least: float = 0.0):
+        self.k, self.least = k, least
         self.ids, self.scores = np.zeros(0, np.int64), np.zeros(0)
 
     def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
         ids, scores = np.concatenate([self.ids, ids]), np.concatenate([self.scores, np.round(scores, 6)])
         order = np.lexsort((ids, -scores))
-        ids, scores = ids[order], scores[order]
-        first = np.sort(np.unique(ids, return_index=True)[1])[: self.k]
-        self.ids, self.scores = ids[first], scores[first]
-        if len(first) == self.k:
-            self.least = float(self.scores[-1])
+        if len(set(ids.tolist())) < len(ids):
+            order = order[np.sort(np.unique(ids[order], return_index=True)[1])]
+        order = order[: self.k]
+        self.ids, self.scores = ids[order], scores[order]
+        if len(order) == self.k:
+            self.least = max(self.least, float(self.scores[-1]))
 
 
 class Shard:
-    """A shard's posting lists. A list in over ``COMMON`` of the documents is a column of ``dense``; the others are cut at the blocks, and ``cell`` c is one list's postings in one block."""
+    """A shard's posting lists. A dense one is a row of ``dense``, and a column of ``times``, its counts by document; the others are cut at the blocks, and ``cell`` c is one list's postings in one block."""
 
     def __init__(self, row: dict, mean: float):
         self.ids, lengths = np.frombuffer(row["doc_ids"], np.int64), np.frombuffer(row["lengths"], np.int32)
         self.terms, self.begins = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["begins"], np.int32)
         self.docs = np.frombuffer(row["docs"], np.uint16).astype(np.int32)
         tf = np.frombuffer(row["counts"], np.uint16 if len(row["counts"]) == len(row["docs"]) else np.uint32)
-        self.impacts = (K1 * (1 - B + B * lengths / mean))[self.docs]
+        self.norms = K1 * (1 - B + B * lengths / mean)
+        self.impacts = self.norms[self.docs]
         self.impacts += tf
         np.divide(tf * (K1 + 1), self.impacts, out=self.impacts)
-        n = len(self.ids)
+        n, self.often = len(self.ids), np.diff(self.begins)
         self.blocks = -(-n // BLOCK)
-        common = np.flatnonzero(np.diff(self.begins) > max(BLOCK, COMMON * n))
+        self.distinct = len(np.unique(self.ids)) == n
+        common = np.flatnonzero(self.often > max(BLOCK, COMMON * n))
+        common = common[np.argsort(-self.often[common], kind="stable")][: DENSE_CELLS // max(1, n)]
         self.column = np.full(len(self.terms), -1, np.int32)
         self.column[common] = np.arange(len(common), dtype=np.int32)
-        self.dense = np.zeros((self.blocks * BLOCK, len(common)))
+        self.dense, self.times = np.zeros((len(common), self.blocks * BLOCK), np.float32), np.zeros((n, len(common)), tf.dtype)
         for c, t in enumerate(common):
             a, b = self.begins[t], self.begins[t + 1]
-            self.dense[self.docs[a:b], c] = self.impacts[a:b]
+            self.dense[c, self.docs[a:b]] = self.impacts[a:b]
+            self.times[self.docs[a:b], c] = tf[a:b]
         block = self.docs // np.int32(BLOCK)
         new = np.r_[True, block[1:] != block[:-1]][: len(block)]
         new[self.begins[:-1]] = True
@@ -188,52 +199,91 @@ class Shard:
         self.cell_begins, self.cell_block = np.r_[starts, len(block)].astype(np.int32), block[starts]
         self.cell_most = np.maximum.reduceat(self.impacts, starts) if len(starts) else np.zeros(0)
         self.cells = np.searchsorted(starts, self.begins)
-        self.read = self.held = 0  # postings read, and postings of all the cut lists that were asked for
+        self.step = max(1, STEP // (self.blocks * BLOCK))
+        self.read = self.held = 0  # postings read one by one, and postings of all the lists that were asked for
 
     def search(self, queries: list[tuple[np.ndarray, np.ndarray]], found: list[Best]) -> None:
         """Adds this shard's documents to the best of each query; a query is its terms (ascending) and their weights."""
         if not len(self.terms):
             return
-        rare, common = [], np.zeros((len(queries), self.dense.shape[1]))
-        for q, (terms, weights) in enumerate(queries):
-            at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-            there = self.terms[at] == terms
-            at, weights = at[there], weights[there]
-            column = self.column[at]
-            common[q, column[column >= 0]] = weights[column >= 0]
-            rare.append((at[column < 0], weights[column < 0]))
-        sums = common @ self.dense.T
-        for q, (at, weights) in enumerate(rare):
-            self._walk(at, weights, sums[q], found[q])
-
-    def _walk(self, at: np.ndarray, weights: np.ndarray, sums: np.ndarray, best: Best) -> None:
-        """The pivots of one query, given its cut lists and every document's sum over the dense ones."""
+        query = np.repeat(np.arange(len(queries)), [len(t) for t, _ in queries])
+        terms, weight = (np.concatenate(x) for x in zip(*queries, strict=True))
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        there = self.terms[at] == terms
+        query, at, weight = query[there], at[there], weight[there]
+        self.held += int(self.often[at].sum())
+        column = self.column[at]
+        common = np.zeros((len(queries), len(self.dense)))
+        common[query[column >= 0], column[column >= 0]] = weight[column >= 0]
+        begins = np.searchsorted(query, np.arange(len(queries) + 1))
+        # Queries of one language or subject have the same most frequent word, and few of the others' words; columns are by frequency.
+        top = (common > 0).argmax(axis=1) if len(self.dense) else np.zeros(len(queries), np.int64)
+        for key in np.unique(top):
+            alike = np.flatnonzero(top == key)
+            for a in range(0, len(alike), ALIKE):
+                chosen = alike[a : a + ALIKE]
+                columns = np.flatnonzero(common[chosen].any(axis=0))
+                sums = common[np.ix_(chosen, columns)].astype(np.float32) @ self.dense[columns]
+                sums *= 1 + (len(columns) + 8) * 2.0**-23  # at least the true sums: rounding adds less
+                for b in range(0, len(chosen), self.step):
+                    part = chosen[b : b + self.step]
+                    entry, n = _ranges(begins[part], begins[part + 1])
+                    of, cut = np.repeat(np.arange(len(part)), n), column[entry] < 0
+                    self._walk(of[cut], at[entry[cut]], weight[entry[cut]], sums[b : b + self.step], common[part], [found[q] for q in part])
+
+    def _walk(self, query: np.ndarray, at: np.ndarray, weight: np.ndarray, sums: np.ndarray, common: np.ndarray, found: list[Best]) -> None:
+        """The pivots of some queries, given their cut lists, their weights of the dense ones, and bounds of every document's sum over these."""
         cell, n = _ranges(self.cells[at], self.cells[at + 1])
-        weight, block = np.repeat(weights, n), self.cell_block[cell]
-        more = np.bincount(block, self.cell_most[cell] * weight, self.blocks)
-        bound = sums.reshape(self.blocks, BLOCK).max(axis=1) + more
-        self.held += int((self.begins[at + 1] - self.begins[at]).sum())
-        order = np.argsort(-bound, kind="stable")
-        done, step = 0, FIRST
-        while done < len(order):
-            # A document's rounded score is less than the threshold if its bound is, by more than rounding.
-            floor = max(best.least - 1e-6, 0.0)
-            pivots = order[done : done + step]
-            pivots = pivots[bound[pivots] > floor]
-            if not len(pivots):
-                return
-            chosen = np.zeros(self.blocks, bool)
-            chosen[pivots] = True
-            jump = np.flatnonzero(chosen[block])
-            where, m = _ranges(self.cell_begins[cell[jump]], self.cell_begins[cell[jump] + 1])
-            scores = np.bincount(self.docs[where], self.impacts[where] * np.repeat(weight[jump], m), len(sums))
+        place = np.repeat(query * self.blocks, n) + self.cell_block[cell]
+        most = np.bincount(place, self.cell_most[cell] * np.repeat(weight, n), len(found) * self.blocks)
+        bound = sums.reshape(-1, BLOCK).max(axis=1).astype(np.float64).reshape(len(found), -1) + most.reshape(len(found), -1)
+        # A document's rounded score is less than the threshold if its bound is, by more than rounding.
+        floor = np.maximum(np.array([best.least for best in found]) - 1e-6, 0.0)
+        done = np.zeros(bound.shape, bool)
+        new = np.flatnonzero(floor == 0)
+        if len(new):
+            first = np.argpartition(-bound[new], min(FIRST, self.blocks) - 1, axis=1)[:, :FIRST]
+            done[new[:, None], first] = bound[new[:, None], first] > 0
+        for pivots in (done, None):
+            if pivots is None:
+                floor = np.maximum(np.array([best.least for best in found]) - 1e-6, 0.0)
+                pivots = (bound > floor[:, None]) & ~done
+            if not pivots.any():
+                continue
+            if pivots.mean() > 0.4:
+                where, m = _ranges(self.begins[at], self.begins[at + 1])
+                value, line = np.repeat(weight, m), np.repeat(query * sums.shape[1], m)
+            else:
+                jump = np.flatnonzero(pivots.ravel()[place])
+                where, m = _ranges(self.cell_begins[cell[jump]], self.cell_begins[cell[jump] + 1])
+                value, line = np.repeat(np.repeat(weight, n)[jump], m), np.repeat(np.repeat(query * sums.shape[1], n)[jump], m)
             self.read += len(where)
-            rows = (pivots[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            scores = scores[rows] + sums[rows]
-            able = scores > floor
-            if able.any():
-                best.add(self.ids[rows[able]], scores[able])
-            done, step = done + step, 4 * step
+            value *= self.impacts[where]
+            line += self.docs[where]
+            rare = np.bincount(line, value, sums.size).reshape(sums.shape)
+            able = sums + rare
+            least = floor
+            if self.distinct and (floor == 0).any():
+                least = self._kth(able, pivots, floor, found[0].k)
+            q, d = np.nonzero((able > least[:, None]) & np.repeat(pivots, BLOCK, axis=1))
+            # What can still reach the threshold is scored in full, in double precision.
+            times = self.times[d].astype(np.float64)
+            self.read += int(np.count_nonzero(times))
+            scores = np.einsum("ij,ij->i", common[q], times * (K1 + 1) / (times + self.norms[d][:, None])) + rare[q, d]
+            ends = np.searchsorted(q, np.arange(len(found) + 1))
+            for k in np.unique(q):
+                own = slice(ends[k], ends[k + 1])
+                above = scores[own] > 0
+                found[k].add(self.ids[d[own][above]], scores[own][above])
+
+    def _kth(self, able: np.ndarray, pivots: np.ndarray, floor: np.ndarray, k: int) -> np.ndarray:
+        """Thresholds with those of the queries that have none yet: just below the k-th best of the pivots' bounds, as bounds are above scores by rounding alone."""
+        out = floor.copy()
+        for q in np.flatnonzero(floor == 0):
+            inside = able[q].reshape(-1, BLOCK)[pivots[q]].ravel()
+            if len(inside) > k:
+                out[q] = max(0.0, np.partition(inside, len(inside) - k)[len(inside) - k] * (1 - (len(self.dense) + 8) * 2.0**-21) - 1e-6)
+        return out
 
 
 def _ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -256,19 +306,45 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     asked = scratch.path("query-blocks")
     query_blocks(weighted).write.parquet(asked)
 
+    def shards_of(rows: pa.RecordBatch, a: int, n: int) -> list[Shard]:
+        return [Shard(rows.slice(r, 1).to_pylist()[0], mean) for r in range(a, min(a + n, rows.num_rows))]
+
+    def asked_of(row: dict) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        begins, terms, weights = np.frombuffer(row["begins"], np.int64), np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["weights"], np.float64)
+        return np.frombuffer(row["queries"], np.int64), [(terms[a:b], weights[a:b]) for a, b in zip(begins[:-1], begins[1:], strict=True)]
+
+    # A k-th best score over any documents is a threshold for all: a few shards give every query its first one.
+    seeds = scratch.path("seeds")
+    index.limit(SEEDS).write.parquet(seeds)
+
+    def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.dataset as ds
+
+        fs, path = open_files(seeds)
+        for batch in batches:
+            each = [asked_of(row) for row in batch.to_pylist()]
+            found = [[Best(k) for _ in qs] for qs, _ in each]
+            for rows in ds.dataset(path, filesystem=fs, format="parquet").to_batches(batch_size=1):
+                for shard in shards_of(rows, 0, rows.num_rows):
+                    for (_, queries), best in zip(each, found, strict=True):
+                        shard.search(queries, best)
+            floors = [np.array([b.least for b in best]).tobytes() for best in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(floors, pa.binary())], [*batch.schema.names, "floors"])
+
+    blocks = scratch.path("seeded-blocks")
+    spark.read.schema(_BLOCKS).parquet(asked).repartition(2 * spark.sparkContext.defaultParallelism).mapInArrow(seed, _SEEDED).write.parquet(blocks)
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.dataset as ds
 
-        fs, path = open_files(asked)
+        fs, path = open_files(blocks)
         for batch in batches:
             for a in range(0, batch.num_rows, TOGETHER):
-                held = [Shard(batch.slice(r, 1).to_pylist()[0], mean) for r in range(a, min(a + TOGETHER, batch.num_rows))]
-                for rows in ds.dataset(path, filesystem=fs, format="parquet", schema=None).to_batches(batch_size=4):
+                held = shards_of(batch, a, TOGETHER)
+                for rows in ds.dataset(path, filesystem=fs, format="parquet").to_batches(batch_size=1):
                     for row in rows.to_pylist():
-                        qs, begins = np.frombuffer(row["queries"], np.int64), np.frombuffer(row["begins"], np.int64)
-                        terms, weights = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["weights"], np.float64)
-                        found = [Best(k) for _ in qs]
-                        each = [(terms[a:b], weights[a:b]) for a, b in zip(begins[:-1], begins[1:], strict=True)]
+                        qs, each = asked_of(row)
+                        found = [Best(k, least) for least in np.frombuffer(row["floors"], np.float64).tolist()]
                         for shard in held:
                             shard.search(each, found)
                         n = [len(best.ids) for best in found]

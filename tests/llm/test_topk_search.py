@@ -102,3 +102,27 @@ def test_blocks_that_can_not_reach_the_threshold_are_not_read():
     order = np.lexsort((np.arange(n), -np.round(scores, 6)))[:5]
     assert best.ids.tolist() == order.tolist()
     assert shard.read < shard.held / 2
+
+
+def test_a_known_threshold_spares_reading_and_loses_nothing():
+    rng = np.random.default_rng(3)
+    n, terms = 3000, 400
+    docs = [np.flatnonzero(rng.random(n) < share) for share in 0.9 / np.arange(1, terms + 1) ** 0.7]
+    tf = [rng.integers(1, 5, len(d)) for d in docs]
+    lengths = np.bincount(np.concatenate(docs), np.concatenate(tf), n).astype(np.int32)
+    begins = np.r_[0, np.cumsum([len(d) for d in docs])].astype(np.int32)
+    shard = ts.Shard({"doc_ids": np.arange(n).tobytes(), "lengths": lengths.tobytes(), "terms": np.arange(terms, dtype=np.uint64).tobytes(), "begins": begins.tobytes(), "docs": np.concatenate(docs).astype(np.uint16).tobytes(), "counts": np.concatenate(tf).astype(np.uint16).tobytes()}, lengths.mean())
+    queries = [(np.sort(rng.choice(terms, size, replace=False)).astype(np.uint64), rng.random(size) * 9) for size in (1, 3, 20, 90, 300) * 4]
+    first, again = [ts.Best(6) for _ in queries], []
+    shard.search(queries, first)
+    read, shard.read = shard.read, 0
+    for (asked, weights), best in zip(queries, first, strict=True):
+        scores = np.zeros(n)
+        for t, w in zip(asked.tolist(), weights, strict=True):
+            np.add.at(scores, docs[t], w * tf[t] * 2.5 / (tf[t] + 1.5 * (0.25 + 0.75 * lengths[docs[t]] / lengths.mean())))
+        order = np.lexsort((np.arange(n), -np.round(scores, 6)))[:6]
+        assert best.ids.tolist() == order.tolist() and np.allclose(best.scores, scores[order], atol=1e-6)
+        again.append(ts.Best(6, best.least))
+    shard.search(queries, again)
+    assert [b.ids.tolist() for b in again] == [b.ids.tolist() for b in first]
+    assert shard.read < 0.9 * read
